@@ -1,8 +1,9 @@
 """Toxic passages by maximum-scoring segments.
 
 Tokens score their log-odds between toxic and clean training documents under
-an informative Dirichlet prior (the counts of both together, scaled down);
-tokens without significant log-odds score a small negative constant. A
+an informative Dirichlet prior (the counts of both together, scaled down). A
+token counts once with each different follower, so a document's many copies
+or a document's favourite word don't count again and again. Tokens without significant log-odds score a small negative constant. A
 linear-time scan finds all disjoint maximal segments of a text. A segment of
 score s in n tokens has p = 1 - exp(-K n exp(-lambda s)) under the
 extreme-value law, with lambda from the scores of clean text and K from the
@@ -25,6 +26,8 @@ from pyspark.sql import types as T
 from .common import append_columns, bucket_of
 
 TOKEN = re.compile(r"[^\W_]+")
+#: Lengths of the stems that are scored beside whole tokens.
+STEMS = (4, 6)
 
 
 @dataclass(frozen=True)
@@ -70,7 +73,12 @@ def segments_of(text: str | None, model: ToxicityModel) -> tuple[int, list[tuple
     """The number of tokens and the maximal segments of a text."""
     tokens = TOKEN.findall((text or "").lower())
     w = model.weights
-    hits = [(i, w[t]) for i, t in enumerate(tokens) if t in w]
+    hits = []
+    for i, t in enumerate(tokens):
+        if (x := w.get(t)) is None:
+            x = next((w["^" + t[:k]] for k in reversed(STEMS) if len(t) > k and "^" + t[:k] in w), None)
+        if x is not None:
+            hits.append((i, x))
     return len(tokens), maximal_segments(hits, model.other) if hits else []
 
 
@@ -82,7 +90,7 @@ def evidence(n: int, segments: list[tuple[int, int, float]], model: ToxicityMode
     return sum(-math.log(p_value(s, n, model)) for _, _, s in segments)
 
 
-def fit(docs: DataFrame, labels: DataFrame, learn, max_docs: int = 20_000, prior: float = 500.0, min_count: int = 4, z: float = 3.5, id_col: str = "doc_id", text_col: str = "text") -> ToxicityModel:
+def fit(docs: DataFrame, labels: DataFrame, learn, max_docs: int = 8_000, prior: float = 500.0, min_count: int = 4, z: float = 4.0, id_col: str = "doc_id", text_col: str = "text") -> ToxicityModel:
     """A model from the labelled rows for which learn(id column) holds; of more than max_docs the ones with the least hash of the id.
 
     Rows without an id, text or label teach nothing. Without toxic or without
@@ -92,9 +100,12 @@ def fit(docs: DataFrame, labels: DataFrame, learn, max_docs: int = 20_000, prior
     chosen = known.groupBy("i").agg(F.max("y").alias("y")).orderBy(F.xxhash64("i"), "i").limit(max_docs)
     texts = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).where("t IS NOT NULL")
     train = texts.join(F.broadcast(chosen), "i")  # max_docs rows of two numbers at most
-    words = train.select("y", F.explode(F.regexp_extract_all(F.lower("t"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))).alias("w"))
-    counts = words.groupBy("w").agg(F.sum("y").alias("t"), F.sum(1 - F.col("y")).alias("c"))
-    total = counts.agg(F.sum("t"), F.sum("c")).first()
+    tokens = F.regexp_extract_all(F.lower("t"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    follow = train.select("y", tokens.alias("ws")).select("y", F.posexplode("ws").alias("k", "w"), "ws").select("y", "w", F.xxhash64("w", F.get("ws", F.col("k") + 1)).alias("pair")).groupBy("w", "pair").agg(F.max("y").alias("y"), F.max(1 - F.col("y")).alias("z"))
+    keys = F.array("w", *[F.when(F.length("w") > k, F.concat(F.lit("^"), F.substring("w", 1, k))) for k in STEMS])
+    pairs = follow.select(F.explode(keys).alias("w"), "pair", "y", "z").where("w IS NOT NULL")
+    counts = pairs.groupBy("w").agg(F.sum("y").alias("t"), F.sum("z").alias("c"))
+    total = counts.where("w NOT LIKE '^%'").agg(F.sum("t"), F.sum("c")).first()
     n_t, n_c = int(total[0] or 0), int(total[1] or 0)
     if not n_t or not n_c:
         return ToxicityModel({}, -0.1, 1.0, 1.0, 0.0, math.log(0.5) if n_t else -3.0)
@@ -104,8 +115,12 @@ def fit(docs: DataFrame, labels: DataFrame, learn, max_docs: int = 20_000, prior
     def log_odds(y, m):
         return F.log((y + alpha) / (m + prior - y - alpha))
 
-    scored = counts.where(F.col("t") >= min_count).select("w", "t", "c", (log_odds(F.col("t"), n_t) - log_odds(F.col("c"), n_c)).alias("d"), F.sqrt(1 / (F.col("t") + alpha) + 1 / (F.col("c") + alpha)).alias("sd"))
-    lexicon = scored.where(F.col("d") > z * F.col("sd")).collect()  # words of a bounded sample
+    def surprise(y, m):
+        return F.when(y > 0, y * F.log(y * n / (F.lit(m) * (F.col("t") + F.col("c"))))).otherwise(0.0)
+
+    odds = (log_odds(F.col("t"), n_t) - log_odds(F.col("c"), n_c)).alias("d")
+    significant = (surprise(F.col("t"), n_t) + surprise(F.col("c"), n_c)) * 2 > z * z
+    lexicon = counts.where(F.col("t") >= min_count).where(significant).select("w", "t", "c", odds).where("d > 0").collect()  # words of a bounded sample
     weights = {r.w: float(r.d) for r in lexicon}
     hit_t, hit_c = sum(r.t for r in lexicon) / n_t, sum(r.c for r in lexicon) / n_c
     other = min(math.log((1 - hit_t) / (1 - hit_c)), -0.02)
