@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, packing, toxicity
+from . import bpe, langid, packing, quality, toxicity, winnow
 from .common import bucket_of, table
 
 
@@ -17,6 +17,15 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    measured = quality.add_measures(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = quality.cascade(measured, quality.default_rules(), first=quality.base_rules())
+    failed = F.lit(False)
+    for r in quality.base_rules():
+        failed = failed | r.rejects
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), F.col("rejected_by").isNull().alias("kept"))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), max_tokens=1024, with_ids=False)
 
@@ -41,14 +50,24 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op8_winnow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = winnow.fingerprint_with_edits(table(spark, sf_dir, "documents"))
+    a, b, c = (winnow.hashes(F.col(x)) for x in ("prints", "edited_prints", "next_prints"))
+    return df.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), winnow.as_text(F.col("prints")).alias("fingerprint"), winnow.as_text(F.col("edited_prints")).alias("edited_fingerprint"), winnow.likeness(a, b).alias("near_edited"), winnow.likeness(a, c).alias("near_next"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_quality": op1_quality,
         "op2_packing": op2_packing,
         "op3_toxicity": op3_toxicity,
         "op5_language": op5_language,
         "op6_bpe": op6_bpe,
+        "op8_winnow": op8_winnow,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op1_quality": quality.ORACLE_SQL,
+    }

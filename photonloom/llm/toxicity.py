@@ -3,9 +3,10 @@
 Tokens score their log-odds between toxic and clean training documents under
 an informative Dirichlet prior (the counts of both together, scaled down). A
 token counts once with each different follower, so a document's many copies
-or a document's favourite word don't count again and again. Tokens without significant log-odds score a small negative constant. A
-linear-time scan finds all disjoint maximal segments of a text. A segment of
-score s in n tokens has p = 1 - exp(-K n exp(-lambda s)) under the
+or a document's favourite word don't count again and again. A token without
+significant log-odds of its own gets those of its longest significant stem,
+any other token a small negative constant. A linear-time scan finds all disjoint
+maximal segments of a text. A segment of score s in n tokens has p = 1 - exp(-K n exp(-lambda s)) under the
 extreme-value law, with lambda from the scores of clean text and K from the
 best segments of clean training documents. A document's evidence, the sum of
 -ln p of its segments, goes through a logistic curve fitted on the training
