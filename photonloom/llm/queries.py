@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, packing, quality, toxicity, winnow
+from . import bpe, langid, licenses, lines, packing, quality, toxicity, winnow
 from .common import bucket_of, table
 
 
@@ -37,6 +37,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (bucket_of(F.col("doc_id"), 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), F.size("passages").alias("n_passages"))
 
 
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = langid.fit(docs, lambda i: bucket_of(i, 5) != 0)
@@ -56,18 +60,26 @@ def op8_winnow(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), winnow.as_text(F.col("prints")).alias("fingerprint"), winnow.as_text(F.col("edited_prints")).alias("edited_fingerprint"), winnow.likeness(a, b).alias("near_edited"), winnow.likeness(a, c).alias("near_next"))
 
 
+def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), min_sites=6)
+    return out.select("doc_id", "n_lines", "n_removed", (~F.col("emptied")).alias("kept"), F.sha2("text", 256).alias("text_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality": op1_quality,
         "op2_packing": op2_packing,
         "op3_toxicity": op3_toxicity,
+        "op4_licenses": op4_licenses,
         "op5_language": op5_language,
         "op6_bpe": op6_bpe,
         "op8_winnow": op8_winnow,
+        "op9_lines": op9_lines,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_quality": quality.ORACLE_SQL,
+        "op9_lines": lines.ORACLE_SQL,
     }
