@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, licenses, lines, packing, quality, toxicity, winnow
+from . import bpe, langid, licenses, lines, neardup, packing, quality, toxicity, winnow
 from .common import bucket_of, table
 
 
@@ -54,6 +54,10 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op7_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), width=5, threshold=(75, 100))
+
+
 def op8_winnow(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = winnow.fingerprint_with_edits(table(spark, sf_dir, "documents"))
     a, b, c = (winnow.hashes(F.col(x)) for x in ("prints", "edited_prints", "next_prints"))
@@ -73,6 +77,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_licenses": op4_licenses,
         "op5_language": op5_language,
         "op6_bpe": op6_bpe,
+        "op7_neardup": op7_neardup,
         "op8_winnow": op8_winnow,
         "op9_lines": op9_lines,
     }
