@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, licenses, lines, neardup, packing, quality, toxicity, winnow
+from . import bpe, ctw, langid, licenses, lines, neardup, packing, quality, toxicity, winnow
 from .common import bucket_of, table
 
 
@@ -69,6 +69,14 @@ def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed", (~F.col("emptied")).alias("kept"), F.sha2("text", 256).alias("text_sha256"))
 
 
+def op10_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = bucket_of(F.col("doc_id"), 5) == 1
+    model, words = ctw.fit(docs, ~held_out, depth=4)
+    out = ctw.score_documents(docs, model, words)
+    return out.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score", "bits_per_byte")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality": op1_quality,
@@ -80,6 +88,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_neardup": op7_neardup,
         "op8_winnow": op8_winnow,
         "op9_lines": op9_lines,
+        "op10_ctw": op10_ctw,
     }
 
 
