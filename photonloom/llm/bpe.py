@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_columns
+from .common import append_columns, most_frequent, staged
 from .packing import PLAIN, byte_alphabet
 
 #: The published word pattern of this family of vocabularies (fixed value).
@@ -194,10 +194,10 @@ class Encoder:
 
 
 def frequent_words(docs: DataFrame, size: int = 65536, text_col: str = "text") -> list[str]:
-    """The words of letters that occur most often over all documents (ties: in order of the word), size at most."""
+    """The words of letters that occur most often over all documents, size at most."""
     words = docs.select(F.explode(F.regexp_extract_all(F.lower(text_col), F.lit(r"\p{L}+"), F.lit(0))).alias("w"))
-    top = words.groupBy("w").agg(F.count("*").alias("n")).where("n > 1").orderBy(F.desc("n"), "w").limit(size)
-    return [r.w for r in top.collect()]
+    counts = staged(words.groupBy("w").agg(F.count("*").alias("n")).where("n > 1"), "words")
+    return [r.w for r in most_frequent(counts, size).select("w").collect()]
 
 
 def build_lexicon(docs: DataFrame, tokenizer: str, size: int = 65536, text_col: str = "text") -> bytes:

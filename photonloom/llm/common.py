@@ -64,3 +64,22 @@ def append_columns(docs: DataFrame, column: str, fields: Sequence[T.StructField]
 
     out = source.mapInArrow(run, schema)
     return out.drop(inner) if clash else out
+
+
+def most_frequent(counts: DataFrame, size: int) -> DataFrame:
+    """The rows of counts(..., n) with the greatest n, size at most: those above the count at which there would be more (ties go together).
+
+    Found by a histogram of the counts whose number of bins is bounded (exact
+    up to 4,096, then 256 to each doubling), so no task sends more than its
+    share of what is chosen.
+    """
+    n = F.col("n")
+    level = F.when(n <= 4096, n).otherwise(4096 + F.floor((F.log2(n.cast("double")) - 12) * 256)).cast("long")
+    bins = counts.groupBy(level.alias("level")).agg(F.count("*").alias("rows")).collect()
+    total, cut = 0, None
+    for r in sorted(bins, key=lambda r: -r.level):
+        total += r.rows
+        if total > size:
+            break
+        cut = r.level
+    return counts.where(level >= cut) if cut is not None else counts.limit(0)
