@@ -82,9 +82,9 @@ def default_rules(text_col: str = "text") -> list[Rule]:
     ]
 
 
-def ordered(measured: DataFrame, rules: list[Rule], sample_rows: int = 1000) -> list[Rule]:
-    """rules in descending order of rejections per second over sample_rows rows at most (a bounded sample; ties and empty tables: as given)."""
-    sample = measured.limit(sample_rows).cache()
+def ordered(sample: DataFrame, rules: list[Rule]) -> list[Rule]:
+    """rules in descending order of rejections per second over a measured sample (ties and empty samples: as given)."""
+    sample = sample.cache()
     try:
         rates = sample.agg(F.count("*").alias("n"), *[F.count_if(r.rejects).alias(f"r{k}") for k, r in enumerate(rules)]).first()
         if not rates["n"]:
@@ -101,12 +101,18 @@ def ordered(measured: DataFrame, rules: list[Rule], sample_rows: int = 1000) ->
         sample.unpersist()
 
 
-def cascade(measured: DataFrame, rules: list[Rule], first: list[Rule] = (), sample_rows: int = 1000) -> DataFrame:
-    """measured with rejected_by, the name of the first rule that rejects (null: kept); the rules of first are asked before all others."""
+def cascade(docs: DataFrame, rules: list[Rule], first: list[Rule] = (), sample_rows: int = 1000, text_col: str = "text") -> DataFrame:
+    """docs with the measures and rejected_by, the name of the first rule that rejects (null: kept).
+
+    The rules of first are asked before all others, which are ordered by a
+    seeded sample of about sample_rows rows, spread over all tasks.
+    """
+    share = min(1.0, sample_rows / max(docs.count(), 1))
+    ranked = ordered(add_measures(docs.select(text_col).sample(share, seed=7), text_col), rules)
     verdict = None
-    for r in [*first, *ordered(measured, rules, sample_rows)]:
+    for r in [*first, *ranked]:
         verdict = F.when(r.rejects, F.lit(r.name)) if verdict is None else verdict.when(r.rejects, F.lit(r.name))
-    return measured.withColumn("rejected_by", verdict if verdict is not None else F.lit(None).cast("string"))
+    return add_measures(docs, text_col).withColumn("rejected_by", verdict if verdict is not None else F.lit(None).cast("string"))
 
 
 ORACLE_SQL = r"""

@@ -18,8 +18,8 @@ def tokenizer_path(name: str) -> str:
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    measured = quality.add_measures(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    out = quality.cascade(measured, quality.default_rules(), first=quality.base_rules())
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = quality.cascade(docs, quality.default_rules(), first=quality.base_rules())
     failed = F.lit(False)
     for r in quality.base_rules():
         failed = failed | r.rejects

@@ -42,7 +42,7 @@ def labels(spark):
 
 def test_quality(docs, empty):
     def run(df):
-        return quality.cascade(quality.add_measures(df), quality.default_rules(), first=quality.base_rules()).collect()
+        return quality.cascade(df, quality.default_rules(), first=quality.base_rules()).collect()
 
     got = run(docs)
     assert len(got) == len(ROWS)
