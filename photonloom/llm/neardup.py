@@ -6,10 +6,12 @@ minwise tokens; nodes of more than a given size branch on, each class into the
 children of the tokens that the node selects, so that the classes of a small
 node agree in all tokens of its path. Small nodes are compared exhaustively on
 sketches of 64 bytes; what is still large at the greatest depth is dealt into
-chunks. Pairs that may reach the threshold are confirmed on the full sets:
-first a spanning forest of each node; then, as whole components need no pair
-within themselves, every pair of a node that lies across components. Links
-feed distributed connected components.
+chunks. Of the pairs whose sketches may reach the threshold each node gives a
+spanning forest, which is confirmed on the full sets; so the classes that may
+be linked at all lie in the components of the forests, and those linked for
+sure in the components of the confirmed pairs. What is left are pairs within
+the former and across the latter: they are compared exactly, set by set, in
+tiles of bounded size that give back nothing but further links.
 """
 
 from __future__ import annotations
@@ -119,84 +121,143 @@ def leaves(classes: DataFrame, node_size: int, max_depth: int, branches: int) ->
     raise ValueError("max_depth is at least 1")
 
 
-def candidates(members: DataFrame, least_equal: int, num: int, den: int, spanning: bool) -> DataFrame:
-    """Pairs (a, b), a < b, of members(node, rep, n_shingles, sketch, component) that may reach the threshold.
+def by_group(rows: DataFrame, key: str, schema: str, work) -> DataFrame:
+    """work(columns of one group) over the groups of key, batch by batch; a group is held as a whole, so it has to be bounded."""
+    names = [c for c in rows.columns if c != key]
 
-    With spanning, a forest of each node's most alike pairs; else all pairs of
-    a node across components. Sets whose sizes rule the threshold out and
-    sketches with fewer than least_equal equal bytes make no pair.
+    def run(batches):
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            t = pa.Table.from_batches([batch])
+            held = t if held is None else pa.concat_tables([held, t])
+            ids = held.column(key).to_numpy()
+            last = int(np.searchsorted(ids, ids[-1]))  # the last group may go on
+            if last:
+                yield from groups(held.slice(0, last), ids[:last])
+                held = held.slice(last)
+        if held is not None:
+            yield from groups(held, held.column(key).to_numpy())
+
+    def groups(t, ids):
+        cuts = [0, *(np.flatnonzero(np.diff(ids)) + 1).tolist(), len(ids)]
+        t = t.select(names).combine_chunks()
+        a, b = [], []
+        for lo, hi in zip(cuts, cuts[1:]):
+            if hi - lo > 1:
+                for x, y in work(t.slice(lo, hi - lo)):
+                    a.append(x), b.append(y)
+        if a:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a), pa.int64()), pa.array(np.concatenate(b), pa.int64())], names=["a", "b"])
+
+    return rows.repartition(key).sortWithinPartitions(key).mapInArrow(run, schema)
+
+
+def forest(pairs: list[tuple[int, int]], n: int) -> list[int]:
+    """The places of the pairs that join what those before them left apart."""
+    parent = list(range(n))
+
+    def root(x):
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    keep = []
+    for k, (x, y) in enumerate(pairs):
+        x, y = root(x), root(y)
+        if x != y:
+            parent[max(x, y)] = min(x, y)
+            keep.append(k)
+    return keep
+
+
+def candidates(members: DataFrame, least_equal: int, num: int, den: int) -> DataFrame:
+    """Pairs (a, b), a < b, of members(node, rep, n_shingles, sketch): a forest of each node's most alike pairs that may reach the threshold.
+
+    Sets whose sizes rule the threshold out and sketches with fewer than
+    least_equal equal bytes make no pair.
     """
 
-    def pairs(rep, size, sketch, component):
+    def work(t):
+        rep, size = t.column("rep").to_numpy(), t.column("n_shingles").to_numpy()
         order = np.argsort(rep, kind="stable")
-        rep, size, sketch, component = rep[order], size[order], sketch[order], component[order]
-        if not spanning and (component == component[0]).all():
-            return []
+        sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), dtype=np.uint8).reshape(-1, SKETCH)[order]
+        rep, size = rep[order], size[order]
         found = []
         for i in range(len(rep) - 1):
             equal = (sketch[i + 1 :] == sketch[i]).sum(axis=1)
-            fits = (equal >= least_equal) & (den * np.minimum(size[i], size[i + 1 :]) >= num * np.maximum(size[i], size[i + 1 :])) & (rep[i + 1 :] != rep[i])
-            if not spanning:
-                fits &= component[i + 1 :] != component[i]
-            j = np.flatnonzero(fits)
+            j = np.flatnonzero((equal >= least_equal) & (den * np.minimum(size[i], size[i + 1 :]) >= num * np.maximum(size[i], size[i + 1 :])) & (rep[i + 1 :] != rep[i]))
             if len(j):
                 found.append((np.full(len(j), i), j + i + 1, equal[j]))
         if not found:
-            return []
+            return
         a, b, equal = (np.concatenate(x) for x in zip(*found))
-        if not spanning:
-            return [(rep[a], rep[b])]
-        parent = list(range(len(rep)))
-
-        def root(x):
-            while parent[x] != x:
-                parent[x] = x = parent[parent[x]]
-            return x
-
-        keep = []
-        for k in np.lexsort((b, a, -equal)).tolist():
-            x, y = root(int(a[k])), root(int(b[k]))
-            if x != y:
-                parent[max(x, y)] = min(x, y)
-                keep.append(k)
-        return [(rep[a[keep]], rep[b[keep]])]
+        best = np.lexsort((b, a, -equal))
+        a, b = a[best], b[best]
+        keep = forest(list(zip(a.tolist(), b.tolist())), len(rep))
+        yield rep[a[keep]], rep[b[keep]]
 
-    def run(batches):
-        held = None
-        out: list = []
+    rows = members.select("node", "rep", "n_shingles", "sketch")
+    return by_group(rows, "node", "a long, b long", work).distinct()
 
-        def put(t):
-            node = t[0]
-            cuts = np.flatnonzero(np.diff(node)) + 1
-            for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(node)]):
-                if hi - lo > 1:
-                    out.extend(pairs(*(x[lo:hi] for x in t[1:])))
 
-        def flush():
-            a, b = (np.concatenate([p[k] for p in out]) for k in (0, 1))
-            out.clear()
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+def tiles(reps: DataFrame, side: int) -> DataFrame:
+    """reps(rep, coarse, fine) dealt into tiles: tile, rep, fine, left.
 
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            node, rep, size, component = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1, 2, 4))
-            sketch = np.frombuffer(b"".join(batch.column(3).to_pylist()), dtype=np.uint8).reshape(-1, SKETCH)
-            t = [node, rep, size, sketch, component]
-            if held is not None:
-                t = [np.concatenate(x) for x in zip(held, t)]
-            cut = int(np.searchsorted(t[0], t[0][-1]))  # the last node may go on
-            put([x[:cut] for x in t]) if cut else None
-            held = [x[cut:] for x in t]
-            if out:
-                yield flush()
-        if held is not None:
-            put(held)
-            if out:
-                yield flush()
-
-    rows = members.select("node", "rep", "n_shingles", "sketch", "component").repartition("node").sortWithinPartitions("node")
-    return rows.mapInArrow(run, "a long, b long").distinct()
+    Within a coarse component the classes outside its largest fine one (left)
+    meet all classes of the component (right). Both sides are cut into parts
+    of about side; a tile is a left part and a right part.
+    """
+    counts = reps.groupBy("coarse", "fine").agg(F.count("*").alias("n"))
+    sizes = counts.groupBy("coarse").agg(F.sum("n").alias("size"), F.max("n").alias("most"), F.max_by("fine", F.struct("n", "fine")).alias("main")).where("most < size")
+    sizes = sizes.select("coarse", "main", F.ceil((F.col("size") - F.col("most")) / side).alias("p"), F.ceil(F.col("size") / side).alias("q"))
+    d = reps.join(sizes, "coarse")
+    part = lambda n, salt: F.pmod(F.xxhash64("rep", F.lit(salt)), F.col(n))
+    every = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+    left = d.where(F.col("fine") != F.col("main")).select("coarse", "rep", "fine", part("p", 1).alias("i"), F.explode(every("q")).alias("j"), F.lit(True).alias("left"))
+    right = d.select("coarse", "rep", "fine", F.explode(every("p")).alias("i"), part("q", 2).alias("j"), F.lit(False).alias("left"))
+    return left.unionByName(right).select(F.xxhash64("coarse", "i", "j").alias("tile"), "rep", "fine", "left")
+
+
+def exact_links(tiled: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs of a tile(tile, rep, fine, left, shingles), a left one and a right one of another fine component, that reach the threshold."""
+
+    def work(t):
+        left = t.column("left").to_numpy(zero_copy_only=False)
+        rep, fine = t.column("rep").to_numpy(), t.column("fine").to_numpy()
+        sets = t.column("shingles").combine_chunks() if isinstance(t.column("shingles"), pa.ChunkedArray) else t.column("shingles")
+        size = np.diff(sets.offsets.to_numpy())
+        flat = sets.flatten().to_numpy()
+        row = np.repeat(np.arange(len(size)), size)
+        word, column = np.unique(flat, return_inverse=True)
+        both = (np.bincount(column, weights=left[row], minlength=len(word)) > 0) & (np.bincount(column, weights=~left[row], minlength=len(word)) > 0)
+        at = np.cumsum(both) - 1
+        row, column = row[both[column]], at[column[both[column]]]
+        order = np.argsort(column, kind="stable")
+        row, column = row[order], column[order]
+        place = np.where(left, np.cumsum(left) - 1, np.cumsum(~left) - 1)
+        ls, rs = np.flatnonzero(left), np.flatnonzero(~left)
+        if not len(ls) or not len(rs):
+            return
+        common = np.zeros((len(ls), len(rs)), dtype=np.float32)  # exact for counts below 2^24
+        for lo in range(0, int(both.sum()), 4096):
+            a, b = np.searchsorted(column, [lo, lo + 4096])
+            r, c, side = row[a:b], column[a:b] - lo, left[row[a:b]]
+            x, y = np.zeros((len(ls), 4096), np.float32), np.zeros((len(rs), 4096), np.float32)
+            x[place[r[side]], c[side]] = 1
+            y[place[r[~side]], c[~side]] = 1
+            common += x @ y.T
+        common = common.astype(np.int64)
+        union = size[ls][:, None] + size[rs][None, :] - common
+        i, j = np.nonzero((den * common >= num * union) & (fine[ls][:, None] != fine[rs][None, :]))
+        x, y = rep[ls[i]], rep[rs[j]]
+        _, ends = np.unique(np.concatenate([fine[ls[i]], fine[rs[j]]]), return_inverse=True)
+        keep = forest(list(zip(ends[: len(i)].tolist(), ends[len(i) :].tolist())), int(ends.max()) + 1 if len(ends) else 0)
+        if keep:
+            yield np.minimum(x, y)[keep], np.maximum(x, y)[keep]
+
+    return by_group(tiled.select("tile", "rep", "fine", "left", "shingles"), "tile", "a long, b long", work).distinct()
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -206,7 +267,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
     return x.select("a", "b", common.alias("c"), (F.size("s") + F.size("t")).alias("n")).where(den * F.col("c") >= num * (F.col("n") - F.col("c"))).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, threshold: tuple[int, int] = (75, 100), node_size: int = 128, max_depth: int = 4, branches: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, threshold: tuple[int, int] = (75, 100), node_size: int = 128, max_depth: int = 4, branches: int = 2, tile_side: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: doc_id, n_shingles, component_id (the least doc_id linked to it, directly or not), kept (doc_id = component_id).
 
     Texts are lower-cased in A-Z and cut at white space of ASCII. Documents
@@ -229,26 +290,16 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: tuple[int, int]
     hubs = large.groupBy("node").agg(F.min("rep").alias("rep"), F.first("size").alias("size")).select("node", "rep", F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1)).alias("chunk"))
     chunked = dealt.unionByName(hubs).distinct().select(F.xxhash64("node", "chunk").alias("node"), "rep")
     members = staged(small.unionByName(chunked).join(traits, "rep"), "members")
-    first = staged(candidates(members.withColumn("component", F.col("rep")), least_equal, num, den, True), "pairs")
+    first = staged(candidates(members, least_equal, num, den), "pairs")
     ends = first.select(F.col("a").alias("i")).unionByName(first.select(F.col("b").alias("i"))).distinct()
     texts = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).join(ends, "i", "left_semi")
-    sets = staged(full_sets(texts, width, "i", "t").join(classes.select("rep", "n_shingles"), "rep", "left_semi").dropDuplicates(["rep"]), "sets")
+    sets = staged(full_sets(texts, width, "i", "t").where(F.size("shingles") > 0).dropDuplicates(["rep"]), "sets")
     links = staged(confirmed(first, sets, num, den), "links")
-    component = staged(connected_components(links), "components")
-    # what is left: pairs of a node across components; in large nodes the classes outside the largest component meet every chunk
-    name = component.select(F.col("node").alias("rep"), "component")
-    labelled = small.join(ends.select(F.col("i").alias("rep")), "rep", "left_semi").join(name, "rep", "left").select("node", "rep", F.coalesce("component", "rep").alias("component"))
-    great = large.join(ends.select(F.col("i").alias("rep")), "rep", "left_semi").join(name, "rep", "left").select("node", "rep", "size", F.coalesce("component", "rep").alias("component"))
-    main = great.groupBy("node", "component").count().groupBy("node").agg(F.max_by("component", F.struct("count", "component")).alias("main"))
-    great = great.join(main, "node")
-    at = F.when(F.col("component") == F.col("main"), F.array(own)).otherwise(F.sequence(F.lit(0).cast("long"), chunks - 1))
-    great = great.select("node", "rep", "component", F.explode(at).alias("chunk")).select(F.xxhash64("node", "chunk").alias("node"), "rep", "component")
-    across = labelled.unionByName(great)
-    mixed = across.groupBy("node").agg((F.min("component") != F.max("component")).alias("mixed")).where("mixed").select("node")
-    rest = across.join(mixed, "node", "left_semi").join(traits, "rep")
-    second = candidates(rest, least_equal, num, den, False).join(first, ["a", "b"], "left_anti")
-    links = links.unionByName(staged(confirmed(second, sets, num, den), "links"))
-    component = staged(connected_components(links), "components").select(F.col("node").alias("rep"), "component")
+    coarse = connected_components(first).withColumnsRenamed({"node": "rep", "component": "coarse"})
+    fine = connected_components(links).withColumnsRenamed({"node": "rep", "component": "fine"})
+    reps = staged(coarse.join(fine, "rep", "left").select("rep", "coarse", F.coalesce("fine", "rep").alias("fine")), "groups")
+    more = staged(exact_links(tiles(reps, tile_side).join(sets, "rep"), num, den), "links")
+    component = connected_components(links.unionByName(more)).withColumnsRenamed({"node": "rep"})
     named = classes.select("digest", "rep").join(component, "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
     out = sketched.select("doc_id", "n_shingles", "digest").join(named, "digest", "left")
     found = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
