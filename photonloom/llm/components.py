@@ -16,16 +16,15 @@ def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     with the logarithm of the longest path. Links of a node with itself and
     repeated links do no harm; without links there are no rows.
     """
-    edges = staged(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
+    edges = staged(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links", compact=True)
     mark = _mark(edges)
     for _ in range(max_rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = staged(large, "large-star")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(low.select("u", F.col("m").alias("v"))).distinct()
-        edges = staged(small, "small-star")
+        edges = staged(small, "stars", compact=True)
         before, mark = mark, _mark(edges)
         if mark == before:
             break

@@ -106,8 +106,9 @@ def leaves(classes: DataFrame, node_size: int, max_depth: int, branches: int) ->
     rows = classes.select(F.posexplode("tokens").alias("tree", "token"), "rep").select(F.xxhash64("tree", "token").alias("node"), "rep")
     small = None
     for depth in range(max_depth):
-        rows = staged(rows, "nodes")
-        sizes = staged(rows.groupBy("node").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
+        if depth:  # the first level is but a projection of the classes
+            rows = staged(rows, "nodes", compact=True)
+        sizes = staged(rows.groupBy("node").agg(F.count("*").alias("size")).where("size > 1"), "sizes", compact=True)
         few = rows.join(sizes.where(F.col("size") <= node_size), "node", "left_semi")
         small = few if small is None else small.unionByName(few)
         large = sizes.where(F.col("size") > node_size)
@@ -262,11 +263,17 @@ def exact_links(tiled: DataFrame, num: int, den: int) -> DataFrame:
 
 def confirmed(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """pairs whose sets have den * intersection >= num * union."""
-    x = pairs.join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("s")), "a").join(sets.select(F.col("rep").alias("b"), F.col("shingles").alias("t")), "b")
+    x = pairs.join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("s")).hint("merge"), "a").join(sets.select(F.col("rep").alias("b"), F.col("shingles").alias("t")).hint("merge"), "b")
     common = F.size(F.array_intersect("s", "t"))
     return x.select("a", "b", common.alias("c"), (F.size("s") + F.size("t")).alias("n")).where(den * F.col("c") >= num * (F.col("n") - F.col("c"))).select("a", "b")
 
 
+def contracted(pairs: DataFrame, reps: DataFrame) -> DataFrame:
+    """Pairs of classes as pairs of their fine components; pairs within one go."""
+    x = pairs.join(reps.select(F.col("rep").alias("a"), F.col("fine").alias("u")), "a").join(reps.select(F.col("rep").alias("b"), F.col("fine").alias("v")), "b")
+    return x.where("u <> v").select(F.col("u").alias("a"), F.col("v").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, threshold: tuple[int, int] = (75, 100), node_size: int = 128, max_depth: int = 4, branches: int = 2, tile_side: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: doc_id, n_shingles, component_id (the least doc_id linked to it, directly or not), kept (doc_id = component_id).
 
@@ -280,26 +287,29 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: tuple[int, int]
     least_equal = round(SKETCH * max(0.0, num / den - 0.25))
     sketched = staged(sketches(docs, width, id_col, text_col), "sketches")
     rows = sketched.where("doc_id IS NOT NULL AND n_shingles > 0")
-    classes = staged(rows.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.any_value("n_shingles").alias("n_shingles"), F.any_value("tokens").alias("tokens"), F.any_value("sketch").alias("sketch")), "classes")
+    classes = staged(rows.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.any_value("n_shingles").alias("n_shingles"), F.any_value("tokens").alias("tokens"), F.any_value("sketch").alias("sketch")), "classes", compact=True)
     small, large = leaves(classes, node_size, max_depth, branches)
     traits = classes.select("rep", "n_shingles", "sketch")
-    large = staged(large, "large")
+    large = staged(large, "large", compact=True)
     chunks = F.ceil(F.col("size") / node_size)
     own = F.pmod(F.xxhash64("rep", "node"), chunks)
     dealt = large.select("node", "rep", own.alias("chunk"))
     hubs = large.groupBy("node").agg(F.min("rep").alias("rep"), F.first("size").alias("size")).select("node", "rep", F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1)).alias("chunk"))
     chunked = dealt.unionByName(hubs).distinct().select(F.xxhash64("node", "chunk").alias("node"), "rep")
-    members = staged(small.unionByName(chunked).join(traits, "rep"), "members")
-    first = staged(candidates(members, least_equal, num, den), "pairs")
+    members = small.unionByName(chunked).join(traits, "rep")
+    first = staged(candidates(members, least_equal, num, den), "pairs", compact=True)
     ends = first.select(F.col("a").alias("i")).unionByName(first.select(F.col("b").alias("i"))).distinct()
-    texts = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).join(ends, "i", "left_semi")
+    texts = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).hint("merge").join(ends, "i", "left_semi")  # one plan at every size
     sets = staged(full_sets(texts, width, "i", "t").where(F.size("shingles") > 0).dropDuplicates(["rep"]), "sets")
-    links = staged(confirmed(first, sets, num, den), "links")
-    coarse = connected_components(first).withColumnsRenamed({"node": "rep", "component": "coarse"})
+    links = staged(confirmed(first, sets, num, den), "links", compact=True)
     fine = connected_components(links).withColumnsRenamed({"node": "rep", "component": "fine"})
-    reps = staged(coarse.join(fine, "rep", "left").select("rep", "coarse", F.coalesce("fine", "rep").alias("fine")), "groups")
-    more = staged(exact_links(tiles(reps, tile_side).join(sets, "rep"), num, den), "links")
-    component = connected_components(links.unionByName(more)).withColumnsRenamed({"node": "rep"})
+    reps = ends.select(F.col("i").alias("rep")).join(fine, "rep", "left").select("rep", F.coalesce("fine", "rep").alias("fine"))
+    reps = staged(reps, "groups", compact=True)
+    coarse = connected_components(contracted(first, reps)).select(F.col("node").alias("fine"), F.col("component").alias("coarse"))
+    dealt = tiles(reps.join(coarse, "fine").select("rep", "coarse", "fine"), tile_side)
+    more = staged(exact_links(dealt.join(sets.hint("merge"), "rep"), num, den), "links", compact=True)
+    whole = connected_components(contracted(more, reps)).withColumnsRenamed({"node": "fine", "component": "whole"})
+    component = reps.join(whole, "fine", "left").select("rep", F.coalesce("whole", "fine").alias("component"))
     named = classes.select("digest", "rep").join(component, "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
     out = sketched.select("doc_id", "n_shingles", "digest").join(named, "digest", "left")
     found = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))

@@ -9,7 +9,7 @@ any other token a small negative constant. A linear-time scan finds all disjoint
 maximal segments of a text. A segment of score s in n tokens has p = 1 - exp(-K n exp(-lambda s)) under the
 extreme-value law, with lambda from the scores of clean text and K from the
 best segments of clean training documents. A document's evidence, the sum of
--ln p of its segments, goes through a logistic curve fitted on the training
+-ln p of its best and its significant segments, goes through a logistic curve fitted on the training
 documents to give its score.
 """
 
@@ -88,10 +88,12 @@ def p_value(score: float, n: int, model: ToxicityModel) -> float:
 
 
 def evidence(n: int, segments: list[tuple[int, int, float]], model: ToxicityModel) -> float:
-    return sum(-math.log(p_value(s, n, model)) for _, _, s in segments)
+    """-ln p of the best segment, and of all others that are significant by themselves."""
+    logs = sorted((-math.log(p_value(s, n, model)) for _, _, s in segments), reverse=True)
+    return sum(x for k, x in enumerate(logs) if not k or x > 3.0)
 
 
-def fit(docs: DataFrame, labels: DataFrame, learn, max_docs: int = 8_000, prior: float = 500.0, min_count: int = 4, z: float = 4.0, id_col: str = "doc_id", text_col: str = "text") -> ToxicityModel:
+def fit(docs: DataFrame, labels: DataFrame, learn, max_docs: int = 8_000, prior: float = 500.0, least: float = 0.01, min_count: int = 4, z: float = 8.0, least_odds: float = 1.5, id_col: str = "doc_id", text_col: str = "text") -> ToxicityModel:
     """A model from the labelled rows for which learn(id column) holds; of more than max_docs the ones with the least hash of the id.
 
     Rows without an id, text or label teach nothing. Without toxic or without
@@ -111,7 +113,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn, max_docs: int = 8_000, prior:
     if not n_t or not n_c:
         return ToxicityModel({}, -0.1, 1.0, 1.0, 0.0, math.log(0.5) if n_t else -3.0)
     n = n_t + n_c
-    alpha = F.lit(prior / n) * (F.col("t") + F.col("c"))
+    alpha = F.lit(prior / n) * (F.col("t") + F.col("c")) + least  # a token's share of the prior, and a part that all have alike
 
     def log_odds(y, m):
         return F.log((y + alpha) / (m + prior - y - alpha))
@@ -121,7 +123,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn, max_docs: int = 8_000, prior:
 
     odds = (log_odds(F.col("t"), n_t) - log_odds(F.col("c"), n_c)).alias("d")
     significant = (surprise(F.col("t"), n_t) + surprise(F.col("c"), n_c)) * 2 > z * z
-    lexicon = counts.where(F.col("t") >= min_count).where(significant).select("w", "t", "c", odds).where("d > 0").collect()  # words of a bounded sample
+    lexicon = counts.where(F.col("t") >= min_count).where(significant).select("w", "t", "c", odds).where(F.col("d") > least_odds).collect()  # words of a bounded sample
     weights = {r.w: float(r.d) for r in lexicon}
     hit_t, hit_c = sum(r.t for r in lexicon) / n_t, sum(r.c for r in lexicon) / n_c
     other = min(math.log((1 - hit_t) / (1 - hit_c)), -0.02)
@@ -144,10 +146,10 @@ def fit(docs: DataFrame, labels: DataFrame, learn, max_docs: int = 8_000, prior:
 
     seen = append_columns(train, "t", fields, make).select("y", "n", "best", "all_segments").collect()  # max_docs short rows
     # K by the rate of clean documents with a segment: P(none) = exp(-K n exp(-lambda s)) for the least score s
-    least = min(weights.values(), default=1.0)
+    lowest = min(weights.values(), default=1.0)
     clean = [r for r in seen if r.y == 0]
-    hits, length = sum(r.best >= least for r in clean), sum(r.n for r in clean)
-    k = min(max((hits + 0.5) / max(length, 1) * math.exp(lo * least), 1e-12), 1.0)
+    hits, length = sum(r.best >= lowest for r in clean), sum(r.n for r in clean)
+    k = min(max((hits + 0.5) / max(length, 1) * math.exp(lo * lowest), 1e-12), 1.0)
     calibrated = ToxicityModel(weights, other, lo, k, 1.0, 0.0)
     x = np.array([math.log1p(evidence(r.n, [(0, 0, s) for s in r.all_segments], calibrated)) for r in seen])
     y = np.array([float(r.y) for r in seen])
@@ -156,16 +158,30 @@ def fit(docs: DataFrame, labels: DataFrame, learn, max_docs: int = 8_000, prior:
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[float, float]:
-    """Slope and intercept by Newton steps on the ridged likelihood."""
-    a, b = 0.0, math.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5)) if len(y) else 0.0
-    for _ in range(50):
-        q = 1 / (1 + np.exp(-np.clip(a * x + b, -30, 30)))
-        w = q * (1 - q) + 1e-9
-        g = np.array([((y - q) * x).sum() - ridge * a, (y - q).sum()])
-        h = np.array([[(w * x * x).sum() + ridge, (w * x).sum()], [(w * x).sum(), w.sum() + 1e-9]])
-        da, db = np.linalg.solve(h, g)
-        a, b = a + float(np.clip(da, -2, 2)), b + float(np.clip(db, -2, 2))
-    return a, b
+    """Slope (not below 0) and intercept by Newton steps on the ridged likelihood, halved until each one lowers the loss."""
+    if not len(x):
+        return 0.0, 0.0
+    mid, spread = float(x.mean()), float(x.std()) or 1.0
+    z = np.stack([(x - mid) / spread, np.ones_like(x)], axis=1)
+
+    def loss(w):
+        t = z @ w
+        return float((np.logaddexp(0, t) - y * t).sum() + ridge * (w @ w) / 2)
+
+    w = np.array([0.0, math.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))])
+    now = loss(w)
+    for _ in range(100):
+        q = 1 / (1 + np.exp(-np.clip(z @ w, -500, 500)))
+        step = np.linalg.solve((z * (q * (1 - q))[:, None]).T @ z + ridge * np.eye(2), z.T @ (q - y) + ridge * w)
+        size = 1.0
+        while size > 1e-6 and loss(w - size * step) > now:
+            size /= 2
+        w, before = w - size * step, now
+        now = loss(w)
+        if before - now < 1e-9:
+            break
+    slope = max(w[0] / spread, 0.0)
+    return float(slope), float(w[1] - slope * mid)
 
 
 def score_documents(docs: DataFrame, model: ToxicityModel, max_p: float = 0.01, text_col: str = "text") -> DataFrame:
