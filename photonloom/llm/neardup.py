@@ -101,7 +101,7 @@ def full_sets(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFr
     return docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text")).mapInArrow(run, "rep long, shingles array<long>")
 
 
-def leaves(classes: DataFrame, node_size: int, max_depth: int, branches: int) -> tuple[DataFrame, DataFrame]:
+def leaves(classes: DataFrame, node_size: int, max_depth: int, threshold: float) -> tuple[DataFrame, DataFrame]:
     """(node, rep) of the small nodes of all trees with two classes or more, and (node, rep, size) of those still large at max_depth."""
     rows = classes.select(F.posexplode("tokens").alias("tree", "token"), "rep").select(F.xxhash64("tree", "token").alias("node"), "rep")
     small = None
@@ -114,8 +114,10 @@ def leaves(classes: DataFrame, node_size: int, max_depth: int, branches: int) ->
         large = sizes.where(F.col("size") > node_size)
         if depth == max_depth - 1 or large.isEmpty():
             return small, rows.join(large, "node")
-        # the node selects the tokens; a class goes to the child of each
-        chosen = F.array(*[F.pmod(F.xxhash64("node", F.lit(b)), F.lit(TREES)).cast("int") for b in range(branches)])
+        # the node selects its tokens, one or two: 1 / threshold of them on the whole, so that a pair at the threshold keeps one child
+        token = lambda b: F.pmod(F.xxhash64("node", F.lit(b)), F.lit(TREES)).cast("int")
+        both = F.pmod(F.xxhash64("node", F.lit(2)), F.lit(1000)) < round(1000 * (1 / threshold - 1))
+        chosen = F.when(both, F.array(token(0), token(1))).otherwise(F.array(token(0)))
         inner = rows.join(large.select("node"), "node", "left_semi").join(classes.select("rep", "tokens"), "rep")
         inner = inner.select("node", "rep", "tokens", F.explode(F.array_distinct(chosen)).alias("i"))
         rows = inner.select(F.xxhash64("node", "i", F.get("tokens", F.col("i"))).alias("node"), "rep").distinct()
@@ -274,21 +276,23 @@ def contracted(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     return x.where("u <> v").select(F.col("u").alias("a"), F.col("v").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, threshold: tuple[int, int] = (75, 100), node_size: int = 128, max_depth: int = 4, branches: int = 2, tile_side: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, threshold: tuple[int, int] = (75, 100), node_size: int = 128, max_depth: int = 3, tile_side: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: doc_id, n_shingles, component_id (the least doc_id linked to it, directly or not), kept (doc_id = component_id).
 
     Texts are lower-cased in A-Z and cut at white space of ASCII. Documents
     without words are linked with nothing; so are rows with a null doc_id,
     whose component_id and kept are null. Repeated rows stay and share a
-    component. 16 trees miss a pair at the threshold with a chance of 1e-7 at
-    a depth of 4, and its sketch falls short with one of 1e-6.
+    component. A pair at the threshold shares a node at the depth of 3 with a
+    chance of 0.52 in each of the 16 trees, so all miss it with one of 1e-5 (a
+    pair in small nodes with one of 1e-9), and its sketch falls short with one
+    of 1e-6.
     """
     num, den = threshold
     least_equal = round(SKETCH * max(0.0, num / den - 0.25))
     sketched = staged(sketches(docs, width, id_col, text_col), "sketches")
     rows = sketched.where("doc_id IS NOT NULL AND n_shingles > 0")
     classes = staged(rows.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.any_value("n_shingles").alias("n_shingles"), F.any_value("tokens").alias("tokens"), F.any_value("sketch").alias("sketch")), "classes", compact=True)
-    small, large = leaves(classes, node_size, max_depth, branches)
+    small, large = leaves(classes, node_size, max_depth, num / den)
     traits = classes.select("rep", "n_shingles", "sketch")
     large = staged(large, "large", compact=True)
     chunks = F.ceil(F.col("size") / node_size)
