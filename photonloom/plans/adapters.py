@@ -63,7 +63,7 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 def star_catalogue(spark: SparkSession, sf_dir: str, per_frame: int = 50) -> DataFrame:
     """Stars from the parts: frame_id, star_rank, y, x, flux; per_frame stars in a field of 512 x 512."""
     k = F.col("p_partkey")
-    frame, rank = F.floor((k - 1) / per_frame).alias("frame_id"), ((k - 1) % per_frame).alias("star_rank")
+    frame, rank = F.floor(k / per_frame).alias("frame_id"), (k % per_frame).alias("star_rank")
     return table(spark, sf_dir, "part").select(frame, rank, ((k * 193) % 509 + (k % 7) / 7.0).alias("y"), ((k * 389) % 503 + (k % 11) / 11.0).alias("x"), F.col("p_retailprice").alias("flux"))
 
 
@@ -72,5 +72,5 @@ SQL = {
     "px": "px AS (SELECT vec_id AS frame_id, label AS session, ['bias','dark','flat','light'][vec_id % 4 + 1] AS frame_type, [60.0,120.0,300.0,600.0][vec_id % 4 + 1]::DOUBLE AS t, (i // 8)::INT AS y, (i % 8)::INT AS x, 300.0 + 40.0 * embedding[i + 1]::DOUBLE AS adu FROM (SELECT *, unnest(range(64)) AS i FROM embeddings))",
     "meta": "meta AS (SELECT vec_id AS frame_id, label AS session, 0.5 + ((vec_id * 37) % 100) / 200.0::DOUBLE AS transparency, 2.0 + ((vec_id * 13) % 50) / 25.0::DOUBLE AS fwhm, 290.0::DOUBLE AS sky, ((vec_id * 7) % 21) / 10.0::DOUBLE - 1.0::DOUBLE AS dx, ((vec_id * 11) % 21) / 10.0::DOUBLE - 1.0::DOUBLE AS dy, ((vec_id * 17) % 360 - 180)::DOUBLE AS rotation FROM embeddings)",
     "smp": "smp AS (SELECT l_partkey AS pixel, l_quantity AS t, l_extendedprice AS adu FROM lineitem)",
-    "star": "star AS (SELECT (p_partkey - 1) // 50 AS frame_id, (p_partkey - 1) % 50 AS star_rank, ((p_partkey * 193) % 509 + (p_partkey % 7) / 7.0::DOUBLE)::DOUBLE AS y, ((p_partkey * 389) % 503 + (p_partkey % 11) / 11.0::DOUBLE)::DOUBLE AS x, p_retailprice AS flux FROM part)",
+    "star": "star AS (SELECT p_partkey // 50 AS frame_id, p_partkey % 50 AS star_rank, ((p_partkey * 193) % 509 + (p_partkey % 7) / 7.0::DOUBLE)::DOUBLE AS y, ((p_partkey * 389) % 503 + (p_partkey % 11) / 11.0::DOUBLE)::DOUBLE AS x, p_retailprice AS flux FROM part)",
 }
