@@ -31,7 +31,7 @@ def triangles(stars: DataFrame, limit: int = 50) -> DataFrame:
 
 
 def match_triangles(tri: DataFrame, reference: DataFrame, tol: float = 0.02) -> DataFrame:
-    """Each triangle with the nearest reference triangle within tol in (u, v), by a join on cells of that size and their neighbours."""
+    """Each triangle with the nearest reference triangle within tol in (u, v), by a join on cells of that size and their neighbours; of those equally near to 1e-9, the one of the brightest stars."""
     cell = lambda c: F.floor(F.col(c) / tol)
     near = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)]))
     t = tri.withColumns({"cu": cell("u"), "cv": cell("v")})
@@ -39,7 +39,7 @@ def match_triangles(tri: DataFrame, reference: DataFrame, tol: float = 0.02) ->
     r = r.withColumns({"cu": F.floor(F.col("ru") / tol) + F.col("n.a"), "cv": F.floor(F.col("rv") / tol) + F.col("n.b")}).drop("n")
     d = F.hypot(F.col("u") - F.col("ru"), F.col("v") - F.col("rv"))
     m = t.join(r, ["cu", "cv"]).withColumn("d", d).where(F.col("d") <= tol)
-    return m.groupBy("frame_id", "i", "j", "k").agg(F.min(F.struct("d", "ri", "rj", "rk")).alias("m")).select("frame_id", "i", "j", "k", F.col("m.ri").alias("ri"), F.col("m.rj").alias("rj"), F.col("m.rk").alias("rk"))
+    return m.groupBy("frame_id", "i", "j", "k").agg(F.min(F.struct(F.round("d", 9).alias("d"), "ri", "rj", "rk")).alias("m")).select("frame_id", "i", "j", "k", F.col("m.ri").alias("ri"), F.col("m.rj").alias("rj"), F.col("m.rk").alias("rk"))
 
 
 def star_votes(matches: DataFrame, min_votes: int = 2, min_pairs: int = 3) -> DataFrame:

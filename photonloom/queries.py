@@ -10,10 +10,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import display
-from .operators import bayes, calibration, geometry, mixture, neighbourhood, stacking, stars, validation
+from .functions import display, kernels
+from .operators import bayes, calibration, geometry, images, mixture, neighbourhood, solver, stacking, stars, synth, validation
 from .plans import adapters
 from .plans.adapters import SQL
+from .sources import fits
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -517,7 +518,7 @@ def triangle_descriptors(spark, sf_dir):
     return rounded(stars.triangles(adapters.star_catalogue(spark, sf_dir), 12))
 
 
-@query(f""", {TRI}, ref AS (SELECT * FROM tri WHERE frame_id = 0), m AS (SELECT t.frame_id, t.i, t.j, t.k, f.i AS ri, f.j AS rj, f.k AS rk, row_number() OVER (PARTITION BY t.frame_id, t.i, t.j, t.k ORDER BY sqrt((t.u - f.u) ** 2 + (t.v - f.v) ** 2), f.i, f.j, f.k) AS n FROM tri t JOIN ref f ON sqrt((t.u - f.u) ** 2 + (t.v - f.v) ** 2) <= 0.02),
+@query(f""", {TRI}, ref AS (SELECT * FROM tri WHERE frame_id = 0), m AS (SELECT t.frame_id, t.i, t.j, t.k, f.i AS ri, f.j AS rj, f.k AS rk, row_number() OVER (PARTITION BY t.frame_id, t.i, t.j, t.k ORDER BY round(sqrt((t.u - f.u) ** 2 + (t.v - f.v) ** 2), 9), f.i, f.j, f.k) AS n FROM tri t JOIN ref f ON sqrt((t.u - f.u) ** 2 + (t.v - f.v) ** 2) <= 0.02),
 p AS (SELECT frame_id, i AS star, ri AS r FROM m WHERE n = 1 UNION ALL SELECT frame_id, j, rj FROM m WHERE n = 1 UNION ALL SELECT frame_id, k, rk FROM m WHERE n = 1), c AS (SELECT frame_id, star, r, count(*) AS votes FROM p GROUP BY ALL HAVING count(*) >= 2) SELECT frame_id, star, r AS ref, votes FROM c WHERE frame_id IN (SELECT frame_id FROM c GROUP BY frame_id HAVING count(*) >= 3)""", "star")
 def triangle_match_votes(spark, sf_dir):
     t = stars.triangles(adapters.star_catalogue(spark, sf_dir), 12)
@@ -632,5 +633,184 @@ def session_windows(spark, sf_dir):
     return g.select("user_id", F.col("w.start").cast("timestamp_ntz").alias("started"), "n")
 
 
+@query("SELECT event_id, CASE event_type WHEN 'view' THEN 'light' WHEN 'click' THEN 'dark' WHEN 'purchase' THEN 'flat' ELSE NULL END AS frame_type, round(coalesce(value, 300.0), 4) AS exposure_s FROM events")
+def header_projection(spark, sf_dir):
+    e = adapters.table(spark, sf_dir, "events")
+    named = F.when(F.col("event_type") == "view", " Light Frame ").when(F.col("event_type") == "click", "DARK").when(F.col("event_type") == "purchase", "Flat Field").otherwise(F.lit("none"))
+    d = e.select("event_id", F.create_map(F.lit("IMAGETYP"), named, F.lit("EXPOSURE"), F.col("value").cast("string")).alias("header"))
+    d = fits.header_values(d, 300.0).withColumn("frame_type", fits.frame_type(F.element_at("header", "IMAGETYP")))
+    return d.select("event_id", "frame_type", r("exposure_s", "exposure_s", 4))
+
+
+@query("SELECT s_suppkey AS id, CASE s_suppkey % 3 WHEN 0 THEN 'bias' WHEN 1 THEN 'dark' ELSE 'flat' END AS frame_type FROM supplier WHERE s_suppkey % 4 <> 3")
+def frame_discovery(spark, sf_dir):
+    k = F.col("s_suppkey")
+    folder = F.when(k % 4 == 3, F.lit("misc")).otherwise(F.get(F.array(*map(F.lit, ("bias", "Darks", "flats"))), (k % 3).cast("int")))
+    d = adapters.table(spark, sf_dir, "supplier").select(k.alias("id"), F.concat(F.lit("/data/"), folder, F.lit("/f.fits")).alias("path"), F.create_map(F.lit("IMAGETYP"), F.lit("light")).alias("header"))
+    return fits.discover(d).select("id", "frame_type")
+
+
+# kernels and solvers: no SQL; tests compare them with plain formulas ---------
+
+
+@query()
+def frame_shift(spark, sf_dir):
+    d = wcs_rows(spark, sf_dir).withColumns({"crval1": F.lit(180.0) + F.col("id") % 7 * 0.001, "crval2": F.lit(20.0)})
+    return rounded(geometry.frame_shift(d, d.where("id = 1"), 512, 512).select("id", "dx_to_ref", "dy_to_ref", "rotation", "scale_ratio"))
+
+
+@query()
+def fit_dark_mixture(spark, sf_dir):
+    m = mixture.fit_mixture(rates_of(spark, sf_dir))
+    return spark.createDataFrame([(n, float(s), float(a), float(b), len(m.history), m.converged) for n, s, a, b in zip(mixture.NAMES, m.share, m.alpha, m.beta)], "component string, share double, alpha double, beta double, rounds int, converged boolean")
+
+
+@query()
+def replace_hot_pixels(spark, sf_dir):
+    p = px_of(spark, sf_dir, "light")
+    mask = neighbourhood.outlier_mask(p, 3.0).select("channel", "y", "x").distinct()
+    return rounded(neighbourhood.replace_masked(p, mask, 8, 8).select("frame_id", "y", "x", "adu"))
+
+
+@query()
+def smooth_frames(spark, sf_dir):
+    return rounded(neighbourhood.smooth(px_of(spark, sf_dir, "light"), 8, 8).select("frame_id", "y", "x", "smooth"))
+
+
+@query()
+def sky_background(spark, sf_dir):
+    mesh = neighbourhood.sky_mesh(px_of(spark, sf_dir, "light"), 8, 8, 4)
+    tiles = images.images_of(mesh.select("frame_id", F.col("tr").alias("y"), F.col("tc").alias("x"), F.col("sky").alias("adu")), 2, 2)
+    return images.map_images(tiles, lambda m, _: kernels.sky_surface(m, 8, 8))
+
+
+@query()
+def extract_stars(spark, sf_dir):
+    p = px_of(spark, sf_dir, "light").withColumn("adu", F.col("adu") - 290)
+    peaks = stars.candidate_peaks(p, stars.background_noise(p), 8, 8, 5.0, 3, 1)
+    return rounded(stars.isolated(peaks, 2.0, 10))
+
+
+@query()
+def fit_moffat(spark, sf_dir):
+    def work(image, row):
+        m = kernels.fit_moffat(image - image.min(), 40)
+        return [(row["frame_id"], m["fwhm"], m["y"], m["x"])]
+
+    return images.measure_images(adapters.frames(spark, sf_dir).where("frame_id < 100"), "frame_id long, fwhm double, y double, x double", work)
+
+
+@query()
+def fourier_shift(spark, sf_dir):
+    f = adapters.frames(spark, sf_dir).join(adapters.frame_meta(spark, sf_dir).select("frame_id", "dy", "dx"), "frame_id")
+    return images.map_images(f, lambda image, row: kernels.fourier_shift(image, row["dy"], row["dx"]), ["dy", "dx"])
+
+
+@query()
+def convolve_psf(spark, sf_dir):
+    psf = kernels.gaussian_psf(5, 2.0)
+    return images.map_images(adapters.frames(spark, sf_dir), lambda image, _: kernels.convolve(image, psf))
+
+
+@query()
+def airy_psf(spark, sf_dir):
+    p = kernels.broadband_psf(15, 3.76, 80.0, 400.0, (450, 550, 650), (0.3, 0.4, 0.3), 0.2)
+    return spark.createDataFrame([(int(y), int(x), float(p[y, x])) for y in range(15) for x in range(15)], "ky int, kx int, w double")
+
+
+@query()
+def wiener_deconvolve(spark, sf_dir):
+    known = kernels.gaussian_psf(15, 2.0)
+    f = adapters.frame_meta(spark, sf_dir).where("frame_id < 100").select("frame_id", F.lit(1).alias("h"), F.lit(1).alias("w"), F.array("fwhm").alias("data"))
+    return images.map_images(f, lambda v, _: kernels.wiener_deconvolve(kernels.gaussian_psf(15, float(v[0, 0]) + 1), known, 100.0))
+
+
+@query()
+def similarity_fit(spark, sf_dir):
+    s = adapters.star_catalogue(spark, sf_dir)
+
+    def fit(key, pdf):
+        import numpy as np
+        import pandas as pd
+
+        src = pdf[["y", "x"]].to_numpy()
+        z = (src[:, 1] + 1j * src[:, 0]) * 1.01 * np.exp(0.02j) + (3 - 2j)
+        m = kernels.similarity_fit(src, np.stack([z.imag, z.real], axis=1)) or {}
+        return pd.DataFrame([(key[0], m.get("scale"), m.get("rotation"), m.get("tx"), m.get("ty"))], columns=["frame_id", "scale", "rotation", "tx", "ty"])
+
+    return rounded(s.groupBy("frame_id").applyInPandas(fit, "frame_id long, scale double, rotation double, tx double, ty double"))
+
+
+@query()
+def forward_model(spark, sf_dir):
+    psf = kernels.gaussian_psf(5, 2.0)
+    return images.map_images(adapters.frames(spark, sf_dir), lambda image, _: solver.Forward(image.shape, 2, psf, 0.8, 0.25, -0.5)(image))
+
+
+def _solver_input(spark, sf_dir, bayer=False):
+    p = lights(spark, sf_dir)
+    p = calibration.bayer_split(p) if bayer else p
+    meta = adapters.frame_meta(spark, sf_dir).where("frame_id < 40")
+    s = stacking.accumulate(p, meta.withColumn("sky", F.lit(0.0)))
+    frames = [{"t": r_.transparency, "psf": kernels.gaussian_psf(5, 2.0)} for r_ in meta.where("frame_id % 4 = 3").select("transparency").orderBy("frame_id").collect()]
+    return stacking.derive(s, len(frames)), frames
+
+
+@query()
+def map_fast(spark, sf_dir):
+    stack, frames = _solver_input(spark, sf_dir)
+    return rounded(solver.solve_channels(stack, frames, 8, 8, solver.SolverConfig(iterations=40)), 4)
+
+
+@query()
+def map_multichannel(spark, sf_dir):
+    stack, frames = _solver_input(spark, sf_dir, bayer=True)
+    return rounded(solver.solve_channels(stack, frames, 4, 4, solver.SolverConfig(iterations=40)), 4)
+
+
+@query()
+def map_exact(spark, sf_dir):
+    import numpy as np
+
+    f = adapters.frames(spark, sf_dir).where("frame_id < 40 AND frame_type = 'light'").join(adapters.frame_meta(spark, sf_dir).select("frame_id", "transparency", F.lit(0.0).alias("dy"), F.lit(0.0).alias("dx")), "frame_id")
+    s = solver.solve_distributed(f, np.full((8, 8), 300.0), kernels.gaussian_psf(5, 2.0), solver.SolverConfig(iterations=3))
+    return spark.createDataFrame([(int(y), int(x), float(round(s.image[y, x], 4))) for y in range(16) for x in range(16)], "y int, x int, flux double")
+
+
+@query()
+def auto_stretch_png(spark, sf_dir):
+    p = px_of(spark, sf_dir, "light")
+    return display.to_png(display.stretch_mono(p, display.auto_params(p)), 8, 8)
+
+
+@query()
+def stretch_rgb_linked(spark, sf_dir):
+    return rounded(display.stretch_rgb(neighbourhood.debayer(calibration.bayer_split(px_of(spark, sf_dir, "light")), 8, 8)), 5)
+
+
+@query()
+def stretch_rgb_unlinked(spark, sf_dir):
+    return rounded(display.stretch_rgb(neighbourhood.debayer(calibration.bayer_split(px_of(spark, sf_dir, "light")), 8, 8), linked=False), 5)
+
+
+@query()
+def synthetic_session(spark, sf_dir):
+    cfg = synth.Session(16, 16, 4, 2, (120.0, 300.0), 4, n_light=2, n_stars=5)
+    return synth.generate_session(spark, cfg).select("frame_id", "frame_type", "exposure_s", "h", "w", F.round(F.aggregate("data", F.lit(0.0), lambda a, b: a + b), 3).alias("total"))
+
+
+@query()
+def validation_report(spark, sf_dir):
+    cfg = synth.Session(32, 32, 10, 3, (120.0, 600.0), 10, n_light=1)
+    px = adapters.explode_frames(synth.generate_session(spark, cfg))
+    model = calibration.fit_all(px)
+    true = synth.instrument(32, 32, seed=cfg.seed)
+    rows = [(y, x, float(true["bias_mean"][y, x]), float(true["flat_gain"][y, x])) for y in range(32) for x in range(32)]
+    both = model.join(spark.createDataFrame(rows, "y int, x int, tb double, tf double"), ["y", "x"])
+    name = lambda d, n: d.select(F.lit(n).alias("name"), F.col("mae_pct").alias("value"))
+    m = name(validation.relative_error(both, "bias_mean", "tb"), "bias_mae_pct").unionByName(name(validation.relative_error(both, "flat_gain", "tf"), "flat_mae_pct"))
+    return rounded(validation.verdict(m), 4)
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fast_stack(spark, sf_dir)
