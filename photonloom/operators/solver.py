@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.kernels import fourier_shift, next_pow2, pool, psf_spectrum, resample, unpool
+from ..functions.kernels import pool, psf_spectrum, resample, unpool
 
 
 @dataclass
@@ -56,32 +56,23 @@ class Forward:
 
     def __init__(self, shape: tuple[int, int], scale: int, psf: np.ndarray, t: float = 1.0, dy: float = 0.0, dx: float = 0.0):
         self.shape, self.scale, self.t = shape, scale, t
-        pad = min(max(psf.shape), min(shape))
-        self.pad = pad
-        self.wide = (next_pow2(shape[0] + 2 * pad), next_pow2(shape[1] + 2 * pad))
+        self.wide = (2 * shape[0], 2 * shape[1])  # the image and its mirror image: periodic without an edge
         ramp = np.exp(-2j * np.pi * (np.fft.fftfreq(self.wide[0])[:, None] * dy * scale + np.fft.rfftfreq(self.wide[1])[None, :] * dx * scale))
         self.spectrum = psf_spectrum(psf, self.wide) * ramp  # the kernel and the shift together, once
-
-    def _reflected(self) -> tuple[np.ndarray, np.ndarray]:
-        p = self.pad
-        return (np.pad(np.arange(n), p, mode="symmetric") for n in self.shape)
+        self.y, self.x = (np.concatenate([np.arange(n), np.arange(n)[::-1]]) for n in shape)
 
     def __call__(self, image: np.ndarray) -> np.ndarray:
-        y, x = self._reflected()
-        out = np.fft.irfft2(np.fft.rfft2(image[np.ix_(y, x)], s=self.wide) * self.spectrum, s=self.wide)
-        p = self.pad
-        return self.t * pool(out[p : p + self.shape[0], p : p + self.shape[1]], self.scale)
+        out = np.fft.irfft2(np.fft.rfft2(image[np.ix_(self.y, self.x)]) * self.spectrum, s=self.wide)
+        return self.t * pool(out[: self.shape[0], : self.shape[1]], self.scale)
 
     def transpose(self, residual: np.ndarray) -> np.ndarray:
-        p = self.pad
         grid = np.zeros(self.wide)
         up = unpool(residual, self.scale)
-        grid[p : p + up.shape[0], p : p + up.shape[1]] = self.t * up
+        grid[: up.shape[0], : up.shape[1]] = self.t * up
         back = np.fft.irfft2(np.fft.rfft2(grid) * np.conj(self.spectrum), s=self.wide)
-        y, x = self._reflected()
-        out = np.zeros(self.shape)
-        np.add.at(out, np.ix_(y, x), back[: len(y), : len(x)])
-        return out
+        h, w = self.shape
+        back = back[:h] + back[h:][::-1]
+        return back[:, :w] + back[:, w:][:, ::-1]
 
 
 def poisson_nll(rate: np.ndarray, seen: np.ndarray, eps: float = 1e-12) -> tuple[float, np.ndarray]:

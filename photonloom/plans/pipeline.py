@@ -16,6 +16,7 @@ from ..functions.kernels import fit_moffat, gaussian_psf
 from ..operators import calibration, images, neighbourhood, solver, stacking, stars
 from ..sources import fits, store
 from .adapters import explode_frames
+from .staging import cut
 
 
 @dataclass
@@ -36,13 +37,14 @@ class Config:
 def characterise(cal: DataFrame, height: int, width: int, cfg: Config) -> DataFrame:
     """By frame: sky, noise, n_stars, transparency, fwhm, dx, dy against the reference, the first frame unless it is given."""
     px = cal.select("frame_id", "channel", "y", "x", F.col("calibrated").alias("adu"))
-    sky = neighbourhood.sigma_clipped(px, ["frame_id"]).select("frame_id", F.col("median").alias("sky"))
+    sky = cut(neighbourhood.sigma_clipped(px, ["frame_id"]).select("frame_id", F.col("median").alias("sky")), "sky")
     net = px.join(sky, "frame_id").withColumn("adu", F.col("adu") - F.col("sky")).drop("sky")
     noise = stars.background_noise(net)
     peaks = stars.candidate_peaks(net, noise, height, width, cfg.snr, max(3, int(cfg.min_sep // 2)), border=4)
     kept = stars.isolated(peaks, cfg.min_sep, cfg.max_stars)
-    centres = stars.centroids(kept, net).join(kept.select("frame_id", F.col("y").alias("py"), F.col("x").alias("px"), "star_rank"), ["frame_id", "py", "px"]).select("frame_id", "star_rank", "y", "x").cache()
-    flux = stars.aperture_flux(centres, net, cfg.aperture).cache()
+    centres = stars.centroids(kept, net).join(kept.select("frame_id", F.col("y").alias("py"), F.col("x").alias("px"), "star_rank"), ["frame_id", "py", "px"]).select("frame_id", "star_rank", "y", "x")
+    centres = cut(centres, "centres")
+    flux = cut(stars.aperture_flux(centres, net, cfg.aperture), "flux")
     ref = cfg.reference if cfg.reference is not None else cal.agg(F.min("frame_id")).first()[0]
     clear = stars.transparency(flux, flux.where(F.col("frame_id") == ref))
     shift = align(centres, ref)
@@ -100,9 +102,9 @@ def run(frames: DataFrame, cfg: Config | None = None, model: DataFrame | None =
     frames = calibration.check_shape(frames)
     h, w = frames.select("h", "w").first()
     px = explode_frames(frames)
-    model = (model if model is not None else calibration.fit_all(px)).cache()
-    cal = calibration.calibrate(px.where("frame_type = 'light'"), model).cache()
-    meta = characterise(cal, h, w, cfg).cache()
+    model = model if model is not None else cut(calibration.fit_all(px), "model")
+    cal = cut(calibration.calibrate(px.where("frame_type = 'light'"), model), "calibrated")
+    meta = cut(characterise(cal, h, w, cfg), "frames")
     good = stacking.quality_filter(meta, cfg.min_transparency, cfg.max_fwhm)
     moved = good.select("frame_id", F.lit(1.0).alias("a"), F.lit(0.0).alias("b"), (-F.col("dx")).alias("c"), F.lit(0.0).alias("d"), F.lit(1.0).alias("e"), (-F.col("dy")).alias("f"))
     stack = stacking.derive(stacking.accumulate(stacking.warp(cal, moved, h, w), good), good.count())
