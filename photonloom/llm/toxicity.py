@@ -93,7 +93,7 @@ def evidence(n: int, segments: list[tuple[int, int, float]], model: ToxicityMode
     return sum(x for k, x in enumerate(logs) if not k or x > 3.0)
 
 
-def fit(docs: DataFrame, labels: DataFrame, learn, max_docs: int = 8_000, prior: float = 500.0, least: float = 0.01, min_count: int = 4, z: float = 8.0, least_odds: float = 1.5, id_col: str = "doc_id", text_col: str = "text") -> ToxicityModel:
+def fit(docs: DataFrame, labels: DataFrame, learn, max_docs: int = 8_000, prior: float = 500.0, least: float = 0.01, min_count: int = 4, z: float = 5.0, least_odds: float = 1.5, id_col: str = "doc_id", text_col: str = "text") -> ToxicityModel:
     """A model from the labelled rows for which learn(id column) holds; of more than max_docs the ones with the least hash of the id.
 
     Rows without an id, text or label teach nothing. Without toxic or without
