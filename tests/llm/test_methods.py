@@ -174,7 +174,7 @@ def test_placement_is_balanced():
     for k, begin, end, j, offset in out:
         assert offset == used[j]
         used[j] += end - begin
-    assert used == caps and len(out) < 1.3 * len(lengths)
+    assert used == caps and len(out) < 1.7 * len(lengths)
 
 
 def test_most_frequent_is_bounded(spark):
