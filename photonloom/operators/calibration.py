@@ -91,11 +91,16 @@ def fit_dark_flat(dark_flat: DataFrame, bias: DataFrame, by: Sequence[str] = PIX
     return dark_flat.join(bias.select(*by, "bias_mean"), list(by)).groupBy(*by).agg(F.avg(F.col("adu") - F.col("bias_mean")).alias("amp_glow"))
 
 
-def fit_all(px: DataFrame, by: Sequence[str] = PIXEL) -> DataFrame:
-    """The instrument by pixel, from frames of frame_type bias, dark, flat and dark_flat; maps without frames are null."""
+def fit_all(px: DataFrame, by: Sequence[str] = PIXEL, keep=None) -> DataFrame:
+    """The instrument by pixel, from frames of frame_type bias, dark, flat and dark_flat; maps without frames are null.
+
+    keep(map, name), if given, stores a map that later ones need, so that its
+    frames are read once; the maps have one row per pixel.
+    """
     of = lambda kind: px.where(F.col("frame_type") == kind)
-    bias = fit_bias(of("bias"), by)
-    dark = fit_dark(of("dark"), bias, by)
+    keep = keep or (lambda df, name: df)
+    bias = keep(fit_bias(of("bias"), by), "bias")
+    dark = keep(fit_dark(of("dark"), bias, by), "dark")
     out = bias.join(dark, list(by), "left").join(fit_flat(of("flat"), bias, dark, by), list(by), "left")
     return out.join(fit_dark_flat(of("dark_flat"), bias, by), list(by), "left")
 

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.staging import cut
 from .calibration import MAD
 
 ROW = ("frame_id", "channel", "y")
@@ -153,21 +154,28 @@ def defect_interpolation(px: DataFrame, mixture: DataFrame, radius: int = 1, nor
 
 
 def sigma_clipped(px: DataFrame, by: Sequence[str], value: str = "adu", sigma: float = 3.0, rounds: int = 3) -> DataFrame:
-    """median, spread (robust, at least 1e-6) and n by group after rounds of strict clipping; a group without spread is done."""
-    d = px.select(*by, F.col(value).cast("double").alias("v"))
-    keys = list(by)
-
-    def state(df):
-        m = df.groupBy(*keys).agg(F.median("v").alias("m"))
-        j = df.join(m, keys) if keys else df.join(F.broadcast(m))
-        s = j.groupBy(*keys).agg((F.median(F.abs(F.col("v") - F.col("m"))) * MAD).alias("s"), F.first("m").alias("m"), F.count("*").alias("n"))
-        return s
-
-    for _ in range(rounds):
-        s = state(d)
-        d = (d.join(s, keys) if keys else d.join(F.broadcast(s))).where((F.col("s") < 1e-9) | (F.abs(F.col("v") - F.col("m")) < sigma * F.col("s"))).select(*keys, "v")
-    s = state(d)
-    return s.select(*keys, F.col("m").alias("median"), F.greatest("s", F.lit(1e-6)).alias("spread"), "n")
+    """median, spread (robust, at least 1e-6) and n by group after rounds of strict clipping; a group without spread is done.
+
+    What the rounds leave lies between two numbers by group; these are stored
+    after each round, so a round reads the values twice, whatever came before.
+    """
+    base = px.select(*by, F.col(value).cast("double").alias("v"))
+    keys, bounds = list(by), None
+    with_ = lambda a, b: a.join(b, keys) if keys else a.join(F.broadcast(b))  # noqa: E731  without keys one row
+    for k in range(rounds + 1):
+        d = base if bounds is None else with_(base, bounds).where((F.col("v") > F.col("lo")) & (F.col("v") < F.col("hi"))).select(*keys, "v")
+        m = d.groupBy(*keys).agg(F.median("v").alias("m"))
+        s = with_(d, m).groupBy(*keys).agg((F.median(F.abs(F.col("v") - F.col("m"))) * MAD).alias("s"), F.first("m").alias("m"), F.count("*").alias("n"))
+        if k == rounds:
+            return s.select(*keys, F.col("m").alias("median"), F.greatest("s", F.lit(1e-6)).alias("spread"), "n")
+        done = F.col("s") < 1e-9
+        inf = F.lit(float("inf"))
+        lo, hi = F.when(done, -inf).otherwise(F.col("m") - sigma * F.col("s")), F.when(done, inf).otherwise(F.col("m") + sigma * F.col("s"))
+        new = s.select(*keys, lo.alias("lo"), hi.alias("hi"))
+        if bounds is not None:
+            old = bounds.withColumnsRenamed({"lo": "lo0", "hi": "hi0"})
+            new = with_(new, old).select(*keys, F.greatest("lo", "lo0").alias("lo"), F.least("hi", "hi0").alias("hi"))
+        bounds = cut(new, "bounds")
 
 
 def sky_mesh(px: DataFrame, height: int, width: int, box: int = 128, value: str = "adu") -> DataFrame:

@@ -102,7 +102,7 @@ def run(frames: DataFrame, cfg: Config | None = None, model: DataFrame | None =
     frames = calibration.check_shape(frames)
     h, w = frames.select("h", "w").first()
     px = explode_frames(frames)
-    model = model if model is not None else cut(calibration.fit_all(px), "model")
+    model = model if model is not None else cut(calibration.fit_all(px, keep=cut), "model")
     cal = cut(calibration.calibrate(px.where("frame_type = 'light'"), model), "calibrated")
     meta = cut(characterise(cal, h, w, cfg), "frames")
     good = stacking.quality_filter(meta, cfg.min_transparency, cfg.max_fwhm)

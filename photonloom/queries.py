@@ -14,6 +14,7 @@ from .functions import display, kernels
 from .operators import bayes, calibration, geometry, images, mixture, neighbourhood, solver, stacking, stars, synth, validation
 from .plans import adapters
 from .plans.adapters import SQL
+from .plans.staging import cut
 from .sources import fits
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -63,7 +64,7 @@ STACK = "stack AS (SELECT y, x, sum(transparency * (calibrated - 0.0)) AS ws, su
 
 def model_of(spark, sf_dir) -> DataFrame:
     p = adapters.pixels(spark, sf_dir)
-    return calibration.fit_all(p)
+    return cut(calibration.fit_all(p, keep=cut), "model")
 
 
 def calibrated_lights(spark, sf_dir) -> DataFrame:
