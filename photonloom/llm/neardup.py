@@ -5,9 +5,11 @@ once. In each of independent trees a class starts in the node of one of its
 minwise tokens; nodes of more than a given size branch on, each class into the
 children of the tokens that the node selects, so that the classes of a small
 node agree in all tokens of its path. Small nodes are compared exhaustively on
-sketches of 64 bytes; what is still large at the greatest depth is dealt into
-chunks. Of the pairs whose sketches may reach the threshold each node gives a
-spanning forest, which is confirmed on the full sets; so the classes that may
+sketches of 64 bytes. What is still large at the greatest depth is dealt into
+chunks first, which join what is much alike; then all its pairs that are still
+apart meet in tiles of bounded size, on sketches too. Of the pairs whose
+sketches may reach the threshold each node, chunk or tile gives a spanning
+forest, which is confirmed on the full sets; so the classes that may
 be linked at all lie in the components of the forests, and those linked for
 sure in the components of the confirmed pairs. What is left are pairs within
 the former and across the latter: they are compared exactly, set by set, in
@@ -223,6 +225,33 @@ def tiles(reps: DataFrame, side: int) -> DataFrame:
     return left.unionByName(right).select(F.xxhash64("coarse", "i", "j").alias("tile"), "rep", "fine", "left")
 
 
+def candidates_across(tiled: DataFrame, least_equal: int, num: int, den: int) -> DataFrame:
+    """Pairs (a, b), a < b, of a tile(tile, rep, fine, left, n_shingles, sketch), a left one and a right one of another component (fine), that may reach the threshold: a forest over the components."""
+
+    def work(t):
+        left = t.column("left").to_numpy(zero_copy_only=False)
+        rep, fine, size = (t.column(c).to_numpy() for c in ("rep", "fine", "n_shingles"))
+        sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), dtype=np.uint8).reshape(-1, SKETCH)
+        ls, rs = np.flatnonzero(left), np.flatnonzero(~left)
+        right, sizes, others = sketch[rs], size[rs], fine[rs]
+        found = []
+        for i in ls:
+            j = np.flatnonzero((den * np.minimum(size[i], sizes) >= num * np.maximum(size[i], sizes)) & (others != fine[i]))
+            if len(j):
+                j = j[(right[j] == sketch[i]).sum(axis=1) >= least_equal]
+            if len(j):
+                found.append((np.full(len(j), i), rs[j]))
+        if not found:
+            return
+        a, b = (np.concatenate(x) for x in zip(*found))
+        _, ends = np.unique(np.concatenate([fine[a], fine[b]]), return_inverse=True)
+        keep = forest(list(zip(ends[: len(a)].tolist(), ends[len(a) :].tolist())), int(ends.max()) + 1)
+        x, y = rep[a[keep]], rep[b[keep]]
+        yield np.minimum(x, y), np.maximum(x, y)
+
+    return by_group(tiled.select("tile", "rep", "fine", "left", "n_shingles", "sketch"), "tile", "a long, b long", work).distinct()
+
+
 def exact_links(tiled: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs of a tile(tile, rep, fine, left, shingles), a left one and a right one of another fine component, that reach the threshold."""
 
@@ -302,6 +331,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: tuple[int, int]
     chunked = dealt.unionByName(hubs).distinct().select(F.xxhash64("node", "chunk").alias("node"), "rep")
     members = small.unionByName(chunked).join(traits, "rep")
     first = staged(candidates(members, least_equal, num, den), "pairs", compact=True)
+    # what is joined by now is compared exactly further down; the rest of a large node meets here, pair by pair
+    joined = connected_components(first).withColumnsRenamed({"node": "rep", "component": "fine"})
+    apart = large.select(F.col("node").alias("coarse"), "rep").join(joined, "rep", "left").select("coarse", "rep", F.coalesce("fine", "rep").alias("fine"))
+    across = tiles(apart, 4 * tile_side).join(traits, "rep")
+    first = first.unionByName(staged(candidates_across(across, least_equal, num, den), "pairs", compact=True)).distinct()
+    first = staged(first, "pairs", compact=True)
     ends = first.select(F.col("a").alias("i")).unionByName(first.select(F.col("b").alias("i"))).distinct()
     texts = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).hint("merge").join(ends, "i", "left_semi")  # one plan at every size
     sets = staged(full_sets(texts, width, "i", "t").where(F.size("shingles") > 0).dropDuplicates(["rep"]), "sets")

@@ -55,6 +55,30 @@ def test_near_duplicates_equal_brute_force(spark, copies):
     assert all(got[k].n_shingles == len(s) and got[k].kept == (root(k) == k) for k, s in enumerate(sets))
 
 
+def test_near_duplicates_among_common_passages(spark):
+    """Texts put together from a few passages: nodes stay large though their members are little alike."""
+    g = random.Random(11)
+    word = lambda: "".join(g.choice("abcdefgh") for _ in range(5))
+    passages = [[word() for _ in range(60)] for _ in range(32)]
+    choices = []
+    while len(choices) < 300:  # two texts share two passages of four at most
+        c = set(g.sample(range(32), 4))
+        if all(len(c & d) <= 2 for d in choices):
+            choices.append(c)
+    texts = [[w for p in c for w in passages[p]] for c in map(sorted, choices)]
+    for k in range(30):
+        t = list(texts[7 * k + 60])
+        for i in range(5):
+            t[20 + 40 * i] = word()
+        texts.append(t)
+    sets = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in texts]
+    pairs = [(a, b) for a, b in itertools.combinations(range(len(texts)), 2) if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+    assert pairs == [(7 * k + 60, 300 + k) for k in range(30)]
+    df = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(df, node_size=2, max_depth=1, tile_side=16).collect()}
+    assert got == {k: 7 * (k - 300) + 60 if k >= 300 else k for k in range(330)}
+
+
 def test_components_of_a_long_path(spark):
     links = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, 101), (101, 100), (7, 7)], "a long, b long")
     got = {r.node: r.component for r in components.connected_components(links).collect()}
