@@ -3,7 +3,8 @@
 Documents with one and the same set of shingles form a class, which takes part
 once. In each of independent trees a class starts in the node of one of its
 minwise tokens; nodes of more than a given size branch on, each class into the
-children of the tokens that the node selects, so that the classes of a small
+children of one or two further tokens, which no other node's place in any tree
+uses, so that the classes of a small
 node agree in all tokens of its path. Small nodes are compared exhaustively on
 sketches of 64 bytes. What is still large at the greatest depth is dealt into
 chunks first, which join what is much alike; then all its pairs that are still
@@ -56,6 +57,11 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def token_count(max_depth: int) -> int:
+    """Tokens of all trees: one for each place of a binary tree of max_depth levels."""
+    return TREES * (2**max_depth - 1)
+
+
 def minwise(shingles: np.ndarray, n: int = SKETCH) -> np.ndarray:
     """n minwise hashes of a set that isn't empty."""
     seeds = _mixed(np.arange(1, 2 * n + 1, dtype=np.uint64))
@@ -68,9 +74,10 @@ def minwise(shingles: np.ndarray, n: int = SKETCH) -> np.ndarray:
     return least
 
 
-def sketches(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
-    """Per document: doc_id, n_shingles, digest of the set, tokens (a minwise hash for each tree), sketch (a byte of each minwise hash)."""
-    schema = "doc_id long, n_shingles long, digest binary, tokens array<long>, sketch binary"
+def sketches(docs: DataFrame, width: int, max_depth: int, id_col: str, text_col: str) -> DataFrame:
+    """Per document: doc_id, n_shingles, digest of the set, tokens (32 bits of a minwise hash for each place in a tree, level by level), sketch (a byte of each of 64 minwise hashes)."""
+    schema = "doc_id long, n_shingles long, digest binary, tokens array<int>, sketch binary"
+    n_tokens = token_count(max_depth)
 
     def run(batches):
         for batch in batches:
@@ -81,13 +88,13 @@ def sketches(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFra
                     s = shingles_of(text.as_py(), width)
                     n.append(len(s))
                     if len(s):
-                        m = _mixed(minwise(s))
+                        m = _mixed(minwise(s, max(SKETCH, n_tokens)))
                         digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
-                        tokens.append(m[:TREES].view(np.int64))
-                        sketch.append((m >> np.uint64(56)).astype(np.uint8).tobytes())
+                        tokens.append(m[:n_tokens].astype(np.uint32).view(np.int32))
+                        sketch.append((m[:SKETCH] >> np.uint64(56)).astype(np.uint8).tobytes())
                     else:
                         digest.append(None), tokens.append(None), sketch.append(None)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(tokens, pa.list_(pa.int64())), pa.array(sketch, pa.binary())], names=["doc_id", "n_shingles", "digest", "tokens", "sketch"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(tokens, pa.list_(pa.int32())), pa.array(sketch, pa.binary())], names=["doc_id", "n_shingles", "digest", "tokens", "sketch"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
 
@@ -104,25 +111,28 @@ def full_sets(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFr
 
 
 def leaves(classes: DataFrame, node_size: int, max_depth: int, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """(node, rep) of the small nodes of all trees with two classes or more, and (node, rep, size) of those still large at max_depth."""
-    rows = classes.select(F.posexplode("tokens").alias("tree", "token"), "rep").select(F.xxhash64("tree", "token").alias("node"), "rep")
+    """(node, rep) of the small nodes of all trees with two classes or more, and (node, rep, size) of those still large at max_depth.
+
+    A node at place p of a level (the tree's number, at first) has its children
+    at places 2 p and 2 p + 1 of the next, each of which has a token to itself.
+    """
+    rows = classes.select(F.posexplode(F.slice("tokens", 1, TREES)).alias("place", "token"), "rep").select(F.xxhash64("place", "token").alias("node"), "place", "rep")
     small = None
     for depth in range(max_depth):
         if depth:  # the first level is but a projection of the classes
             rows = staged(rows, "nodes", compact=True)
         sizes = staged(rows.groupBy("node").agg(F.count("*").alias("size")).where("size > 1"), "sizes", compact=True)
-        few = rows.join(sizes.where(F.col("size") <= node_size), "node", "left_semi")
+        few = rows.select("node", "rep").join(sizes.where(F.col("size") <= node_size), "node", "left_semi")
         small = few if small is None else small.unionByName(few)
         large = sizes.where(F.col("size") > node_size)
         if depth == max_depth - 1 or large.isEmpty():
-            return small, rows.join(large, "node")
-        # the node selects its tokens, one or two: 1 / threshold of them on the whole, so that a pair at the threshold keeps one child
-        token = lambda b: F.pmod(F.xxhash64("node", F.lit(b)), F.lit(TREES)).cast("int")
+            return small, rows.select("node", "rep").join(large, "node")
+        # one child or two: 1 / threshold of them on the whole, so that a pair at the threshold keeps one
         both = F.pmod(F.xxhash64("node", F.lit(2)), F.lit(1000)) < round(1000 * (1 / threshold - 1))
-        chosen = F.when(both, F.array(token(0), token(1))).otherwise(F.array(token(0)))
         inner = rows.join(large.select("node"), "node", "left_semi").join(classes.select("rep", "tokens"), "rep")
-        inner = inner.select("node", "rep", "tokens", F.explode(F.array_distinct(chosen)).alias("i"))
-        rows = inner.select(F.xxhash64("node", "i", F.get("tokens", F.col("i"))).alias("node"), "rep").distinct()
+        inner = inner.select("node", "rep", "tokens", F.explode(F.when(both, F.array(2 * F.col("place"), 2 * F.col("place") + 1)).otherwise(F.array(2 * F.col("place")))).alias("place"))
+        token = F.get("tokens", F.col("place") + F.lit(token_count(depth + 1)))
+        rows = inner.select(F.xxhash64("node", "place", token).alias("node"), "place", "rep")
     raise ValueError("max_depth is at least 1")
 
 
@@ -312,13 +322,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: tuple[int, int]
     without words are linked with nothing; so are rows with a null doc_id,
     whose component_id and kept are null. Repeated rows stay and share a
     component. A pair at the threshold shares a node at the depth of 3 with a
-    chance of 0.52 in each of the 16 trees, so all miss it with one of 1e-5 (a
-    pair in small nodes with one of 1e-9), and its sketch falls short with one
-    of 1e-6.
+    chance of 0.52 in each of the 16 trees, which have no token in common, so all
+    miss it with one of 1e-5 (a pair in small nodes with one of 1e-9), and its
+    sketch falls short with one of 1e-6. All pairs of a node are compared.
     """
     num, den = threshold
     least_equal = round(SKETCH * max(0.0, num / den - 0.25))
-    sketched = staged(sketches(docs, width, id_col, text_col), "sketches")
+    sketched = staged(sketches(docs, width, max_depth, id_col, text_col), "sketches")
     rows = sketched.where("doc_id IS NOT NULL AND n_shingles > 0")
     classes = staged(rows.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.any_value("n_shingles").alias("n_shingles"), F.any_value("tokens").alias("tokens"), F.any_value("sketch").alias("sketch")), "classes", compact=True)
     small, large = leaves(classes, node_size, max_depth, num / den)

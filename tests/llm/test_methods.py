@@ -79,6 +79,21 @@ def test_near_duplicates_among_common_passages(spark):
     assert got == {k: 7 * (k - 300) + 60 if k >= 300 else k for k in range(330)}
 
 
+def test_nodes_branch_on_fresh_tokens(spark):
+    """Classes that agree in the tokens of all first nodes and in no other part at once; only agreement in a node's own further tokens keeps them together."""
+    n = 16 * 7
+    for same in (16, n):
+        classes = spark.createDataFrame([(r, [0 if i < same else 1 + r for i in range(n)]) for r in range(40)], "rep long, tokens array<int>")
+        small, large = neardup.leaves(classes, 4, 3, 0.75)
+        assert small.count() == 0 and (large.count() == 0) == (same == 16)
+    tree0 = spark.createDataFrame([(r, [0 if i < 16 or i in (16, 17, 48, 49, 50, 51) else 1 + r for i in range(n)]) for r in range(40)], "rep long, tokens array<int>")
+    nodes = neardup.leaves(tree0, 4, 3, 0.75)[1].select("node").distinct().count()
+    assert 1 <= nodes <= 4  # of one tree
+    words = " ".join(str(k) for k in range(300))
+    tokens = neardup.sketches(spark.createDataFrame([(0, words)], "doc_id long, text string"), 5, 3, "doc_id", "text").first().tokens
+    assert len(set(tokens)) == n
+
+
 def test_components_of_a_long_path(spark):
     links = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, 101), (101, 100), (7, 7)], "a long, b long")
     got = {r.node: r.component for r in components.connected_components(links).collect()}
