@@ -6,14 +6,17 @@ a Krichevsky-Trofimov estimate for each of its decisions; a node's weighted
 probability is the even mixture of its own estimate and of the product over
 its children, so the mixture runs over all depths and all tree models. The
 counts come from all training documents, gathered by aggregation; scoring uses
-the trained mixture as it stands. Beside it, a smoothed unigram score of words.
+the trained mixture as it stands. The tree is dealt over tasks by the last two
+bytes of context, as all deeper nodes stand below one of those; the driver has
+no more than the nodes of one byte of context and none, whose number the
+alphabet bounds. Beside it, a smoothed unigram score of words.
 """
 
 from __future__ import annotations
 
 import math
 from collections import Counter
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -50,6 +53,57 @@ def log_gamma(x: np.ndarray) -> np.ndarray:
     return (y - 0.5) * np.log(y) - y + 0.5 * math.log(2 * math.pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - low
 
 
+def by_depth(grams: np.ndarray, counts: np.ndarray, depth: int, floor: int = 0) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Sorted grams and their counts, then those of ever shorter contexts, down to floor bytes."""
+    pairs = [(grams, counts)]
+    for d in range(depth - 1, floor - 1, -1):
+        k, at = np.unique(pairs[-1][0] & np.uint64((1 << 8 * (d + 1)) - 1), return_inverse=True)
+        pairs.append((k, np.bincount(at, weights=pairs[-1][1], minlength=len(k))))
+    return pairs
+
+
+def estimate_of(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
+    return log_gamma(n0 + 0.5) + log_gamma(n1 + 0.5) - log_gamma(n0 + n1 + 1) - math.log(math.pi)
+
+
+def nodes_of(pairs: list, bit: int, depth: int) -> tuple[list[tuple], np.ndarray, np.ndarray, np.ndarray]:
+    """The nodes that decide a bit, (keys, one, own) by depth from the least of pairs on, and ln of the weighted probability and the counts of 0 and 1 of those of the least depth."""
+    out: list[tuple] = []
+    above = None
+    for d, (pair, n) in zip(range(depth, -1, -1), pairs):
+        byte = pair & np.uint64(255)
+        node = (pair & ~np.uint64(255)) | np.uint64(1 << bit) | (byte >> np.uint64(8 - bit))
+        first = np.flatnonzero(np.diff(node, prepend=~node[:1])) if len(node) else np.zeros(0, np.int64)
+        value = ((byte >> np.uint64(7 - bit)) & np.uint64(1)).astype(np.float64)
+        keys = node[first]
+        n1 = np.add.reduceat(n * value, first) if len(first) else n
+        n0 = np.add.reduceat(n, first) - n1 if len(first) else n
+        estimate = estimate_of(n0, n1)
+        if above is None:
+            weighted, share = estimate, np.ones(len(keys), dtype=np.float32)
+        else:
+            parent = np.searchsorted(keys, above[0] & np.uint64((1 << 8 * (d + 1)) - 1))
+            children = np.bincount(parent, weights=above[1], minlength=len(keys))
+            both = np.logaddexp(estimate, children)
+            weighted, share = both - math.log(2), np.exp(estimate - both).astype(np.float32)
+        above = (keys, weighted)
+        out.insert(0, (keys, ((n1 + 0.5) / (n0 + n1 + 1)).astype(np.float32), share))
+    return out, above[1], n0, n1
+
+
+def mixed(p: np.ndarray, nodes: list[tuple], least: int, grams: np.ndarray, bit: int) -> np.ndarray:
+    """p, the probability of a 1 by deeper nodes, after the nodes (keys, one, own) of depths from least on."""
+    context, prefix = grams >> np.uint64(8), np.uint64(1 << bit) | ((grams & np.uint64(255)) >> np.uint64(8 - bit))
+    for d in range(least + len(nodes) - 1, least - 1, -1):
+        keys, one, own = nodes[d - least]
+        if not len(keys):
+            continue
+        node = ((context & np.uint64((1 << 8 * d) - 1)) << np.uint64(8)) | prefix
+        at = np.minimum(np.searchsorted(keys, node), len(keys) - 1)
+        p = np.where(keys[at] == node, own[at] * one[at] + (1 - own[at]) * p, 0.5)
+    return p
+
+
 @dataclass(frozen=True)
 class ContextTree:
     """Nodes by the number of bits decided, then by depth of context, each sorted by its key: context << 8 | bits so far after a leading 1."""
@@ -62,53 +116,18 @@ class ContextTree:
     @staticmethod
     def of(grams: np.ndarray, counts: np.ndarray, depth: int) -> ContextTree:
         """From sorted grams and their counts; a node's children decide the same bit, so the eight bits go one after the other."""
-        tree = ContextTree(depth, [[] for _ in range(8)], [[] for _ in range(8)], [[] for _ in range(8)])
-        pairs = [(grams, counts)]  # by depth, downwards: shorter contexts' counts
-        for d in range(depth - 1, -1, -1):
-            k, at = np.unique(pairs[-1][0] & np.uint64((1 << 8 * (d + 1)) - 1), return_inverse=True)
-            pairs.append((k, np.bincount(at, weights=pairs[-1][1], minlength=len(k))))
-        for bit in range(8):
-            above = None
-            for d, (pair, n) in zip(range(depth, -1, -1), pairs):
-                byte = pair & np.uint64(255)
-                node = (pair & ~np.uint64(255)) | np.uint64(1 << bit) | (byte >> np.uint64(8 - bit))
-                first = np.flatnonzero(np.diff(node, prepend=~node[:1])) if len(node) else np.zeros(0, np.int64)
-                value = ((byte >> np.uint64(7 - bit)) & np.uint64(1)).astype(np.float64)
-                keys = node[first]
-                n1 = np.add.reduceat(n * value, first) if len(first) else n
-                n0 = np.add.reduceat(n, first) - n1 if len(first) else n
-                estimate = log_gamma(n0 + 0.5) + log_gamma(n1 + 0.5) - log_gamma(n0 + n1 + 1) - math.log(math.pi)
-                if above is None:
-                    weighted, share = estimate, np.ones(len(keys), dtype=np.float32)
-                else:
-                    parent = np.searchsorted(keys, above[0] & np.uint64((1 << 8 * (d + 1)) - 1))
-                    children = np.bincount(parent, weights=above[1], minlength=len(keys))
-                    both = np.logaddexp(estimate, children)
-                    weighted, share = both - math.log(2), np.exp(estimate - both).astype(np.float32)
-                above = (keys, weighted)
-                tree.keys[bit].insert(0, keys)
-                tree.one[bit].insert(0, ((n1 + 0.5) / (n0 + n1 + 1)).astype(np.float32))
-                tree.own[bit].insert(0, share)
-        return tree
+        pairs = by_depth(grams, counts, depth)
+        bits = [nodes_of(pairs, bit, depth)[0] for bit in range(8)]
+        return ContextTree(depth, *([[nodes[k] for nodes in b] for b in bits] for k in range(3)))
 
     def log10(self, grams: np.ndarray) -> np.ndarray:
         """log10 of the probability of each gram's last byte after the others."""
         if len(grams) > 250_000:
             return np.concatenate([self.log10(x) for x in np.array_split(grams, len(grams) // 250_000 + 1)])
         total = np.zeros(len(grams))
-        context, byte = grams >> np.uint64(8), grams & np.uint64(255)
         for bit in range(8):
-            value = ((byte >> np.uint64(7 - bit)) & np.uint64(1)).astype(bool)
-            prefix = np.uint64(1 << bit) | (byte >> np.uint64(8 - bit))
-            p = np.full(len(grams), 0.5)
-            for d in range(self.depth, -1, -1):
-                keys = self.keys[bit][d]
-                if not len(keys):
-                    continue
-                node = ((context & np.uint64((1 << 8 * d) - 1)) << np.uint64(8)) | prefix
-                at = np.minimum(np.searchsorted(keys, node), len(keys) - 1)
-                share = self.own[bit][d][at]
-                p = np.where(keys[at] == node, share * self.one[bit][d][at] + (1 - share) * p, 0.5)
+            value = ((grams >> np.uint64(7 - bit)) & np.uint64(1)).astype(bool)
+            p = mixed(np.full(len(grams), 0.5), list(zip(self.keys[bit], self.one[bit], self.own[bit])), 0, grams, bit)
             total += np.log10(np.where(value, p, 1 - p))
         return total
 
@@ -203,8 +222,10 @@ def gather(train: DataFrame, depth: int, text_col: str, held_words: int = 250_00
 
 @dataclass(frozen=True)
 class TextModel:
-    tree: ContextTree
-    grams: np.ndarray  # those of training, sorted
+    depth: int
+    top: list[list[tuple]]  # by bit, the nodes (keys, one, own) of depths below two
+    counts: DataFrame | None  # (gram, n) of training, all of them; not sent to tasks
+    grams: np.ndarray  # the most frequent of them
     gram_log10: np.ndarray
     frequent: dict[bytes, int]
     tokens: int  # N
@@ -214,28 +235,111 @@ class TextModel:
         return math.log10((count + 0.5) / (self.tokens + 0.5 * (self.distinct + 1)))
 
 
+def by_context(rows: DataFrame, floor: int, schema: str, work, held_rows: int = 300_000) -> DataFrame:
+    """work(grams, n), over rows (gram, n) dealt by the last floor bytes of context; those of one such context come together."""
+
+    def run(batches):
+        held, size, limit = [], 0, held_rows
+        for batch in batches:
+            held.append(batch)
+            size += batch.num_rows
+            if size > limit:
+                t = pa.Table.from_batches(held)
+                ids = t.column("key").to_numpy()
+                last = int(np.searchsorted(ids, ids[-1]))  # the last context may go on
+                if last:
+                    yield work(t.column("gram").to_numpy()[:last].view(np.uint64), t.column("n").to_numpy()[:last])
+                held, size = t.slice(last).combine_chunks().to_batches(), len(ids) - last
+                limit = max(held_rows, 2 * size)
+        if size:
+            t = pa.Table.from_batches(held)
+            yield work(t.column("gram").to_numpy().view(np.uint64), t.column("n").to_numpy())
+
+    key = F.shiftrightunsigned("gram", 8).bitwiseAND(F.lit((1 << 8 * floor) - 1).cast("long"))
+    return rows.select(key.alias("key"), "gram", "n").repartition("key").sortWithinPartitions("key").mapInArrow(run, schema)
+
+
+def trained(grams: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The grams of training among rows of by_context, sorted, and their counts; n is 0 in those that are asked for."""
+    at = np.flatnonzero(n > 0)
+    at = at[np.argsort(grams[at])]
+    return grams[at], n[at].astype(np.float64)
+
+
+def top_nodes(counts: DataFrame, depth: int) -> list[list[tuple]]:
+    """By bit, the nodes (keys, one, own) of depths below min(depth, 2), from counts(gram, n): their children are weighted in tasks and summed by aggregation."""
+    floor = min(depth, 2)
+    if not floor:
+        return [[] for _ in range(8)]
+
+    def work(grams, n):
+        pairs = by_depth(*trained(grams, n), depth, floor)
+        bits, columns = [], []
+        for bit in range(8):
+            nodes, *values = nodes_of(pairs, bit, depth)
+            columns.append([nodes[0][0] & np.uint64((1 << 8 * floor) - 1), *values])
+            bits.append(np.full(len(nodes[0][0]), bit, dtype=np.int32))
+        node, *values = (np.concatenate(c) for c in zip(*columns))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(bits)), pa.array(node.view(np.int64)), *map(pa.array, values)], names=["bit", "node", "w", "n0", "n1"])
+
+    below = by_context(counts, floor, "bit int, node long, w double, n0 double, n1 double", work)
+    t = below.groupBy("bit", "node").agg(F.sum("w").alias("w"), F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toArrow()  # 256 contexts of 255 nodes at most
+    bit_of, node, w, n0, n1 = (t.column(c).to_numpy() for c in ("bit", "node", "w", "n0", "n1"))
+    out: list[list[tuple]] = []
+    for bit in range(8):
+        at = np.flatnonzero(bit_of == bit)
+        at = at[np.argsort(node[at])]
+        keys, children, zeros, ones = node[at].view(np.uint64), w[at], n0[at], n1[at]
+        nodes: list[tuple] = []
+        for d in range(floor - 1, -1, -1):
+            estimate = estimate_of(zeros, ones)
+            both = np.logaddexp(estimate, children)
+            nodes.insert(0, (keys, ((ones + 0.5) / (zeros + ones + 1)).astype(np.float32), np.exp(estimate - both).astype(np.float32)))
+            if d:
+                keys, parent = np.unique(keys & np.uint64((1 << 8 * d) - 1), return_inverse=True)
+                children, zeros, ones = (np.bincount(parent, weights=x, minlength=len(keys)) for x in (both - math.log(2), zeros, ones))
+        out.append(nodes)
+    return out
+
+
+def gram_values(counts: DataFrame, asked: DataFrame, top: list[list[tuple]], depth: int) -> DataFrame:
+    """(gram, log10): the log10 probability of the last byte of each gram of asked after the others, by the whole tree of counts(gram, n)."""
+    floor = min(depth, 2)
+    shared = counts.sparkSession.sparkContext.broadcast(top)
+
+    def work(grams, n):
+        q = grams[n == 0]
+        total = np.zeros(len(q))
+        if len(q):
+            pairs = by_depth(*trained(grams, n), depth, floor)
+            for bit in range(8):
+                value = ((q >> np.uint64(7 - bit)) & np.uint64(1)).astype(bool)
+                p = mixed(np.full(len(q), 0.5), nodes_of(pairs, bit, depth)[0], floor, q, bit)
+                p = mixed(p, shared.value[bit], 0, q, bit)
+                total += np.log10(np.where(value, p, 1 - p))
+        return pa.RecordBatch.from_arrays([pa.array(q.view(np.int64)), pa.array(total)], names=["gram", "log10"])
+
+    rows = counts.select("gram", "n").unionByName(asked.select("gram", F.lit(0).cast("long").alias("n")))
+    return by_context(rows, floor, "gram long, log10 double", work)
+
+
 def fit(docs: DataFrame, learn: Column, depth: int = 5, frequent: int = 65_536, max_grams: int = 3_000_000, text_col: str = "text") -> tuple[TextModel, DataFrame]:
     """The model of the rows for which learn holds, and (word, n), the counts of all its words.
 
-    The driver holds the frequent most frequent words (documented bound) and
-    the distinct byte grams, max_grams at most: if there are more, the deepest
-    byte of context is given up, for all contexts alike, until they fit.
+    Tasks hold the frequent most frequent words and the max_grams most frequent
+    byte grams with their values (documented bounds); all others are joined
+    when documents are scored, so that no score depends on the bounds.
     """
     counts = staged(gather(docs.where(learn), depth, text_col), "counts", compact=True)
     words = counts.where("kind = 0").select("word", "n")
     total = words.agg(F.sum("n"), F.count("*")).first()
     top = {bytes(r.word): r.n for r in most_frequent(words, frequent).collect()}
     grams = counts.where("kind = 1").select("gram", "n")
-    while depth > 0 and grams.count() > max_grams:
-        depth -= 1
-        shorter = F.col("gram").bitwiseAND(F.lit((1 << 8 * (depth + 1)) - 1))
-        grams = grams.groupBy(shorter.alias("gram")).agg(F.sum("n").alias("n"))
-    table = grams.toArrow()
-    g, n = table.column("gram").to_numpy().view(np.uint64), table.column("n").to_numpy().astype(np.float64)
+    upper = top_nodes(grams, depth)
+    table = gram_values(grams, most_frequent(grams, max_grams), upper, depth).toArrow()
+    g, v = table.column("gram").to_numpy().view(np.uint64), table.column("log10").to_numpy().astype(np.float32)
     order = np.argsort(g)
-    g, n = g[order], n[order]
-    tree = ContextTree.of(g, n, depth)
-    return TextModel(tree, g, tree.log10(g).astype(np.float32), top, int(total[0] or 0), int(total[1])), words
+    return TextModel(depth, upper, grams, g[order], v[order], top, int(total[0] or 0), int(total[1])), words
 
 
 def score_documents(docs: DataFrame, model: TextModel, words: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -244,24 +348,18 @@ def score_documents(docs: DataFrame, model: TextModel, words: DataFrame, id_col:
     A null text is empty: an end alone. score is the tree's log10 probability,
     base_score the unigram one. Rows stay as they are, repeated ones and ones
     with a null doc_id too; other columns are left out. Frequent words are
-    counted on the spot, all others by a join with the counts of all words.
+    counted on the spot, all others by a join with the counts of all words;
+    likewise the byte grams, all others by a join with the tree.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by fit()
-    schema = "row long, doc_id long, n_chars long, n_tokens long, n_known long, base double, score double, bits_per_byte double, rare array<binary>"
+    shared = docs.sparkSession.sparkContext.broadcast(replace(model, counts=None))  # bounded by fit()
+    schema = "row long, doc_id long, n_chars long, n_tokens long, n_known long, base double, held double, n_bytes long, rare array<binary>, rare_grams array<long>, rare_n array<long>"
     names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches):
         m = shared.value
         value, table = prepared(m)
         row = TaskContext.get().partitionId() << 36
-        depth = m.tree.depth
-
-        def log10_of(g):
-            out, new = table.look_up(g)
-            if len(new):
-                k, back = np.unique(g[new], return_inverse=True)
-                out[new] = m.tree.log10(k)[back]
-            return out
+        depth = m.depth
 
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
@@ -270,9 +368,17 @@ def score_documents(docs: DataFrame, model: TextModel, words: DataFrame, id_col:
 
                 def settle():
                     g = [x for _, x in pieces]
-                    sums = np.add.reduceat(log10_of(np.concatenate(g)), np.cumsum([0, *map(len, g[:-1])]))
-                    for (k, x), s in zip(pieces, sums):
-                        rows[k][6], rows[k][7] = float(s), float(-s / math.log10(2) / len(x))
+                    every = np.concatenate(g)
+                    out, new = table.look_up(every)
+                    new = np.sort(new)
+                    out[new] = 0.0
+                    starts = np.cumsum([0, *map(len, g)])
+                    sums = np.add.reduceat(out, starts[:-1])
+                    cuts = np.searchsorted(new, starts)
+                    for j, (k, x) in enumerate(pieces):
+                        rare, n = np.unique(every[new[cuts[j] : cuts[j + 1]]], return_counts=True)
+                        rows[k][6:8] = float(sums[j]), len(x)
+                        rows[k][9:11] = rare.view(np.int64), n
                     pieces.clear()
 
                 size = 0
@@ -282,7 +388,7 @@ def score_documents(docs: DataFrame, model: TextModel, words: DataFrame, id_col:
                     values = list(map(value.get, [*ws, END]))
                     known = [v for v in values if v is not None]
                     rare = [w for w, v in zip([*ws, END], values) if v is None] if len(known) < len(values) else []
-                    rows.append([row, doc, len(text), len(values), len(known), math.fsum(known), 0.0, 0.0, rare])
+                    rows.append([row, doc, len(text), len(values), len(known), math.fsum(known), 0.0, 0, rare, None, None])
                     pieces.append((len(rows) - 1, grams_of(ws, depth)))
                     size += len(pieces[-1][1])
                     row += 1
@@ -292,7 +398,7 @@ def score_documents(docs: DataFrame, model: TextModel, words: DataFrame, id_col:
                 if pieces:
                     settle()
                 columns = list(zip(*rows))
-                types = [pa.int64()] * 5 + [pa.float64()] * 3 + [pa.list_(pa.binary())]
+                types = [pa.int64()] * 5 + [pa.float64()] * 2 + [pa.int64(), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.list_(pa.int64())]
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types)], names=names)
 
     scored = staged(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema), "scored")
@@ -300,6 +406,10 @@ def score_documents(docs: DataFrame, model: TextModel, words: DataFrame, id_col:
     count = F.coalesce("n", F.lit(0))
     value = F.log10((count + 0.5) / F.lit(model.tokens + 0.5 * (model.distinct + 1)))
     rest = rare.groupBy("row").agg(F.sum(value).alias("rest"), F.count("n").alias("more"))
-    out = scored.drop("rare").join(rest, "row", "left")
+    grams = scored.select("row", F.explode(F.arrays_zip("rare_grams", "rare_n")).alias("g")).select("row", F.col("g.rare_grams").alias("gram"), F.col("g.rare_n").alias("k"))
+    values = staged(gram_values(model.counts, grams.select("gram").distinct(), model.top, model.depth), "values", compact=True)
+    deep = grams.join(values, "gram").groupBy("row").agg(F.sum(F.col("k") * F.col("log10")).alias("deep"))
+    out = scored.drop("rare", "rare_grams", "rare_n").join(rest, "row", "left").join(deep, "row", "left")
     zero = lambda c: F.coalesce(c, F.lit(0))
-    return out.select("doc_id", "n_chars", "n_tokens", (F.col("n_known") + zero("more")).alias("n_known"), (F.col("base") + zero("rest")).alias("base_score"), "score", "bits_per_byte")
+    score = F.col("held") + zero("deep")
+    return out.select("doc_id", "n_chars", "n_tokens", (F.col("n_known") + zero("more")).alias("n_known"), (F.col("base") + zero("rest")).alias("base_score"), score.alias("score"), (-score / math.log10(2) / F.col("n_bytes")).alias("bits_per_byte"))

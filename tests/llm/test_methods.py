@@ -183,6 +183,24 @@ def test_context_tree_equals_sequential_weighting():
     assert tree.own[0][0][0] == pytest.approx(math.exp(own - np.logaddexp(own, children)), rel=1e-5)
 
 
+@pytest.mark.parametrize("depth", [0, 1, 2, 5])
+def test_scores_keep_their_depth_however_few_grams_are_held(spark, depth):
+    g = random.Random(5)
+    texts = [" ".join("".join(g.choice("abcd") for _ in range(g.randrange(1, 6))) for _ in range(25)) for _ in range(24)] + ["", "zebra ab"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    grams = [ctw.grams_of(ctw.words_of(t), depth) for t in texts]
+    k, n = np.unique(np.concatenate(grams[:16]), return_counts=True)
+    tree = ctw.ContextTree.of(k, n.astype(float), depth)
+    for held in (3_000_000, 40):
+        model, words = ctw.fit(df, F.col("doc_id") < 16, depth=depth, max_grams=held)
+        assert len(model.grams) == len(k) if held > 40 else len(model.grams) <= 40
+        got = {r.doc_id: r for r in ctw.score_documents(df, model, words).collect()}
+        for i, x in enumerate(grams):
+            want = tree.log10(x).sum()
+            assert got[i].score == pytest.approx(want, rel=1e-5)
+            assert got[i].bits_per_byte == pytest.approx(-want / math.log10(2) / len(x), rel=1e-5)
+
+
 def test_base_score(spark):
     texts = ["a b a", "c a", "zz b", ""]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
