@@ -41,6 +41,11 @@ def staged(df: DataFrame, name: str, compact: bool = False) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), with value worked out once and at hand as an object; a column that a lambda reads is copied out of its row each time."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def bucket_of(doc_id: Column, n: int) -> Column:
     """crc32 of doc_id as text, modulo n."""
     return F.crc32(doc_id.cast("string")) % n

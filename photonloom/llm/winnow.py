@@ -1,9 +1,10 @@
 """Document fingerprints by winnowing, in DataFrame functions alone.
 
-A text is cut into units (runs of up to eight characters without white space);
-each k units in a row have a hash. Of every w hashes in a row the least is
-chosen, the rightmost of equal ones, with its position. Any passage of
-w + k - 1 units that two texts share therefore gives both one same choice.
+Every k bytes in a row of a text (in UTF-8) have a hash, at each position. Of
+every w hashes in a row the least is chosen, the rightmost of equal ones, with
+its position. Any passage of w + k - 1 bytes that two texts share therefore
+gives both one same choice, wherever it begins and whether or not there is
+white space in it.
 """
 
 from __future__ import annotations
@@ -11,43 +12,52 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-UNIT = r"[^\x20\x09-\x0D]{1,8}"
+from .common import let
+
+K, DOUBLINGS = 24, 6
 _LOW = (1 << 27) - 1
 
 
-def add_fingerprint(df: DataFrame, text_col: str, out: str, k: int = 4, doublings: int = 3) -> DataFrame:
-    """df with the column out: the chosen (36 bits of hash, position) pairs in order, packed as hash * 2^27 + 2^27 - 1 - position.
+def choices(data: Column, k: int = K, doublings: int = DOUBLINGS) -> Column:
+    """The chosen (position, hash) pairs of bytes in order, packed as position * 2^36 + 36 bits of hash.
 
-    The window is w = 2^doublings hashes. A text with fewer than k units has
-    the hash of all its units; with fewer than w hashes, the least of them;
-    null and empty texts have none. Packed this way, the least number of a
-    window is its least hash, the rightmost of equal ones.
+    The window is w = 2^doublings hashes. Data of fewer than k bytes has the
+    hash of all of it; with fewer than w hashes, the least of them; empty data
+    has none. Up to 2^27 bytes. Work in between is packed as hash * 2^27 +
+    2^27 - 1 - position, so that the least number of a window is its least
+    hash, the rightmost of equal ones.
     """
-    u, p = f"__{out}_u", f"__{out}_p"
-    df = df.withColumn(u, F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(UNIT), F.lit(0)))
-    n = F.size(u)
-    pack = lambda h, i: F.shiftleft(F.shiftrightunsigned(h, 28), 27).bitwiseOR((F.lit(_LOW) - i).cast("long"))
-    gram = lambda i: pack(F.xxhash64(*[F.get(u, i + j) for j in range(k)]), i)
-    df = df.withColumn(p, F.when(n >= k, F.transform(F.sequence(F.lit(0), n - k), gram)).when(n > 0, F.array(pack(F.xxhash64(F.array_join(u, "\x01")), F.lit(0)))).otherwise(F.array().cast("array<long>")))
-    for step in range(doublings):
-        q, shift = f"{p}{step}", 1 << step
-        pairs = F.transform(F.sequence(F.lit(0), F.size(p) - 1 - shift), _least_of_pair(p, shift))
-        df = df.withColumn(q, F.when(F.size(p) > shift, pairs).when(F.size(p) > 0, F.array(F.array_min(p))).otherwise(F.col(p))).drop(p)
-        p = q
-    return df.withColumn(out, F.array_distinct(p)).drop(u, p)
 
+    def grams(b):
+        at = F.sequence(F.lit(1), F.greatest(F.length(b) - k + 1, F.lit(1)))
+        return F.transform(at, lambda i: F.shiftleft(F.shiftrightunsigned(F.xxhash64(F.substring(b, i, F.lit(k))), 28), 27).bitwiseOR((F.lit(_LOW + 1) - i).cast("long")))
+
+    def halving(shift):  # beyond the end there is nothing, which least() passes over
+        return lambda p: F.zip_with(p, F.slice(p, F.lit(shift + 1), F.greatest(F.size(p) - shift, F.lit(0))), lambda x, y: F.least(x, y))
+
+    def whole(p):  # windows that end within the data; the first one, if there is none
+        minima = p
+        for step in range(doublings):
+            minima = let(minima, halving(1 << step))
+        return F.slice(minima, F.lit(1), F.greatest(F.size(p) - (1 << doublings) + 1, F.lit(1)))
+
+    packed = F.array_distinct(let(let(data, grams), whole))
+    place = lambda x: F.shiftleft(F.lit(_LOW) - x.bitwiseAND(F.lit(_LOW)), 36)
+    return F.when(F.length(data) > 0, F.transform(packed, lambda x: place(x).bitwiseOR(F.shiftrightunsigned(x, 27)))).otherwise(F.array().cast("array<long>"))
 
-def _least_of_pair(column: str, shift: int):
-    return lambda i: F.least(F.get(column, i), F.get(column, i + shift))
+
+def add_fingerprint(df: DataFrame, text_col: str, out: str, k: int = K, doublings: int = DOUBLINGS) -> DataFrame:
+    """df with the column out: the choices of the whole text; null and empty texts have none."""
+    return df.withColumn(out, choices(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), k, doublings))
 
 
 def hashes(packed: Column) -> Column:
-    return F.transform(packed, lambda x: F.shiftright(x, 27))
+    return F.transform(packed, lambda x: x.bitwiseAND(F.lit((1 << 36) - 1)))
 
 
 def as_text(packed: Column) -> Column:
     """The pairs as text: hash in hexadecimal, '@', position."""
-    return F.array_join(F.transform(packed, lambda x: F.concat(F.hex(F.shiftright(x, 27)), F.lit("@"), (F.lit(_LOW) - x.bitwiseAND(F.lit(_LOW))).cast("string"))), " ")
+    return F.array_join(F.transform(packed, lambda x: F.concat(F.hex(x.bitwiseAND(F.lit((1 << 36) - 1))), F.lit("@"), F.shiftright(x, 36).cast("string"))), " ")
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -56,19 +66,22 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(union == 0, 1.0).otherwise(F.size(F.array_intersect(a, b)) / union)
 
 
-def with_next(docs: DataFrame, columns: list[str], id_col: str = "doc_id", rows_per_group: int = 2048, max_groups: int = 4096) -> DataFrame:
+def with_next(docs: DataFrame, columns: list[str], id_col: str = "doc_id", rows_per_group: int = 2048, max_groups: int = 32_768) -> DataFrame:
     """docs with next_<column> for each of columns, from the document that follows in descending order of id_col; after the last comes the first.
 
-    The rows are dealt into groups of neighbouring ids by quantiles of the ids
-    (max_groups - 1 numbers at most on the driver), each group is ordered for
-    itself, and a group's last row gets the first row of the group below. Null
-    ids come last; rows of one id stand in order of their columns' hash.
+    The rows are dealt into groups of neighbouring ids by quantiles of the ids,
+    each group is ordered for itself, and a group's last row gets the first row
+    of the group below. There is a group for each rows_per_group rows; beyond
+    max_groups of them (the driver has one number for each) groups grow, which
+    are ordered with spills. Null ids come last; rows of one id stand in order
+    of their columns' hash.
     """
-    step = 64
+    spark = docs.sparkSession
     count = docs.count()
     n = max(1, min(max_groups, count // rows_per_group))
-    cuts = docs.agg(F.percentile_approx(id_col, [i / n for i in range(1, n)], 100_000)).first()[0] if n > 1 else []
+    cuts = docs.agg(F.percentile_approx(id_col, [i / n for i in range(1, n)], max(10_000, 10 * n))).first()[0] if n > 1 else []
     bounds = sorted({int(x) for x in cuts or []})
+    step = max(64, int(len(bounds) ** 0.5))
     number = lambda values, x: F.size(F.filter(values, lambda b: b < x))
     i = F.col(id_col).cast("long")
     group = F.lit(0)
@@ -79,32 +92,47 @@ def with_next(docs: DataFrame, columns: list[str], id_col: str = "doc_id", rows_
     order = Window.partitionBy("__g").orderBy(F.desc_nulls_last(id_col), "__o")
     heads = docs.select(group.alias("g"), i.alias("i")).groupBy("g").agg(F.max("i").alias("i")).collect()
     groups = sorted((r.g for r in heads), reverse=True)
-    below = dict(zip(groups, groups[1:] + groups[:1]))  # the group that follows, in descending order
-    tops = [r.i for r in heads if r.i is not None]
-    above = F.create_map(*[F.lit(x) for g, b in below.items() for x in (b, g)]) if below else None
-    chosen = df.where(F.col(id_col).isin(tops) | F.col(id_col).isNull()) if tops else df
-    first = chosen.withColumn("__r", F.row_number().over(order)).where("__r = 1").join(_rows(docs, [(r.g, r.i) for r in heads]), ["__g"]).where(F.col(id_col).cast("long").eqNullSafe(F.col("__top")))
-    first = first.select(F.element_at(above, F.col("__g")).alias("__g"), *[F.col(c).alias(f"__first_{c}") for c in columns]) if below else first.select("__g", *[F.col(c).alias(f"__first_{c}") for c in columns])
+    above = {b: g for g, b in zip(groups, groups[1:] + groups[:1])}  # the group that comes before, in descending order
+    tops = spark.createDataFrame([(r.g, r.i, above[r.g]) for r in heads], "__g int, __top long, __above int")
+    known = [r.i for r in heads if r.i is not None]
+    chosen = df.where(F.col(id_col).isin(known) | F.col(id_col).isNull()) if known else df
+    first = chosen.join(F.broadcast(tops), "__g").where(F.col(id_col).cast("long").eqNullSafe(F.col("__top")))  # max_groups rows of three numbers at most
+    # rows that tie for the first place: the one with the least hash, without ordering them
+    first = first.groupBy(F.col("__above").alias("__g")).agg(*[F.min_by(F.struct(*columns), "__o").alias("__first")])
     out = df.withColumns({"__more": F.lead(F.lit(1)).over(order), **{f"__lead_{c}": F.lead(c).over(order) for c in columns}})
     out = out.join(first, "__g", "left")
-    out = out.withColumns({f"next_{c}": F.when(F.col("__more").isNotNull(), F.col(f"__lead_{c}")).otherwise(F.col(f"__first_{c}")) for c in columns})
-    return out.drop("__g", "__o", "__more", *[f"__lead_{c}" for c in columns], *[f"__first_{c}" for c in columns])
-
-
-def _rows(df: DataFrame, rows: list[tuple]) -> DataFrame:
-    return df.sparkSession.createDataFrame(rows, "__g int, __top long")
+    out = out.withColumns({f"next_{c}": F.when(F.col("__more").isNotNull(), F.col(f"__lead_{c}")).otherwise(F.col(f"__first.{c}")) for c in columns})
+    return out.drop("__g", "__o", "__more", "__first", *[f"__lead_{c}" for c in columns])
 
 
-def fingerprint_with_edits(docs: DataFrame, k: int = 4, doublings: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fingerprint_with_edits(docs: DataFrame, k: int = K, doublings: int = DOUBLINGS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: doc_id, n_chars, edited (the last third replaced by as much of the next document's beginning), the packed fingerprints of text, edited and the next document.
 
     Whole texts, null ones as empty. Other columns are left out; repeated rows
-    stay; an empty table gives no rows.
+    stay, and stand next to each other; an empty table gives no rows. The edited
+    text is put together from pieces of two texts whose choices are known, and
+    so are its choices: a choice depends on its window alone, so only windows
+    near the seam and near the end are looked at again.
     """
+    w = 1 << doublings
     base = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     df = with_next(add_fingerprint(base, "text", "prints", k, doublings), ["text", "prints"])
-    n = F.length("text")
-    third = F.floor(n / 3).cast("int")
-    edited = F.concat(F.expr("substring(text, 1, length(text) - cast(floor(length(text) / 3) as int))"), F.substring(F.col("next_text"), F.lit(1), third))
-    df = df.select("doc_id", n.cast("long").alias("n_chars"), edited.alias("edited"), "prints", F.col("next_prints"))
-    return add_fingerprint(df, "edited", "edited_prints", k, doublings)
+    third = F.floor(F.length("text") / 3).cast("int")
+    df = df.withColumns({"__a": F.substring(F.col("text"), F.lit(1), F.length("text") - third), "__b": F.substring(F.col("next_text"), F.lit(1), third)})
+    df = df.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.concat("__a", "__b").alias("edited"), F.octet_length("__a").alias("__m"), F.octet_length("__b").alias("__t"), "prints", "next_prints")
+
+    def piece(begin, end):  # the choices of the edited text's bytes from begin to end, with their places in it
+        part = F.substring(F.col("edited").cast("binary"), begin + 1, end - begin)
+        return F.transform(choices(part, k, doublings), lambda x: x + F.shiftleft(begin.cast("long"), 36))
+
+    def kept(prints, length, offset):  # choices of the first length bytes that don't depend on what follows
+        last = F.shiftleft((length - (k - 1) - w + 1).cast("long"), 36)
+        return F.transform(F.filter(prints, lambda x: x < last), lambda x: x + F.shiftleft(offset.cast("long"), 36))
+
+    m, t = F.col("__m"), F.col("__t")
+    zero = F.lit(0)
+    seam = piece(F.greatest(zero, m - (k + 2 * w)), F.least(m + t, m + (k + 2 * w)))
+    tail = piece(F.greatest(zero, m + t - (k + 2 * w)), m + t)
+    # a choice within the first m bytes, and not of their last windows, comes from a window of those bytes
+    all_ = F.concat(kept(F.col("prints"), m, zero), seam, kept(F.col("next_prints"), t, m), tail)
+    return df.select("doc_id", "n_chars", "edited", "prints", "next_prints", F.array_sort(F.array_distinct(all_)).alias("edited_prints"))
