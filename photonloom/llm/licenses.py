@@ -15,6 +15,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .common import let
+
 #: What lies between words: ASCII but digits and lower-case letters.
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -66,7 +68,7 @@ def find_spans(docs: DataFrame, templates: list[Template] | None = None, min_cov
     spark = docs.sparkSession
     pairs = F.broadcast(template_pairs(spark, templates if templates is not None else BASE + NOTICES))  # the fixed list
     df = docs.select(F.col(id_col).cast("long").alias("doc_id"), words_of(F.col(text_col)).alias("w")).where(F.size("w") > 1)
-    hashes = F.transform(F.sequence(F.lit(0), F.size("w") - 2), lambda i: F.xxhash64(F.get("w", i), F.get("w", i + 1)))
+    hashes = let(F.col("w"), lambda w: F.transform(F.sequence(F.lit(0), F.size(w) - 2), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1))))
     df = df.select("doc_id", "w", F.posexplode(hashes).alias("pos", "h"))
     votes = df.join(pairs, "h").where((F.get("w", F.col("pos")) == F.col("a")) & (F.get("w", F.col("pos") + 1) == F.col("b")))
     key = ["doc_id", "template", "label", "whole", "t_words"]
@@ -85,7 +87,10 @@ def find_spans(docs: DataFrame, templates: list[Template] | None = None, min_cov
 def scan_documents(docs: DataFrame, min_cover: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score (the best cover; 0 without a span).
 
-    Rows stay as they are, repeated ones too; null texts count as empty.
+    Rows stay as they are, repeated ones too; null texts count as empty; whole
+    texts are scanned, however long. Of spans that tie in cover none is chosen:
+    labels names them all. Rows with a null doc_id have no spans. Other columns
+    are left out; an empty table gives no rows.
     """
     spans = find_spans(docs, min_cover=min_cover, id_col=id_col, text_col=text_col)
     start = F.when(F.col("whole"), F.col("first_word"))
