@@ -2,15 +2,17 @@
 
 Tokens score their log-odds between toxic and clean training documents under
 an informative Dirichlet prior (the counts of both together, scaled down). A
-token counts once with each different follower, so a document's many copies
-or a document's favourite word don't count again and again. A token without
-significant log-odds of its own gets those of its longest significant stem,
-any other token a small negative constant. A linear-time scan finds all disjoint
-maximal segments of a text. A segment of score s in n tokens has p = 1 - exp(-K n exp(-lambda s)) under the
+token counts once with each different follower, or once in each different
+text if that is more, so neither a document's many copies nor its favourite
+word count again and again, and wording that is pasted into many texts does
+count. A token without significant log-odds of its own, for or against, gets
+those of its longest significant stem, any other token a small negative
+constant. A linear-time scan finds all disjoint maximal segments of a text. A
+segment of score s in n tokens has p = 1 - exp(-K n exp(-lambda s)) under the
 extreme-value law, with lambda from the scores of clean text and K from the
 best segments of clean training documents. A document's evidence, the sum of
--ln p of its best and its significant segments, goes through a logistic curve fitted on the training
-documents to give its score.
+-ln p of its best and its significant segments, goes through a logistic curve
+fitted on the training documents to give its score.
 """
 
 from __future__ import annotations
@@ -20,11 +22,13 @@ import re
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_columns, bucket_of
+from .common import append_columns, bucket_of, staged
 
 TOKEN = re.compile(r"[^\W_]+")
 #: Lengths of the stems that are scored beside whole tokens.
@@ -76,9 +80,7 @@ def segments_of(text: str | None, model: ToxicityModel) -> tuple[int, list[tuple
     w = model.weights
     hits = []
     for i, t in enumerate(tokens):
-        if (x := w.get(t)) is None:
-            x = next((w["^" + t[:k]] for k in reversed(STEMS) if len(t) > k and "^" + t[:k] in w), None)
-        if x is not None:
+        if (x := score_of(t, w)) is not None:
             hits.append((i, x))
     return len(tokens), maximal_segments(hits, model.other) if hits else []
 
@@ -93,22 +95,66 @@ def evidence(n: int, segments: list[tuple[int, int, float]], model: ToxicityMode
     return sum(x for k, x in enumerate(logs) if not k or x > 3.0)
 
 
+def token_counts(train: DataFrame) -> DataFrame:
+    """(w, t, c) of train(y, t): a token's distinct followers in toxic and in clean texts, or its distinct texts if there are more."""
+
+    def run(batches):
+        seen: dict[tuple[str, int, int], int] = {}
+
+        def flush():
+            rows = pa.RecordBatch.from_arrays([pa.array([k[0] for k in seen], pa.string()), pa.array([k[1] for k in seen], pa.int64()), pa.array([k[2] for k in seen], pa.int32()), pa.array(list(seen.values()), pa.int32())], names=["w", "key", "kind", "flags"])
+            seen.clear()
+            return rows
+
+        for batch in batches:
+            for y, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                tokens, flag = TOKEN.findall(text.as_py().lower()), 2 if y else 1
+                same = xxhash.xxh3_64_intdigest("\n".join(tokens)) >> 1
+                for k in [*((a, xxhash.xxh3_64_intdigest(f"{a}\n{b}") >> 1, 0) for a, b in set(zip(tokens, [*tokens[1:], ""]))), *((a, same, 1) for a in set(tokens))]:
+                    seen[k] = seen.get(k, 0) | flag
+                if len(seen) > 200_000:
+                    yield flush()
+        if seen:
+            yield flush()
+
+    rows = train.select("y", "t").mapInArrow(run, "w string, key long, kind int, flags int").groupBy("w", "kind", "key").agg(F.bit_or("flags").alias("flags"))
+    each = lambda kind, flag: F.count_if((F.col("kind") == kind) & (F.col("flags").bitwiseAND(F.lit(flag)) > 0))
+    return rows.groupBy("w").agg(F.greatest(each(0, 2), each(1, 2)).alias("t"), F.greatest(each(0, 1), each(1, 1)).alias("c"))
+
+
+def score_of(token: str, weights: dict[str, float]) -> float | None:
+    """A token's score, its longest known stem's, or None."""
+    x = weights.get(token)
+    return x if x is not None else next((weights["^" + token[:k]] for k in reversed(STEMS) if len(token) > k and "^" + token[:k] in weights), None)
+
+
+def score_counts(words: DataFrame, weights: dict[str, float]) -> list[tuple[float | None, int, int]]:
+    """(score, t, c) of words(w, t, c) by score: as many rows as there are scores."""
+
+    def run(batches):
+        for batch in batches:
+            scores = [score_of(w, weights) for w in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(scores, pa.float64()), batch.column(1), batch.column(2)], names=["s", "t", "c"])
+
+    rows = words.mapInArrow(run, "s double, t long, c long").groupBy("s").agg(F.sum("t").alias("t"), F.sum("c").alias("c")).collect()
+    return [(r.s, int(r.t), int(r.c)) for r in rows]
+
+
 def fit(docs: DataFrame, labels: DataFrame, learn, max_docs: int = 8_000, prior: float = 500.0, least: float = 0.01, min_count: int = 4, z: float = 5.0, least_odds: float = 1.5, id_col: str = "doc_id", text_col: str = "text") -> ToxicityModel:
     """A model from the labelled rows for which learn(id column) holds; of more than max_docs the ones with the least hash of the id.
 
-    Rows without an id, text or label teach nothing. Without toxic or without
-    clean training rows every text gets one and the same score.
+    Rows without an id, text or label teach nothing; an id with several labels
+    is toxic if one of them says so. Without toxic or without clean training
+    rows every text gets one and the same score.
     """
     known = labels.select(F.col(id_col).alias("i"), F.col("toxic").cast("int").alias("y")).where("i IS NOT NULL AND y IS NOT NULL").where(learn(F.col("i")))
     chosen = known.groupBy("i").agg(F.max("y").alias("y")).orderBy(F.xxhash64("i"), "i").limit(max_docs)
     texts = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).where("t IS NOT NULL")
     train = texts.join(F.broadcast(chosen), "i")  # max_docs rows of two numbers at most
-    tokens = F.regexp_extract_all(F.lower("t"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
-    follow = train.select("y", tokens.alias("ws")).select("y", F.posexplode("ws").alias("k", "w"), "ws").select("y", "w", F.xxhash64("w", F.get("ws", F.col("k") + 1)).alias("pair")).groupBy("w", "pair").agg(F.max("y").alias("y"), F.max(1 - F.col("y")).alias("z"))
+    words = staged(token_counts(train), "tokens", compact=True)
     keys = F.array("w", *[F.when(F.length("w") > k, F.concat(F.lit("^"), F.substring("w", 1, k))) for k in STEMS])
-    pairs = follow.select(F.explode(keys).alias("w"), "pair", "y", "z").where("w IS NOT NULL")
-    counts = pairs.groupBy("w").agg(F.sum("y").alias("t"), F.sum("z").alias("c"))
-    total = counts.where("w NOT LIKE '^%'").agg(F.sum("t"), F.sum("c")).first()
+    counts = words.select(F.explode(keys).alias("w"), "t", "c").where("w IS NOT NULL").groupBy("w").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
+    total = words.agg(F.sum("t"), F.sum("c")).first()
     n_t, n_c = int(total[0] or 0), int(total[1] or 0)
     if not n_t or not n_c:
         return ToxicityModel({}, -0.1, 1.0, 1.0, 0.0, math.log(0.5) if n_t else -3.0)
@@ -121,15 +167,19 @@ def fit(docs: DataFrame, labels: DataFrame, learn, max_docs: int = 8_000, prior:
     def surprise(y, m):
         return F.when(y > 0, y * F.log(y * n / (F.lit(m) * (F.col("t") + F.col("c"))))).otherwise(0.0)
 
-    odds = (log_odds(F.col("t"), n_t) - log_odds(F.col("c"), n_c)).alias("d")
+    inside = (F.col("t") + alpha < n_t + prior) & (F.col("c") + alpha < n_c + prior)  # a token that is all of one side's text has no odds
+    odds = F.when(inside, log_odds(F.col("t"), n_t) - log_odds(F.col("c"), n_c)).alias("d")
     significant = (surprise(F.col("t"), n_t) + surprise(F.col("c"), n_c)) * 2 > z * z
-    lexicon = counts.where(F.col("t") >= min_count).where(significant).select("w", "t", "c", odds).where(F.col("d") > least_odds).collect()  # words of a bounded sample
+    lexicon = counts.where(F.greatest("t", "c") >= min_count).where(significant).select("w", odds).where((F.col("d") > least_odds) | (F.col("d") < -least_odds)).collect()  # words of a bounded sample
     weights = {r.w: float(r.d) for r in lexicon}
-    hit_t, hit_c = sum(r.t for r in lexicon) / n_t, sum(r.c for r in lexicon) / n_c
-    other = min(math.log((1 - hit_t) / (1 - hit_c)), -0.02)
+    found = score_counts(words, weights)
+    hit_t, hit_c = sum(t for s, t, _ in found if s is not None), sum(c for s, _, c in found if s is not None)
+    other = math.log((n_t - hit_t + 0.5) / (n_t + 0.5)) - math.log((n_c - hit_c + 0.5) / (n_c + 0.5))
+    other = min(max(other, -2.0), -0.02)
     # lambda: the positive root of sum p exp(lambda s) = 1 over clean text; one more hit than seen keeps it finite
-    p = [((r.c + 1 / len(lexicon)) / (n_c + 1), float(r.d)) for r in lexicon]
-    rest = 1 - sum(x for x, _ in p)
+    hits = [(c, s) for s, _, c in found if s is not None]
+    p = [((c + 1 / len(hits)) / (n_c + 1), s) for c, s in hits]
+    rest = max(1 - sum(x for x, _ in p), 0.0)
     lo, hi = 1e-3, 20.0
     for _ in range(80):
         mid = (lo + hi) / 2
@@ -146,10 +196,10 @@ def fit(docs: DataFrame, labels: DataFrame, learn, max_docs: int = 8_000, prior:
 
     seen = append_columns(train, "t", fields, make).select("y", "n", "best", "all_segments").collect()  # max_docs short rows
     # K by the rate of clean documents with a segment: P(none) = exp(-K n exp(-lambda s)) for the least score s
-    lowest = min(weights.values(), default=1.0)
+    lowest = min((x for x in weights.values() if x > 0), default=1.0)
     clean = [r for r in seen if r.y == 0]
-    hits, length = sum(r.best >= lowest for r in clean), sum(r.n for r in clean)
-    k = min(max((hits + 0.5) / max(length, 1) * math.exp(lo * lowest), 1e-12), 1.0)
+    seen_hits, length = sum(r.best >= lowest for r in clean), sum(r.n for r in clean)
+    k = min(max((seen_hits + 0.5) / max(length, 1) * math.exp(lo * lowest), 1e-12), 1.0)
     calibrated = ToxicityModel(weights, other, lo, k, 1.0, 0.0)
     x = np.array([math.log1p(evidence(r.n, [(0, 0, s) for s in r.all_segments], calibrated)) for r in seen])
     y = np.array([float(r.y) for r in seen])
@@ -187,8 +237,10 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[float,
 def score_documents(docs: DataFrame, model: ToxicityModel, max_p: float = 0.01, text_col: str = "text") -> DataFrame:
     """docs with score (0 to 1) and passages, the segments with p <= max_p: first and last token, score, p.
 
-    Whole texts; null and empty ones count as texts without a segment. Columns
-    with these names are replaced; rows stay as they are, repeated ones too.
+    Whole texts, however long; null and empty ones count as texts without a
+    segment. Segments that tie are all there. Columns with these names are
+    replaced; rows stay as they are, repeated ones too; an empty table gives no
+    rows.
     """
     passage = T.StructType([T.StructField("first_token", T.LongType()), T.StructField("last_token", T.LongType()), T.StructField("score", T.DoubleType()), T.StructField("p", T.DoubleType())])
     shared = docs.sparkSession.sparkContext.broadcast(model)  # the lexicon of a bounded sample
