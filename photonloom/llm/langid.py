@@ -1,31 +1,47 @@
 """Language identification by cross-parsing.
 
-For each language, labelled text is compiled into a suffix automaton. A text
-is parsed into the longest phrases that occur in the language's text; phrases
-don't run across words, so a word's phrase counts are the same wherever it
-stands and are kept. Every phrase costs the bits of a pointer into the
-language's text, log2 of its length; the language with the fewest bits a
-character wins.
+For each language, labelled text is compiled into a suffix automaton of its
+bytes. A text is parsed into the longest phrases that occur in the language's
+text, across words; every phrase costs the bits of a pointer into that text,
+log2 of its length; the language with the fewest bits a byte wins. Texts are
+cut into blocks of 2,048 bytes, which are parsed side by side: one array step
+takes a byte of every block through the automata of all languages.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import append_columns
 
-WORD = re.compile(r"[^\W\d_]+")
+#: Bytes of a text that are parsed as one.
+BLOCK = 2048
 
 
-def suffix_automaton(text: str) -> list[dict[str, int]]:
+@functools.cache
+def letters() -> re.Pattern:
+    """Runs of letters: of word characters but digits, '_' and the numbers that aren't digits (fractions, superscripts, numerals)."""
+    numbers = "".join(c for c in map(chr, range(0x110000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+    return re.compile(f"[^\\W\\d_{re.escape(numbers)}]+")
+
+
+def normalised(text: str | None) -> bytes:
+    """The words of letters in lower case, each with a space before it, and a space at the end; empty if there is no letter."""
+    words = letters().findall((text or "").lower())
+    return f" {' '.join(words)} ".encode() if words else b""
+
+
+def suffix_automaton(text: str | bytes) -> list[dict]:
     """The transitions of the minimal automaton of all substrings of text; state 0 is the start."""
-    nxt: list[dict[str, int]] = [{}]
+    nxt: list[dict] = [{}]
     link, length = [-1], [0]
     last = 0
     for c in text:
@@ -54,104 +70,150 @@ def suffix_automaton(text: str) -> list[dict[str, int]]:
     return nxt
 
 
-def phrases(word: str, automaton: list[dict[str, int]]) -> int:
-    """The number of longest-match phrases that word is parsed into; a character that never occurs is one of its own."""
-    n, i, count = len(word), 0, 0
-    while i < n:
-        state = 0
-        j = i
-        while j < n:
-            t = automaton[state].get(word[j])
-            if t is None:
-                break
-            state = t
-            j += 1
-        i = j if j > i else i + 1
-        count += 1
-    return count
-
-
 @dataclass(frozen=True)
 class LanguageModel:
+    """The automata of all languages in one table of steps.
+
+    steps[state * width + symbol] is twice the next state (times width), plus
+    one if a phrase ends before the symbol, which then begins the next one.
+    """
+
     languages: list[str]  # sorted
-    automata: list[list[dict[str, int]]]
+    symbol: np.ndarray  # of each byte; 0 for those that no language has
+    width: int
+    starts: np.ndarray  # each language's first state, times width
+    steps: np.ndarray
     bits: list[float]  # of a phrase
 
-
-def fit(docs: DataFrame, learn, docs_per_language: int = 64, chars_per_language: int = 30_000, max_languages: int = 64, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
+    @staticmethod
+    def of(texts: dict[str, bytes]) -> LanguageModel:
+        languages = sorted(texts)
+        used = sorted(set(b"".join(texts.values())))
+        symbol = np.zeros(256, dtype=np.int32)
+        symbol[used] = np.arange(1, len(used) + 1)
+        width = len(used) + 1
+        parts, starts, at = [], [], 0
+        for lang in languages:
+            automaton = suffix_automaton(texts[lang])
+            n = len(automaton) + 1  # and a state that nothing follows, after a byte that the language doesn't have
+            table = np.full((n, width), -1, dtype=np.int64)
+            for k, arcs in enumerate(automaton):
+                for c, t in arcs.items():
+                    table[k, symbol[c]] = t
+            table[0, table[0] < 0] = n - 1
+            ends = table < 0
+            table = np.where(ends, table[0], table)
+            parts.append((((table + at) * width) << 1 | ends).ravel())
+            starts.append(at * width)
+            at += n
+        steps = np.concatenate(parts) if parts else np.zeros(0, np.int64)
+        return LanguageModel(languages, symbol, width, np.array(starts, dtype=np.int64), steps.astype(np.int32 if at * width < 1 << 30 else np.int64), [math.log2(len(texts[x]) + 1) for x in languages])
+
+    def phrases(self, blocks: list[bytes]) -> np.ndarray:
+        """The number of longest-match phrases of each block that isn't empty, by language (rows) and block (columns)."""
+        order = sorted(range(len(blocks)), key=lambda k: -len(blocks[k]))
+        size = np.array([len(blocks[k]) for k in order])
+        data = np.zeros((len(blocks), int(size.max())), dtype=np.uint8)
+        for row, k in zip(data, order):
+            row[: len(blocks[k])] = np.frombuffer(blocks[k], dtype=np.uint8)
+        columns = self.symbol.astype(self.steps.dtype)[data.T]
+        state = np.repeat(self.starts[:, None], len(blocks), axis=1).astype(self.steps.dtype)
+        count = np.ones(state.shape, dtype=np.int32)
+        live = np.searchsorted(-size, -np.arange(len(columns)), side="left")  # the blocks that are longer than so many bytes
+        for j, n in enumerate(live.tolist()):
+            step = self.steps[state[:, :n] + columns[j, :n]]
+            count[:, :n] += step & 1
+            state[:, :n] = step >> 1
+        out = np.empty_like(count)
+        out[:, order] = count
+        return out
+
+
+def fit(docs: DataFrame, learn, docs_per_language: int = 64, bytes_per_language: int = 24_000, bytes_in_all: int = 480_000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
     """A model from rows with text and language for which learn(id column) holds.
 
-    Per language the docs_per_language rows with the least hash of the id give
-    chars_per_language characters in equal parts (all texts, where there are
-    fewer); of more than max_languages the most frequent are learned. This
-    bounds the sample and the automata.
+    Every language is learned, from whole texts alone: of its rows of up to
+    bytes_per_language bytes (an equal share of bytes_in_all, where that is
+    less) the docs_per_language ones with the least hash of the id are taken
+    one by one while they fit into that number together. A language without so
+    short a row has its shortest one. This bounds sample and automata.
     """
     rows = docs.select(F.col(id_col).alias("i"), F.col(lang_col).alias("l"), F.col(text_col).alias("t")).where("i IS NOT NULL AND l IS NOT NULL AND t IS NOT NULL").where(learn(F.col("i")))
     rows = rows.where(F.regexp_like("t", F.lit(r"\p{L}")))
-    langs = [r.l for r in rows.groupBy("l").count().orderBy(F.desc("count"), "l").limit(max_languages).collect()]
-    each = Window.partitionBy("l").orderBy("h", "i")
-    chosen = rows.where(F.col("l").isin(langs)).select("i", "l", F.xxhash64("i").alias("h")).withColumn("r", F.row_number().over(each)).where(F.col("r") <= docs_per_language).select("i", "l")
-    part = chars_per_language // max(docs_per_language, 1)
-    texts = rows.join(F.broadcast(chosen), ["i", "l"]).select("l", "i", F.substring("t", 1, 4 * part).alias("t")).orderBy("l", "i").collect()
-    languages, automata, bits = sorted(langs), [], []
-    for lang in languages:
-        own = [" ".join(WORD.findall(r.t.lower())) for r in texts if r.l == lang]
-        text, room = "", chars_per_language
-        for k, t in enumerate(own):
-            share = room // (len(own) - k)
-            text += " " + t[:share]
-            room -= min(len(t), share)
-        automata.append(suffix_automaton(text + " "))
-        bits.append(math.log2(len(text) + 2))
-    return LanguageModel(languages, automata, bits)
+    langs = sorted(r.l for r in rows.select("l").distinct().collect())  # languages are few
+    room = min(bytes_per_language, bytes_in_all // max(len(langs), 1))
+    long = F.octet_length("t") > room
+    each = Window.partitionBy("l").orderBy("long", "rank", "h", "i")
+    keyed = rows.select("i", "l", long.alias("long"), F.when(long, F.octet_length("t")).otherwise(0).alias("rank"), F.xxhash64("i").alias("h"))
+    chosen = keyed.withColumn("r", F.row_number().over(each)).where(F.col("r") <= docs_per_language).where("NOT long OR r = 1").select("i", "l", "r")
+    texts = rows.join(F.broadcast(chosen), ["i", "l"]).select("l", "r", "t").orderBy("l", "r", "t").collect()  # docs_per_language rows of bounded length a language
+    learned: dict[str, bytes] = dict.fromkeys(langs, b"")
+    for r in texts:
+        own = normalised(r.t)
+        if not learned[r.l] or len(learned[r.l]) + len(own) <= room:
+            learned[r.l] += own
+    return LanguageModel.of({k: v for k, v in learned.items() if v})
 
 
 class Identifier:
-    """Languages of texts; phrase counts of words are kept, for so many words at most."""
-
-    def __init__(self, model: LanguageModel, kept: int = 300_000):
-        self.model, self.kept = model, kept
-        self.known: dict[str, int] = {}
-
-    def cost(self, word: str) -> int:
-        """The phrase counts of all languages, in 40 bits of one number each."""
-        padded = f" {word} "
-        n = 0
-        for k, a in enumerate(self.model.automata):
-            n |= phrases(padded, a) << (40 * k)
-        if len(word) <= 40:
-            if len(self.known) >= self.kept:
-                self.known.clear()
-            self.known[word] = n
-        return n
-
-    def __call__(self, text: str | None) -> tuple[str, float, list[float]]:
-        """Language, confidence and bits a character of each language."""
-        words = WORD.findall((text or "").lower())
-        if not words or not self.model.languages:
-            return "und", 0.0, []
-        get, cost = self.known.get, self.cost
-        total = sum([get(w) or cost(w) for w in words])
-        chars = sum(map(len, words)) + len(words)
-        rate = [(total >> (40 * k) & 0xFFFFFFFFFF) * b / chars for k, b in enumerate(self.model.bits)]
-        best = min(rate)
-        odds = [2.0 ** -min(8 * (r - best), 1000) for r in rate]
-        k = rate.index(best)
-        return self.model.languages[k], odds[k] / sum(odds), rate
+    """Languages of texts, from all their blocks."""
+
+    def __init__(self, model: LanguageModel, at_once: int = 2048):
+        self.model, self.at_once = model, at_once
+
+    def __call__(self, texts: list[str | None]) -> list[tuple[str, float, list[float]]]:
+        """For each text: language, confidence and bits a byte of each language."""
+        m = self.model
+        out: list[tuple[str, float, list[float]]] = [("und", 0.0, [])] * len(texts)
+        if not m.languages:
+            return out
+        size = np.zeros(len(texts), dtype=np.int64)
+        total = np.zeros((len(m.languages), len(texts)))
+        owners: list[int] = []
+        blocks: list[bytes] = []
+
+        def settle():
+            counts = m.phrases(blocks)
+            for k in range(len(m.languages)):
+                total[k] += np.bincount(owners, weights=counts[k], minlength=len(texts))
+            owners.clear(), blocks.clear()
+
+        for k, t in enumerate(texts):
+            data = normalised(t)
+            size[k] = len(data)
+            for lo in range(0, len(data), BLOCK):
+                owners.append(k)
+                blocks.append(data[lo : lo + BLOCK])
+                if len(blocks) >= self.at_once:
+                    settle()
+        if blocks:
+            settle()
+        for k in np.flatnonzero(size):
+            rate = [float(n) * b / float(size[k]) for n, b in zip(total[:, k], m.bits)]
+            best = min(rate)
+            odds = [2.0 ** -min(8 * (r - best), 1000) for r in rate]
+            j = rate.index(best)
+            out[k] = (m.languages[j], odds[j] / sum(odds), rate)
+        return out
 
 
 def identify_documents(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
-    """docs with lang_pred, score (confidence, 0 to 1) and bits_per_char of each language in the model's order.
+    """docs with lang_pred, score (confidence, 0 to 1) and bits_per_byte of each language in the model's order.
 
-    Whole texts; null, empty and letterless texts get 'und', 0 and no bits;
-    of languages with equally many bits the first in order wins. Columns with
-    these names are replaced; rows stay as they are, repeated ones too.
+    Whole texts, however long; null, empty and letterless texts get 'und', 0
+    and no bits; of languages with equally many bits the first in order wins.
+    Columns with these names are replaced; rows stay as they are, repeated ones
+    too; an empty table gives no rows.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    fields = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("bits_per_char", T.ArrayType(T.DoubleType()))]
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by fit()
+    fields = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("bits_per_byte", T.ArrayType(T.DoubleType()))]
 
     def make():
         identify = Identifier(shared.value)
-        return lambda texts: [list(c) for c in zip(*map(identify, texts))] if texts else [[], [], []]
+
+        def run(texts):
+            return [list(c) for c in zip(*identify(texts))] if texts else [[], [], []]
+
+        return run
 
     return append_columns(docs, text_col, fields, make)
