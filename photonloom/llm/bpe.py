@@ -18,6 +18,7 @@ import unicodedata
 from array import array
 from bisect import bisect_left
 from hashlib import sha256
+from heapq import heapify, heappop, heappush
 
 import regex
 from pyspark.sql import DataFrame
@@ -30,6 +31,9 @@ from .packing import PLAIN, byte_alphabet
 #: The published word pattern of this family of vocabularies (fixed value).
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
+#: Longer words are encoded anew each time and don't go into the lexicon.
+LONGEST_KEPT = 64
+
 
 def compile_lexicon(entries: dict[str, list[int]]) -> bytes:
     """The image of a minimal acyclic transducer: header, states, transitions, offsets of ids, ids; unsigned 32-bit words."""
@@ -131,6 +135,8 @@ class WordBpe:
         """Merges the pair of least rank, leftmost first, until none is left."""
         ids = [self.inner[b] for b in data[:-1]]
         ids.append(self.last[data[-1]])
+        if len(ids) > 64:
+            return self.merge_long(ids)
         get, none = self.rank.get, 1 << 62
         ranks = [get((a << 20) | b, none) for a, b in zip(ids, ids[1:])]
         while ranks:
@@ -146,6 +152,27 @@ class WordBpe:
                 ranks[i] = get((new << 20) | ids[i + 1], none)
         return ids
 
+    def merge_long(self, ids: list[int]) -> list[int]:
+        """The same in n log n steps: pairs wait in a heap, ids are linked; a pair that is no longer there is passed over."""
+        get, n = self.rank.get, len(ids)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(r, i) for i in range(n - 1) if (r := get((ids[i] << 20) | ids[i + 1])) is not None]
+        heapify(heap)
+        while heap:
+            r, i = heappop(heap)
+            j = after[i]
+            if ids[i] < 0 or j >= n or get((ids[i] << 20) | ids[j]) != r:
+                continue
+            ids[i], ids[j] = r & 0xFFFFF, -1
+            k = after[i] = after[j]
+            if k < n:
+                before[k] = i
+                if (x := get((ids[i] << 20) | ids[k])) is not None:
+                    heappush(heap, (x, i))
+            if (h := before[i]) >= 0 and (x := get((ids[h] << 20) | ids[i])) is not None:
+                heappush(heap, (x, h))
+        return [x for x in ids if x >= 0]
+
     def words(self, text: str) -> list[str | bytes]:
         """Words as lower-case text or, from rare characters, as bytes."""
         if PLAIN.fullmatch(text):
@@ -177,7 +204,9 @@ class Encoder:
         if len(self.known) >= self.kept:
             self.known.clear()
         ids = self.ids(word)
-        self.known[word] = e = (len(ids), " ".join(map(str, ids)), self.bpe.decode(ids))
+        e = (len(ids), " ".join(map(str, ids)), self.bpe.decode(ids))
+        if len(word) <= LONGEST_KEPT:
+            self.known[word] = e
         return e
 
     def __call__(self, text: str) -> tuple[int, str, str]:
@@ -195,7 +224,7 @@ class Encoder:
 
 def frequent_words(docs: DataFrame, size: int = 65536, text_col: str = "text") -> list[str]:
     """The words of letters that occur most often over all documents, size at most."""
-    words = docs.select(F.explode(F.regexp_extract_all(F.lower(text_col), F.lit(r"\p{L}+"), F.lit(0))).alias("w"))
+    words = docs.select(F.explode(F.regexp_extract_all(F.lower(text_col), F.lit(r"\p{L}+"), F.lit(0))).alias("w")).where(F.length("w") <= LONGEST_KEPT)
     counts = staged(words.groupBy("w").agg(F.count("*").alias("n")).where("n > 1"), "words")
     return [r.w for r in most_frequent(counts, size).select("w").collect()]
 
@@ -209,8 +238,11 @@ def encode_documents(docs: DataFrame, tokenizer: str, lexicon_size: int = 65536,
     """docs with n_tokens and, for digests, ids_sha256 and decoded_sha256, else ids and decoded.
 
     Whole texts; a null text counts as empty (no ids). Columns of docs with
-    these names are replaced; rows stay as they are, repeated ones too. The
-    lexicon has lexicon_size words at most, so its image is bounded.
+    these names are replaced; rows stay as they are, repeated ones too; of
+    words that tie in frequency at the lexicon's edge none goes in, which
+    changes no id. A word of n bytes is merged in n log n steps, so texts may
+    be of any length. An empty table gives no rows. The lexicon has
+    lexicon_size words at most, so its image is bounded.
     """
     image = docs.sparkSession.sparkContext.broadcast(build_lexicon(docs, tokenizer, lexicon_size, text_col))
     text = [T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
