@@ -4,7 +4,9 @@ A text is its words in lower case, one space between them and an end; each
 byte of it is eight binary decisions. Every context of 0 to `depth` bytes has
 a Krichevsky-Trofimov estimate for each of its decisions; a node's weighted
 probability is the even mixture of its own estimate and of the product over
-its children, so the mixture runs over all depths and all tree models. The
+its children, so the mixture runs over all depths and all tree models. A context
+that training doesn't have predicts what the longest part of it that training
+has does. The
 counts come from all training documents, gathered by aggregation; scoring uses
 the trained mixture as it stands. The tree is dealt over tasks by the last two
 bytes of context, as all deeper nodes stand below one of those; the driver has
@@ -92,7 +94,7 @@ def nodes_of(pairs: list, bit: int, depth: int) -> tuple[list[tuple], np.ndarray
 
 
 def mixed(p: np.ndarray, nodes: list[tuple], least: int, grams: np.ndarray, bit: int) -> np.ndarray:
-    """p, the probability of a 1 by deeper nodes, after the nodes (keys, one, own) of depths from least on."""
+    """p, the probability of a 1 by deeper nodes (NaN where there is none), after the nodes (keys, one, own) of depths from least on."""
     context, prefix = grams >> np.uint64(8), np.uint64(1 << bit) | ((grams & np.uint64(255)) >> np.uint64(8 - bit))
     for d in range(least + len(nodes) - 1, least - 1, -1):
         keys, one, own = nodes[d - least]
@@ -100,10 +102,17 @@ def mixed(p: np.ndarray, nodes: list[tuple], least: int, grams: np.ndarray, bit:
             continue
         node = ((context & np.uint64((1 << 8 * d) - 1)) << np.uint64(8)) | prefix
         at = np.minimum(np.searchsorted(keys, node), len(keys) - 1)
-        p = np.where(keys[at] == node, own[at] * one[at] + (1 - own[at]) * p, 0.5)
+        below = np.where(np.isnan(p), one[at], own[at] * one[at] + (1 - own[at]) * p)
+        p = np.where(keys[at] == node, below, p)
     return p
 
 
+def log10_of_bit(p: np.ndarray, grams: np.ndarray, bit: int) -> np.ndarray:
+    """log10 of the probability of the grams' bits, p being that of a 1 (NaN: even)."""
+    p = np.where(np.isnan(p), 0.5, p)
+    return np.log10(np.where(((grams >> np.uint64(7 - bit)) & np.uint64(1)).astype(bool), p, 1 - p))
+
+
 @dataclass(frozen=True)
 class ContextTree:
     """Nodes by the number of bits decided, then by depth of context, each sorted by its key: context << 8 | bits so far after a leading 1."""
@@ -126,9 +135,8 @@ class ContextTree:
             return np.concatenate([self.log10(x) for x in np.array_split(grams, len(grams) // 250_000 + 1)])
         total = np.zeros(len(grams))
         for bit in range(8):
-            value = ((grams >> np.uint64(7 - bit)) & np.uint64(1)).astype(bool)
-            p = mixed(np.full(len(grams), 0.5), list(zip(self.keys[bit], self.one[bit], self.own[bit])), 0, grams, bit)
-            total += np.log10(np.where(value, p, 1 - p))
+            p = mixed(np.full(len(grams), np.nan), list(zip(self.keys[bit], self.one[bit], self.own[bit])), 0, grams, bit)
+            total += log10_of_bit(p, grams, bit)
         return total
 
 
@@ -208,7 +216,7 @@ def gather(train: DataFrame, depth: int, text_col: str, held_words: int = 250_00
                 words[END] += 1
                 grams.append(grams_of(ws, depth))
                 size += len(grams[-1])
-                if size > 2_000_000:  # bytes whose grams are held as such
+                if size > 4_000_000:  # bytes whose grams are held as such
                     k, n = np.unique(np.concatenate(grams), return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array([1] * len(k), pa.int32()), pa.nulls(len(k), pa.binary()), pa.array(k.view(np.int64)), pa.array(n)], names=["kind", "word", "gram", "n"])
                     grams, size = [], 0
@@ -313,17 +321,16 @@ def gram_values(counts: DataFrame, asked: DataFrame, top: list[list[tuple]], dep
         if len(q):
             pairs = by_depth(*trained(grams, n), depth, floor)
             for bit in range(8):
-                value = ((q >> np.uint64(7 - bit)) & np.uint64(1)).astype(bool)
-                p = mixed(np.full(len(q), 0.5), nodes_of(pairs, bit, depth)[0], floor, q, bit)
+                p = mixed(np.full(len(q), np.nan), nodes_of(pairs, bit, depth)[0], floor, q, bit)
                 p = mixed(p, shared.value[bit], 0, q, bit)
-                total += np.log10(np.where(value, p, 1 - p))
+                total += log10_of_bit(p, q, bit)
         return pa.RecordBatch.from_arrays([pa.array(q.view(np.int64)), pa.array(total)], names=["gram", "log10"])
 
     rows = counts.select("gram", "n").unionByName(asked.select("gram", F.lit(0).cast("long").alias("n")))
     return by_context(rows, floor, "gram long, log10 double", work)
 
 
-def fit(docs: DataFrame, learn: Column, depth: int = 5, frequent: int = 65_536, max_grams: int = 3_000_000, text_col: str = "text") -> tuple[TextModel, DataFrame]:
+def fit(docs: DataFrame, learn: Column, depth: int = 6, frequent: int = 65_536, max_grams: int = 2_000_000, text_col: str = "text") -> tuple[TextModel, DataFrame]:
     """The model of the rows for which learn holds, and (word, n), the counts of all its words.
 
     Tasks hold the frequent most frequent words and the max_grams most frequent
@@ -347,7 +354,9 @@ def score_documents(docs: DataFrame, model: TextModel, words: DataFrame, id_col:
 
     A null text is empty: an end alone. score is the tree's log10 probability,
     base_score the unigram one. Rows stay as they are, repeated ones and ones
-    with a null doc_id too; other columns are left out. Frequent words are
+    with a null doc_id too; other columns are left out; an empty table gives no
+    rows. Texts may be of any length. Words or grams that tie in frequency at a
+    bound's edge are joined, which changes no score. Frequent words are
     counted on the spot, all others by a join with the counts of all words;
     likewise the byte grams, all others by a join with the tree.
     """

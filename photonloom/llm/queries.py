@@ -72,7 +72,7 @@ def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = bucket_of(F.col("doc_id"), 5) == 1
-    model, words = ctw.fit(docs, ~held_out, depth=5)
+    model, words = ctw.fit(docs, ~held_out, depth=6)
     out = ctw.score_documents(docs, model, words)
     return out.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score", "bits_per_byte")
 
