@@ -136,6 +136,9 @@ def test_lines(docs, empty, spark):
     by = {r.doc_id: r for r in got}
     assert by[5].emptied and not by[1].emptied and by[2].n_lines == 0 and by[2].text is None
     assert lines.dedup_lines(empty).collect() == []
+    rows = [(k, "common\nown %d" % k, f"s{k}") for k in range(1, 8)] + [(3, "precious\nother", "s1"), (3, "other\ncommon", "s1"), (9, "common\n" * 2000 + "end", "s2")]
+    got = {(r.doc_id, r.text, r.n_removed) for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string, source string"), min_sites=6).collect()}
+    assert got >= {(1, "common\nown 1", 0), (3, "precious\nother", 0), (3, "other", 1), (3, "own 3", 1), (9, "end", 2000)}
 
 
 def test_scores(docs, empty):
@@ -158,3 +161,51 @@ def test_pipeline(spark, docs, empty, labels, tmp_path):
         out = corpus_pipeline.run(spark, sf).collect()
         assert bool(out) == (k == 0)
         assert len({hashlib.sha256(str(r).encode()).digest() for r in out}) == len(out)
+
+
+def test_stages_keep_further_columns(spark, docs, empty, labels, tmp_path):
+    """Columns that bear the names of the operators' own come back as they were; rows keep theirs."""
+    import corpus_pipeline
+
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    names = ["score", "passages", "lang_pred", "bits_per_byte", "n_lines", "n_removed", "emptied", "kept", "component_id", "n_shingles", "__i", "rep", "digest", "a.b"]
+    more = lambda df: df.select("doc_id", "text", "lang", "source", "n_chars", *[F.concat(F.lit(n), F.coalesce(F.col("doc_id").cast("string"), F.lit("?"))).alias(n) for n in names])
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        full, none = more(docs), more(empty)
+        out = stage(spark, full, str(tmp_path))
+        assert out.columns == full.columns and out.dtypes == full.dtypes
+        rows = out.collect()
+        assert rows and all(r[n] == f"{n}{'?' if r.doc_id is None else r.doc_id}" for r in rows for n in names)
+        assert stage(spark, none, str(tmp_path)).collect() == []
+    assert corpus_pipeline.packing_stage(spark, more(docs), str(tmp_path)).count() > 0
+
+
+def test_pipeline_stages_one_after_the_other(spark, tmp_path):
+    """Small documents whose fate is known by stage."""
+    import random
+
+    import corpus_pipeline
+
+    g = random.Random(5)
+    good = ["".join(g.choice("abcdefgh") for _ in range(5)) for _ in range(400)]
+    text = lambda n: " ".join(g.choice(good) for _ in range(n))
+    rows = [(k, text(60) + ("\nmenu home contact" if 20 <= k < 30 else ""), "en", f"s{k % 9}") for k in range(100)]
+    rows += [(k, text(20) + " qqzx vvzk wwzj " * 3, "en", "s1") for k in range(100, 160)]  # toxic
+    rows += [(200, "1234 5678", "en", "s2"), (201, None, "en", "s2"), (202, rows[50][1], "en", "s3"), (203, rows[50][1] + " more", "en", "s4"), (204, "menu home contact", "en", "s5")]
+    docs = spark.createDataFrame([(*r, len(r[1] or "")) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(k, 1, int(100 <= k < 160)) for k in range(160)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    ids = lambda df: {r.doc_id for r in df.select("doc_id").collect()}
+    stages = dict(corpus_pipeline.STAGES)
+    docs = stages["toxicity"](spark, docs, str(tmp_path)).cache()
+    assert ids(docs) == {*range(100), 200, 201, 202, 203, 204}
+    docs = stages["language"](spark, docs, str(tmp_path)).cache()
+    assert ids(docs) == {*range(100), 202, 203, 204}
+    docs = stages["line_dedup"](spark, docs, str(tmp_path)).cache()
+    assert ids(docs) == {*range(100), 202, 203}
+    by = {r.doc_id: r for r in docs.collect()}
+    assert [k for k in range(20, 30) if "menu" in by[k].text] == [20] and all(r.n_chars == len(r.text) for r in by.values())
+    docs = stages["near_dedup"](spark, docs, str(tmp_path)).cache()
+    assert ids(docs) == set(range(100))
+    assert ids(stages["packing"](spark, docs, str(tmp_path))) == set(range(100))
+    assert ids(corpus_pipeline.run(spark, str(tmp_path))) == set(range(100))

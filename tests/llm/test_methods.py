@@ -7,6 +7,7 @@ import random
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from photonloom.llm import bpe, components, ctw, langid, lines, neardup, packing, quality, toxicity, winnow
@@ -101,15 +102,43 @@ def test_components_of_a_long_path(spark):
     assert components.connected_components(links.limit(0)).count() == 0
 
 
+def chosen(text, k, w):
+    """Winnowing by its definition, over the bytes of a text: (position, hash), rightmost of ties."""
+    data = text.encode()
+    h = [xxhash.xxh64_intdigest(data[i : i + k], seed=42) >> 28 for i in range(max(len(data) - k + 1, 1))] if data else []
+    out = set()
+    for i in range(max(len(h) - w + 1, 1) if h else 0):
+        least = min(h[i : i + w])
+        out.add((max(j for j, x in enumerate(h[i : i + w], i) if x == least), least))
+    return sorted(out)
+
+
+@pytest.mark.parametrize(("k", "doublings"), [(24, 6), (5, 2), (3, 3)])
+def test_winnowing_equals_brute_force(spark, k, doublings):
+    """Texts, edited texts and the next one's, with ties (runs of one letter), multi-byte characters and texts shorter than a window."""
+    g = random.Random(3)
+    texts = ["", "a", "abc" * 3, "x" * 500] + ["".join(g.choice("abc \u00e9\u6f22") for _ in range(g.randrange(0, 700))) for _ in range(40)]
+    got = {r.doc_id: r for r in winnow.fingerprint_with_edits(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), k, doublings).collect()}
+    pairs = lambda v: [(x >> 36, x & ((1 << 36) - 1)) for x in v]
+    for i, t in enumerate(texts):
+        third = len(t) // 3
+        edited = t[: len(t) - third] + texts[i - 1][:third]
+        assert got[i].n_chars == len(t) and got[i].edited == edited
+        assert pairs(got[i].prints) == chosen(t, k, 1 << doublings)
+        assert pairs(got[i].edited_prints) == chosen(edited, k, 1 << doublings)
+        assert pairs(got[i].next_prints) == chosen(texts[i - 1], k, 1 << doublings)
+
+
 def test_winnowing_guarantee(spark):
+    """A shared passage of w + k - 1 bytes gives a common choice wherever it begins, without any white space too."""
     g = random.Random(1)
-    word = lambda: "".join(g.choice("abcdef") for _ in range(5))
-    shared = [word() for _ in range(11)]  # w + k - 1 units
-    a = " ".join([word() for _ in range(30)] + shared + [word() for _ in range(20)])
-    b = " ".join([word() for _ in range(7)] + shared + [word() for _ in range(50)])
-    df = winnow.add_fingerprint(spark.createDataFrame([(0, a), (1, b)], "i int, text string"), "text", "p")
-    x, y = (set(v >> 27 for v in r.p) for r in df.orderBy("i").collect())
-    assert x & y
+    letters = lambda n, of="abcdef": "".join(g.choice(of) for _ in range(n))
+    shared, cjk = letters(64 + 24 - 1), letters(29, "\u4e00\u4e8c\u4e09\u56db\u4e94\u516d\u4e03")
+    texts = [letters(200) + shared + letters(100), letters(37) + shared + letters(333), "\u5b57" * 5 + cjk + "\u65e5" * 9, "\u5b57" * 2 + cjk + "\u672c" * 40, "", letters(3000)]
+    texts.append("z" + texts[-1])
+    p = {r.i: {v & ((1 << 36) - 1) for v in r.p} for r in winnow.add_fingerprint(spark.createDataFrame(list(enumerate(texts)), "i int, text string"), "text", "p").collect()}
+    assert p[0] & p[1] and p[2] & p[3] and not p[4]
+    assert len(p[5] & p[6]) >= 0.95 * len(p[5])
 
 
 def test_next_document_over_groups(spark):
@@ -132,7 +161,41 @@ def test_suffix_automaton_and_phrases():
 
     for s in map("".join, itertools.product("abcdr", repeat=3)):
         assert has(s) == (s in text)
-    assert langid.phrases("abraxcada", a) == 3
+
+
+def test_phrases_are_longest_matches():
+    """Greedy parsing by its definition, across words, against two languages at once."""
+    g = random.Random(9)
+    texts = {"a": bytes(g.choice(b"abc ") for _ in range(300)), "b": b"ab ca "}
+    model = langid.LanguageModel.of(texts)
+    blocks = [bytes(g.choice(b"abcx ") for _ in range(g.randrange(1, 120))) for _ in range(40)]
+    got = model.phrases(blocks)
+    for k, lang in enumerate(model.languages):
+        for j, block in enumerate(blocks):
+            i = n = 0
+            while i < len(block):
+                end = i + 1
+                while end <= len(block) and block[i:end] in texts[lang]:
+                    end += 1
+                i = max(end - 1, i + 1)
+                n += 1
+            assert got[k, j] == n
+
+
+def test_letterless_texts_have_no_language():
+    model = langid.LanguageModel.of({"en": b" the cat sat ", "de": b" die katze "})
+    identify = langid.Identifier(model, at_once=3)
+    assert [x[0] for x in identify([None, "", "\u00b2 \u00bd \u2460 \u2167 42 _ \u0664", "The cat!", "the katze die katze"])] == ["und", "und", "und", "en", "de"]
+    long = "the cat sat " * 3000
+    assert identify([long, "the cat sat"])[0][0] == "en" and identify([])== []
+    assert langid.Identifier(langid.LanguageModel.of({}))(["x"]) == [("und", 0.0, [])]
+
+
+def test_every_language_is_learned_from_whole_texts(spark):
+    g = random.Random(2)
+    rows = [(k, f"l{k % 70}", "".join(g.choice("abcdefg ") for _ in range(50)) + f" w{chr(97 + k % 26)} end") for k in range(280)] + [(1000, "long", "y" * 50_000 + " end")]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, lang string, text string"), lambda i: i >= 0)
+    assert model.languages == sorted({r[1] for r in rows})
 
 
 def test_maximal_segments_are_the_recursive_ones():
@@ -152,6 +215,21 @@ def test_maximal_segments_are_the_recursive_ones():
         assert max((round(x, 6) for *_, x in got), default=0) == max((x for *_, x in split(0, 12)), default=0)
 
 
+def test_toxic_texts_of_words_of_their_own(spark):
+    """The easy case: no word is on both sides; and one wording pasted into many texts is learned."""
+    g = random.Random(6)
+    word = lambda of: "".join(g.choice(of) for _ in range(6))
+    bad, good = [word("qxz") for _ in range(6)], [word("abcde") for _ in range(60)]
+    rows = [(k, " ".join(g.sample(bad, 6) if k < 40 else [g.choice(good) for _ in range(30)])) for k in range(200)]
+    rows += [(k, " ".join([*(g.choice(good) for _ in range(15)), "vile", "phrase", "here", *(g.choice(good) for _ in range(15))])) for k in range(200, 260)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k < 40 or k >= 200)) for k in range(260)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels, lambda i: i >= 0)
+    got = {r.doc_id: r.score for r in toxicity.score_documents(docs, model).collect()}
+    assert {w for w in model.weights if model.weights[w] > 0} >= {"phrase", "here", "vile"}
+    assert min(got[k] for k in got if k < 40 or k >= 200) > 0.5 > max(got[k] for k in got if 40 <= k < 200)
+
+
 def test_context_tree_is_a_distribution():
     g = ctw.grams_of([b"abab", b"abba", b"ab"] * 20, 3)
     k, n = np.unique(g, return_counts=True)
@@ -213,6 +291,62 @@ def test_base_score(spark):
         assert r.n_known == sum(t in n for t in tokens)
 
 
+def test_a_whole_text_by_its_definition():
+    """Every byte's probability by the recursion over contexts, one after the other, for texts with known and new contexts."""
+    g = random.Random(12)
+    depth = 3
+    texts = [[bytes(g.choice(b"abc") for _ in range(g.randrange(1, 5))) for _ in range(12)] for _ in range(8)]
+    data = [ctw.END * depth + b" ".join(t) + ctw.END for t in texts]
+    counts: dict = {}
+    for x in data:
+        for i in range(depth, len(x)):
+            for bit in range(8):
+                for d in range(depth + 1):
+                    counts.setdefault((x[i - d : i], bit, x[i] >> (8 - bit)), [0, 0])[x[i] >> (7 - bit) & 1] += 1
+    kt = lambda a, b: math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.lgamma(a + b + 1) - math.log(math.pi)
+
+    def weighted(c, bit, prefix):
+        own = kt(*counts[c, bit, prefix])
+        if len(c) == depth:
+            return own, 1.0
+        below = sum(weighted(bytes([b]) + c, bit, prefix)[0] for b in range(256) if (bytes([b]) + c, bit, prefix) in counts)
+        both = np.logaddexp(own, below)
+        return both - math.log(2), math.exp(own - both)
+
+    def one(context, bit, prefix):
+        p = None
+        for d in range(depth, -1, -1):
+            if (node := (context[len(context) - d :], bit, prefix)) in counts:
+                n0, n1 = counts[node]
+                est, own = (n1 + 0.5) / (n0 + n1 + 1), weighted(*node)[1]
+                p = est if p is None else own * est + (1 - own) * p
+        return 0.5 if p is None else p
+
+    k, n = np.unique(np.concatenate([ctw.grams_of(t, depth) for t in texts]), return_counts=True)
+    tree = ctw.ContextTree.of(k, n.astype(float), depth)
+    for t in (texts[0], [b"abca", b"zzz", b"cab"], []):
+        x = ctw.END * depth + b" ".join(t) + ctw.END
+        want = 0.0
+        for i in range(depth, len(x)):
+            for bit in range(8):
+                p = one(x[i - depth : i], bit, x[i] >> (8 - bit))
+                want += math.log10(p if x[i] >> (7 - bit) & 1 else 1 - p)
+        assert tree.log10(ctw.grams_of(t, depth)).sum() == pytest.approx(want, rel=1e-5)
+
+
+def test_long_words_merge_as_the_library_does():
+    from photonloom.llm.queries import tokenizer_path
+
+    b = bpe.vocabulary(tokenizer_path("word_bpe_49k.json"))
+    g = random.Random(1)
+    for n in (1, 2, 64, 65, 66, 500, 100_000):
+        w = "".join(g.choice("etaoinshr") for _ in range(n))
+        want = b.library.encode(w, add_special_tokens=False).ids
+        assert b.merge(w.encode()) == want
+        if 1 < n < 1000:
+            assert b.merge_long([b.inner[x] for x in w.encode()[:-1]] + [b.last[w.encode()[-1]]]) == want
+
+
 def test_lexicon_is_minimal_and_exact():
     entries = {w: [i, i + 1] for i, w in enumerate(["tapped", "tapping", "tap", "taps", "wrapped", "wrapping", "wrap", "wraps"])}
     lex = bpe.Lexicon(bpe.compile_lexicon(entries))
@@ -240,6 +374,26 @@ def test_most_frequent_is_bounded(spark):
     assert most_frequent(d, 6).count() == 4 and most_frequent(d, 0).count() == 0
 
 
+def test_licenses_equal_brute_force(spark):
+    """The base phrases by scanning word by word."""
+    import re
+
+    from photonloom.llm import licenses
+
+    g = random.Random(8)
+    texts = ["", None, "cc", "CC-BY"] + [" ".join(g.choice(["cc", "by", "BY,", "general", "public", "license", "all", "rights", "reserved", "caf\u00e9"]) for _ in range(g.randrange(1, 60))) for _ in range(60)]
+    got = {r.doc_id: r for r in licenses.scan_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    phrases = {("cc", "by"): "cc-by", ("general", "public", "license"): "gpl", ("all", "rights", "reserved"): "reserved"}
+    for k, t in enumerate(texts):
+        low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
+        at = sorted((i, label) for p, label in phrases.items() for i in range(len(w)) if tuple(w[i : i + len(p)]) == p)
+        r = got[k]
+        assert (r.n_words, r.n_base) == (len(w), len(at))
+        assert (r.first_word, r.last_word) == ((at[0][0], at[-1][0]) if at else (None, None))
+        assert r.base_labels == ",".join(sorted({x for _, x in at})) and set(r.base_labels.split(",")) <= set(r.labels.split(","))
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's tables aren't here")
 def test_sql_gives_the_same_rows(spark):
     import duckdb
