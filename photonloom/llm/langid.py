@@ -24,18 +24,23 @@ from .common import append_columns
 
 #: Bytes of a text that are parsed as one.
 BLOCK = 2048
+#: Runs of word characters but digits and '_'.
+WORD = re.compile(r"[^\W\d_]+")
 
 
 @functools.cache
 def letters() -> re.Pattern:
-    """Runs of letters: of word characters but digits, '_' and the numbers that aren't digits (fractions, superscripts, numerals)."""
+    """Runs of letters: as WORD, but without the numbers that aren't digits (fractions, superscripts, numerals)."""
     numbers = "".join(c for c in map(chr, range(0x110000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
     return re.compile(f"[^\\W\\d_{re.escape(numbers)}]+")
 
 
 def normalised(text: str | None) -> bytes:
     """The words of letters in lower case, each with a space before it, and a space at the end; empty if there is no letter."""
-    words = letters().findall((text or "").lower())
+    low = (text or "").lower()
+    words = WORD.findall(low)
+    if not "".join(words).isalpha():  # numbers among them
+        words = letters().findall(low)
     return f" {' '.join(words)} ".encode() if words else b""
 
 
@@ -158,7 +163,7 @@ def fit(docs: DataFrame, learn, docs_per_language: int = 64, bytes_per_language:
 class Identifier:
     """Languages of texts, from all their blocks."""
 
-    def __init__(self, model: LanguageModel, at_once: int = 2048):
+    def __init__(self, model: LanguageModel, at_once: int = 512):
         self.model, self.at_once = model, at_once
 
     def __call__(self, texts: list[str | None]) -> list[tuple[str, float, list[float]]]:
