@@ -190,42 +190,70 @@ def prepared(model: TextModel) -> tuple[dict[bytes, float], GramTable]:
     return _prepared[id(model)][1:]
 
 
-def gather(train: DataFrame, depth: int, text_col: str, held_words: int = 250_000) -> DataFrame:
-    """(kind, word, gram, n): counts of words and ends (kind 0) and of byte grams (kind 1) over all rows."""
+def folded(k: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct grams of k, sorted, and the sums of their n."""
+    order = np.argsort(k, kind="stable")
+    k, n = k[order], n[order]
+    first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, np.int64)
+    return k[first], np.add.reduceat(n, first) if len(first) else n
+
+
+def gather(docs: DataFrame, learn: Column, depth: int, text_col: str, held_words: int = 250_000, held_grams: int = 2_000_000) -> DataFrame:
+    """(kind, word, gram, n): counts in training rows of words and ends (kind 0) and of the byte grams of all rows (kind 1; 0 for those that training doesn't have)."""
+    names = ["kind", "word", "gram", "n"]
 
     def run(batches):
         words: Counter = Counter()
-        grams: list[np.ndarray] = []
+        held = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        taught: list[np.ndarray] = []
+        other: list[np.ndarray] = []
         size = 0
 
-        def flush():
-            nonlocal words, grams, size
-            k, n = np.unique(np.concatenate(grams), return_counts=True) if grams else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-            w = list(words)
-            out = pa.RecordBatch.from_arrays([
-                pa.array([0] * len(w) + [1] * len(k), pa.int32()), pa.array(w + [None] * len(k), pa.binary()),
-                pa.array([None] * len(w) + k.view(np.int64).tolist(), pa.int64()), pa.array(list(words.values()) + n.tolist(), pa.int64()),
-            ], names=["kind", "word", "gram", "n"])
-            words, grams, size = Counter(), [], 0
+        def fold():
+            nonlocal held, size
+            parts = [held]
+            for arrays, weight in ((taught, 1), (other, 0)):
+                if arrays:
+                    k, n = np.unique(np.concatenate(arrays), return_counts=True)
+                    parts.append((k, n * weight))
+                    arrays.clear()
+            held, size = folded(*map(np.concatenate, zip(*parts))), 0
+
+        def words_out():
+            out = pa.RecordBatch.from_arrays([pa.array(np.zeros(len(words), np.int32)), pa.array(list(words), pa.binary()), pa.nulls(len(words), pa.int64()), pa.array(list(words.values()), pa.int64())], names=names)
+            words.clear()
             return out
 
+        def grams_out():
+            nonlocal held
+            (k, n), held = held, (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            for lo in range(0, len(k), 100_000):
+                part = k[lo : lo + 100_000].view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(part), np.int32)), pa.nulls(len(part), pa.binary()), pa.array(part), pa.array(n[lo : lo + 100_000])], names=names)
+
         for batch in batches:
-            for text in batch.column(0):
+            for text, known in zip(batch.column(0), batch.column(1).to_pylist()):
                 ws = words_of(text.as_py())
-                words.update(ws)
-                words[END] += 1
-                grams.append(grams_of(ws, depth))
-                size += len(grams[-1])
-                if size > 4_000_000:  # bytes whose grams are held as such
-                    k, n = np.unique(np.concatenate(grams), return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array([1] * len(k), pa.int32()), pa.nulls(len(k), pa.binary()), pa.array(k.view(np.int64)), pa.array(n)], names=["kind", "word", "gram", "n"])
-                    grams, size = [], 0
+                if known:
+                    words.update(ws)
+                    words[END] += 1
+                grams = grams_of(ws, depth)
+                (taught if known else other).append(grams)
+                size += len(grams)
+                if size > 1_500_000:  # bytes whose grams are held as such
+                    fold()
+                    if len(held[0]) > held_grams:
+                        yield from grams_out()
                 if len(words) > held_words:
-                    yield flush()
+                    yield words_out()
+        fold()
+        yield from grams_out()
         if words:
-            yield flush()
+            yield words_out()
 
-    return train.select(text_col).mapInArrow(run, "kind int, word binary, gram long, n long").groupBy("kind", "word", "gram").agg(F.sum("n").alias("n"))
+    rows = docs.select(F.col(text_col).alias("text"), F.coalesce(learn, F.lit(False)).alias("learn")).mapInArrow(run, "kind int, word binary, gram long, n long")
+    # a key comes a few times from each task, so there is nothing to sum up before the shuffle and no hot key after it
+    return rows.repartition("word", "gram").groupBy("kind", "word", "gram").agg(F.sum("n").alias("n"))
 
 
 @dataclass(frozen=True)
@@ -233,6 +261,7 @@ class TextModel:
     depth: int
     top: list[list[tuple]]  # by bit, the nodes (keys, one, own) of depths below two
     counts: DataFrame | None  # (gram, n) of training, all of them; not sent to tasks
+    values: DataFrame | None  # (gram, log10) of all rows that fit() saw; likewise
     grams: np.ndarray  # the most frequent of them
     gram_log10: np.ndarray
     frequent: dict[bytes, int]
@@ -310,24 +339,21 @@ def top_nodes(counts: DataFrame, depth: int) -> list[list[tuple]]:
     return out
 
 
-def gram_values(counts: DataFrame, asked: DataFrame, top: list[list[tuple]], depth: int) -> DataFrame:
-    """(gram, log10): the log10 probability of the last byte of each gram of asked after the others, by the whole tree of counts(gram, n)."""
+def gram_values(rows: DataFrame, top: list[list[tuple]], depth: int) -> DataFrame:
+    """(gram, n, log10): the log10 probability of the last byte of each gram after the others, by the whole tree of rows(gram, n); grams with n = 0 are but asked for."""
     floor = min(depth, 2)
-    shared = counts.sparkSession.sparkContext.broadcast(top)
+    shared = rows.sparkSession.sparkContext.broadcast(top)
 
     def work(grams, n):
-        q = grams[n == 0]
-        total = np.zeros(len(q))
-        if len(q):
-            pairs = by_depth(*trained(grams, n), depth, floor)
-            for bit in range(8):
-                p = mixed(np.full(len(q), np.nan), nodes_of(pairs, bit, depth)[0], floor, q, bit)
-                p = mixed(p, shared.value[bit], 0, q, bit)
-                total += log10_of_bit(p, q, bit)
-        return pa.RecordBatch.from_arrays([pa.array(q.view(np.int64)), pa.array(total)], names=["gram", "log10"])
+        total = np.zeros(len(grams))
+        pairs = by_depth(*trained(grams, n), depth, floor)
+        for bit in range(8):
+            p = mixed(np.full(len(grams), np.nan), nodes_of(pairs, bit, depth)[0], floor, grams, bit)
+            p = mixed(p, shared.value[bit], 0, grams, bit)
+            total += log10_of_bit(p, grams, bit)
+        return pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64)), pa.array(n), pa.array(total)], names=["gram", "n", "log10"])
 
-    rows = counts.select("gram", "n").unionByName(asked.select("gram", F.lit(0).cast("long").alias("n")))
-    return by_context(rows, floor, "gram long, log10 double", work)
+    return by_context(rows, floor, "gram long, n long, log10 double", work)
 
 
 def fit(docs: DataFrame, learn: Column, depth: int = 6, frequent: int = 65_536, max_grams: int = 2_000_000, text_col: str = "text") -> tuple[TextModel, DataFrame]:
@@ -335,18 +361,20 @@ def fit(docs: DataFrame, learn: Column, depth: int = 6, frequent: int = 65_536,
 
     Tasks hold the frequent most frequent words and the max_grams most frequent
     byte grams with their values (documented bounds); all others are joined
-    when documents are scored, so that no score depends on the bounds.
+    when documents are scored, so that no score depends on the bounds. The
+    grams of rows that teach nothing are valued on the way.
     """
-    counts = staged(gather(docs.where(learn), depth, text_col), "counts", compact=True)
+    counts = staged(gather(docs, learn, depth, text_col), "counts", compact=True)
     words = counts.where("kind = 0").select("word", "n")
     total = words.agg(F.sum("n"), F.count("*")).first()
     top = {bytes(r.word): r.n for r in most_frequent(words, frequent).collect()}
     grams = counts.where("kind = 1").select("gram", "n")
     upper = top_nodes(grams, depth)
-    table = gram_values(grams, most_frequent(grams, max_grams), upper, depth).toArrow()
+    values = staged(gram_values(grams, upper, depth), "values", compact=True)
+    table = most_frequent(values.where("n > 0"), max_grams).select("gram", "log10").toArrow()
     g, v = table.column("gram").to_numpy().view(np.uint64), table.column("log10").to_numpy().astype(np.float32)
     order = np.argsort(g)
-    return TextModel(depth, upper, grams, g[order], v[order], top, int(total[0] or 0), int(total[1])), words
+    return TextModel(depth, upper, grams.where("n > 0"), values.select("gram", "log10"), g[order], v[order], top, int(total[0] or 0), int(total[1])), words
 
 
 def score_documents(docs: DataFrame, model: TextModel, words: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -360,7 +388,7 @@ def score_documents(docs: DataFrame, model: TextModel, words: DataFrame, id_col:
     counted on the spot, all others by a join with the counts of all words;
     likewise the byte grams, all others by a join with the tree.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(replace(model, counts=None))  # bounded by fit()
+    shared = docs.sparkSession.sparkContext.broadcast(replace(model, counts=None, values=None))  # bounded by fit()
     schema = "row long, doc_id long, n_chars long, n_tokens long, n_known long, base double, held double, n_bytes long, rare array<binary>, rare_grams array<long>, rare_n array<long>"
     names = [x.split()[0] for x in schema.split(", ")]
 
@@ -416,8 +444,14 @@ def score_documents(docs: DataFrame, model: TextModel, words: DataFrame, id_col:
     value = F.log10((count + 0.5) / F.lit(model.tokens + 0.5 * (model.distinct + 1)))
     rest = rare.groupBy("row").agg(F.sum(value).alias("rest"), F.count("n").alias("more"))
     grams = scored.select("row", F.explode(F.arrays_zip("rare_grams", "rare_n")).alias("g")).select("row", F.col("g.rare_grams").alias("gram"), F.col("g.rare_n").alias("k"))
-    values = staged(gram_values(model.counts, grams.select("gram").distinct(), model.top, model.depth), "values", compact=True)
-    deep = grams.join(values, "gram").groupBy("row").agg(F.sum(F.col("k") * F.col("log10")).alias("deep"))
+    found = grams.join(model.values, "gram", "left").groupBy("row").agg(F.sum(F.col("k") * F.col("log10")).alias("deep"), F.collect_list(F.when(F.isnull("log10"), F.struct("gram", "k"))).alias("new"))
+    deep = staged(found, "deep", compact=True)  # new: of one document
+    new = deep.select("row", F.explode("new").alias("g")).select("row", F.col("g.gram").alias("gram"), F.col("g.k").alias("k"))
+    if not new.isEmpty():  # documents that fit() hasn't seen
+        asked = new.select("gram", F.lit(0).cast("long").alias("n")).distinct()
+        values = staged(gram_values(model.counts.unionByName(asked), model.top, model.depth).where("n = 0"), "values", compact=True)
+        deep = deep.select("row", "deep").unionByName(new.join(values, "gram").groupBy("row").agg(F.sum(F.col("k") * F.col("log10")).alias("deep"))).groupBy("row").agg(F.sum("deep").alias("deep"))
+    deep = deep.select("row", "deep")
     out = scored.drop("rare", "rare_grams", "rare_n").join(rest, "row", "left").join(deep, "row", "left")
     zero = lambda c: F.coalesce(c, F.lit(0))
     score = F.col("held") + zero("deep")

@@ -277,6 +277,9 @@ def test_scores_keep_their_depth_however_few_grams_are_held(spark, depth):
             want = tree.log10(x).sum()
             assert got[i].score == pytest.approx(want, rel=1e-5)
             assert got[i].bits_per_byte == pytest.approx(-want / math.log10(2) / len(x), rel=1e-5)
+        unseen = df.select((100 + F.col("doc_id")).alias("doc_id"), F.concat("text", F.lit(" dcbad zq")).alias("text"))
+        for r in ctw.score_documents(unseen, model, words).collect():
+            assert r.score == pytest.approx(tree.log10(ctw.grams_of(ctw.words_of(texts[r.doc_id - 100] + " dcbad zq"), depth)).sum(), rel=1e-5)
 
 
 def test_base_score(spark):
