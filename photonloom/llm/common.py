@@ -18,10 +18,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); a temporary one only where it is unset, as in tests."""
+    """The folder that driver and executors share (spark.checkpoint.dir).
+
+    Where it is unset, a local master gets a temporary folder, as in tests; on
+    a cluster there is no folder to fall back on, and it is an error.
+    """
     sc = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not path:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="photonloom-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -38,7 +44,18 @@ def staged(df: DataFrame, name: str, compact: bool = False) -> DataFrame:
         partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
         df = df.coalesce(max(2 * spark.sparkContext.defaultParallelism, partitions // 8))
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    return out
+
+
+def unstage(*tables: DataFrame) -> None:
+    """Removes what staged() wrote, for tables that nothing will read again."""
+    for df in tables:
+        if path := getattr(df, "_staged_at", None):
+            spark = df.sparkSession
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def let(value: Column, f: Callable[[Column], Column]) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import staged, unstage
 
 
 def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -24,7 +24,8 @@ def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(low.select("u", F.col("m").alias("v"))).distinct()
-        edges = staged(small, "stars", compact=True)
+        old, edges = edges, staged(small, "stars", compact=True)
+        unstage(old)
         before, mark = mark, _mark(edges)
         if mark == before:
             break

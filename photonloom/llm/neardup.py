@@ -31,6 +31,8 @@ from .components import connected_components
 
 SKETCH = 64
 TREES = 16
+#: A text's copies meet the name of their component in so many tasks.
+SALTS = 64
 
 
 def shingles_of(text: str | None, width: int = 5) -> np.ndarray:
@@ -349,7 +351,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: tuple[int, int]
     first = first.unionByName(staged(candidates_across(across, least_equal, num, den), "pairs", compact=True)).distinct()
     first = staged(first, "pairs", compact=True)
     ends = first.select(F.col("a").alias("i")).unionByName(first.select(F.col("b").alias("i"))).distinct()
-    texts = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).hint("merge").join(ends, "i", "left_semi")  # one plan at every size
+    # texts stream past tables of ids; one plan at every size
+    texts = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).where("i IS NOT NULL").join(ends.hint("shuffle_hash"), "i", "left_semi")
     sets = staged(full_sets(texts, width, "i", "t").where(F.size("shingles") > 0).dropDuplicates(["rep"]), "sets")
     links = staged(confirmed(first, sets, num, den), "links", compact=True)
     fine = connected_components(links).withColumnsRenamed({"node": "rep", "component": "fine"})
@@ -361,6 +364,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: tuple[int, int]
     whole = connected_components(contracted(more, reps)).withColumnsRenamed({"node": "fine", "component": "whole"})
     component = reps.join(whole, "fine", "left").select("rep", F.coalesce("whole", "fine").alias("component"))
     named = classes.select("digest", "rep").join(component, "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
-    out = sketched.select("doc_id", "n_shingles", "digest").join(named, "digest", "left")
+    # texts without words stand apart, as there may be any number of them; a text's many copies are dealt over tasks by their ids
+    rows = sketched.select("doc_id", "n_shingles", "digest")
+    salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))
+    many = rows.where("digest IS NOT NULL").groupBy("digest", salt.alias("salt")).agg(F.count("*").alias("n"))
+    keys = many.select("digest", "salt").join(named, "digest", "left").select("digest", "salt", "component")
+    out = rows.where("digest IS NOT NULL").withColumn("salt", salt).join(keys, ["digest", "salt"], "left").select("doc_id", "n_shingles", "component")
+    out = out.unionByName(rows.where("digest IS NULL").select("doc_id", "n_shingles", F.lit(None).cast("long").alias("component")))
     found = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", found.alias("component_id"), (F.col("doc_id") == found).alias("kept"))
