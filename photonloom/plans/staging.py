@@ -9,10 +9,13 @@ from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
-    """df written to spark.checkpoint.dir (a temporary folder only where that is unset, as in tests) and read again."""
+    """df written to spark.checkpoint.dir and read again; where that is unset, a local master gets a temporary folder, a cluster an error."""
     spark = df.sparkSession
+    master = spark.sparkContext.master
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="photonloom-")
         spark.conf.set("spark.checkpoint.dir", root)
     path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
