@@ -29,14 +29,17 @@ def reflect(i: Column, n: int) -> Column:
 
 
 def replace_masked(px: DataFrame, mask: DataFrame, height: int, width: int, radius: int = 2, value: str = "adu") -> DataFrame:
-    """px with the masked pixels (channel, y, x) replaced by the median of their (2 radius + 1)^2 neighbourhood, mirrored at the edges.
+    """px with the masked pixels replaced by the median of their (2 radius + 1)^2 neighbourhood, mirrored at the edges.
 
-    The mask is sparse: only its pixels are exploded into offsets and joined.
+    mask(channel, y, x) holds for all frames, mask(frame_id, channel, y, x) for
+    its frame alone. It is sparse: only its pixels are exploded into offsets
+    and joined.
     """
+    own = ["frame_id"] if "frame_id" in mask.columns else []
     offsets = F.array(*[F.struct(F.lit(j).alias("j"), F.lit(i).alias("i")) for j in range(-radius, radius + 1) for i in range(-radius, radius + 1)])
-    asked = mask.select("channel", F.col("y").alias("my"), F.col("x").alias("mx"), F.explode(offsets).alias("o"))
-    asked = asked.select("channel", "my", "mx", reflect(F.col("my") + F.col("o.j"), height).alias("y"), reflect(F.col("mx") + F.col("o.i"), width).alias("x"))
-    med = asked.join(px, ["channel", "y", "x"]).groupBy("frame_id", "channel", F.col("my").alias("y"), F.col("mx").alias("x")).agg(F.median(value).alias("__v"))
+    asked = mask.select(*own, "channel", F.col("y").alias("my"), F.col("x").alias("mx")).distinct().withColumn("o", F.explode(offsets))
+    asked = asked.select(*own, "channel", "my", "mx", reflect(F.col("my") + F.col("o.j"), height).alias("y"), reflect(F.col("mx") + F.col("o.i"), width).alias("x"))
+    med = asked.join(px, [*own, "channel", "y", "x"]).groupBy("frame_id", "channel", F.col("my").alias("y"), F.col("mx").alias("x")).agg(F.median(value).alias("__v"))
     out = px.join(med, ["frame_id", "channel", "y", "x"], "left")
     return out.withColumn(value, F.coalesce("__v", F.col(value))).drop("__v")
 

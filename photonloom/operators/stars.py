@@ -30,16 +30,32 @@ def triangles(stars: DataFrame, limit: int = 50) -> DataFrame:
     return t.where(F.get("s", F.lit(2)) >= 1e-6).select("frame_id", "i", "j", "k", (F.get("s", F.lit(0)) / F.get("s", F.lit(2))).alias("u"), (F.get("s", F.lit(1)) / F.get("s", F.lit(2))).alias("v"))
 
 
-def match_triangles(tri: DataFrame, reference: DataFrame, tol: float = 0.02) -> DataFrame:
-    """Each triangle with the nearest reference triangle within tol in (u, v), by a join on cells of that size and their neighbours; of those equally near to 1e-9, the one of the brightest stars."""
-    cell = lambda c: F.floor(F.col(c) / tol)
-    near = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)]))
-    t = tri.withColumns({"cu": cell("u"), "cv": cell("v")})
-    r = reference.select(F.col("i").alias("ri"), F.col("j").alias("rj"), F.col("k").alias("rk"), F.col("u").alias("ru"), F.col("v").alias("rv"), near.alias("n"))
-    r = r.withColumns({"cu": F.floor(F.col("ru") / tol) + F.col("n.a"), "cv": F.floor(F.col("rv") / tol) + F.col("n.b")}).drop("n")
-    d = F.hypot(F.col("u") - F.col("ru"), F.col("v") - F.col("rv"))
-    m = t.join(r, ["cu", "cv"]).withColumn("d", d).where(F.col("d") <= tol)
-    return m.groupBy("frame_id", "i", "j", "k").agg(F.min(F.struct(F.round("d", 9).alias("d"), "ri", "rj", "rk")).alias("m")).select("frame_id", "i", "j", "k", F.col("m.ri").alias("ri"), F.col("m.rj").alias("rj"), F.col("m.rk").alias("rk"))
+def match_triangles(tri: DataFrame, reference: DataFrame, tol: float = 0.02, max_reference: int = 100_000) -> DataFrame:
+    """Each triangle with the nearest reference triangle within tol in (u, v); of those equally near to 1e-9, the one of the brightest stars.
+
+    reference has the triangles of one frame's stars, whose number triangles()
+    bounds; tasks hold them in cells of tol and compare a cell's triangles with
+    those of the cells around it. More than max_reference are an error.
+    """
+    ref = reference.select("i", "j", "k", "u", "v").limit(max_reference + 1).toPandas().sort_values(["i", "j", "k"])
+    if len(ref) > max_reference:
+        raise ValueError(f"more than {max_reference} reference triangles")
+    corners, shapes = ref[["i", "j", "k"]].to_numpy(), ref[["u", "v"]].to_numpy(dtype=float)
+    shared = tri.sparkSession.sparkContext.broadcast((corners, shapes))  # max_reference rows of five numbers at most
+
+    def run(batches):
+        from ..functions.frame import nearest_shapes
+
+        corners, shapes = shared.value
+        for pdf in batches:
+            found = nearest_shapes(pdf[["u", "v"]].to_numpy(dtype=float), shapes, tol)
+            out = pdf.loc[found >= 0, ["frame_id", "i", "j", "k"]].copy()
+            out["ri"], out["rj"], out["rk"] = corners[found[found >= 0]].T if len(out) else ([], [], [])
+            yield out
+
+    kinds = dict(tri.dtypes)
+    names = ["frame_id", "i", "j", "k"]
+    return tri.select(*names, "u", "v").mapInPandas(run, ", ".join([f"{c} {kinds[c]}" for c in names] + [f"{c} {kinds[c[1:]]}" for c in ("ri", "rj", "rk")]))
 
 
 def star_votes(matches: DataFrame, min_votes: int = 2, min_pairs: int = 3) -> DataFrame:

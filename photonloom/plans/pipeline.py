@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.kernels import fit_moffat, gaussian_psf
 from ..operators import calibration, images, neighbourhood, solver, stacking, stars
 from ..sources import fits, store
-from .adapters import explode_frames
+from . import framewise
 from .staging import cut
 
 
@@ -30,6 +30,8 @@ class Config:
     min_transparency: float | None = None
     max_fwhm: float | None = None
     psf_size: int = 25
+    cosmic_sigma: float | None = 10.0  # pixels so far above the median are replaced, the cores of bright stars too; None: none
+    saturation: float | None = None
     solve: bool = False
     solver: solver.SolverConfig = field(default_factory=solver.SolverConfig)
 
@@ -97,22 +99,33 @@ def star_widths(net: DataFrame, centres: DataFrame, height: int, width: int, hal
 
 
 def run(frames: DataFrame, cfg: Config | None = None, model: DataFrame | None = None) -> dict[str, DataFrame]:
-    """Products of frames(frame_id, seq, frame_type, exposure_s, h, w, data): model, frames, stack and, if asked for, solution."""
+    """Products of frames(frame_id, seq, frame_type, exposure_s, h, w, data, and bayer_pattern for a colour sensor): model, frames, stack and, if asked for, solution.
+
+    Lights are calibrated, their hot and cosmic-ray pixels replaced, and
+    characterised in one pass; a second one moves and adds them up.
+    """
     cfg = cfg or Config()
     frames = calibration.check_shape(frames)
+    spark = frames.sparkSession
     h, w = frames.select("h", "w").first()
-    px = explode_frames(frames)
-    model = model if model is not None else cut(calibration.fit_all(px, keep=cut), "model")
-    cal = cut(calibration.calibrate(px.where("frame_type = 'light'"), model), "calibrated")
-    meta = cut(characterise(cal, h, w, cfg), "frames")
+    lights = frames.where("frame_type = 'light'")
+    pattern = framewise.is_colour(lights)
+    if model is None:
+        maps = framewise.fit_model(frames)
+        model = cut(framewise.model_table(spark, maps, h), "model")
+    else:
+        maps = framewise.maps_of(model, h, w)
+    seen = cut(framewise.characterised(lights, maps, cfg, pattern), "calibrated")
+    reference = cfg.reference if cfg.reference is not None else seen.agg(F.min("frame_id")).first()[0]
+    meta = cut(framewise.compared(seen, reference), "frames")
     good = stacking.quality_filter(meta, cfg.min_transparency, cfg.max_fwhm)
-    moved = good.select("frame_id", F.lit(1.0).alias("a"), F.lit(0.0).alias("b"), (-F.col("dx")).alias("c"), F.lit(0.0).alias("d"), F.lit(1.0).alias("e"), (-F.col("dy")).alias("f"))
-    stack = stacking.derive(stacking.accumulate(stacking.warp(cal, moved, h, w), good), good.count())
-    out = {"model": model, "frames": meta, "stack": stack}
+    sums = cut(framewise.stacked(seen, good, pattern), "sums")
+    out = {"model": model, "frames": meta, "stack": stacking.derive(sums, good.count())}
     if cfg.solve:
         rows = good.select("transparency", "fwhm").collect()  # two numbers a frame
         each = [{"t": r.transparency, "psf": gaussian_psf(cfg.psf_size, (r.fwhm or 3.0) * cfg.solver.scale)} for r in rows]
-        out["solution"] = solver.solve_channels(stack, each, h, w, cfg.solver)
+        size = (h // 2, w // 2) if pattern else (h, w)
+        out["solution"] = solver.solve_channels(out["stack"], each, *size, cfg.solver)
     return out
 
 
@@ -127,15 +140,15 @@ def resume(frames: DataFrame, folder: str, cfg: Config | None = None) -> dict[st
     todo = stacking.remaining(lights, meta.select("frame_id"))
     if todo.isEmpty():
         return {"model": model, "frames": meta, "stack": stack}
-    again = lights.where(F.col("frame_id") == cfg.reference).unionByName(todo).distinct()
-    new = run(again, cfg, model)
-    fresh = new["frames"].where(F.col("frame_id") != cfg.reference)
     h, w = frames.select("h", "w").first()
-    cal = calibration.calibrate(explode_frames(todo), model)
-    moved = fresh.select("frame_id", F.lit(1.0).alias("a"), F.lit(0.0).alias("b"), (-F.col("dx")).alias("c"), F.lit(0.0).alias("d"), F.lit(1.0).alias("e"), (-F.col("dy")).alias("f"))
-    sums = stacking.accumulate(stacking.warp(cal, moved, h, w), fresh)
-    both = stacking.merge(stack.select(*calibration.PIXEL, *stacking.SUMS), sums)
-    every = meta.unionByName(fresh)
+    pattern = framewise.is_colour(lights)
+    again = lights.where(F.col("frame_id") == cfg.reference).unionByName(todo).distinct()
+    seen = cut(framewise.characterised(again, framewise.maps_of(model, h, w), cfg, pattern), "calibrated")
+    fresh = cut(framewise.compared(seen, cfg.reference).where(F.col("frame_id") != cfg.reference), "frames")
+    good = stacking.quality_filter(fresh, cfg.min_transparency, cfg.max_fwhm)
+    sums = framewise.stacked(seen.where(F.col("frame_id") != cfg.reference), good, pattern)
+    both = cut(stacking.merge(stack.select(*calibration.PIXEL, *stacking.SUMS), sums), "sums")
+    every = meta.unionByName(fresh.select(*meta.columns))
     return {"model": model, "frames": every, "stack": stacking.derive(both, every.count())}
 
 
@@ -151,7 +164,7 @@ def frames_from(spark: SparkSession, folder: str) -> DataFrame:
     d = fits.header_values(fits.discover(fits.read_shared(spark, folder).where("_error IS NULL")), 300.0)
     first = F.lit(0).cast("long")
     order = d.select("path").distinct().withColumn("frame_id", F.row_number().over(Window.orderBy("path")).cast("long") - 1)  # names of files alone
-    return d.join(order, "path").select("frame_id", F.col("frame_id").alias("seq"), "frame_type", "exposure_s", "h", "w", "data").withColumn("session", first)
+    return d.join(order, "path").select("frame_id", F.col("frame_id").alias("seq"), "frame_type", "exposure_s", "bayer_pattern", "h", "w", "data").withColumn("session", first)
 
 
 def main(argv: list[str] | None = None) -> None:
@@ -164,6 +177,8 @@ def main(argv: list[str] | None = None) -> None:
     p.add_argument("--max-fwhm", type=float)
     a = p.parse_args(argv)
     spark = SparkSession.builder.appName("photonloom").getOrCreate()
+    if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")):
+        spark.conf.set("spark.checkpoint.dir", f"{a.output}/_staging")  # the output is where all can write
     frames = frames_from(spark, a.frames)
     fits.require_lights(frames.where("frame_type = 'light'"))
     cfg = Config(min_transparency=a.min_transparency, max_fwhm=a.max_fwhm, solve=a.solve, solver=solver.SolverConfig(scale=a.scale))

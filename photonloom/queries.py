@@ -207,12 +207,12 @@ def flat_posterior(spark, sf_dir):
     return bayes.flat_posterior(f, "norm", "scale", "rn").select("y", "x", r("gain", "gain"), r("std", "std"))
 
 
-@query("""WITH RECURSIVE s AS (SELECT vec_id, (i // 8)::INT AS y, (i % 8)::INT AS x, 300.0 + 40.0 * embedding[i + 1]::DOUBLE AS adu, row_number() OVER (PARTITION BY i ORDER BY vec_id) AS k FROM (SELECT *, unnest(range(64)) AS i FROM embeddings) WHERE vec_id % 4 = 0 AND vec_id < 240),
+@query("""WITH RECURSIVE s AS (SELECT vec_id, (i // 8)::INT AS y, (i % 8)::INT AS x, 300.0 + 40.0 * embedding[i + 1]::DOUBLE AS adu, row_number() OVER (PARTITION BY i ORDER BY vec_id) AS k FROM (SELECT *, unnest(range(64)) AS i FROM embeddings) WHERE vec_id % 4 = 0),
 f AS (SELECT y, x, 0::BIGINT AS k, 1.0 / 10000::DOUBLE AS p, 300.0::DOUBLE / 10000 AS n, 3.0::DOUBLE AS a, 72.0::DOUBLE AS b FROM s WHERE k = 1
 UNION ALL SELECT f.y, f.x, s.k, f.p + 1 / v, f.n + s.adu / v, f.a + 0.5, f.b + 0.5 * (s.adu - (f.n + s.adu / v) / (f.p + 1 / v)) ** 2 FROM (SELECT *, greatest(b / (a - 1), 1e-12) AS v FROM f) f JOIN s ON s.y = f.y AND s.x = f.x AND s.k = f.k + 1)
 SELECT y, x, round(n / p, 6) AS bias_mean, round(sqrt(b / (a - 1)), 6) AS read_noise FROM f WHERE k = (SELECT max(k) FROM s)""")
 def bayes_ordered_fold(spark, sf_dir):
-    return rounded(bayes.ordered_fold(px_of(spark, sf_dir, "bias").where("frame_id < 240")).drop("channel"))
+    return rounded(bayes.ordered_fold(px_of(spark, sf_dir, "bias")).drop("channel"))
 
 
 @query("SELECT p_partkey AS pixel, round(p_retailprice * exp(-1.12 / (2 * 8.617333e-5) * (1 / (p_size - 20.0 + 273.15) - 1 / 263.15)), 4) AS rate FROM part")
@@ -273,12 +273,12 @@ def union_canvas(spark, sf_dir):
     return stacking.union_canvas(stacking.shifted_corners(adapters.frame_meta(spark, sf_dir), 8, 8))
 
 
-@query("""SELECT frame_id, y::INT AS y, x::INT AS x, round(sum(w * adu) / sum(w), 5) AS v FROM (SELECT m.frame_id, g.y, g.x, (1 - abs(g.y + m.dy - t.ty)) * (1 - abs(g.x + m.dx - t.tx)) AS w, p.adu FROM meta m, (SELECT a.range AS y, b.range AS x FROM range(8) a, range(8) b) g, LATERAL (SELECT floor(g.y + m.dy) + j AS ty, floor(g.x + m.dx) + i AS tx FROM (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) o(j, i)) t JOIN px p ON p.frame_id = m.frame_id AND p.y = t.ty AND p.x = t.tx WHERE m.frame_id < 100) WHERE w > 0 GROUP BY frame_id, y, x HAVING sum(w) > 0.5""", "px", "meta")
+@query("""SELECT frame_id, y::INT AS y, x::INT AS x, round(sum(w * adu) / sum(w), 5) AS v FROM (SELECT m.frame_id, g.y, g.x, (1 - abs(g.y + m.dy - t.ty)) * (1 - abs(g.x + m.dx - t.tx)) AS w, p.adu FROM meta m, (SELECT a.range AS y, b.range AS x FROM range(8) a, range(8) b) g, LATERAL (SELECT floor(g.y + m.dy) + j AS ty, floor(g.x + m.dx) + i AS tx FROM (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) o(j, i)) t JOIN px p ON p.frame_id = m.frame_id AND p.y = t.ty AND p.x = t.tx) WHERE w > 0 GROUP BY frame_id, y, x HAVING sum(w) > 0.5""", "px", "meta")
 def warp_to_canvas(spark, sf_dir):
-    m = adapters.frame_meta(spark, sf_dir).where("frame_id < 100")
+    m = adapters.frame_meta(spark, sf_dir)
     one, none = F.lit(1.0), F.lit(0.0)
     affine = m.select("frame_id", one.alias("a"), none.alias("b"), F.col("dx").alias("c"), none.alias("d"), one.alias("e"), F.col("dy").alias("f"))
-    w = stacking.warp(px_of(spark, sf_dir).where("frame_id < 100").withColumn("calibrated", F.col("adu")), affine, 8, 8)
+    w = stacking.warp(px_of(spark, sf_dir).withColumn("calibrated", F.col("adu")), affine, 8, 8)
     return w.select("frame_id", "y", "x", r("calibrated", "v", 5))
 
 
@@ -367,14 +367,16 @@ def downsample_avgpool(spark, sf_dir):
     return rounded(neighbourhood.pool(px_of(spark, sf_dir), 2).drop("channel"))
 
 
-@query("SELECT frame_id, (y * 2 + j)::INT AS y, (x * 2 + i)::INT AS x, round(adu, 6) AS adu FROM px, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) o(j, i) WHERE frame_id < 100", "px")
+@query("SELECT frame_id, (y * 2 + j)::INT AS y, (x * 2 + i)::INT AS x, round(adu, 6) AS adu FROM px, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) o(j, i)", "px")
 def upsample_nearest(spark, sf_dir):
-    return rounded(neighbourhood.repeat(px_of(spark, sf_dir).where("frame_id < 100"), 2).drop("channel"))
+    return rounded(neighbourhood.repeat(px_of(spark, sf_dir), 2).drop("channel"))
 
 
 @query(f""", {BAYER}, pl AS (SELECT frame_id, y, x, avg(adu) FILTER (channel = 'R') AS r, avg(adu) FILTER (channel IN ('G0', 'G1')) AS g, avg(adu) FILTER (channel = 'B') AS b FROM bay GROUP BY frame_id, y, x),
-u AS (SELECT frame_id, 2 * y + j AS y, 2 * x + i AS x, r, g, b FROM pl, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) o(j, i))
-SELECT a.frame_id, a.y::INT AS y, a.x::INT AS x, round(coalesce((a.r + b.r + c.r + d.r) / 4, a.r), 5) AS r, round(coalesce((a.g + b.g + c.g + d.g) / 4, a.g), 5) AS g, round(coalesce((a.b + b.b + c.b + d.b) / 4, a.b), 5) AS b FROM u a LEFT JOIN u b ON b.frame_id = a.frame_id AND b.y = a.y AND b.x = a.x + 1 LEFT JOIN u c ON c.frame_id = a.frame_id AND c.y = a.y + 1 AND c.x = a.x LEFT JOIN u d ON d.frame_id = a.frame_id AND d.y = a.y + 1 AND d.x = a.x + 1""", "px")
+u AS (SELECT frame_id, 2 * y + j AS y, 2 * x + i AS x, r, g, b FROM pl, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) o(j, i)),
+a AS (SELECT *, r + lead(r) OVER w AS rx, g + lead(g) OVER w AS gx, b + lead(b) OVER w AS bx FROM u WINDOW w AS (PARTITION BY frame_id, y ORDER BY x)),
+d AS (SELECT *, (rx + lead(rx) OVER w) / 4 AS rs, (gx + lead(gx) OVER w) / 4 AS gs, (bx + lead(bx) OVER w) / 4 AS bs FROM a WINDOW w AS (PARTITION BY frame_id, x ORDER BY y))
+SELECT frame_id, y::INT AS y, x::INT AS x, round(coalesce(rs, r), 5) AS r, round(coalesce(gs, g), 5) AS g, round(coalesce(bs, b), 5) AS b FROM d""", "px")
 def debayer_preview(spark, sf_dir):
     return rounded(neighbourhood.debayer(calibration.bayer_split(px_of(spark, sf_dir)), 8, 8), 5)
 
@@ -386,9 +388,9 @@ def mixture_pixels(p: DataFrame) -> DataFrame:
     return p.select("channel", "y", "x").distinct().withColumn("p_normal", 0.2 + ((F.col("y") * 5 + F.col("x") * 3) % 8) / 10.0)
 
 
-@query(f", {MIX} SELECT p.frame_id, p.y, p.x, round(coalesce(CASE WHEN m.p_normal < 0.5 THEN (SELECT sum(q.p_normal * n.adu) / sum(q.p_normal) FROM px n JOIN mix q ON q.y = n.y AND q.x = n.x WHERE n.frame_id = p.frame_id AND abs(n.y - p.y) <= 1 AND abs(n.x - p.x) <= 1 AND NOT (n.y = p.y AND n.x = p.x)) END, p.adu), 5) AS adu FROM px p JOIN mix m ON m.y = p.y AND m.x = p.x WHERE p.frame_id < 40", "px")
+@query(f", {MIX} SELECT p.frame_id, p.y, p.x, round(coalesce(CASE WHEN m.p_normal < 0.5 THEN (SELECT sum(q.p_normal * n.adu) / sum(q.p_normal) FROM px n JOIN mix q ON q.y = n.y AND q.x = n.x WHERE n.frame_id = p.frame_id AND abs(n.y - p.y) <= 1 AND abs(n.x - p.x) <= 1 AND NOT (n.y = p.y AND n.x = p.x)) END, p.adu), 5) AS adu FROM px p JOIN mix m ON m.y = p.y AND m.x = p.x", "px")
 def defect_interpolation(spark, sf_dir):
-    p = px_of(spark, sf_dir).where("frame_id < 40")
+    p = px_of(spark, sf_dir)
     return neighbourhood.defect_interpolation(p, mixture_pixels(p)).select("frame_id", "y", "x", r("adu", "adu", 5))
 
 
@@ -511,18 +513,19 @@ def moffat_kernel(spark, sf_dir):
 
 # stars -----------------------------------------------------------------------
 
-TRI = """tri AS (SELECT frame_id, i, j, k, l[1] / l[3] AS u, l[2] / l[3] AS v FROM (SELECT p.frame_id, p.star_rank AS i, q.star_rank AS j, r.star_rank AS k, list_sort([sqrt((p.y - q.y) ** 2 + (p.x - q.x) ** 2), sqrt((p.y - r.y) ** 2 + (p.x - r.x) ** 2), sqrt((q.y - r.y) ** 2 + (q.x - r.x) ** 2)]) AS l FROM star p JOIN star q ON p.frame_id = q.frame_id AND p.star_rank < q.star_rank JOIN star r ON p.frame_id = r.frame_id AND q.star_rank < r.star_rank WHERE r.star_rank < 12) WHERE l[3] >= 1e-6)"""
+TRI = """tri AS (SELECT frame_id, i, j, k, l[1] / l[3] AS u, l[2] / l[3] AS v FROM (SELECT p.frame_id, p.star_rank AS i, q.star_rank AS j, r.star_rank AS k, list_sort([sqrt((p.y - q.y) ** 2 + (p.x - q.x) ** 2), sqrt((p.y - r.y) ** 2 + (p.x - r.x) ** 2), sqrt((q.y - r.y) ** 2 + (q.x - r.x) ** 2)]) AS l FROM star p JOIN star q ON p.frame_id = q.frame_id AND p.star_rank < q.star_rank JOIN star r ON p.frame_id = r.frame_id AND q.star_rank < r.star_rank) WHERE l[3] >= 1e-6)"""
 
 
 @query(f", {TRI} SELECT frame_id, i, j, k, round(u, 6) AS u, round(v, 6) AS v FROM tri", "star")
 def triangle_descriptors(spark, sf_dir):
-    return rounded(stars.triangles(adapters.star_catalogue(spark, sf_dir), 12))
+    return rounded(stars.triangles(adapters.star_catalogue(spark, sf_dir)))
 
 
-@query(f""", {TRI}, ref AS (SELECT * FROM tri WHERE frame_id = 0), m AS (SELECT t.frame_id, t.i, t.j, t.k, f.i AS ri, f.j AS rj, f.k AS rk, row_number() OVER (PARTITION BY t.frame_id, t.i, t.j, t.k ORDER BY round(sqrt((t.u - f.u) ** 2 + (t.v - f.v) ** 2), 9), f.i, f.j, f.k) AS n FROM tri t JOIN ref f ON sqrt((t.u - f.u) ** 2 + (t.v - f.v) ** 2) <= 0.02),
-p AS (SELECT frame_id, i AS star, ri AS r FROM m WHERE n = 1 UNION ALL SELECT frame_id, j, rj FROM m WHERE n = 1 UNION ALL SELECT frame_id, k, rk FROM m WHERE n = 1), c AS (SELECT frame_id, star, r, count(*) AS votes FROM p GROUP BY ALL HAVING count(*) >= 2) SELECT frame_id, star, r AS ref, votes FROM c WHERE frame_id IN (SELECT frame_id FROM c GROUP BY frame_id HAVING count(*) >= 3)""", "star")
+@query(f""", {TRI}, ref AS (SELECT i, j, k, u, v, (floor(u / 0.02) + a.range - 1)::INT AS cu, (floor(v / 0.02) + b.range - 1)::INT AS cv FROM tri, range(3) a, range(3) b WHERE frame_id = 0),
+m AS (SELECT t.frame_id, t.i, t.j, t.k, min({{'d': round(sqrt((t.u - f.u) ** 2 + (t.v - f.v) ** 2), 9), 'i': f.i, 'j': f.j, 'k': f.k}}) AS n FROM tri t JOIN ref f ON f.cu = floor(t.u / 0.02)::INT AND f.cv = floor(t.v / 0.02)::INT WHERE sqrt((t.u - f.u) ** 2 + (t.v - f.v) ** 2) <= 0.02 GROUP BY ALL),
+p AS (SELECT frame_id, i AS star, n.i AS r FROM m UNION ALL SELECT frame_id, j, n.j FROM m UNION ALL SELECT frame_id, k, n.k FROM m), c AS (SELECT frame_id, star, r, count(*) AS votes FROM p GROUP BY ALL HAVING count(*) >= 2) SELECT frame_id, star, r AS ref, votes FROM c WHERE frame_id IN (SELECT frame_id FROM c GROUP BY frame_id HAVING count(*) >= 3)""", "star")
 def triangle_match_votes(spark, sf_dir):
-    t = stars.triangles(adapters.star_catalogue(spark, sf_dir), 12)
+    t = stars.triangles(adapters.star_catalogue(spark, sf_dir))
     return stars.star_votes(stars.match_triangles(t, t.where("frame_id = 0")))
 
 
@@ -643,7 +646,7 @@ def header_projection(spark, sf_dir):
     return d.select("event_id", "frame_type", r("exposure_s", "exposure_s", 4))
 
 
-@query("SELECT s_suppkey AS id, CASE s_suppkey % 3 WHEN 0 THEN 'bias' WHEN 1 THEN 'dark' ELSE 'flat' END AS frame_type FROM supplier WHERE s_suppkey % 4 <> 3")
+@query("SELECT s_suppkey AS id, CASE WHEN s_suppkey % 4 = 3 THEN 'light' WHEN s_suppkey % 3 = 0 THEN 'bias' WHEN s_suppkey % 3 = 1 THEN 'dark' ELSE 'flat' END AS frame_type FROM supplier")
 def frame_discovery(spark, sf_dir):
     k = F.col("s_suppkey")
     folder = F.when(k % 4 == 3, F.lit("misc")).otherwise(F.get(F.array(*map(F.lit, ("bias", "Darks", "flats"))), (k % 3).cast("int")))
@@ -666,16 +669,29 @@ def fit_dark_mixture(spark, sf_dir):
     return spark.createDataFrame([(n, float(s), float(a), float(b), len(m.history), m.converged) for n, s, a, b in zip(mixture.NAMES, m.share, m.alpha, m.beta)], "component string, share double, alpha double, beta double, rounds int, converged boolean")
 
 
-@query()
+LIGHT = "lt AS (SELECT frame_id, y, x, adu FROM px WHERE frame_type = 'light')"
+
+
+def _mirrored(v: str) -> str:
+    """An index of 8 mirrored at the edges, in SQL."""
+    return f"(CASE WHEN (({v}) % 16 + 16) % 16 < 8 THEN (({v}) % 16 + 16) % 16 ELSE 15 - (({v}) % 16 + 16) % 16 END)"
+
+
+@query(f""", {LIGHT}, md AS (SELECT frame_id, median(adu) AS m FROM lt GROUP BY 1), sd AS (SELECT frame_id, m, median(abs(adu - m)) AS s FROM lt JOIN md USING (frame_id) GROUP BY 1, 2),
+o AS (SELECT lt.frame_id, y, x FROM lt JOIN sd USING (frame_id) WHERE adu > m + 3 * 1.4826 * s),
+k AS (SELECT o.frame_id, o.y, o.x, {_mirrored("o.y + a.range - 2")} AS ny, {_mirrored("o.x + b.range - 2")} AS nx FROM o, range(5) a, range(5) b),
+v AS (SELECT k.frame_id, k.y, k.x, median(lt.adu) AS v FROM k JOIN lt ON lt.frame_id = k.frame_id AND lt.y = k.ny AND lt.x = k.nx GROUP BY 1, 2, 3)
+SELECT frame_id, y, x, round(coalesce(v, adu), 6) AS adu FROM lt LEFT JOIN v USING (frame_id, y, x)""", "px")
 def replace_hot_pixels(spark, sf_dir):
     p = px_of(spark, sf_dir, "light")
-    mask = neighbourhood.outlier_mask(p, 3.0).select("channel", "y", "x").distinct()
-    return rounded(neighbourhood.replace_masked(p, mask, 8, 8).select("frame_id", "y", "x", "adu"))
+    return rounded(neighbourhood.replace_masked(p, neighbourhood.outlier_mask(p, 3.0), 8, 8).select("frame_id", "y", "x", "adu"))
 
 
-@query()
+@query(f""", {LIGHT}, wt AS (SELECT (range - 4)::INT AS o, exp(-0.5 * (range - 4) ** 2) / sum(exp(-0.5 * (range - 4) ** 2)) OVER () AS w FROM range(9)),
+h AS (SELECT k.frame_id, k.y, k.x, sum(wt.w * n.adu) AS v FROM lt k, wt JOIN lt n ON n.frame_id = k.frame_id AND n.y = k.y AND n.x = {_mirrored("k.x + wt.o")} GROUP BY 1, 2, 3)
+SELECT k.frame_id, k.y, k.x, round(sum(wt.w * n.v), 5) AS smooth FROM h k, wt JOIN h n ON n.frame_id = k.frame_id AND n.x = k.x AND n.y = {_mirrored("k.y + wt.o")} GROUP BY 1, 2, 3""", "px")
 def smooth_frames(spark, sf_dir):
-    return rounded(neighbourhood.smooth(px_of(spark, sf_dir, "light"), 8, 8).select("frame_id", "y", "x", "smooth"))
+    return rounded(neighbourhood.smooth(px_of(spark, sf_dir, "light"), 8, 8).select("frame_id", "y", "x", "smooth"), 5)
 
 
 @query()

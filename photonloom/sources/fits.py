@@ -1,7 +1,8 @@
 """FITS images as a Spark data source: format("fits") reads and writes, in plain Python.
 
-Options for reading: path (a file, a folder or a pattern, on any file system
-that Spark reads when use_spark_files is given), hdu (a number; by default
+Options for reading: path (a file, a folder or a pattern that the driver and
+all executors see as local; read_shared() reads from any file system that Spark
+reads), hdu (a number; by default
 the first with two axes or more), squeeze. Unreadable files give a row with
 _error unless mode is failfast; nothing is dropped silently.
 """
@@ -207,12 +208,17 @@ def frame_type(name):
 
 
 def discover(frames: DataFrame) -> DataFrame:
-    """frames(path, header) with frame_type by folder name, if any folder tells one, else by IMAGETYP; frames of unknown kind go."""
+    """frames(path, header) with frame_type; frames of unknown kind go.
+
+    A calibration frame's folder tells its kind, if any folder of the table
+    does, else its IMAGETYP. Lights are known by their folder or IMAGETYP in
+    either case, so a folder of lights hides no calibration frames.
+    """
     folder = frame_type(F.regexp_extract("path", r"([^/]+)/[^/]*$", 1))
-    by_folder = frames.withColumn("frame_type", folder).where("frame_type IS NOT NULL")
-    if not by_folder.isEmpty():
-        return by_folder
-    return frames.withColumn("frame_type", frame_type(F.element_at("header", "IMAGETYP"))).where("frame_type IS NOT NULL")
+    typed = frames.withColumns({"__folder": folder, "__header": frame_type(F.element_at("header", "IMAGETYP"))})
+    sorted_out = not typed.where(F.col("__folder") != "light").isEmpty()
+    kind = F.coalesce("__folder", F.when(F.col("__header") == "light", F.col("__header")) if sorted_out else F.col("__header"))
+    return typed.withColumn("frame_type", kind).drop("__folder", "__header").where("frame_type IS NOT NULL")
 
 
 def header_values(frames: DataFrame, default_exposure: float | None = None) -> DataFrame:

@@ -69,15 +69,15 @@ def exposure_sessions(stream: DataFrame, gap: str = "30 minutes", late: str = "1
 def carry_psf(stream: DataFrame, min_stars: int = 8, default_fwhm: float = 3.0) -> DataFrame:
     """stream(session, frame_id, fwhm, n_stars) with the fwhm in use: a frame with too few stars takes its session's last good one, or the default.
 
-    State is one number per session. Frames of a batch go in order of frame_id.
+    State is one number per session. A micro-batch's frames of a session go in
+    order of frame_id, however many there are; they are short rows.
     """
 
     def step(key, batches, state):
         import pandas as pd
 
         last = state.get[0] if state.exists else default_fwhm
-        for pdf in batches:
-            pdf = pdf.sort_values("frame_id")
+        for pdf in [pd.concat(list(batches)).sort_values("frame_id")]:
             used = []
             for f, n in zip(pdf.fwhm, pdf.n_stars):
                 if n >= min_stars and f == f:
