@@ -159,7 +159,11 @@ def nearest_shapes(shapes: np.ndarray, ref: np.ndarray, tol: float) -> np.ndarra
 
 
 def registered(stars: np.ndarray, ref: np.ndarray, limit: int = 20, tol: float = 0.02) -> dict[str, float] | None:
-    """Shift, rotation and scale that take stars to those of the reference, from pairs that two triangles or more vote for; none without three pairs."""
+    """Shift, rotation and scale that take stars to those of the reference, from pairs that two triangles or more vote for; none without three pairs.
+
+    The shift (tx, ty) is that of the matched stars' middle, so a frame that is
+    but moved by it lies as well as it can.
+    """
     a, b = stars[:limit, :2], ref[:limit, :2]
     (ca, sa), (cb, sb) = triangle_shapes(a), triangle_shapes(b)
     match = nearest_shapes(sa, sb, tol)
@@ -173,7 +177,14 @@ def registered(stars: np.ndarray, ref: np.ndarray, limit: int = 20, tol: float =
     for p, q in sorted(zip(i.tolist(), j.tolist()), key=lambda k: -votes[k]):
         if p not in seen_a and q not in seen_b:
             seen_a.add(p), seen_b.add(q), pairs.append((p, q))
-    return similarity_fit(a[[p for p, _ in pairs]], b[[q for _, q in pairs]], 2.0)
+    own = a[[p for p, _ in pairs]]
+    m = similarity_fit(own, b[[q for _, q in pairs]], 2.0)
+    if m is None:
+        return None
+    middle = complex(own[:, 1].mean(), own[:, 0].mean())
+    turn = m["scale"] * np.exp(1j * np.radians(m["rotation"]))
+    moved = turn * middle + complex(m["tx"], m["ty"]) - middle
+    return {**m, "tx": float(moved.real), "ty": float(moved.imag)}
 
 
 def resampled(image: np.ndarray, affine: tuple[float, ...], rows: int, cols: int, min_cover: float = 0.5) -> np.ndarray:

@@ -230,3 +230,28 @@ def similarity_fit(src: np.ndarray, dst: np.ndarray, threshold: float = 5.0, rou
     m = (np.conj(p - p.mean()) * (q - q.mean())).sum() / (np.abs(p - p.mean()) ** 2).sum()
     t = q.mean() - m * p.mean()
     return {"scale": float(abs(m)), "rotation": float(np.degrees(np.angle(m))), "tx": float(t.real), "ty": float(t.imag), "inliers": int(best.sum())}
+
+
+def affine_warp(image: np.ndarray, rotation: float, dy: float, dx: float, scale: float = 1.0) -> np.ndarray:
+    """image turned by rotation (degrees) about its centre, scaled and moved, bilinearly; a turn below 1e-4 degrees and a scale within 1e-5 of 1 count as none."""
+    from .frame import resampled
+
+    if abs(rotation) < 1e-4 and abs(scale - 1) < 1e-5:
+        rotation, scale = 0.0, 1.0
+        if dy == dx == 0:
+            return image
+    c, s = np.cos(np.radians(rotation)) / scale, np.sin(np.radians(rotation)) / scale
+    cy, cx = (image.shape[0] - 1) / 2, (image.shape[1] - 1) / 2
+    # where on image a pixel of the result comes from: x' = c (x - dx - cx) + s (y - dy - cy) + cx
+    affine = (c, s, cx - c * (cx + dx) - s * (cy + dy), -s, c, cy + s * (cx + dx) - c * (cy + dy))
+    out = resampled(image, affine, *image.shape, min_cover=0.0)
+    return np.where(np.isfinite(out), out, 0.0)
+
+
+def radial_power(image: np.ndarray, bins: int) -> np.ndarray:
+    """The mean power of image in rings of spatial frequency from 0 to half a cycle a pixel."""
+    power = np.abs(np.fft.fft2(image)) ** 2
+    f = np.hypot(np.fft.fftfreq(image.shape[0])[:, None], np.fft.fftfreq(image.shape[1])[None, :])
+    ring = np.minimum((f * 2 * bins).astype(int), bins)
+    total, n = (np.bincount(ring.ravel(), w, bins + 1)[:bins] for w in (power.ravel(), np.ones(power.size)))
+    return total / np.maximum(n, 1)

@@ -132,6 +132,11 @@ def bayer_channel(pattern: str, y: Column, x: Column) -> Column:
     return F.get(F.array(*[F.lit(cells[r, c]) for r in (0, 1) for c in (0, 1)]), ((y % 2) * 2 + x % 2).cast("int"))
 
 
+def is_colour(pattern: Column) -> Column:
+    """Whether a frame is a colour sensor's: its pattern is known."""
+    return pattern.isNotNull()
+
+
 def bayer_split(px: DataFrame, pattern: str = "RGGB") -> DataFrame:
     """px with the channel of its place in the pattern, on the half-size grid."""
     halved = {"y": F.floor(F.col("y") / 2).cast("int"), "x": F.floor(F.col("x") / 2).cast("int")}

@@ -114,3 +114,10 @@ def _kernel(spark, size: int, value) -> DataFrame:
     r2 = F.pow(y - size // 2, F.lit(2.0)) + F.pow(x - size // 2, F.lit(2.0))
     k = spark.range(0, size * size, 1, 1).select(y.alias("ky"), x.alias("kx"), value(r2).alias("v"))
     return k.join(F.broadcast(k.agg(F.sum("v").alias("s")))).select("ky", "kx", (F.col("v") / F.col("s")).alias("w"))
+
+
+def shift_record(frames: DataFrame, sentinel: float = -9999.0) -> DataFrame:
+    """frames with shift, a struct of the columns that a shift was stored in; null where they hold the mark of no shift."""
+    names = ["dx_px", "dy_px", "dx_arcsec", "dy_arcsec", "rotation_deg", "scale_ratio"]
+    known = F.abs(F.col("dx_px") - sentinel) >= 1
+    return frames.withColumn("shift", F.when(known, F.struct(*names))).drop(*names)

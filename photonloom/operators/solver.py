@@ -252,12 +252,47 @@ def solve_distributed(frames: DataFrame, weighted_mean: np.ndarray, psf: np.ndar
             yield pd.DataFrame({"loss": [loss], "grad": [grad.ravel()]})
 
         parts = frames.select("data", "transparency", "dy", "dx").mapInPandas(work, "loss double, grad array<double>")
-        total = parts.select("loss", F.posexplode("grad").alias("k", "g")).groupBy("k").agg(F.sum("g").alias("g"))
-        grad = np.zeros(n)
-        pdf = total.toPandas()
-        grad[pdf.k] = pdf.g
-        loss = parts.agg(F.sum("loss")).first()[0]
+        # the loss travels as one more number of the gradient, so that the frames are gone through once
+        pdf = parts.select(F.posexplode(F.concat(F.array("loss"), "grad")).alias("k", "g")).groupBy("k").agg(F.sum("g").alias("g")).toPandas()
+        both = np.zeros(n + 1)
+        both[pdf.k] = pdf.g
+        loss, grad = both[0], both[1:]
         sent.unpersist()
         return loss, grad.reshape(image.shape)
 
     return adam(np.maximum(prior, 1e-3), prior, likelihood, cfg)
+
+
+def solve(cfg: SolverConfig, stack: DataFrame, meta: list[dict], height: int, width: int, frames: DataFrame | None = None) -> DataFrame:
+    """channel, y, x, flux by the configured mode: fast, from the stack's sums, or exact, from frames(frame_id, channel, data, transparency, dy, dx) too.
+
+    meta has t, psf, dy, dx by frame. The exact mode blurs all frames of a
+    channel by the mean of their PSFs; without frames it is an error.
+    """
+    cfg.check()
+    if cfg.mode == "fast":
+        return solve_channels(stack, meta, height, width, cfg).select("channel", "y", "x", "flux")
+    if frames is None:
+        raise ValueError("the exact mode needs the frames")
+    spark, out = stack.sparkSession, None
+    psf = np.mean([m["psf"] for m in meta], axis=0)
+    for channel in sorted(r[0] for r in stack.select("channel").distinct().collect()):  # four at most
+        mean = np.zeros((height, width))
+        pdf = stack.where(F.col("channel") == channel).select("y", "x", "weighted_mean").toPandas()  # one image
+        mean[pdf.y, pdf.x] = np.maximum(pdf.weighted_mean, 0)
+        image = solve_distributed(frames.where(F.col("channel") == channel), mean, psf, cfg).image
+        rows = spark.createDataFrame([(channel, y, v.tolist()) for y, v in enumerate(image)], "channel string, y int, v array<double>")
+        part = rows.select("channel", "y", F.posexplode("v").alias("x", "flux"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def run_from_stack(spark, folder: str, cfg: SolverConfig, height: int, width: int, psf_size: int = 25) -> DataFrame:
+    """The fast solution of a stored stack, from its tables alone."""
+    from ..functions.kernels import gaussian_psf
+    from ..sources import store
+
+    stack, meta = store.load_stack(spark, folder)
+    rows = meta.select("transparency", "fwhm").collect()  # two numbers a frame
+    each = [{"t": r.transparency, "psf": gaussian_psf(psf_size, (r.fwhm or 3.0) * cfg.scale)} for r in rows]
+    return solve(SolverConfig(**{**cfg.__dict__, "mode": "fast"}), stack, each, height, width)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .functions import display, kernels
 from .operators import bayes, calibration, geometry, images, mixture, neighbourhood, solver, stacking, stars, synth, validation
-from .plans import adapters
+from .plans import adapters, ground_truth
 from .plans.adapters import SQL
 from .plans.staging import cut
 from .sources import fits
@@ -657,10 +657,20 @@ def frame_discovery(spark, sf_dir):
 # kernels and solvers: no SQL; tests compare them with plain formulas ---------
 
 
-@query()
+def _through_sky(k: int, x: str) -> str:
+    """A frame's pixel (x, 255.5) in the pixels of the reference r, in SQL."""
+    xi, eta = (f"radians(w.cd{n}1 * ({x} + 1 - w.crpix1) + w.cd{n}2 * (255.5 + 1 - w.crpix2))" for n in (1, 2))
+    return f"""s{k} AS (SELECT w.id, radians(w.crval1) + atan2({xi}, cos(radians(w.crval2)) - {eta} * sin(radians(w.crval2))) - radians(r.crval1) AS h, atan2(sin(radians(w.crval2)) + {eta} * cos(radians(w.crval2)), sqrt({xi} ** 2 + (cos(radians(w.crval2)) - {eta} * sin(radians(w.crval2))) ** 2)) AS d, r.* EXCLUDE (id, px, py) FROM w, r),
+t{k} AS (SELECT *, sin(d) * sin(radians(crval2)) + cos(d) * cos(radians(crval2)) * cos(h) AS den FROM s{k}),
+u{k} AS (SELECT *, degrees(cos(d) * sin(h) / den) AS xi, degrees((sin(d) * cos(radians(crval2)) - cos(d) * sin(radians(crval2)) * cos(h)) / den) AS eta, cd11 * cd22 - cd12 * cd21 AS det FROM t{k}),
+p{k} AS (SELECT id, (cd22 * xi - cd12 * eta) / det + crpix1 - 1 AS x, (cd11 * eta - cd21 * xi) / det + crpix2 - 1 AS y FROM u{k})"""
+
+
+@query(f"""WITH {WCS}, w AS (SELECT * REPLACE (180.0 + id % 7 * 0.001 AS crval1, 20.0 AS crval2) FROM wcs), r AS (SELECT * FROM w WHERE id = 1), {_through_sky(0, "255.5")}, {_through_sky(1, "383.5")}
+SELECT w.id, round(p0.x - 255.5, 5) AS dx_to_ref, round(p0.y - 255.5, 5) AS dy_to_ref, round(((degrees(atan2(r.cd12, r.cd22)) - degrees(atan2(w.cd12, w.cd22)) + 180) % 360 + 360) % 360 - 180, 5) AS rotation, round(sqrt((p1.x - p0.x) ** 2 + (p1.y - p0.y) ** 2) / 128, 5) AS scale_ratio FROM w JOIN p0 USING (id) JOIN p1 USING (id), r""")
 def frame_shift(spark, sf_dir):
     d = wcs_rows(spark, sf_dir).withColumns({"crval1": F.lit(180.0) + F.col("id") % 7 * 0.001, "crval2": F.lit(20.0)})
-    return rounded(geometry.frame_shift(d, d.where("id = 1"), 512, 512).select("id", "dx_to_ref", "dy_to_ref", "rotation", "scale_ratio"))
+    return rounded(geometry.frame_shift(d, d.where("id = 1"), 512, 512).select("id", "dx_to_ref", "dy_to_ref", "rotation", "scale_ratio"), 5)
 
 
 @query()
@@ -723,10 +733,11 @@ def fourier_shift(spark, sf_dir):
     return images.map_images(f, lambda image, row: kernels.fourier_shift(image, row["dy"], row["dx"]), ["dy", "dx"])
 
 
-@query()
+@query(f", wt AS (SELECT a.range - 2 AS j, b.range - 2 AS i, exp(-ln(2) * ((a.range - 2) ** 2 + (b.range - 2) ** 2)) AS w FROM range(5) a, range(5) b) SELECT k.frame_id, k.y, k.x, round(sum(wt.w * n.adu) / (SELECT sum(w) FROM wt), 5) AS adu FROM px k, wt JOIN px n ON n.frame_id = k.frame_id AND n.y = {_mirrored('k.y + wt.j')} AND n.x = {_mirrored('k.x + wt.i')} GROUP BY 1, 2, 3", "px")
 def convolve_psf(spark, sf_dir):
     psf = kernels.gaussian_psf(5, 2.0)
-    return images.map_images(adapters.frames(spark, sf_dir), lambda image, _: kernels.convolve(image, psf))
+    out = images.map_images(adapters.frames(spark, sf_dir), lambda image, _: kernels.convolve(image, psf))
+    return rounded(adapters.explode_frames(out).drop("channel"), 5)
 
 
 @query()
@@ -742,7 +753,7 @@ def wiener_deconvolve(spark, sf_dir):
     return images.map_images(f, lambda v, _: kernels.wiener_deconvolve(kernels.gaussian_psf(15, float(v[0, 0]) + 1), known, 100.0))
 
 
-@query()
+@query("SELECT frame_id, 1.01::DOUBLE AS scale, round(degrees(0.02), 6) AS rotation, 3.0::DOUBLE AS tx, -2.0::DOUBLE AS ty FROM star GROUP BY frame_id HAVING count(*) >= 3", "star")
 def similarity_fit(spark, sf_dir):
     s = adapters.star_catalogue(spark, sf_dir)
 
@@ -813,21 +824,14 @@ def stretch_rgb_unlinked(spark, sf_dir):
 
 @query()
 def synthetic_session(spark, sf_dir):
-    cfg = synth.Session(16, 16, 4, 2, (120.0, 300.0), 4, n_light=2, n_stars=5)
-    return synth.generate_session(spark, cfg).select("frame_id", "frame_type", "exposure_s", "h", "w", F.round(F.aggregate("data", F.lit(0.0), lambda a, b: a + b), 3).alias("total"))
+    frames = synth.generate_session(spark, synth.FAST)
+    return frames.select("frame_id", "frame_type", "exposure_s", "h", "w", F.round(F.aggregate("data", F.lit(0.0), lambda a, b: a + b), 3).alias("total"))
 
 
 @query()
 def validation_report(spark, sf_dir):
-    cfg = synth.Session(32, 32, 10, 3, (120.0, 600.0), 10, n_light=1)
-    px = adapters.explode_frames(synth.generate_session(spark, cfg))
-    model = calibration.fit_all(px)
-    true = synth.instrument(32, 32, seed=cfg.seed)
-    rows = [(y, x, float(true["bias_mean"][y, x]), float(true["flat_gain"][y, x])) for y in range(32) for x in range(32)]
-    both = model.join(spark.createDataFrame(rows, "y int, x int, tb double, tf double"), ["y", "x"])
-    name = lambda d, n: d.select(F.lit(n).alias("name"), F.col("mae_pct").alias("value"))
-    m = name(validation.relative_error(both, "bias_mean", "tb"), "bias_mae_pct").unionByName(name(validation.relative_error(both, "flat_gain", "tf"), "flat_mae_pct"))
-    return rounded(validation.verdict(m), 4)
+    """All ten measures of a session of 64 x 64 with eight lights and thirty stars."""
+    return rounded(ground_truth.report(spark, ground_truth.measures(spark, synth.FAST, 60)), 4)
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:

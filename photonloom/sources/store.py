@@ -39,6 +39,73 @@ def load_stack(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     return spark.read.parquet(f"{folder}/stack/pixels"), spark.read.parquet(f"{folder}/stack/frames")
 
 
+def save_mixture(mixture, pixels: DataFrame, folder: str) -> None:
+    """A fitted mixture's parameters and its pixels' probabilities."""
+    spark = pixels.sparkSession
+    rows = [(k, float(a), float(b), float(c)) for k, (a, b, c) in enumerate(zip(mixture.share, mixture.alpha, mixture.beta))]
+    spark.createDataFrame(rows, "part int, share double, alpha double, beta double").write.mode("overwrite").parquet(f"{folder}/mixture/parameters")
+    spark.createDataFrame([(k, float(v)) for k, v in enumerate(mixture.history)], "round int, loglik double").write.mode("overwrite").parquet(f"{folder}/mixture/history")
+    pixels.write.mode("overwrite").parquet(f"{folder}/mixture/pixels")
+
+
+def load_mixture(spark: SparkSession, folder: str):
+    """(mixture, pixels) as they were saved."""
+    from ..operators.mixture import Mixture
+
+    p = spark.read.parquet(f"{folder}/mixture/parameters").orderBy("part").collect()
+    h = spark.read.parquet(f"{folder}/mixture/history").orderBy("round").collect()
+    return Mixture(tuple(r.share for r in p), tuple(r.alpha for r in p), tuple(r.beta for r in p), tuple(r.loglik for r in h), True), spark.read.parquet(f"{folder}/mixture/pixels")
+
+
+#: The tables that a run leaves in its folder.
+TABLES = ("instrument", "stack", "bayes", "mixture", "solution")
+
+
+def invalidate(spark: SparkSession, folder: str, tables: tuple[str, ...] = TABLES) -> list[str]:
+    """Deletes the named tables of a run's folder, and nothing else in it; the names of those that were there."""
+    if unknown := set(tables) - set(TABLES):
+        raise ValueError(f"no tables of a run: {sorted(unknown)}")
+    gone = []
+    for name in tables:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
+        if path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True):
+            gone.append(name)
+    return gone
+
+
+def frame_count(spark: SparkSession, folder: str) -> int:
+    return load_stack(spark, folder)[1].count()
+
+
+def sensor_shape(spark: SparkSession, folder: str) -> tuple[int, int]:
+    r = load_model(spark, folder)[0].agg(F.max("y"), F.max("x")).first()
+    return r[0] + 1, r[1] + 1
+
+
+def image_of(px: DataFrame, value: str, height: int, width: int):
+    """One image of pixels(y, x, value) on the driver, NaN where there is none."""
+    import numpy as np
+
+    out = np.full((height, width), np.nan)
+    pdf = px.select("y", "x", F.col(value).alias("v")).toPandas()  # one image
+    out[pdf.y, pdf.x] = pdf.v
+    return out
+
+
+def stack_fits(spark: SparkSession, folder: str, height: int, width: int) -> dict[str, bytes]:
+    """A FITS file for each channel of a stored stack: the weighted mean, its variance and quality as extensions, and what the frames were like in the header."""
+    from .fits import write_fits
+
+    stack, meta = load_stack(spark, folder)
+    m = meta.agg(F.count("*").alias("n"), F.median("transparency").alias("t"), F.median("fwhm").alias("w")).first()
+    out = {}
+    for channel in sorted(r[0] for r in stack.select("channel").distinct().collect()):  # four at most
+        px = stack.where(F.col("channel") == channel)
+        image, *more = (image_of(px, c, height, width) for c in ("weighted_mean", "variance", "quality"))
+        out[channel] = write_fits(image, {"NFRAMES": m.n, "MEDTRANS": m.t or 0.0, "MEDFWHM": m.w or 0.0, "CHANNEL": channel}, [("VARIANCE", more[0]), ("QUALITY", more[1])])
+    return out
+
+
 def from_sentinel(df: DataFrame, *columns: str) -> DataFrame:
     """Foreign tables mark a null by -9999; ours don't."""
     return df.withColumns({c: F.when(F.abs(F.col(c) - SENTINEL) >= 1, F.col(c)) for c in columns})
