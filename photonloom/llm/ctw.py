@@ -364,13 +364,13 @@ def fit(docs: DataFrame, learn: Column, depth: int = 6, frequent: int = 65_536,
     when documents are scored, so that no score depends on the bounds. The
     grams of rows that teach nothing are valued on the way.
     """
-    counts = staged(gather(docs, learn, depth, text_col), "counts", compact=True)
+    counts = staged(gather(docs, learn, depth, text_col), "counts")
     words = counts.where("kind = 0").select("word", "n")
     total = words.agg(F.sum("n"), F.count("*")).first()
     top = {bytes(r.word): r.n for r in most_frequent(words, frequent).collect()}
     grams = counts.where("kind = 1").select("gram", "n")
     upper = top_nodes(grams, depth)
-    values = staged(gram_values(grams, upper, depth), "values", compact=True)
+    values = staged(gram_values(grams, upper, depth), "values")
     table = most_frequent(values.where("n > 0"), max_grams).select("gram", "log10").toArrow()
     g, v = table.column("gram").to_numpy().view(np.uint64), table.column("log10").to_numpy().astype(np.float32)
     order = np.argsort(g)
