@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.staging import cut
+
 PIXEL = ("channel", "y", "x")
 MAD = 1.4826  # of a normal distribution: standard deviation over median absolute deviation
 
@@ -57,11 +59,42 @@ def fit_dark(dark: DataFrame, bias: DataFrame, by: Sequence[str] = PIXEL, sigma:
     return hot_pixels(rate, "dark_rate", sigma)
 
 
+def exact_median(df: DataFrame, value: str, accuracy: int = 10_000) -> float | None:
+    """The median of a column of the whole table, without a task that holds all its values.
+
+    A sketch gives two numbers that the middle lies between; the few values
+    between them are counted from and put in order. Should the sketch have
+    missed, the aggregate over all values decides.
+    """
+    d = df.select(F.col(value).cast("double").alias("v")).where("v IS NOT NULL AND NOT isnan(v)")
+    lo, hi, n = d.agg(F.percentile_approx("v", 0.5 - 2 / accuracy, accuracy), F.percentile_approx("v", 0.5 + 2 / accuracy, accuracy), F.count("*")).first()
+    if not n:
+        return None
+    near = d.agg(F.count_if(F.col("v") < lo).alias("below"), F.count_if(F.col("v").between(lo, hi)).alias("k")).first()
+    at = [(n - 1) // 2 - near.below, n // 2 - near.below]
+    if lo == hi and at[0] >= 0 and at[1] < near.k:
+        return lo
+    if at[0] < 0 or at[1] >= near.k:
+        return d.agg(F.median("v")).first()[0]
+    few = d.where(F.col("v").between(lo, hi)).groupBy("v").agg(F.count("*").alias("k")).orderBy("v").collect()  # about 4 / accuracy of the values
+    ends = []
+    for a in at:
+        for r in few:
+            if a < r.k:
+                ends.append(r.v)
+                break
+            a -= r.k
+    return sum(ends) / 2
+
+
 def hot_pixels(pixels: DataFrame, value: str, sigma: float = 5.0) -> DataFrame:
     """pixels with hot_pixel: value above the median by sigma robust deviations."""
-    centre = pixels.agg(F.median(value).alias("__m"))
-    away = pixels.join(F.broadcast(centre)).agg(F.first("__m").alias("__m"), F.median(F.abs(F.col(value) - F.col("__m"))).alias("__d"))  # one row
-    return pixels.join(F.broadcast(away)).withColumn("hot_pixel", F.col(value) > F.col("__m") + sigma * MAD * F.col("__d")).drop("__m", "__d")
+    pixels = cut(pixels, "rates")  # read several times
+    centre = exact_median(pixels, value)
+    if centre is None:
+        return pixels.withColumn("hot_pixel", F.lit(None).cast("boolean"))
+    away = exact_median(pixels.select(F.abs(F.col(value) - centre).alias("d")), "d")
+    return pixels.withColumn("hot_pixel", F.col(value) > centre + sigma * MAD * away)
 
 
 def normalised_flats(flat: DataFrame, bias: DataFrame, dark: DataFrame | None = None, by: Sequence[str] = PIXEL) -> DataFrame:
@@ -80,10 +113,11 @@ def fit_flat(flat: DataFrame, bias: DataFrame, dark: DataFrame | None = None, by
     """flat_gain (its median is 1) and flat_uncertainty, the spread beyond the noise of counting."""
     f = normalised_flats(flat, bias, dark, by)
     g = f.groupBy(*by).agg(F.avg("norm").alias("gain"), F.stddev_samp("norm").alias("std"), F.avg("net").alias("raw"), F.count("*").alias("n"))
-    middle = g.agg(F.median("gain").alias("middle"))
+    g = cut(g, "gains")
+    middle = exact_median(g, "gain") or 1.0
     noise = 1.0 / (F.greatest("raw", F.lit(1.0)) * F.col("n"))
     left = F.sqrt(F.greatest(F.pow("std", F.lit(2.0)) - noise, F.lit(0.0)))
-    return g.join(F.broadcast(middle)).select(*by, (F.col("gain") / F.when(F.col("middle") != 0, F.col("middle")).otherwise(1.0)).alias("flat_gain"), F.when(F.col("raw") > 0, left).otherwise(0.0).alias("flat_uncertainty"))
+    return g.select(*by, (F.col("gain") / middle).alias("flat_gain"), F.when(F.col("raw") > 0, left).otherwise(0.0).alias("flat_uncertainty"))
 
 
 def fit_dark_flat(dark_flat: DataFrame, bias: DataFrame, by: Sequence[str] = PIXEL) -> DataFrame:

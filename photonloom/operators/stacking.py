@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.staging import cut
 from .calibration import MAD, PIXEL
 
 SUMS = ("weighted_sum", "weight_sum", "sky_sum", "sq_sum")
@@ -31,11 +32,12 @@ def merge(a: DataFrame, b: DataFrame, by: Sequence[str] = PIXEL) -> DataFrame:
 
 def derive(stack: DataFrame, n_frames: int | Column) -> DataFrame:
     """stack with weighted_mean, sky_mean, variance and quality (its weight over the largest one)."""
+    stack = cut(stack, "sums")  # for its greatest weight first
+    top = stack.agg(F.max("weight_sum")).first()[0] or 0.0
     w = F.when(F.col("weight_sum") > 0, F.col("weight_sum")).otherwise(1.0)
     mean = F.col("weighted_sum") / w
-    top = F.broadcast(stack.agg(F.max("weight_sum").alias("__top")))
     n = F.lit(n_frames) if isinstance(n_frames, int) else n_frames
-    return stack.join(top).withColumns({"weighted_mean": mean, "sky_mean": F.col("sky_sum") / n, "variance": F.greatest(F.col("sq_sum") / w - mean * mean, F.lit(0.0)), "quality": F.when(F.col("__top") > 0, F.col("weight_sum") / F.col("__top")).otherwise(0.0)}).drop("__top")
+    return stack.withColumns({"weighted_mean": mean, "sky_mean": F.col("sky_sum") / n, "variance": F.greatest(F.col("sq_sum") / w - mean * mean, F.lit(0.0)), "quality": F.col("weight_sum") / top if top > 0 else F.lit(0.0)})
 
 
 def sky_by_channel(px: DataFrame, sky: str = "sky") -> DataFrame:

@@ -119,7 +119,7 @@ def run(frames: DataFrame, cfg: Config | None = None, model: DataFrame | None =
     reference = cfg.reference if cfg.reference is not None else seen.agg(F.min("frame_id")).first()[0]
     meta = cut(framewise.compared(seen, reference), "frames")
     good = stacking.quality_filter(meta, cfg.min_transparency, cfg.max_fwhm)
-    sums = cut(framewise.stacked(seen, good, pattern), "sums")
+    sums = framewise.stacked(seen, good, pattern)
     out = {"model": model, "frames": meta, "stack": stacking.derive(sums, good.count())}
     if cfg.solve:
         rows = good.select("transparency", "fwhm").collect()  # two numbers a frame
@@ -147,7 +147,7 @@ def resume(frames: DataFrame, folder: str, cfg: Config | None = None) -> dict[st
     fresh = cut(framewise.compared(seen, cfg.reference).where(F.col("frame_id") != cfg.reference), "frames")
     good = stacking.quality_filter(fresh, cfg.min_transparency, cfg.max_fwhm)
     sums = framewise.stacked(seen.where(F.col("frame_id") != cfg.reference), good, pattern)
-    both = cut(stacking.merge(stack.select(*calibration.PIXEL, *stacking.SUMS), sums), "sums")
+    both = stacking.merge(stack.select(*calibration.PIXEL, *stacking.SUMS), sums)
     every = meta.unionByName(fresh.select(*meta.columns))
     return {"model": model, "frames": every, "stack": stacking.derive(both, every.count())}
 

@@ -291,3 +291,13 @@ def test_checks(spark):
     assert images.map_images(one, lambda v, _: v * 2).first().data == [10.0]
     s = spark.createDataFrame([(1, 0, 1.0, 1.0, 9.0), (1, 1, 2.0, 2.0, 8.0)], "frame_id int, k int, y double, x double, peak double")
     assert stars.isolated(s, 5.0, value="peak").count() == 1
+
+
+def test_exact_median_is_exact(spark):
+    g = np.random.default_rng(4)
+    for v in (g.normal(0, 1, 5001).tolist(), g.normal(0, 1, 4000).tolist(), [1.0, 1.0, 1.0, 5.0], [3.0], [2.0, 4.0], [float(k % 3) for k in range(999)]):
+        df = spark.createDataFrame([(x,) for x in [*v, None]], "v double").repartition(5)
+        assert calibration.exact_median(df, "v") == pytest.approx(np.median(v), abs=0)
+        assert calibration.exact_median(df, "v", accuracy=20) == np.median(v)
+    assert calibration.exact_median(df.limit(0), "v") is None
+    assert calibration.hot_pixels(df.limit(0), "v").count() == 0
