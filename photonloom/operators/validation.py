@@ -17,6 +17,13 @@ def agreement(pairs: DataFrame, a: str, b: str, by: Sequence[str] = ()) -> DataF
     return g.select(*by, F.sqrt("mse").alias("rmse"), psnr.alias("psnr"), F.when(flat, 0.0).otherwise(F.col("cov") / F.when(~flat, F.col("sa") * F.col("sb"))).alias("pearson"))
 
 
+def stack_accuracy(pairs: DataFrame, a: str, b: str, by: Sequence[str] = ()) -> DataFrame:
+    """agreement of two images less their means: of a stack and the scene that it shows, whatever sky lies under both."""
+    m = pairs.groupBy(*by).agg(F.avg(a).alias("__a"), F.avg(b).alias("__b"))  # a row for each image
+    d = pairs.join(m, list(by)) if by else pairs.join(F.broadcast(m))
+    return agreement(d.withColumns({a: F.col(a) - F.col("__a"), b: F.col(b) - F.col("__b")}), a, b, by)
+
+
 def relative_error(pairs: DataFrame, a: str, b: str) -> DataFrame:
     """mae_pct: the mean absolute error in per cent of the truth's mean absolute value."""
     return pairs.agg((100 * F.avg(F.abs(F.col(a) - F.col(b))) / F.avg(F.abs(b))).alias("mae_pct"))

@@ -15,7 +15,7 @@ from .operators import bayes, calibration, geometry, images, mixture, neighbourh
 from .plans import adapters, ground_truth
 from .plans.adapters import SQL
 from .plans.staging import cut
-from .sources import fits
+from .sources import fits, store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -357,6 +357,22 @@ def total_variation(spark, sf_dir):
     return neighbourhood.total_variation(px_of(spark, sf_dir)).select("frame_id", r("tv", "tv", 4))
 
 
+@query(", d AS (SELECT *, lead(adu) OVER (PARTITION BY frame_id, y ORDER BY x) AS dx, lead(adu) OVER (PARTITION BY frame_id, x ORDER BY y) AS dy FROM px), e AS (SELECT *, lead(dx) OVER (PARTITION BY frame_id, x ORDER BY y) AS dd FROM d) SELECT frame_id, round(sum(sqrt((dx - adu) ** 2 + (dy - adu) ** 2 + 0.5 * ((dd - adu) ** 2 + (dx - dy) ** 2) + 1e-8)), 4) AS tv FROM e WHERE dd IS NOT NULL GROUP BY frame_id", "px")
+def total_variation_diagonal(spark, sf_dir):
+    return neighbourhood.total_variation(px_of(spark, sf_dir), diagonal=True).select("frame_id", r("tv", "tv", 4))
+
+
+def _haar_level(n: int, of: str) -> str:
+    """One halving in SQL: h{n} has the blocks of table `of`(frame_id, y, x, v), l{n} what is left."""
+    at = lambda j, i: f"sum(v) FILTER (y % 2 = {j} AND x % 2 = {i})"
+    return f"h{n} AS (SELECT frame_id, y // 2 AS y, x // 2 AS x, {at(0, 0)} AS a, {at(0, 1)} AS b, {at(1, 0)} AS c, {at(1, 1)} AS d FROM {of} GROUP BY ALL), l{n} AS (SELECT frame_id, y, x, (a + b + c + d) / 2 AS v FROM h{n})"
+
+
+@query(f", l0 AS (SELECT frame_id, y, x, adu AS v FROM px), {_haar_level(1, 'l0')}, {_haar_level(2, 'l1')}, e AS (SELECT * FROM h1 UNION ALL SELECT * FROM h2) SELECT frame_id, round(sum((abs(a - b + c - d) + abs(a + b - c - d) + abs(a - b - c + d)) / 2), 4) AS l1 FROM e GROUP BY frame_id", "px")
+def haar_two_levels(spark, sf_dir):
+    return neighbourhood.haar_details(px_of(spark, sf_dir), levels=2).select("frame_id", r("l1", "l1", 4))
+
+
 @query(", b AS (SELECT frame_id, y // 2 AS yb, x // 2 AS xb, sum(adu) FILTER (y % 2 = 0 AND x % 2 = 0) AS a, sum(adu) FILTER (y % 2 = 0 AND x % 2 = 1) AS b, sum(adu) FILTER (y % 2 = 1 AND x % 2 = 0) AS c, sum(adu) FILTER (y % 2 = 1 AND x % 2 = 1) AS d FROM px GROUP BY ALL) SELECT frame_id, round(sum((abs(a - b + c - d) + abs(a + b - c - d) + abs(a - b - c + d)) / 2), 4) AS l1 FROM b GROUP BY frame_id", "px")
 def haar_l1(spark, sf_dir):
     return neighbourhood.haar_details(px_of(spark, sf_dir)).select("frame_id", r("l1", "l1", 4))
@@ -399,6 +415,39 @@ def sigma_clip_stats(spark, sf_dir):
     return rounded(neighbourhood.sigma_clipped(px_of(spark, sf_dir), ["frame_id"]))
 
 
+def _clipped_sql(key: str, rounds: int = 3) -> str:
+    """From r0(key, v): the strictly clipped median, spread and number by key, after some rounds."""
+    steps = []
+    for k in range(rounds):
+        steps.append(f"s{k} AS (SELECT {key}, median(v) AS m FROM r{k} GROUP BY ALL), d{k} AS (SELECT {key}, m, 1.4826 * median(abs(v - m)) AS s FROM r{k} JOIN s{k} USING ({key}) GROUP BY ALL), r{k + 1} AS (SELECT {key}, v FROM r{k} JOIN d{k} USING ({key}) WHERE s < 1e-9 OR abs(v - m) < 3 * s)")
+    return ", ".join(steps) + f", s{rounds} AS (SELECT {key}, median(v) AS m FROM r{rounds} GROUP BY ALL) SELECT {key}, round(m, 6) AS sky FROM s{rounds}"
+
+
+@query(f", tl AS (SELECT * FROM (VALUES (0, 0, 2), (1, 5, 8)) t(k, lo, hi)), r0 AS (SELECT frame_id, a.k AS tr, b.k AS tc, adu AS v FROM px JOIN tl a ON y >= a.lo AND y < a.hi JOIN tl b ON x >= b.lo AND x < b.hi WHERE frame_type = 'light'), {_clipped_sql('frame_id, tr, tc')}", "px")
+def sky_tiles(spark, sf_dir):
+    return rounded(neighbourhood.sky_mesh(px_of(spark, sf_dir, "light"), 8, 8, 4).drop("channel"))
+
+
+@query(""", k AS (SELECT m.frame_id, a.range AS y, b.range AS x, cos(radians(m.rotation)) AS c, sin(radians(m.rotation)) AS s, m.dy, m.dx FROM meta m, range(8) a, range(8) b),
+t AS (SELECT frame_id, y, x, c * (x - 3.5) - s * (y - 3.5) + 3.5 + dx AS sx, s * (x - 3.5) + c * (y - 3.5) + 3.5 + dy AS sy FROM k),
+w AS (SELECT t.frame_id, t.y, t.x, (1 - abs(sy - floor(sy) - j)) * (1 - abs(sx - floor(sx) - i)) AS w, adu FROM t, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) o(j, i) JOIN px p ON p.frame_id = t.frame_id AND p.y = floor(sy) + j AND p.x = floor(sx) + i)
+SELECT frame_id, y::INT AS y, x::INT AS x, round(sum(w * adu) / sum(w), 4) AS v FROM w WHERE w > 0 GROUP BY ALL HAVING sum(w) > 0.500001""", "px", "meta")
+def warp_rotated(spark, sf_dir):
+    m = adapters.frame_meta(spark, sf_dir)
+    c, n = F.cos(F.radians("rotation")), F.sin(F.radians("rotation"))
+    affine = m.select("frame_id", c.alias("a"), (-n).alias("b"), (-c * 3.5 + n * 3.5 + 3.5 + F.col("dx")).alias("c"), n.alias("d"), c.alias("e"), (-n * 3.5 - c * 3.5 + 3.5 + F.col("dy")).alias("f"))
+    w = stacking.warp(px_of(spark, sf_dir).withColumn("calibrated", F.col("adu")), affine, 8, 8, min_cover=0.500001)  # just above a half, so that rounding decides nothing
+    return w.select("frame_id", "y", "x", r("calibrated", "v", 4))
+
+
+SIGMA_CLIP = ORACLE["sigma_clip_stats"].removeprefix("WITH " + SQL["px"] + ",").strip()
+
+
+@query(f", {SIGMA_CLIP[: SIGMA_CLIP.rindex(' SELECT frame_id, round(m, 6)')]}, c AS (SELECT frame_id, m, greatest(1.4826 * median(abs(v - m)), 1e-6) AS s FROM r3 JOIN s3 USING (frame_id) GROUP BY frame_id, m), t AS (SELECT frame_id, quantile_cont(adu, 0.999) AS top FROM px GROUP BY 1) SELECT frame_id, round(m - 2.8 * s, 5) AS black, round(greatest(top, m - 2.8 * s + 1), 5) AS white FROM c JOIN t USING (frame_id)", "px")
+def display_levels(spark, sf_dir):
+    return rounded(display.auto_params(px_of(spark, sf_dir), ("frame_id",)).select("frame_id", "black", "white"), 5)
+
+
 # display ---------------------------------------------------------------------
 
 
@@ -434,6 +483,12 @@ def stretch_midtone(spark, sf_dir):
     return _stretched(spark, sf_dir, "midtone")
 
 
+@query(f", {NORM} SELECT frame_id, y, x, floor(round(n, 9) * 255 + 0.5)::SMALLINT AS byte FROM nrm", "px")
+def display_bytes(spark, sf_dir):
+    v = F.round(display.normalised(F.col("adu"), F.lit(250.0), F.lit(400.0)), 9)
+    return px_of(spark, sf_dir).select("frame_id", "y", "x", display.to_uint8(v).alias("byte"))
+
+
 @query(f", {NORM}, b AS (SELECT least(floor(round(n, 9) * 256), 255)::INT AS bin, count(*) AS c FROM nrm GROUP BY 1) SELECT g.range::INT AS bin, round((g.range + 0.5) / 256, 6) AS centre, coalesce(c, 0)::BIGINT AS count FROM range(256) g LEFT JOIN b ON b.bin = g.range", "px")
 def display_histogram(spark, sf_dir):
     p = px_of(spark, sf_dir).select(F.round(display.normalised(F.col("adu"), F.lit(250.0), F.lit(400.0)), 9).alias("v"))
@@ -497,6 +552,40 @@ def parse_ra_hint(spark, sf_dir):
     return adapters.table(spark, sf_dir, "supplier").select(k.alias("id"), r(geometry.parse_angle(text, hours=True), "ra", 8))
 
 
+SHIFTS = "SELECT frame_id, CASE WHEN frame_id % 5 = 0 THEN -9999.0 ELSE dx END AS dx_px, CASE WHEN frame_id % 5 = 0 THEN -9999.0 ELSE dy END AS dy_px, rotation AS rotation_deg FROM meta"
+
+
+def shift_columns(spark, sf_dir) -> DataFrame:
+    """Shifts as foreign tables have them: -9999 where there is none."""
+    none = F.col("frame_id") % 5 == 0
+    mark = lambda c: F.when(none, -9999.0).otherwise(F.col(c))
+    return adapters.frame_meta(spark, sf_dir).select("frame_id", mark("dx").alias("dx_px"), mark("dy").alias("dy_px"), F.lit(0.0).alias("dx_arcsec"), F.lit(0.0).alias("dy_arcsec"), F.col("rotation").cast("double").alias("rotation_deg"), F.lit(1.0).alias("scale_ratio"))
+
+
+@query(f", s AS ({SHIFTS}) SELECT frame_id, dx_px <> -9999 AS has_shift, round(CASE WHEN dx_px <> -9999 THEN dx_px END, 6) AS dx, round(CASE WHEN dx_px <> -9999 THEN rotation_deg END, 6) AS rotation FROM s", "meta")
+def shift_record(spark, sf_dir):
+    d = geometry.shift_record(shift_columns(spark, sf_dir))
+    return d.select("frame_id", F.col("shift").isNotNull().alias("has_shift"), r("shift.dx_px", "dx"), r("shift.rotation_deg", "rotation"))
+
+
+@query(f", s AS ({SHIFTS}) SELECT frame_id, round(nullif(dx_px, -9999), 6) AS dx_px, round(nullif(dy_px, -9999), 6) AS dy_px FROM s", "meta")
+def sentinel_to_null(spark, sf_dir):
+    return rounded(store.from_sentinel(shift_columns(spark, sf_dir), "dx_px", "dy_px").select("frame_id", "dx_px", "dy_px"))
+
+
+@query("SELECT frame_id, round(dx / 2, 6) AS dx_to_ref, round(dy / 2, 6) AS dy_to_ref FROM meta", "meta")
+def half_resolution_shift(spark, sf_dir):
+    m = adapters.frame_meta(spark, sf_dir).select("frame_id", F.col("dx").alias("dx_to_ref"), F.col("dy").alias("dy_to_ref"))
+    return rounded(geometry.half_resolution(m))
+
+
+@query("SELECT frame_id, round(CASE WHEN frame_id <> 0 THEN coalesce(CASE WHEN frame_id % 3 > 0 THEN dx END, CASE WHEN frame_id % 2 > 0 THEN dy END) END, 6) AS shift FROM meta", "meta")
+def resolve_shift(spark, sf_dir):
+    k = F.col("frame_id")
+    found = geometry.resolve_shift(k == 0, F.when(k % 3 > 0, F.col("dx")), F.when(k % 2 > 0, F.col("dy")))
+    return adapters.frame_meta(spark, sf_dir).select("frame_id", F.round(found, 6).alias("shift"))
+
+
 def _kernel_sql(v):
     return f"WITH k AS (SELECT (i // 9)::INT AS ky, (i % 9)::INT AS kx, (i // 9 - 4) ** 2 + (i % 9 - 4) ** 2 AS r2 FROM (SELECT unnest(range(81)) AS i)), v AS (SELECT ky, kx, {v} AS v FROM k) SELECT ky, kx, round(v / (SELECT sum(v) FROM v), 9) AS w FROM v"
 
@@ -574,6 +663,18 @@ def mixture_labels(spark, sf_dir):
     return mixture.labels(rates_of(spark, sf_dir), M).select("pixel", "label")
 
 
+@query(f", {ES}, g AS (SELECT q.*, e.rate, a / (a + b + c) AS g0, b / (a + b + c) AS g1, c / (a + b + c) AS g2, m + ln(a + b + c) AS ll FROM q JOIN e USING (pixel)) SELECT round(sum(g0), 4) AS n0, round(sum(g1), 4) AS n1, round(sum(g2), 4) AS n2, round(sum(g0 * rate), 2) AS x0, round(sum(g1 * rate), 2) AS x1, round(sum(g2 * rate), 4) AS x2, round(sum(g0 * ln(rate)), 3) AS l0, round(sum(g1 * ln(rate)), 3) AS l1, round(sum(g2 * ln(rate)), 4) AS l2, round(sum(ll), 3) AS ll FROM g", "smp")
+def mixture_moments(spark, sf_dir):
+    m = mixture.moments(rates_of(spark, sf_dir).withColumn("w", F.lit(1.0)), M, "w")
+    digits = {"x0": 2, "x1": 2, "l0": 3, "l1": 3, "ll": 3}
+    return m.select(*[r(c, c, digits.get(c, 4)) for c in m.columns])
+
+
+@query(f", {ES}, l AS (SELECT list_position(t, m) - 1 AS label FROM q) SELECT count(*) FILTER (label = 0) AS n_normal, count(*) FILTER (label = 1) AS n_hot, count(*) FILTER (label = 2) AS n_cold FROM l", "smp")
+def mixture_label_counts(spark, sf_dir):
+    return mixture.label_counts(mixture.labels(rates_of(spark, sf_dir), M))
+
+
 @query("SELECT frame_id, round(sum(greatest(v, 1e-12) - adu * ln(greatest(v, 1e-12))), 4) AS nll FROM (SELECT frame_id, adu, avg(adu) OVER (PARTITION BY y, x) AS v FROM px) GROUP BY frame_id", "px")
 def poisson_nll(spark, sf_dir):
     p = px_of(spark, sf_dir)
@@ -596,6 +697,13 @@ def rmse_psnr_pearson(spark, sf_dir):
     return rounded(validation.agreement(pairs, "adu", "b", ["frame_id"]), 5)
 
 
+@query(", i AS (SELECT session, y, x, avg(adu) AS v, avg(t) AS t FROM px GROUP BY ALL), w AS (SELECT y, x, avg(adu) AS b FROM px GROUP BY ALL), p AS (SELECT session, v - avg(v) OVER (PARTITION BY session) AS a, b - avg(b) OVER (PARTITION BY session) AS b FROM i JOIN w USING (y, x)) SELECT session, round(sqrt(avg((a - b) ** 2)), 5) AS rmse, round(20 * log10((max(b) - min(b)) / sqrt(avg((a - b) ** 2))), 5) AS psnr, round(corr(a, b), 5) AS pearson FROM p GROUP BY session", "px")
+def stack_accuracy(spark, sf_dir):
+    p = px_of(spark, sf_dir)
+    pairs = p.groupBy("session", "y", "x").agg(F.avg("adu").alias("v")).join(p.groupBy("y", "x").agg(F.avg("adu").alias("b")), ["y", "x"])
+    return rounded(validation.stack_accuracy(pairs, "v", "b", ["session"]), 5)
+
+
 @query(f", {BIAS}, v AS (SELECT y, x, var_samp(adu) AS variance, avg(t) AS t FROM px WHERE frame_type = 'light' GROUP BY y, x) SELECT y, x, round(variance, 4) AS variance, round(variance / (0.9 * t + 0.01 * t + read_noise ** 2), 6) AS chi2 FROM v JOIN bias USING (y, x)", "px")
 def chi2_noise_budget(spark, sf_dir):
     model = calibration.fit_bias(px_of(spark, sf_dir, "bias")).withColumns({"sky": F.lit(0.9), "dark_rate": F.lit(0.01), "flat_gain": F.lit(1.0)})

@@ -8,12 +8,8 @@ from photonloom import queries
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-#: Enough of them to see that both sides agree; all are compared by the driver.
-SOME = ["fast_stack", "dark_regression", "flat_gain", "bayes_ordered_fold", "local_maxima", "debayer_preview", "defect_interpolation", "sigma_clip_stats", "triangle_match_votes", "em_e_step", "region_stats", "session_windows"]
-
-
 @pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's tables aren't here")
-@pytest.mark.parametrize("name", SOME)
+@pytest.mark.parametrize("name", sorted(queries.ORACLE))
 def test_same_rows(spark, name):
     import duckdb
 
