@@ -85,7 +85,7 @@ def default_rules(text_col: str = "text") -> list[Rule]:
     ]
 
 
-def ordered(sample: DataFrame, rules: list[Rule], copies: int = 20, runs: int = 3) -> list[Rule]:
+def ordered(sample: DataFrame, rules: list[Rule], copies: int = 8, runs: int = 3) -> list[Rule]:
     """rules in descending order of rejections per second over a measured sample (ties and empty samples: as given).
 
     A rule's cost is the least of some runs over the sample taken copies times,

@@ -44,14 +44,29 @@ def match_triangles(tri: DataFrame, reference: DataFrame, tol: float = 0.02, max
     shared = tri.sparkSession.sparkContext.broadcast((corners, shapes))  # max_reference rows of five numbers at most
 
     def run(batches):
+        import pandas as pd
+
         from ..functions.frame import nearest_shapes
 
         corners, shapes = shared.value
-        for pdf in batches:
+        held, size = [], 0
+
+        def matched():
+            pdf = pd.concat(held, ignore_index=True)
             found = nearest_shapes(pdf[["u", "v"]].to_numpy(dtype=float), shapes, tol)
             out = pdf.loc[found >= 0, ["frame_id", "i", "j", "k"]].copy()
             out["ri"], out["rj"], out["rk"] = corners[found[found >= 0]].T if len(out) else ([], [], [])
-            yield out
+            held.clear()
+            return out
+
+        for pdf in batches:
+            held.append(pdf)
+            size += len(pdf)
+            if size >= 250_000:  # many to a cell
+                yield matched()
+                size = 0
+        if held:
+            yield matched()
 
     kinds = dict(tri.dtypes)
     names = ["frame_id", "i", "j", "k"]
