@@ -135,6 +135,10 @@ class WordBpe:
         """Merges the pair of least rank, leftmost first, until none is left."""
         ids = [self.inner[b] for b in data[:-1]]
         ids.append(self.last[data[-1]])
+        return self.merge_ids(ids)
+
+    def merge_ids(self, ids: list[int]) -> list[int]:
+        """The same for a word given by the ids of its bytes."""
         if len(ids) > 64:
             return self.merge_long(ids)
         get, none = self.rank.get, 1 << 62

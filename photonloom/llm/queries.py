@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, ctw, langid, licenses, lines, neardup, packing, quality, toxicity, winnow
+from . import bpe, centroids, ctw, langid, licenses, lines, neardup, packing, quality, toxicity, transducer, winnow
 from .common import bucket_of, table
 
 
@@ -77,6 +77,15 @@ def op10_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score", "bits_per_byte")
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"), k=16, rounds=3, scale=64, dims=64)
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = transducer.count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path("word_bpe_49k.json"))
+    return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 2048).alias("over_limit"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality": op1_quality,
@@ -89,6 +98,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_winnow": op8_winnow,
         "op9_lines": op9_lines,
         "op10_ctw": op10_ctw,
+        "op11_centroids": op11_centroids,
+        "op12_token_counts": op12_token_counts,
     }
 
 
@@ -96,4 +107,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_quality": quality.ORACLE_SQL,
         "op9_lines": lines.ORACLE_SQL,
+        "op11_centroids": centroids.oracle_sql(),
     }
