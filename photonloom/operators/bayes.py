@@ -129,3 +129,42 @@ def point_estimates(state: DataFrame) -> DataFrame:
     p1, p2 = F.col("p1"), F.col("p2")
     e = F.when(F.col("param").isin("bias", "flat"), p2 / p1).when(F.col("param") == "dark", p1 / p2).otherwise(F.sqrt(p2 / F.greatest(p1 - 1, F.lit(1e-9))))
     return state.withColumn("estimate", e)
+
+
+#: What frames add to a pixel's posteriors: numbers that sum over frames, whatever their order and grouping.
+SUMS = ("n_bias", "bias_sum", "bias_sq", "n_dark", "dark_counts", "dark_seconds")
+
+
+def frame_sums(px: DataFrame, pedestal: float = 300.0, by: Sequence[str] = PIXEL) -> DataFrame:
+    """SUMS by pixel from bias and dark frames; values are taken above the pedestal, the bias that darks are known to have."""
+    bias, dark, v = F.col("frame_type") == "bias", F.col("frame_type") == "dark", F.col("adu") - pedestal
+    of = lambda kind, x: F.coalesce(F.sum(F.when(kind, x)), F.lit(0.0))
+    return px.where(bias | dark).groupBy(*by).agg(
+        F.count(F.when(bias, F.col("adu"))).alias("n_bias"), of(bias, v).alias("bias_sum"), of(bias, v * v).alias("bias_sq"),
+        F.count(F.when(dark, F.col("adu"))).alias("n_dark"), of(dark, F.greatest(v, F.lit(0.0))).alias("dark_counts"), of(dark & F.col("adu").isNotNull(), F.col("exposure_s")).alias("dark_seconds"),
+    )
+
+
+def add_sums(parts: DataFrame, by: Sequence[str] = PIXEL) -> DataFrame:
+    """The sums of several sets of frames."""
+    return parts.groupBy(*by).agg(*[F.sum(c).alias(c) for c in SUMS])
+
+
+def state_of_sums(sums: DataFrame, sigma: float = 6.0, pedestal: float = 300.0, priors: Priors = Priors(), by: Sequence[str] = PIXEL) -> DataFrame:
+    """Posteriors (param, p1, p2, n, estimate) of bias, read noise and dark rate; parameters without a frame are left out.
+
+    The bias is that of a known noise sigma, the read noise that about the bias's
+    mean, the dark rate that of counts above the pedestal.
+    """
+    start = priors.start()
+    precision = start["bias"][0] + F.col("n_bias") / sigma**2
+    numerator = start["bias"][1] + (F.col("bias_sum") + F.col("n_bias") * pedestal) / sigma**2
+    m = numerator / precision - pedestal
+    spread = F.greatest(F.col("bias_sq") - 2 * m * F.col("bias_sum") + F.col("n_bias") * m * m, F.lit(0.0))
+    row = lambda name, a, b, n: F.struct(F.lit(name).alias("param"), a.alias("p1"), b.alias("p2"), F.col(n).alias("n"))
+    rows = F.array(
+        row("bias", precision, numerator, "n_bias"),
+        row("read_noise", start["read_noise"][0] + 0.5 * F.col("n_bias"), start["read_noise"][1] + 0.5 * spread, "n_bias"),
+        row("dark", start["dark"][0] + F.col("dark_counts"), start["dark"][1] + F.col("dark_seconds"), "n_dark"),
+    )
+    return point_estimates(sums.select(*by, F.explode(rows).alias("r")).select(*by, "r.*").where("n > 0"))

@@ -105,6 +105,18 @@ def outliers(meta: DataFrame, sigma: float = 3.0) -> DataFrame:
     return meta.join(F.broadcast(d)).where((F.col("n") >= 4) & (F.col("transparency") < F.col("m") - sigma * MAD * F.col("d"))).drop("m", "n", "d")
 
 
+def graded(meta: DataFrame, by: Sequence[str] = ("session",), sigma: float = 3.0, max_fwhm: float | None = None) -> DataFrame:
+    """meta with reason: null for a frame that is fit to be stacked, else cloud (as outliers, within its group), blur or unknown."""
+    near = F.col("transparency")
+    m = meta.groupBy(*by).agg(F.median(near).alias("__m"), F.count("*").alias("__n"))
+    d = meta.join(m, list(by)).groupBy(*by).agg(F.first("__m").alias("__m"), F.first("__n").alias("__n"), F.median(F.abs(near - F.col("__m"))).alias("__d"))
+    cloud = (F.col("__n") >= 4) & (near < F.col("__m") - sigma * MAD * F.col("__d"))
+    reason = F.when(near.isNull() | F.col("fwhm").isNull(), "unknown").when(cloud, "cloud")
+    if max_fwhm is not None:
+        reason = reason.when(F.col("fwhm") > max_fwhm, "blur")
+    return meta.join(d, list(by)).withColumn("reason", reason).drop("__m", "__n", "__d")
+
+
 def quality_filter(meta: DataFrame, min_transparency: float | None = None, max_fwhm: float | None = None) -> DataFrame:
     """meta without poor frames; a bound that isn't given drops nothing."""
     if min_transparency is not None:

@@ -29,7 +29,12 @@ def frame_number(i: Column) -> dict[str, Column]:
 
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per frame: frame_id, seq, session, frame_type, exposure_s, h, w, data (row-major)."""
-    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("frame_id"), F.col("vec_id").alias("seq"), F.col("label").alias("session"), F.transform("embedding", lambda v: 300.0 + 40.0 * v.cast("double")).alias("data"))
+    return frames_of(table(spark, sf_dir, "embeddings"))
+
+
+def frames_of(embeddings: DataFrame) -> DataFrame:
+    """The frames of a table or stream of embeddings."""
+    e = embeddings.select(F.col("vec_id").alias("frame_id"), F.col("vec_id").alias("seq"), F.col("label").alias("session"), F.transform("embedding", lambda v: 300.0 + 40.0 * v.cast("double")).alias("data"))
     return e.withColumns({**frame_number(F.col("frame_id")), "h": F.lit(SIDE), "w": F.lit(SIDE)})
 
 
@@ -47,8 +52,12 @@ def explode_frames(df: DataFrame) -> DataFrame:
 
 def frame_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per frame: frame_id, session, transparency, fwhm, sky, dx, dy, rotation."""
+    return meta_of(table(spark, sf_dir, "embeddings"))
+
+
+def meta_of(embeddings: DataFrame) -> DataFrame:
     i = F.col("vec_id")
-    return table(spark, sf_dir, "embeddings").select(
+    return embeddings.select(
         i.alias("frame_id"), F.col("label").alias("session"),
         (0.5 + ((i * 37) % 100) / 200.0).alias("transparency"), (2.0 + ((i * 13) % 50) / 25.0).alias("fwhm"), F.lit(290.0).alias("sky"),
         (((i * 7) % 21) / 10.0 - 1.0).alias("dx"), (((i * 11) % 21) / 10.0 - 1.0).alias("dy"), ((i * 17) % 360 - 180.0).alias("rotation"),
