@@ -184,7 +184,68 @@ def registered(stars: np.ndarray, ref: np.ndarray, limit: int = 20, tol: float =
     middle = complex(own[:, 1].mean(), own[:, 0].mean())
     turn = m["scale"] * np.exp(1j * np.radians(m["rotation"]))
     moved = turn * middle + complex(m["tx"], m["ty"]) - middle
-    return {**m, "tx": float(moved.real), "ty": float(moved.imag)}
+    # to the reference: z' = turn z + shift
+    return {**m, "tx": float(moved.real), "ty": float(moved.imag), "turn": turn, "shift": complex(m["tx"], m["ty"])}
+
+
+def spline_coefficients(image: np.ndarray) -> np.ndarray:
+    """The weights of cubic B-splines, one on each pixel, that pass through the image; mirrored about the edge pixels' centres.
+
+    Along each axis in turn, one recursion forwards and one back.
+    """
+    pole = 3**0.5 - 2
+    c = np.asarray(image, dtype=np.float64)
+    for _ in range(2):
+        n = len(c)
+        if n > 1:
+            c = 6 * c
+            k = np.arange(n)
+            # what all mirror images before the first pixel add up to
+            weights = np.where((k == 0) | (k == n - 1), pole**k, pole**k + pole ** (2 * n - 2 - k))
+            c[0] = np.tensordot(weights, c, 1) / (1 - pole ** (2 * n - 2))
+            for i in range(1, n):
+                c[i] += pole * c[i - 1]
+            c[-1] = pole / (pole * pole - 1) * (c[-1] + pole * c[-2])
+            for i in range(n - 2, -1, -1):
+                c[i] = pole * (c[i + 1] - c[i])
+        c = c.T.copy()
+    return c
+
+
+def cubic_taps(at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The four splines that reach each place, and their weights there: arrays of four rows."""
+    low = np.floor(at).astype(int)
+    t = at - low
+    w = np.stack([(1 - t) ** 3, 3 * t**3 - 6 * t**2 + 4, 3 * (1 - t) ** 3 - 6 * (1 - t) ** 2 + 4, t**3]) / 6
+    k = np.stack([low + j for j in (-1, 0, 1, 2)])
+    if n == 1:
+        return np.zeros_like(k), w
+    k = np.abs(k) % (2 * n - 2)
+    return np.where(k >= n, 2 * n - 2 - k, k), w
+
+
+def resampled_cubic(image: np.ndarray, affine: tuple[float, ...], rows: int, cols: int, band: int = 128) -> np.ndarray:
+    """image on a canvas by its cubic spline: affine as in resampled; NaN outside the centres of the image's edge pixels. Worked on in bands of rows, as a canvas may be large."""
+    a, b, c, d, e, f = affine
+    h, w = image.shape
+    coefficients = spline_coefficients(image)
+    out = np.full((rows, cols), np.nan)
+    for y0 in range(0, rows, band):
+        y, x = np.mgrid[y0 : min(y0 + band, rows), :cols]
+        sx, sy = a * x + b * y + c, d * x + e * y + f
+        near = 1e-9  # rounding takes no edge pixel away
+        inside = (sx >= -near) & (sx <= w - 1 + near) & (sy >= -near) & (sy <= h - 1 + near)
+        sx, sy = np.clip(sx[inside], 0, w - 1), np.clip(sy[inside], 0, h - 1)
+        (ky, wy), (kx, wx) = cubic_taps(sy, h), cubic_taps(sx, w)
+        out[y0 : y0 + band][inside] = sum(wy[j] * sum(wx[i] * coefficients[ky[j], kx[i]] for i in range(4)) for j in range(4))
+    return out
+
+
+def warped(image: np.ndarray, affine: tuple[float, ...], rows: int, cols: int, order: int = 1, min_cover: float = 0.5) -> np.ndarray:
+    """resampled, by the order of its spline: 1 or 3."""
+    if order not in (1, 3):
+        raise ValueError(f"images are resampled by splines of order 1 or 3, not {order}")
+    return resampled(image, affine, rows, cols, min_cover) if order == 1 else resampled_cubic(image, affine, rows, cols)
 
 
 def resampled(image: np.ndarray, affine: tuple[float, ...], rows: int, cols: int, min_cover: float = 0.5) -> np.ndarray:

@@ -77,6 +77,36 @@ def frame_shift(frames: DataFrame, reference: DataFrame, height: int, width: int
     return d.drop(*[f"__{n}{k}" for n in ("ra", "dec", "x", "y") for k in (0, 1)], *[f"r_{n}" for n in names])
 
 
+WCS = ("crpix1", "crpix2", "crval1", "crval2", "cd11", "cd12", "cd21", "cd22")
+
+
+def through_sky(x: Column, y: Column, source: str, target: str) -> tuple[Column, Column]:
+    """x and y on the grid of the columns target+crpix1..cd22 of a place on that of source+crpix1..cd22."""
+    sky = pixel_to_sky(x, y, source)
+    at = sky_to_pixel(sky["ra"], sky["dec"], target)
+    return at["x"], at["y"]
+
+
+def canvas_affine(rows: int, cols: int, row0: int = 0, col0: int = 0, planes: int = 1, own: str = "", ref: str = "r_") -> dict[str, Column]:
+    """a..f, which take canvas (x, y) to frame (ax+by+c, dx+ey+f), from the frame's and the reference's WCS; null where one is unknown.
+
+    The canvas's middle and two points a quarter of its smaller side away go
+    through the sky; their differences are the Jacobian. The reference begins
+    at row0, col0; planes is 2 for a colour sensor's half-size planes.
+    """
+    cx, cy, arm = (cols - 1) / 2, (rows - 1) / 2, min(rows, cols) / 4
+    spots = [through_sky(F.lit(float((x - col0) * planes)), F.lit(float((y - row0) * planes)), ref, own) for x, y in ((cx, cy), (cx + arm, cy), (cx, cy + arm))]
+    (x0, y0), (x1, y1), (x2, y2) = [(x / planes, y / planes) for x, y in spots]
+    a, b, d, e = (x1 - x0) / arm, (x2 - x0) / arm, (y1 - y0) / arm, (y2 - y0) / arm
+    return {"a": a, "b": b, "c": x0 - a * cx - b * cy, "d": d, "e": e, "f": y0 - d * cx - e * cy}
+
+
+def projected_corners(height: int, width: int, planes: int = 1, own: str = "", ref: str = "r_") -> Column:
+    """The four corners of a frame on the reference's grid: an array of (y, x)."""
+    spots = [through_sky(F.lit(float(x * planes)), F.lit(float(y * planes)), own, ref) for y in (0, height - 1) for x in (0, width - 1)]
+    return F.array(*[F.struct((y / planes).alias("y"), (x / planes).alias("x")) for x, y in spots])
+
+
 def half_resolution(shift: DataFrame) -> DataFrame:
     """A shift on the grid of colour planes: half the pixels, the same angles."""
     return shift.withColumns({"dx_to_ref": F.col("dx_to_ref") / 2, "dy_to_ref": F.col("dy_to_ref") / 2})

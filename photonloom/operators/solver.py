@@ -2,19 +2,22 @@
 
 A channel's image is solved in one Arrow group; the distributed variant keeps
 the image on the driver (its size is that of one frame) and lets the executors
-predict and back-project the frames, two sums an iteration.
+predict and back-project the frames, batch by batch.
 """
 
 from __future__ import annotations
 
 import math
+import uuid
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.kernels import pool, psf_spectrum, resample, unpool
+from ..functions.kernels import gaussian_psf, pool, psf_spectrum, resample, unpool
+from ..plans.staging import shared_folder
 
 
 @dataclass
@@ -51,17 +54,71 @@ class Solution:
     converged: bool = False
 
 
+def turned(rotation: float, ratio: float = 1.0) -> tuple[float, ...] | None:
+    """The Jacobian (a, b, d, e) of a scene turned by rotation (degrees, x towards y) and enlarged by ratio: where a pixel of the result comes from; None for next to nothing."""
+    if abs(rotation) <= 1e-4 and abs(ratio - 1) <= 1e-5:
+        return None
+    c, s = math.cos(math.radians(rotation)) / ratio, math.sin(math.radians(rotation)) / ratio
+    return c, -s, s, c
+
+
+class Turn:
+    """The linear part of the forward model's affine map, about an image's middle, bilinearly with nothing beyond the edges; and its exact transpose."""
+
+    def __init__(self, shape: tuple[int, int], jacobian: tuple[float, ...]):
+        self.shape, self.jacobian = shape, jacobian
+
+    def taps(self, band: int = 256):
+        """(rows of the result, places in the scene, weights) of the four neighbours, in bands of rows."""
+        (h, w), (a, b, d, e) = self.shape, self.jacobian
+        cy, cx = (h - 1) / 2, (w - 1) / 2
+        for top in range(0, h, band):
+            y, x = np.mgrid[top : min(top + band, h), :w]
+            sx, sy = a * (x - cx) + b * (y - cy) + cx, d * (x - cx) + e * (y - cy) + cy
+            x0, y0 = np.floor(sx).astype(int), np.floor(sy).astype(int)
+            for j in (0, 1):
+                for i in (0, 1):
+                    yy, xx = y0 + j, x0 + i
+                    inside = (yy >= 0) & (yy < h) & (xx >= 0) & (xx < w)
+                    weight = np.where(inside, (1 - np.abs(sy - yy)) * (1 - np.abs(sx - xx)), 0.0)
+                    yield slice(top, top + band), np.where(inside, yy * w + xx, 0), weight
+
+    def __call__(self, image: np.ndarray) -> np.ndarray:
+        out, flat = np.zeros(self.shape), image.ravel()
+        for rows, at, weight in self.taps():
+            out[rows] += weight * flat[at]
+        return out
+
+    def transpose(self, result: np.ndarray) -> np.ndarray:
+        out = np.zeros(result.size)
+        for rows, at, weight in self.taps():
+            out += np.bincount(at.ravel(), (weight * result[rows]).ravel(), out.size)
+        return out.reshape(self.shape)
+
+
+def seen_from(to_reference: dict, rows: int, cols: int) -> list[Column]:
+    """turn, dy and dx of the forward model, from the affine map (columns a..f) that takes a frame's (x, y) to the scene's: the frame is the scene turned about its middle, then moved."""
+    cx, cy, m = (cols - 1) / 2, (rows - 1) / 2, to_reference
+    x, y = m["a"] * cx + m["b"] * cy + m["c"] - cx, m["d"] * cx + m["e"] * cy + m["f"] - cy
+    det = m["a"] * m["e"] - m["b"] * m["d"]
+    dx, dy = -(m["e"] * x - m["b"] * y) / det, -(m["a"] * y - m["d"] * x) / det
+    return [F.array(m["a"], m["b"], m["d"], m["e"]).alias("turn"), dy.alias("dy"), dx.alias("dx")]
+
+
 class Forward:
-    """t * pool(psf * shift(image)) of one frame, and its transpose."""
+    """t * pool(psf * shift(turn(image))) of one frame, and its transpose."""
 
-    def __init__(self, shape: tuple[int, int], scale: int, psf: np.ndarray, t: float = 1.0, dy: float = 0.0, dx: float = 0.0):
+    def __init__(self, shape: tuple[int, int], scale: int, psf: np.ndarray, t: float = 1.0, dy: float = 0.0, dx: float = 0.0, jacobian: tuple[float, ...] | None = None):
         self.shape, self.scale, self.t = shape, scale, t
+        self.turn = Turn(shape, tuple(jacobian)) if jacobian is not None and np.abs(np.subtract(jacobian, (1, 0, 0, 1))).max() > 1e-6 else None
         self.wide = (2 * shape[0], 2 * shape[1])  # the image and its mirror image: periodic without an edge
         ramp = np.exp(-2j * np.pi * (np.fft.fftfreq(self.wide[0])[:, None] * dy * scale + np.fft.rfftfreq(self.wide[1])[None, :] * dx * scale))
         self.spectrum = psf_spectrum(psf, self.wide) * ramp  # the kernel and the shift together, once
         self.y, self.x = (np.concatenate([np.arange(n), np.arange(n)[::-1]]) for n in shape)
 
     def __call__(self, image: np.ndarray) -> np.ndarray:
+        if self.turn:
+            image = self.turn(image)
         out = np.fft.irfft2(np.fft.rfft2(image[np.ix_(self.y, self.x)]) * self.spectrum, s=self.wide)
         return self.t * pool(out[: self.shape[0], : self.shape[1]], self.scale)
 
@@ -72,7 +129,8 @@ class Forward:
         back = np.fft.irfft2(np.fft.rfft2(grid) * np.conj(self.spectrum), s=self.wide)
         h, w = self.shape
         back = back[:h] + back[h:][::-1]
-        return back[:, :w] + back[:, w:][:, ::-1]
+        back = back[:, :w] + back[:, w:][:, ::-1]
+        return self.turn.transpose(back) if self.turn else back
 
 
 def poisson_nll(rate: np.ndarray, seen: np.ndarray, eps: float = 1e-12) -> tuple[float, np.ndarray]:
@@ -178,7 +236,7 @@ def solve_sum(weighted_sum: np.ndarray, weighted_mean: np.ndarray, frames: list[
     cfg.check()
     prior = upsampled_prior(weighted_mean, cfg.scale)
     moved = not cfg.stats_aligned
-    models = [Forward(prior.shape, cfg.scale, f["psf"], f["t"] ** 2, moved * f.get("dy", 0.0), moved * f.get("dx", 0.0)) for f in frames]
+    models = [Forward(prior.shape, cfg.scale, f["psf"], f["t"] ** 2, moved * f.get("dy", 0.0), moved * f.get("dx", 0.0), f.get("turn") if moved else None) for f in frames]
 
     def likelihood(image, _):
         loss, g = poisson_nll(sum(m(image) for m in models), weighted_sum)
@@ -191,7 +249,7 @@ def solve_frames(images: list[np.ndarray], weighted_mean: np.ndarray, frames: li
     """From the calibrated frames themselves, in seeded batches without repetition; a batch stands for all frames."""
     cfg.check()
     prior = upsampled_prior(weighted_mean, cfg.scale)
-    models = [Forward(prior.shape, cfg.scale, f["psf"], f["t"], f.get("dy", 0.0), f.get("dx", 0.0)) for f in frames]
+    models = [Forward(prior.shape, cfg.scale, f["psf"], f["t"], f.get("dy", 0.0), f.get("dx", 0.0), f.get("turn")) for f in frames]
     if len({i.shape for i in images}) > 1:
         raise ValueError("frames differ in shape")
     rng = np.random.default_rng(cfg.seed)
@@ -226,48 +284,104 @@ def solve_channels(stack: DataFrame, frames: list[dict], height: int, width: int
     return stack.select("channel", "y", "x", "weighted_sum", "weighted_mean").groupBy("channel").applyInPandas(solve, schema)
 
 
-def solve_distributed(frames: DataFrame, weighted_mean: np.ndarray, psf: np.ndarray, cfg: SolverConfig) -> Solution:
-    """From frames(frame_id, data, transparency, dy, dx) spread over the executors: the image goes out, loss and gradient come back as sums over tasks.
+class Batches:
+    """Frames dealt to batches for passes over them: each pass takes each frame once, in batches of about `batch` frames, whose order is drawn anew.
+
+    The frames are written once, in a partition for each batch, so that a step
+    reads the frames of its batch alone.
+    """
 
-    What travels is the size of one image, whatever the number of frames.
+    def __init__(self, frames: DataFrame, batch: int, seed: int):
+        self.n_frames = frames.count()
+        self.n = max(-(-self.n_frames // batch), 1)
+        self.seed, self.frames = seed, frames
+        if self.n > 1:
+            dealt = frames.withColumn("part", F.pmod(F.xxhash64(F.col("frame_id").cast("string"), F.lit(seed)), F.lit(self.n)).cast("int"))
+            path = f"{shared_folder(frames.sparkSession)}/batches-{uuid.uuid4().hex}"
+            dealt.repartition("part").write.partitionBy("part").parquet(path)
+            self.frames = frames.sparkSession.read.schema(dealt.schema).parquet(path)
+
+    def order(self, epoch: int) -> list[int]:
+        return np.random.default_rng((self.seed, epoch)).permutation(self.n).tolist()
+
+    def at(self, step: int) -> DataFrame:
+        """The batch of a step."""
+        if self.n == 1:
+            return self.frames
+        epoch, k = divmod(step, self.n)
+        return self.frames.where(F.col("part") == self.order(epoch)[k])
+
+
+def gradient(frames: DataFrame, image: np.ndarray, psf: np.ndarray | None, cfg: SolverConfig, psf_size: int = 25, fan: int = 16) -> tuple[float, np.ndarray, int]:
+    """Loss, gradient and number of frames(data, transparency, dy, dx, and turn and fwhm where they have them) at an image.
+
+    Tasks add up their frames and hand on one array each; where there are more
+    than `fan` of them, a round of tasks adds those up before the driver does.
+    A frame with a fwhm has a PSF of its own, others share the one given.
+    """
+    sent = frames.sparkSession.sparkContext.broadcast(image)  # one image
+    columns = ["data", "transparency", "dy", "dx", *[c for c in ("turn", "fwhm") if c in frames.columns]]
+
+    def work(batches):
+        loss, n, grad = 0.0, 0, np.zeros(image.shape)
+        for batch in batches:
+            rest = batch.select(columns[1:]).to_pylist()
+            for k, r in enumerate(rest):
+                own = gaussian_psf(psf_size, r["fwhm"] * cfg.scale) if r.get("fwhm") is not None else psf
+                f = Forward(image.shape, cfg.scale, own, r["transparency"], r["dy"], r["dx"], r.get("turn"))
+                seen = batch.column("data")[k].values.to_numpy(zero_copy_only=False).astype(np.float64)
+                v, g = poisson_nll(f(sent.value), seen.reshape(image.shape[0] // cfg.scale, -1))
+                loss, n, grad = loss + v, n + 1, grad + f.transpose(g)
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array([loss]), pa.array([n]), pa.array([grad.ravel()], pa.list_(pa.float64()))], names=["loss", "n", "grad"])
+
+    def add(batches):
+        loss, n, grad = 0.0, 0, None
+        for batch in batches:
+            for k in range(batch.num_rows):
+                g = batch.column("grad")[k].values.to_numpy()
+                loss, n, grad = loss + batch.column("loss")[k].as_py(), n + batch.column("n")[k].as_py(), g.copy() if grad is None else grad + g
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array([loss]), pa.array([n]), pa.array([grad], pa.list_(pa.float64()))], names=["loss", "n", "grad"])
+
+    schema = "loss double, n long, grad array<double>"
+    parts = frames.select(*columns).mapInArrow(work, schema)
+    tasks = parts.rdd.getNumPartitions()
+    if tasks > fan:
+        parts = parts.repartition(math.isqrt(tasks)).mapInArrow(add, schema)
+    t = parts.toArrow()  # one image for each of the last tasks
+    loss, n, grad = 0.0, 0, np.zeros(image.size)
+    for k in range(t.num_rows):
+        loss, n, grad = loss + t.column("loss")[k].as_py(), n + t.column("n")[k].as_py(), grad + t.column("grad")[k].values.to_numpy()
+    sent.unpersist()
+    return loss, grad.reshape(image.shape), n
+
+
+def solve_distributed(frames: DataFrame, weighted_mean: np.ndarray, psf: np.ndarray | None, cfg: SolverConfig, psf_size: int = 25) -> Solution:
+    """From frames(frame_id, data, transparency, dy, dx, turn, fwhm; the last two where known) spread over the executors: a step's batch of frames stands for all.
+
+    The image goes out, loss and gradient come back as sums over tasks: what
+    travels is the size of one image, whatever the number of frames.
     """
     cfg.check()
     prior = upsampled_prior(weighted_mean, cfg.scale)
-    h, w = weighted_mean.shape
-    sc = frames.sparkSession.sparkContext
-    n = prior.size
+    batches = Batches(frames, cfg.batch, cfg.seed)
 
-    def likelihood(image, _):
-        sent = sc.broadcast(image)  # one image
-
-        def work(batches):
-            import pandas as pd
-
-            loss, grad = 0.0, np.zeros(image.shape)
-            for pdf in batches:
-                for r in pdf.itertuples(index=False):
-                    f = Forward(image.shape, cfg.scale, psf, r.transparency, r.dy, r.dx)
-                    v, g = poisson_nll(f(sent.value), np.asarray(r.data, dtype=np.float64).reshape(h, w))
-                    loss, grad = loss + v, grad + f.transpose(g)
-            yield pd.DataFrame({"loss": [loss], "grad": [grad.ravel()]})
-
-        parts = frames.select("data", "transparency", "dy", "dx").mapInPandas(work, "loss double, grad array<double>")
-        # the loss travels as one more number of the gradient, so that the frames are gone through once
-        pdf = parts.select(F.posexplode(F.concat(F.array("loss"), "grad")).alias("k", "g")).groupBy("k").agg(F.sum("g").alias("g")).toPandas()
-        both = np.zeros(n + 1)
-        both[pdf.k] = pdf.g
-        loss, grad = both[0], both[1:]
-        sent.unpersist()
-        return loss, grad.reshape(image.shape)
+    def likelihood(image, step):
+        loss, grad, n = gradient(batches.at(step), image, psf, cfg, psf_size)
+        share = batches.n_frames / n if n else 0.0
+        return loss * share, grad * share
 
     return adam(np.maximum(prior, 1e-3), prior, likelihood, cfg)
 
 
-def solve(cfg: SolverConfig, stack: DataFrame, meta: list[dict], height: int, width: int, frames: DataFrame | None = None) -> DataFrame:
+def solve(cfg: SolverConfig, stack: DataFrame, meta: list[dict], height: int, width: int, frames: DataFrame | None = None, psf_size: int = 25) -> DataFrame:
     """channel, y, x, flux by the configured mode: fast, from the stack's sums, or exact, from frames(frame_id, channel, data, transparency, dy, dx) too.
 
-    meta has t, psf, dy, dx by frame. The exact mode blurs all frames of a
-    channel by the mean of their PSFs; without frames it is an error.
+    meta has t, psf, dy, dx by frame. In the exact mode each frame is blurred
+    by its own fwhm, where frames have that column, else by the mean PSF of
+    meta, and turned where they have the column turn; without frames it is an
+    error.
     """
     cfg.check()
     if cfg.mode == "fast":
@@ -275,12 +389,12 @@ def solve(cfg: SolverConfig, stack: DataFrame, meta: list[dict], height: int, wi
     if frames is None:
         raise ValueError("the exact mode needs the frames")
     spark, out = stack.sparkSession, None
-    psf = np.mean([m["psf"] for m in meta], axis=0)
+    psf = np.mean([m["psf"] for m in meta], axis=0) if meta else None
     for channel in sorted(r[0] for r in stack.select("channel").distinct().collect()):  # four at most
         mean = np.zeros((height, width))
         pdf = stack.where(F.col("channel") == channel).select("y", "x", "weighted_mean").toPandas()  # one image
         mean[pdf.y, pdf.x] = np.maximum(pdf.weighted_mean, 0)
-        image = solve_distributed(frames.where(F.col("channel") == channel), mean, psf, cfg).image
+        image = solve_distributed(frames.where(F.col("channel") == channel), mean, psf, cfg, psf_size).image
         rows = spark.createDataFrame([(channel, y, v.tolist()) for y, v in enumerate(image)], "channel string, y int, v array<double>")
         part = rows.select("channel", "y", F.posexplode("v").alias("x", "flux"))
         out = part if out is None else out.unionByName(part)

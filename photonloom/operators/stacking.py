@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import frame
 from ..plans.staging import cut
+from . import images
 from .calibration import MAD, PIXEL
 
 SUMS = ("weighted_sum", "weight_sum", "sky_sum", "sq_sum")
@@ -55,24 +58,30 @@ def place(px: DataFrame, meta: DataFrame, rows: int, cols: int, row0: int = 0, c
     return d.withColumns({"y": y, "x": x}).where((F.col("y") >= 0) & (F.col("y") < rows) & (F.col("x") >= 0) & (F.col("x") < cols)).drop("dy", "dx")
 
 
-def warp(px: DataFrame, affine: DataFrame, rows: int, cols: int, value: str = "calibrated", min_cover: float = 0.5) -> DataFrame:
-    """Frames resampled bilinearly on a canvas: affine(frame_id, a, b, c, d, e, f) takes canvas (x, y) to frame (ax+by+c, dx+ey+f).
+AFFINE = ("a", "b", "c", "d", "e", "f")
 
-    Each canvas pixel asks for the four pixels around its source and sums what
-    is there by an equi-join; covered pixels are those whose weights in the
-    frame sum to more than min_cover.
+
+def warp(frames: DataFrame, rows: int, cols: int, order: int = 1, min_cover: float = 0.5) -> DataFrame:
+    """frames(frame_id, h, w, data, a..f) resampled on a canvas: frame_id, h, w, data, NaN where a frame doesn't reach.
+
+    (a, b, c, d, e, f) takes canvas (x, y) to frame (ax+by+c, dx+ey+f). Each
+    frame is gathered from its own row, so nothing is shuffled or multiplied.
+    Order 1 is bilinear, where covered pixels are those whose weights in the
+    frame sum to more than min_cover; order 3 is a cubic spline within the
+    frame's edge pixels. Frames with an unknown affine are covered nowhere.
     """
-    spark = px.sparkSession
-    grid = spark.range(rows * cols).select((F.col("id") / cols).cast("int").alias("cy"), (F.col("id") % cols).cast("int").alias("cx"))
-    src = affine.join(grid).withColumns({"sx": F.col("a") * F.col("cx") + F.col("b") * F.col("cy") + F.col("c"), "sy": F.col("d") * F.col("cx") + F.col("e") * F.col("cy") + F.col("f")})
-    corners = F.array(*[F.struct(F.lit(j).alias("j"), F.lit(i).alias("i")) for j in (0, 1) for i in (0, 1)])
-    taps = src.select("frame_id", "cy", "cx", "sy", "sx", F.explode(corners).alias("k"))
-    y, x = (F.floor("sy") + F.col("k.j")).cast("int"), (F.floor("sx") + F.col("k.i")).cast("int")
-    w = (1 - F.abs(F.col("sy") - y)) * (1 - F.abs(F.col("sx") - x))
-    taps = taps.select("frame_id", "cy", "cx", y.alias("y"), x.alias("x"), w.alias("w")).where("w > 0")
-    hit = taps.join(px.select("frame_id", "channel", "y", "x", F.col(value).alias("v")), ["frame_id", "y", "x"])
-    g = hit.groupBy("frame_id", "channel", F.col("cy").alias("y"), F.col("cx").alias("x")).agg(F.sum("w").alias("cover"), F.sum(F.col("w") * F.col("v")).alias("s"))
-    return g.where(F.col("cover") > min_cover).select("frame_id", "channel", "y", "x", (F.col("s") / F.col("cover")).alias(value))
+
+    def work(image, row):
+        affine = tuple(row[c] for c in AFFINE)
+        return np.full((rows, cols), np.nan) if None in affine else frame.warped(image, affine, rows, cols, order, min_cover)
+
+    return images.map_images(frames, work, list(AFFINE)).drop(*AFFINE)
+
+
+def covered(warped: DataFrame, value: str = "calibrated") -> DataFrame:
+    """The pixels that warped frames reach: frame_id, y, x, value."""
+    p = warped.select("frame_id", "w", F.posexplode("data").alias("at", value)).where(~F.isnan(value))
+    return p.select("frame_id", (F.col("at") / F.col("w")).cast("int").alias("y"), (F.col("at") % F.col("w")).alias("x"), value)
 
 
 def union_canvas(corners: DataFrame) -> DataFrame:

@@ -57,11 +57,15 @@ def frame_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def meta_of(embeddings: DataFrame) -> DataFrame:
     i = F.col("vec_id")
-    return embeddings.select(
-        i.alias("frame_id"), F.col("label").alias("session"),
-        (0.5 + ((i * 37) % 100) / 200.0).alias("transparency"), (2.0 + ((i * 13) % 50) / 25.0).alias("fwhm"), F.lit(290.0).alias("sky"),
-        (((i * 7) % 21) / 10.0 - 1.0).alias("dx"), (((i * 11) % 21) / 10.0 - 1.0).alias("dy"), ((i * 17) % 360 - 180.0).alias("rotation"),
-    )
+    return embeddings.select(i.alias("frame_id"), F.col("label").alias("session"), *[c.alias(n) for n, c in frame_facts(i).items()])
+
+
+def frame_facts(i: Column) -> dict[str, Column]:
+    """What a frame's number says of its quality and place."""
+    return {
+        "transparency": 0.5 + ((i * 37) % 100) / 200.0, "fwhm": 2.0 + ((i * 13) % 50) / 25.0, "sky": F.lit(290.0),
+        "dx": ((i * 7) % 21) / 10.0 - 1.0, "dy": ((i * 11) % 21) / 10.0 - 1.0, "rotation": (i * 17) % 360 - 180.0,
+    }
 
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,13 +10,15 @@ the sensor's, are the only arrays that the driver and all tasks hold.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import frame as kernel
+from ..operators import geometry
 from ..operators.calibration import BAYER
 
 MOMENTS = ("n", "mt", "mv", "stt", "stv", "svv")
@@ -193,8 +195,16 @@ def characterised(lights: DataFrame, maps: dict[str, np.ndarray], cfg, pattern:
     return lights.select("frame_id", "exposure_s", "h", "w", "data").mapInArrow(run, f"frame_id {kind}, h int, w int, data array<double>, sky double, fwhm double, stars array<struct<y: double, x: double, flux: double>>")
 
 
+AFFINE = ("a", "b", "c", "d", "e", "f")
+
+
 def compared(seen: DataFrame, reference) -> DataFrame:
-    """frame_id, sky, n_stars, transparency, fwhm, dx, dy, rotation, scale_ratio of characterised frames against the reference frame's stars."""
+    """frame_id, sky, n_stars, transparency, fwhm, dx, dy, rotation, scale_ratio of characterised frames against the reference frame's stars, and to_reference.
+
+    to_reference (a..f) takes the frame's (x, y) to the reference's
+    (ax+by+c, dx+ey+f); it is null where the stars don't tell. dx, dy are the
+    shift of the stars' middle.
+    """
     found = seen.where(F.col("frame_id") == F.lit(reference)).select("stars").first()
     ref = np.array([(s.y, s.x, s.flux) for s in (found.stars if found else [])]).reshape(-1, 3)  # max_stars at most
     kind = dict(seen.dtypes)["frame_id"]
@@ -206,35 +216,106 @@ def compared(seen: DataFrame, reference) -> DataFrame:
             rows = []
             for r in pdf.itertuples(index=False):
                 own = np.array([(s["y"], s["x"], s["flux"]) for s in r.stars]).reshape(-1, 3)
-                m = kernel.registered(own, ref) or {"tx": 0.0, "ty": 0.0, "rotation": 0.0, "scale": None}
-                rows.append((r.frame_id, r.sky, len(own), kernel.clear_sky(own[:, 2], ref[:, 2]), r.fwhm, m["tx"], m["ty"], m["rotation"], m["scale"]))
-            yield pd.DataFrame(rows, columns=["frame_id", "sky", "n_stars", "transparency", "fwhm", "dx", "dy", "rotation", "scale_ratio"])
+                found = kernel.registered(own, ref)
+                m = found or {"tx": 0.0, "ty": 0.0, "rotation": 0.0, "scale": None}
+                affine = dict(zip(AFFINE, (m["turn"].real, -m["turn"].imag, m["shift"].real, m["turn"].imag, m["turn"].real, m["shift"].imag))) if found else None
+                rows.append((r.frame_id, r.sky, len(own), kernel.clear_sky(own[:, 2], ref[:, 2]), r.fwhm, m["tx"], m["ty"], m["rotation"], m["scale"], affine))
+            yield pd.DataFrame(rows, columns=["frame_id", "sky", "n_stars", "transparency", "fwhm", "dx", "dy", "rotation", "scale_ratio", "to_reference"])
+
+    affine = "struct<" + ", ".join(f"{c}: double" for c in AFFINE) + ">"
+    return seen.select("frame_id", "sky", "fwhm", "stars").mapInPandas(run, f"frame_id {kind}, sky double, n_stars long, transparency double, fwhm double, dx double, dy double, rotation double, scale_ratio double, to_reference {affine}")
 
-    return seen.select("frame_id", "sky", "fwhm", "stars").mapInPandas(run, f"frame_id {kind}, sky double, n_stars long, transparency double, fwhm double, dx double, dy double, rotation double, scale_ratio double")
 
+@dataclass(frozen=True)
+class Canvas:
+    """The grid of a stack: its size, and where the reference's first pixel lies on it."""
 
-def stacked(seen: DataFrame, meta: DataFrame, pattern: str | None = None) -> DataFrame:
-    """The stack's four sums by channel and pixel, of frames moved by their (dx, dy); a colour sensor's planes each by half of it, with a sky in the ratio of their medians."""
-    rows = seen.drop("fwhm", "stars", "sky").join(meta.select("frame_id", "sky", "transparency", "dx", "dy"), "frame_id")
+    rows: int
+    cols: int
+    row0: int = 0
+    col0: int = 0
+
+
+def registered(meta: DataFrame, lights: DataFrame, reference, how: str, colour: bool) -> DataFrame:
+    """meta with registered (wcs, stars or none) and to_reference by the best way there is for each frame.
+
+    By the WCS of the lights' columns crpix1..cd22 where both the frame and
+    the reference have one; else by stars; else a frame stays where it is.
+    how is affine, or shift for the stars' shift alone whatever else is known.
+    """
+    stars_only = F.when(F.col("to_reference").isNotNull() | (F.col("frame_id") == F.lit(reference)), "stars").otherwise("none")
+    if how == "shift":
+        moved = dict(zip(AFFINE, (F.lit(1.0), F.lit(0.0), F.col("dx"), F.lit(0.0), F.lit(1.0), F.col("dy"))))
+        return meta.withColumns({"registered": stars_only, "to_reference": _struct(moved)})
+    same = _struct(dict(zip(AFFINE, map(F.lit, (1.0, 0.0, 0.0, 0.0, 1.0, 0.0)))))
+    if not set(geometry.WCS) <= set(lights.columns):
+        return meta.withColumns({"registered": stars_only, "to_reference": F.when(F.col("frame_id") == F.lit(reference), same).otherwise(F.coalesce("to_reference", same))})
+    own = lights.select("frame_id", "h", "w", *geometry.WCS)
+    ref = own.where(F.col("frame_id") == F.lit(reference)).select(*[F.col(c).alias(f"r_{c}") for c in geometry.WCS]).limit(1)
+    d = meta.join(own, "frame_id").join(F.broadcast(ref))
+    planes = 2 if colour else 1
+    h, w = F.col("h") / planes, F.col("w") / planes
+    # the frame's middle and two points beside it go through the sky to the reference's grid
+    cx, cy, arm = (w - 1) / 2, (h - 1) / 2, F.least(h, w) / 4
+    (x0, y0), (x1, y1), (x2, y2) = [[v / planes for v in geometry.through_sky(x * planes, y * planes, "", "r_")] for x, y in ((cx, cy), (cx + arm, cy), (cx, cy + arm))]
+    m = {"a": (x1 - x0) / arm, "b": (x2 - x0) / arm, "d": (y1 - y0) / arm, "e": (y2 - y0) / arm}
+    sky = _struct({"a": m["a"], "b": m["b"], "c": x0 - m["a"] * cx - m["b"] * cy, "d": m["d"], "e": m["e"], "f": y0 - m["d"] * cx - m["e"] * cy})
+    known = x0.isNotNull() & x1.isNotNull() & x2.isNotNull()
+    best = F.when(known, sky).when(F.col("frame_id") == F.lit(reference), same).otherwise(F.coalesce("to_reference", same))
+    return d.withColumns({"registered": F.when(known, "wcs").otherwise(stars_only), "to_reference": best}).select(*meta.columns, "registered")
+
+
+def _struct(columns: dict) -> Column:
+    return F.struct(*[columns[c].cast("double").alias(c) for c in AFFINE])
+
+
+def union_canvas(meta: DataFrame, height: int, width: int) -> Canvas:
+    """The smallest canvas around the reference and the corners of all frames of meta on its grid."""
+    t = lambda c: F.col(f"to_reference.{c}")
+    spots = F.array(*[F.struct((t("d") * x + t("e") * y + t("f")).alias("y"), (t("a") * x + t("b") * y + t("c")).alias("x")) for y in (0, height - 1) for x in (0, width - 1)])
+    near = lambda c, up: F.ceil(c - 1e-6) if up else F.floor(c + 1e-6)  # noqa: E731  rounding adds no empty row
+    k = meta.select(F.explode(spots).alias("k"))
+    r = k.agg(*[near(f(f"k.{c}"), f is F.max).alias(f"{c}{n}") for c in "yx" for n, f in enumerate((F.min, F.max))]).first()
+    if r.y0 is None:
+        return Canvas(height, width)
+    y0, y1, x0, x1 = min(r.y0, 0), max(r.y1, height - 1), min(r.x0, 0), max(r.x1, width - 1)
+    return Canvas(y1 - y0 + 1, x1 - x0 + 1, -y0, -x0)
+
+
+def from_canvas(m: dict[str, float], canvas: Canvas) -> tuple[float, ...]:
+    """a..f, which take canvas (x, y) to the frame: the inverse of to_reference, behind the canvas's origin."""
+    to = np.array([[m["a"], m["b"], m["c"] + canvas.col0], [m["d"], m["e"], m["f"] + canvas.row0], [0.0, 0.0, 1.0]])
+    return tuple(np.linalg.inv(to)[:2].ravel().tolist())
+
+
+def stacked(seen: DataFrame, meta: DataFrame, pattern: str | None = None, canvas: Canvas | None = None, order: int = 1) -> DataFrame:
+    """The stack's four sums by channel and canvas pixel, of frames put there by their to_reference.
+
+    A colour sensor's planes each move as the half-size mean of them does, on
+    which the stars were found, and share its sky in the ratio of their
+    medians. order is that of the spline that resamples: 1 or 3.
+    """
+    rows = seen.drop("fwhm", "stars", "sky").join(meta.select("frame_id", "sky", "transparency", "to_reference"), "frame_id")
 
     def run(batches):
         total: dict[str, dict[str, np.ndarray]] = {}
-        for image, row in images(batches, "sky", "transparency", "dx", "dy"):
+        for image, row in images(batches, "sky", "transparency", "to_reference"):
             parts = planes(image, pattern)
             middle = np.median(image)
             for name, p in parts.items():
-                v = kernel.resampled(p, (1.0, 0.0, -row["dx"], 0.0, 1.0, -row["dy"]), *p.shape)
+                where = canvas or Canvas(*p.shape)
+                v = kernel.warped(p, from_canvas(row["to_reference"], where), where.rows, where.cols, order)
                 sky = row["sky"] if not pattern or middle == 0 else row["sky"] * np.median(p) / middle
                 ok, t = np.isfinite(v), row["transparency"]
                 s = np.where(ok, v - sky, 0.0)
-                sums = total.setdefault(name, {c: np.zeros(p.shape) for c in STACK})
+                sums = total.setdefault(name, {c: np.zeros(v.shape) for c in STACK})
                 for c, x in zip(STACK, (t * s, t * ok, sky * ok, t * s * s)):
                     sums[c] += x
         for name, sums in total.items():
             yield rows_of(name, sums)
 
     columns = ", ".join(f"{c} array<double>" for c in STACK)
-    parts = rows.select("h", "w", "data", "sky", "transparency", "dx", "dy").mapInArrow(run, f"channel string, y int, {columns}")
+    parts = rows.select("h", "w", "data", "sky", "transparency", "to_reference").mapInArrow(run, f"channel string, y int, {columns}")
 
     def add(key, table):
         sums = {c: np.sum([table.column(c)[k].values.to_numpy() for k in range(table.num_rows)], axis=0) for c in STACK}

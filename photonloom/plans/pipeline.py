@@ -6,7 +6,7 @@
 from __future__ import annotations
 
 import argparse
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -32,6 +32,12 @@ class Config:
     psf_size: int = 25
     cosmic_sigma: float | None = 10.0  # pixels so far above the median are replaced, the cores of bright stars too; None: none
     saturation: float | None = None
+    #: How frames are put on the reference's grid: affine (by WCS where there is one, else by stars) or shift (by the stars' shift alone).
+    registration: str = "affine"
+    #: The stack's grid: the reference frame's, or the union of all frames.
+    canvas: str = "reference"
+    #: The order of the spline that resamples: 1 or 3.
+    order: int = 1
     solve: bool = False
     solver: solver.SolverConfig = field(default_factory=solver.SolverConfig)
 
@@ -99,7 +105,7 @@ def star_widths(net: DataFrame, centres: DataFrame, height: int, width: int, hal
 
 
 def run(frames: DataFrame, cfg: Config | None = None, model: DataFrame | None = None) -> dict[str, DataFrame]:
-    """Products of frames(frame_id, seq, frame_type, exposure_s, h, w, data, and bayer_pattern for a colour sensor): model, frames, stack and, if asked for, solution.
+    """Products of frames(frame_id, seq, frame_type, exposure_s, h, w, data, bayer_pattern for a colour sensor, crpix1..cd22 where known): model, frames, stack, canvas and, if asked for, solution.
 
     Lights are calibrated, their hot and cosmic-ray pixels replaced, and
     characterised in one pass; a second one moves and adds them up.
@@ -117,16 +123,43 @@ def run(frames: DataFrame, cfg: Config | None = None, model: DataFrame | None =
         maps = framewise.maps_of(model, h, w)
     seen = cut(framewise.characterised(lights, maps, cfg, pattern), "calibrated")
     reference = cfg.reference if cfg.reference is not None else seen.agg(F.min("frame_id")).first()[0]
-    meta = cut(framewise.compared(seen, reference), "frames")
-    good = stacking.quality_filter(meta, cfg.min_transparency, cfg.max_fwhm)
-    sums = framewise.stacked(seen, good, pattern)
-    out = {"model": model, "frames": meta, "stack": stacking.derive(sums, good.count())}
+    meta = cut(examined(seen, lights, reference, cfg, pattern), "frames")
+    good = meta.where("stacked")
+    size = (h // 2, w // 2) if pattern else (h, w)
+    canvas = framewise.union_canvas(good, *size) if cfg.canvas == "union" else framewise.Canvas(*size)
+    sums = framewise.stacked(seen, good, pattern, canvas, cfg.order)
+    out = {"model": model, "frames": meta, "stack": stacking.derive(sums, good.count()), "canvas": spark.createDataFrame([asdict(canvas)], CANVAS)}
     if cfg.solve:
+        out["solution"] = solved(out["stack"], seen, good, canvas, cfg, pattern)
+    return out
+
+
+CANVAS = "rows int, cols int, row0 int, col0 int"
+
+
+def examined(seen: DataFrame, lights: DataFrame, reference, cfg: Config, pattern: str | None) -> DataFrame:
+    """The frames against the reference, where they lie on its grid, and whether they are fit to be stacked."""
+    meta = framewise.registered(framewise.compared(seen, reference), lights, reference, cfg.registration, bool(pattern))
+    good = stacking.quality_filter(meta, cfg.min_transparency, cfg.max_fwhm).select("frame_id", F.lit(True).alias("stacked"))
+    return meta.join(good, "frame_id", "left").withColumn("stacked", F.coalesce("stacked", F.lit(False)))
+
+
+def solved(stack: DataFrame, seen: DataFrame, good: DataFrame, canvas: framewise.Canvas, cfg: Config, pattern: str | None) -> DataFrame:
+    """The solution by the configured mode: fast from the stack, exact from the frames where they lie, each with its own width."""
+    if cfg.solver.mode == "fast":
         rows = good.select("transparency", "fwhm").collect()  # two numbers a frame
         each = [{"t": r.transparency, "psf": gaussian_psf(cfg.psf_size, (r.fwhm or 3.0) * cfg.solver.scale)} for r in rows]
-        size = (h // 2, w // 2) if pattern else (h, w)
-        out["solution"] = solver.solve_channels(out["stack"], each, *size, cfg.solver)
-    return out
+        return solver.solve(cfg.solver, stack, each, canvas.rows, canvas.cols)
+    if canvas.row0 or canvas.col0 or pattern:
+        raise ValueError("the exact mode solves the reference's grid of a sensor without colour")
+    t = lambda c: F.col(f"to_reference.{c}")
+    frames = seen.drop("fwhm", "sky").join(good.select("frame_id", "sky", "transparency", "fwhm", "to_reference"), "frame_id")
+    rows = frames.select(
+        "frame_id", F.lit("L").alias("channel"), F.transform("data", lambda v: F.greatest(v - F.col("sky"), F.lit(0.0))).alias("data"), "transparency", F.coalesce("fwhm", F.lit(3.0)).alias("fwhm"),
+        # the scene as the frame sees it: the inverse of where the frame lies, about the middle
+        *solver.seen_from({c: t(c) for c in framewise.AFFINE}, canvas.rows, canvas.cols),
+    )
+    return solver.solve(cfg.solver, stack, [], canvas.rows, canvas.cols, rows, cfg.psf_size)
 
 
 def resume(frames: DataFrame, folder: str, cfg: Config | None = None) -> dict[str, DataFrame]:
@@ -144,16 +177,17 @@ def resume(frames: DataFrame, folder: str, cfg: Config | None = None) -> dict[st
     pattern = framewise.is_colour(lights)
     again = lights.where(F.col("frame_id") == cfg.reference).unionByName(todo).distinct()
     seen = cut(framewise.characterised(again, framewise.maps_of(model, h, w), cfg, pattern), "calibrated")
-    fresh = cut(framewise.compared(seen, cfg.reference).where(F.col("frame_id") != cfg.reference), "frames")
-    good = stacking.quality_filter(fresh, cfg.min_transparency, cfg.max_fwhm)
-    sums = framewise.stacked(seen.where(F.col("frame_id") != cfg.reference), good, pattern)
+    fresh = cut(examined(seen, again, cfg.reference, cfg, pattern).where(F.col("frame_id") != cfg.reference), "frames")
+    canvas = framewise.Canvas(*[int(about[c]) for c in ("rows", "cols", "row0", "col0")]) if about.get("rows") else None
+    sums = framewise.stacked(seen.where(F.col("frame_id") != cfg.reference), fresh.where("stacked"), pattern, canvas, cfg.order)
     both = stacking.merge(stack.select(*calibration.PIXEL, *stacking.SUMS), sums)
     every = meta.unionByName(fresh.select(*meta.columns))
-    return {"model": model, "frames": every, "stack": stacking.derive(both, every.count())}
+    return {"model": model, "frames": every, "stack": stacking.derive(both, every.where("stacked").count())}
 
 
 def save(products: dict[str, DataFrame], folder: str, reference: int) -> None:
-    store.save_model(products["model"], {"reference": reference}, folder)
+    canvas = products["canvas"].first().asDict() if "canvas" in products else {}
+    store.save_model(products["model"], {"reference": reference, **canvas}, folder)
     store.save_stack(products["stack"], products["frames"], folder)
     if "solution" in products:
         products["solution"].write.mode("overwrite").parquet(f"{folder}/solution")

@@ -275,13 +275,50 @@ def union_canvas(spark, sf_dir):
 
 @query("""SELECT frame_id, y::INT AS y, x::INT AS x, round(sum(w * adu) / sum(w), 5) AS v FROM (SELECT m.frame_id, g.y, g.x, (1 - abs(g.y + m.dy - t.ty)) * (1 - abs(g.x + m.dx - t.tx)) AS w, p.adu FROM meta m, (SELECT a.range AS y, b.range AS x FROM range(8) a, range(8) b) g, LATERAL (SELECT floor(g.y + m.dy) + j AS ty, floor(g.x + m.dx) + i AS tx FROM (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) o(j, i)) t JOIN px p ON p.frame_id = m.frame_id AND p.y = t.ty AND p.x = t.tx) WHERE w > 0 GROUP BY frame_id, y, x HAVING sum(w) > 0.5""", "px", "meta")
 def warp_to_canvas(spark, sf_dir):
-    m = adapters.frame_meta(spark, sf_dir)
     one, none = F.lit(1.0), F.lit(0.0)
-    affine = m.select("frame_id", one.alias("a"), none.alias("b"), F.col("dx").alias("c"), none.alias("d"), one.alias("e"), F.col("dy").alias("f"))
-    w = stacking.warp(px_of(spark, sf_dir).withColumn("calibrated", F.col("adu")), affine, 8, 8)
+    affine = {"a": one, "b": none, "c": F.col("dx"), "d": none, "e": one, "f": F.col("dy")}
+    w = stacking.covered(stacking.warp(frames_with(spark, sf_dir, affine), 8, 8))
     return w.select("frame_id", "y", "x", r("calibrated", "v", 5))
 
 
+def frames_with(spark, sf_dir, columns: dict[str, Column]) -> DataFrame:
+    """All frames, and columns that are made of what their numbers say of them."""
+    return adapters.frames(spark, sf_dir).withColumns(adapters.frame_facts(F.col("frame_id"))).withColumns(columns)
+
+
+def _spline_sql() -> str:
+    """px as the weights sp of cubic B-splines: the inverse of the matrix that has 4/6 on its diagonal and 1/6 beside it, 2/6 at the mirrored ends, along rows and columns."""
+    import numpy as np
+
+    m = np.diag([4.0] * 8) + np.diag([1.0] * 7, 1) + np.diag([1.0] * 7, -1)
+    m[0, 1] = m[7, 6] = 2.0
+    inverse = np.linalg.inv(m / 6)
+    rows = ", ".join(f"({i}, {j}, {inverse[i, j]!r}::DOUBLE)" for i in range(8) for j in range(8)).replace("np.float64(", "").replace(")::DOUBLE", "::DOUBLE")
+    return f"""inv AS (SELECT * FROM (VALUES {rows}) t(i, j, m)),
+half AS (SELECT frame_id, i AS y, x, sum(m * adu) AS v FROM px JOIN inv ON j = y GROUP BY ALL),
+sp AS (SELECT frame_id, y, i AS x, sum(m * v) AS v FROM half JOIN inv ON j = x GROUP BY ALL)"""
+
+
+def _beta_sql(d: str) -> str:
+    return f"(CASE WHEN abs({d}) < 1 THEN (4 - 6 * {d} * {d} + 3 * abs({d}) ** 3) / 6 WHEN abs({d}) < 2 THEN (2 - abs({d})) ** 3 / 6 ELSE 0 END)"
+
+
+@query(f""", {_spline_sql()}, g AS (SELECT m.frame_id, a.range AS y, b.range AS x, cos(radians(m.rotation)) AS c, sin(radians(m.rotation)) AS s, m.dy, m.dx FROM meta m, range(8) a, range(8) b),
+t AS (SELECT frame_id, y, x, c * (x - 3.5) - s * (y - 3.5) + 3.5 + dx AS sx, s * (x - 3.5) + c * (y - 3.5) + 3.5 + dy AS sy FROM g),
+o AS (SELECT range - 1 AS k FROM range(4)),
+w AS (SELECT t.frame_id, t.y, t.x, {_beta_sql('(sy - floor(sy) - j.k)')} * {_beta_sql('(sx - floor(sx) - i.k)')} AS w, 7 - abs(7 - abs(floor(sy)::INT + j.k)) AS ky, 7 - abs(7 - abs(floor(sx)::INT + i.k)) AS kx FROM t, o j, o i WHERE sx BETWEEN -1e-9 AND 7 + 1e-9 AND sy BETWEEN -1e-9 AND 7 + 1e-9)
+SELECT w.frame_id, w.y::INT AS y, w.x::INT AS x, round(sum(w * v), 4) AS v FROM w JOIN sp ON sp.frame_id = w.frame_id AND sp.y = ky AND sp.x = kx GROUP BY ALL""", "px", "meta")
+def warp_cubic(spark, sf_dir):
+    w = stacking.covered(stacking.warp(frames_with(spark, sf_dir, turned_by(F.col("rotation"))), 8, 8, order=3))
+    return w.select("frame_id", "y", "x", r("calibrated", "v", 4))
+
+
+def turned_by(rotation: Column) -> dict[str, Column]:
+    """A turn about the middle of an 8 x 8 frame, then its shift."""
+    c, n = F.cos(F.radians(rotation)), F.sin(F.radians(rotation))
+    return {"a": c, "b": -n, "c": -c * 3.5 + n * 3.5 + 3.5 + F.col("dx"), "d": n, "e": c, "f": -n * 3.5 - c * 3.5 + 3.5 + F.col("dy")}
+
+
 BEST = "SELECT frame_id, round({0}, 6) AS {0} FROM meta ORDER BY {0} {1}, frame_id LIMIT (SELECT greatest(1, round_even(count(*) * 0.25, 0))::BIGINT FROM meta)"
 
 
@@ -433,10 +470,7 @@ t AS (SELECT frame_id, y, x, c * (x - 3.5) - s * (y - 3.5) + 3.5 + dx AS sx, s *
 w AS (SELECT t.frame_id, t.y, t.x, (1 - abs(sy - floor(sy) - j)) * (1 - abs(sx - floor(sx) - i)) AS w, adu FROM t, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) o(j, i) JOIN px p ON p.frame_id = t.frame_id AND p.y = floor(sy) + j AND p.x = floor(sx) + i)
 SELECT frame_id, y::INT AS y, x::INT AS x, round(sum(w * adu) / sum(w), 4) AS v FROM w WHERE w > 0 GROUP BY ALL HAVING sum(w) > 0.500001""", "px", "meta")
 def warp_rotated(spark, sf_dir):
-    m = adapters.frame_meta(spark, sf_dir)
-    c, n = F.cos(F.radians("rotation")), F.sin(F.radians("rotation"))
-    affine = m.select("frame_id", c.alias("a"), (-n).alias("b"), (-c * 3.5 + n * 3.5 + 3.5 + F.col("dx")).alias("c"), n.alias("d"), c.alias("e"), (-n * 3.5 - c * 3.5 + 3.5 + F.col("dy")).alias("f"))
-    w = stacking.warp(px_of(spark, sf_dir).withColumn("calibrated", F.col("adu")), affine, 8, 8, min_cover=0.500001)  # just above a half, so that rounding decides nothing
+    w = stacking.covered(stacking.warp(frames_with(spark, sf_dir, turned_by(F.col("rotation"))), 8, 8, min_cover=0.500001))  # just above a half, so that rounding decides nothing
     return w.select("frame_id", "y", "x", r("calibrated", "v", 4))
 
 
@@ -781,6 +815,33 @@ def frame_shift(spark, sf_dir):
     return rounded(geometry.frame_shift(d, d.where("id = 1"), 512, 512).select("id", "dx_to_ref", "dy_to_ref", "rotation", "scale_ratio"), 5)
 
 
+def _sky_sql(k: int, x: float, y: float) -> str:
+    """The reference's pixel (x, y) in the pixels of each frame w, in SQL."""
+    xi, eta = (f"radians(r.cd{n}1 * ({x} + 1 - r.crpix1) + r.cd{n}2 * ({y} + 1 - r.crpix2))" for n in (1, 2))
+    return f"""a{k} AS (SELECT w.*, radians(r.crval1) + atan2({xi}, cos(radians(r.crval2)) - {eta} * sin(radians(r.crval2))) - radians(w.crval1) AS h, atan2(sin(radians(r.crval2)) + {eta} * cos(radians(r.crval2)), sqrt({xi} ** 2 + (cos(radians(r.crval2)) - {eta} * sin(radians(r.crval2))) ** 2)) AS d FROM w, r),
+b{k} AS (SELECT *, sin(d) * sin(radians(crval2)) + cos(d) * cos(radians(crval2)) * cos(h) AS den FROM a{k}),
+c{k} AS (SELECT *, degrees(cos(d) * sin(h) / den) AS xi, degrees((sin(d) * cos(radians(crval2)) - cos(d) * sin(radians(crval2)) * cos(h)) / den) AS eta, cd11 * cd22 - cd12 * cd21 AS det FROM b{k}),
+q{k} AS (SELECT id, (cd22 * xi - cd12 * eta) / det + crpix1 - 1 AS x, (cd11 * eta - cd21 * xi) / det + crpix2 - 1 AS y FROM c{k})"""
+
+
+NEAR_WCS = f"WITH {WCS}, w AS (SELECT * REPLACE (180.0 + id % 7 * 0.001 AS crval1, 20.0 AS crval2) FROM wcs), r AS (SELECT * FROM w WHERE id = 1)"
+
+
+def beside_reference(spark, sf_dir) -> DataFrame:
+    """Frames near each other on the sky, with the WCS of the first as r_..."""
+    d = wcs_rows(spark, sf_dir).withColumns({"crval1": F.lit(180.0) + F.col("id") % 7 * 0.001, "crval2": F.lit(20.0)})
+    return d.join(F.broadcast(d.where("id = 1").select(*[F.col(c).alias(f"r_{c}") for c in geometry.WCS])))
+
+
+@query(f"""{NEAR_WCS}, {_sky_sql(0, 299.5 - 44, 279.5 - 24)}, {_sky_sql(1, 299.5 + 140 - 44, 279.5 - 24)}, {_sky_sql(2, 299.5 - 44, 279.5 + 140 - 24)},
+j AS (SELECT q0.id, q0.x AS x0, q0.y AS y0, (q1.x - q0.x) / 140 AS a, (q2.x - q0.x) / 140 AS b, (q1.y - q0.y) / 140 AS d, (q2.y - q0.y) / 140 AS e FROM q0 JOIN q1 USING (id) JOIN q2 USING (id))
+SELECT id, round(a, 6) + 0.0 AS a, round(b, 6) + 0.0 AS b, round(x0 - a * 299.5 - b * 279.5, 4) + 0.0 AS c, round(d, 6) + 0.0 AS d, round(e, 6) + 0.0 AS e, round(y0 - d * 299.5 - e * 279.5, 4) + 0.0 AS f FROM j""")
+def wcs_canvas_affine(spark, sf_dir):
+    """Canvas of 560 x 600 in which the reference begins at row 24, column 44."""
+    m = geometry.canvas_affine(560, 600, 24, 44)
+    return beside_reference(spark, sf_dir).select("id", *[(F.round(m[c], 4 if c in "cf" else 6) + 0.0).alias(c) for c in "abcdef"])  # no negative zeros
+
+
 @query()
 def fit_dark_mixture(spark, sf_dir):
     m = mixture.fit_mixture(rates_of(spark, sf_dir))
@@ -893,24 +954,33 @@ def _solver_input(spark, sf_dir, bayer=False):
     return stacking.derive(s, n), [{"t": float(t2 or 0.0) ** 0.5, "psf": kernels.gaussian_psf(5, 2.0)}]
 
 
+#: All 300 iterations, unless the loss stands still before.
+SOLVER = solver.SolverConfig()
+
+
 @query()
 def map_fast(spark, sf_dir):
     stack, frames = _solver_input(spark, sf_dir)
-    return rounded(solver.solve_channels(stack, frames, 8, 8, solver.SolverConfig(iterations=40)), 4)
+    return rounded(solver.solve_channels(stack, frames, 8, 8, SOLVER), 4)
 
 
 @query()
 def map_multichannel(spark, sf_dir):
     stack, frames = _solver_input(spark, sf_dir, bayer=True)
-    return rounded(solver.solve_channels(stack, frames, 4, 4, solver.SolverConfig(iterations=40)), 4)
+    return rounded(solver.solve_channels(stack, frames, 4, 4, SOLVER), 4)
 
 
 @query()
 def map_exact(spark, sf_dir):
+    """From the light frames themselves, batch by batch, each with its own width, turn and shift."""
     import numpy as np
 
-    f = adapters.frames(spark, sf_dir).where("frame_type = 'light'").join(adapters.frame_meta(spark, sf_dir).select("frame_id", "transparency", F.lit(0.0).alias("dy"), F.lit(0.0).alias("dx")), "frame_id")
-    s = solver.solve_distributed(f, np.full((8, 8), 300.0), kernels.gaussian_psf(5, 2.0), solver.SolverConfig(iterations=3))
+    small = F.when(F.col("frame_id") % 3 == 0, 2.0).otherwise(0.0)  # degrees
+    f = frames_with(spark, sf_dir, {"fwhm": F.col("fwhm") / 2, "dy": F.col("dy") / 10, "dx": F.col("dx") / 10}).where("frame_type = 'light'")
+    c, n = F.cos(F.radians(small)), F.sin(F.radians(small))
+    f = f.select("frame_id", "data", "transparency", "dy", "dx", "fwhm", F.array(c, -n, n, c).alias("turn"))
+    # 80 steps at this rate come within 1e-5 of the least loss
+    s = solver.solve_distributed(f, np.full((8, 8), 300.0), None, solver.SolverConfig(iterations=80, rate=10.0, batch=64), 5)
     return spark.createDataFrame([(int(y), int(x), float(round(s.image[y, x], 4))) for y in range(16) for x in range(16)], "y int, x int, flux double")
 
 

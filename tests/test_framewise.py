@@ -1,5 +1,6 @@
 """The run over frames as arrays against the operators over pixels, on sessions with and without colour."""
 
+import math
 import time
 
 import numpy as np
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 
 from photonloom.functions import frame as kernel
 from photonloom.functions import kernels
-from photonloom.operators import calibration, neighbourhood, stacking, stars, synth
+from photonloom.operators import calibration, neighbourhood, solver, stacking, stars, synth
 from photonloom.plans import framewise, pipeline
 from photonloom.plans.adapters import explode_frames
 
@@ -67,9 +68,59 @@ def test_kernels_equal_operators(spark):
     sky = px.withColumn("adu", F.col("adu") - kernel.clipped_median(image))
     at = spark.createDataFrame([(0, k, float(y), float(x)) for k, (y, x, _) in enumerate(found)], "frame_id long, star_rank long, y double, x double")
     assert [r.flux for r in stars.aperture_flux(at, sky, 4.0).orderBy("star_rank").collect()] == pytest.approx(found[:, 2])
-    affine = spark.createDataFrame([(0, 1.0, 0.1, -0.6, -0.1, 1.0, 0.3)], "frame_id long, a double, b double, c double, d double, e double, f double")
-    moved = stacking.warp(px.withColumn("calibrated", F.col("adu")), affine, 30, 30)
-    assert kernel.resampled(image, (1.0, 0.1, -0.6, -0.1, 1.0, 0.3), 30, 30) == pytest.approx(grid(moved, "calibrated", (30, 30)), nan_ok=True)
+
+
+def bilinear(image, affine, rows, cols, min_cover=0.5):
+    """The definition, pixel by pixel."""
+    a, b, c, d, e, f = affine
+    out = np.full((rows, cols), np.nan)
+    for y in range(rows):
+        for x in range(cols):
+            sx, sy = a * x + b * y + c, d * x + e * y + f
+            total = cover = 0.0
+            for j in (math.floor(sy), math.floor(sy) + 1):
+                for i in (math.floor(sx), math.floor(sx) + 1):
+                    w = (1 - abs(sy - j)) * (1 - abs(sx - i))
+                    if w > 0 and 0 <= j < image.shape[0] and 0 <= i < image.shape[1]:
+                        total, cover = total + w * image[j, i], cover + w
+            if cover > min_cover:
+                out[y, x] = total / cover
+    return out
+
+
+def test_warp_by_definition(spark):
+    image = np.random.default_rng(5).normal(100, 5, (12, 15))
+    turns = [(1.0, 0.1, -0.6, -0.1, 1.0, 0.3), (1.0, 0.0, 0.0, 0.0, 1.0, 0.0), (0.0, 1.0, -2.0, -1.0, 0.0, 11.0), (None, 0.0, 0.0, 0.0, 1.0, 0.0)]
+    df = spark.createDataFrame([(k, 12, 15, image.ravel().tolist(), *t) for k, t in enumerate(turns)], "frame_id long, h int, w int, data array<double>, a double, b double, c double, d double, e double, f double")
+    for order in (1, 3):
+        got = {r.frame_id: np.array(r.data).reshape(r.h, r.w) for r in stacking.warp(df, 14, 13, order).collect()}
+        assert np.isnan(got[3]).all() and got[1][:12, :13] == pytest.approx(image[:, :13])
+        for k in range(3):
+            if order == 1:
+                assert got[k] == pytest.approx(bilinear(image, turns[k], 14, 13), nan_ok=True)
+                assert {(r.y, r.x) for r in stacking.covered(stacking.warp(df, 14, 13)).where(F.col("frame_id") == k).collect()} == set(zip(*np.nonzero(np.isfinite(got[k]))))
+    with pytest.raises(ValueError):
+        kernel.warped(image, turns[0], 3, 3, 2)
+
+
+def test_cubic_spline(spark):
+    """The spline passes through the pixels, is smooth, and follows a cubic exactly away from the edges."""
+    g = np.random.default_rng(6)
+    image = g.normal(0, 1, (9, 17))
+    c = kernel.spline_coefficients(image)
+    wide = np.pad(c, 1, mode="reflect")
+    back = sum(wy * wx * wide[1 + j : 10 + j, 1 + i : 18 + i] for j, wy in ((-1, 1), (0, 4), (1, 1)) for i, wx in ((-1, 1), (0, 4), (1, 1))) / 36
+    assert back == pytest.approx(image)
+    y, x = np.mgrid[:40, :40].astype(float)
+    curve = lambda y, x: 1e-3 * (x - 20) ** 3 - 2e-3 * (y - 17) ** 3 + 0.05 * x * y + 3
+    affine = (0.9, 0.1, 2.3, -0.1, 0.95, 3.7)
+    got = kernel.resampled_cubic(curve(y, x), affine, 36, 36, band=7)
+    sx, sy = affine[0] * x + affine[1] * y + affine[2], affine[3] * x + affine[4] * y + affine[5]
+    middle = (sx[:36, :36] > 12) & (sx[:36, :36] < 27) & (sy[:36, :36] > 12) & (sy[:36, :36] < 27)
+    assert middle.sum() > 50 and got[middle] == pytest.approx(curve(sy, sx)[:36, :36][middle], abs=1e-5)
+    assert np.isnan(got[(sx[:36, :36] > 39.01) | (sy[:36, :36] > 39.01)]).all()
+    assert kernel.resampled_cubic(np.array([[5.0]]), (1.0, 0.0, 0.0, 0.0, 1.0, 0.0), 1, 1) == pytest.approx(5.0)
+    assert kernel.resampled_cubic(image[:1], (1.0, 0.0, 0.0, 0.0, 1.0, 0.0), 1, 17) == pytest.approx(image[:1])
 
 
 def test_saturated_stars_are_none():
@@ -122,6 +173,110 @@ def test_a_resumed_run_is_the_whole_run(spark, session, tmp_path):
     assert a == pytest.approx(b, nan_ok=True, rel=1e-9) and again["frames"].count() == whole["frames"].count()
 
 
+def test_a_filtered_run_resumes_as_well(spark, session, tmp_path):
+    """Frames that the filter leaves out count neither in one run nor in a resumed one."""
+    lights = session.where("frame_type = 'light'")
+    first, last = lights.agg(F.min("frame_id"), F.max("frame_id")).first()
+    clear = sorted(r.transparency for r in pipeline.run(session)["frames"].collect())
+    cfg = lambda: pipeline.Config(min_transparency=(clear[0] + clear[1]) / 2)
+    whole = pipeline.run(session, cfg())
+    assert whole["frames"].where("stacked").count() == 2
+    pipeline.save(pipeline.run(session.where(F.col("frame_id") != last), cfg()), str(tmp_path), first)
+    again = pipeline.resume(session, str(tmp_path), cfg())
+    for c in ("weighted_mean", "sky_mean", "variance"):
+        assert grid(whole["stack"], c, (40, 44)) == pytest.approx(grid(again["stack"], c, (40, 44)), nan_ok=True, rel=1e-9)
+    assert again["frames"].where("stacked").count() == 2
+
+
+# registration ------------------------------------------------------------------
+
+
+def turned_session(spark, turns, size=72, sky=50.0, wcs=False):
+    """Lights of one field of stars, each turned about its middle and moved; without noise. turns: degrees, dy, dx."""
+    g = np.random.default_rng(8)
+    places = g.uniform(-40, 40, (60, 2))
+    flux = g.uniform(2000, 9000, 60)
+    y, x = np.mgrid[:size, :size].astype(float)
+    middle = (size - 1) / 2
+    scale = 2.0 / 3600
+    rows, images = [], []
+    for k, (turn, dy, dx) in enumerate(turns):
+        c, s = np.cos(np.radians(turn)), np.sin(np.radians(turn))
+        image = np.full((size, size), sky)
+        for (v, u), f in zip(places, flux):  # a star at (u, v) of the field lies at the turned place
+            px, py = c * u + s * v + middle + dx, -s * u + c * v + middle + dy
+            image += f * np.exp(-((x - px) ** 2 + (y - py) ** 2) / (2 * 1.6**2)) / (2 * np.pi * 1.6**2)
+        images.append(image)
+        # the field's plane has x to the west: the frame's pixel p is the field's c (px - m) - s (py - m)
+        head = tuple(map(float, (middle + 1 + dx, middle + 1 + dy, 180.0, 20.0, -scale * c, scale * s, scale * s, scale * c))) if wcs else ()
+        rows.append((k, k, "light", 1.0, size, size, image.ravel().tolist(), *head))
+    names = "frame_id long, seq long, frame_type string, exposure_s double, h int, w int, data array<double>"
+    names += ", crpix1 double, crpix2 double, crval1 double, crval2 double, cd11 double, cd12 double, cd21 double, cd22 double" if wcs else ""
+    return spark.createDataFrame(rows, names), images
+
+
+TURNS = [(0.0, 0.0, 0.0), (7.0, 3.0, -2.0), (-12.0, -4.0, 5.5), (170.0, 1.0, 2.0)]
+
+
+def likeness(stack, image, shape, middle=slice(18, 54)):
+    got = grid(stack, "weighted_mean", shape)
+    return np.corrcoef(got[middle, middle].ravel(), image[middle, middle].ravel())[0, 1]
+
+
+@pytest.mark.parametrize("order", [1, 3])
+def test_a_turned_session_stacks_right_by_stars(spark, order):
+    frames, images = turned_session(spark, TURNS[:3])
+    plain = pipeline.Config(cosmic_sigma=None, order=order, max_stars=40)
+    out = pipeline.run(frames, plain, model=no_model(spark, 72))
+    meta = {r.frame_id: r for r in out["frames"].collect()}
+    assert [meta[k].registered for k in range(3)] == ["stars"] * 3
+    assert abs(meta[1].rotation) == pytest.approx(7, abs=0.2) and abs(meta[2].rotation) == pytest.approx(12, abs=0.2)
+    moved = pipeline.run(frames, pipeline.Config(cosmic_sigma=None, max_stars=40, registration="shift"), model=no_model(spark, 72))
+    assert likeness(out["stack"], images[0], (72, 72)) > 0.99 > likeness(moved["stack"], images[0], (72, 72)) + 0.1
+
+
+def test_a_turned_session_stacks_right_by_wcs(spark):
+    """A frame with a WCS is put where the sky says, one without by its stars, and the canvas holds them all."""
+    frames, images = turned_session(spark, TURNS, wcs=True)
+    frames = frames.withColumn("crpix1", F.when(F.col("frame_id") != 1, F.col("crpix1")))
+    out = pipeline.run(frames, pipeline.Config(cosmic_sigma=None, order=3, canvas="union", max_stars=40), model=no_model(spark, 72))
+    meta = {r.frame_id: r for r in out["frames"].collect()}
+    assert [meta[k].registered for k in range(4)] == ["wcs", "stars", "wcs", "wcs"]
+    canvas = out["canvas"].first()
+    assert canvas.rows > 72 and canvas.cols > 72 and canvas.row0 > 0 and canvas.col0 > 0
+    spots = out["stack"].agg(F.min("y"), F.max("y"), F.min("x"), F.max("x")).first()
+    assert min(spots) >= 0 and spots[1] < canvas.rows and spots[3] < canvas.cols and spots[1] > canvas.rows - 4
+    got = grid(out["stack"], "weighted_mean", (canvas.rows, canvas.cols))[canvas.row0 : canvas.row0 + 72, canvas.col0 : canvas.col0 + 72]
+    assert np.corrcoef(got[18:54, 18:54].ravel(), images[0][18:54, 18:54].ravel())[0, 1] > 0.99
+    m = meta[3].to_reference  # half a turn, less ten degrees, about the middle
+    assert (m.a, m.d) == pytest.approx((np.cos(np.radians(170)), np.sin(np.radians(170))), abs=1e-4) or (m.a, m.d) == pytest.approx((np.cos(np.radians(170)), -np.sin(np.radians(170))), abs=1e-4)
+
+
+def test_the_exact_mode_solves_a_turned_session(spark):
+    """Frames as they lie, each with its own width, give a sharper scene than the stack's mean; ignoring the turn doesn't."""
+    frames, images = turned_session(spark, TURNS[:3], size=48)
+    cfg = lambda: pipeline.Config(cosmic_sigma=None, max_stars=40, solve=True, psf_size=9, solver=solver.SolverConfig(scale=1, iterations=40, rate=1.0, mode="exact", batch=2, tv=1e-4))
+    out = pipeline.run(frames, cfg(), model=no_model(spark, 48))
+    got = grid(out["solution"], "flux", (48, 48))[12:36, 12:36]
+    sharp = images[0][12:36, 12:36]
+    assert np.isfinite(got).all() and np.corrcoef(got.ravel(), sharp.ravel())[0, 1] > 0.9
+
+
+def no_model(spark, size):
+    """An instrument that changes nothing."""
+    maps = {"bias_mean": np.zeros((size, size)), "dark_rate": np.zeros((size, size)), "flat_gain": np.ones((size, size))}
+    return framewise.model_table(spark, maps, size)
+
+
+def test_canvas_around_frames(spark):
+    rows = [(0, (1.0, 0.0, 0.0, 0.0, 1.0, 0.0)), (1, (1.0, 0.0, -2.5, 0.0, 1.0, 3.0)), (2, (0.0, -1.0, 9.0, 1.0, 0.0, 0.0))]
+    meta = spark.createDataFrame(rows, "frame_id long, to_reference struct<a: double, b: double, c: double, d: double, e: double, f: double>")
+    assert framewise.union_canvas(meta, 10, 12) == framewise.Canvas(13, 15, 0, 3)
+    assert framewise.union_canvas(meta.limit(0), 10, 12) == framewise.Canvas(10, 12)
+    m = dict(zip(framewise.AFFINE, rows[1][1]))
+    assert framewise.from_canvas(m, framewise.Canvas(13, 15, 0, 3)) == pytest.approx((1, 0, -0.5, 0, 1, -3))
+
+
 def test_one_pattern_only(spark):
     d = spark.createDataFrame([("RGGB",), ("GBRG",)], "bayer_pattern string")
     assert framewise.is_colour(d.limit(1)) in ("RGGB", "GBRG") and framewise.is_colour(d.limit(0)) is None

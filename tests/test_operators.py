@@ -204,6 +204,65 @@ def test_distributed_solver_agrees(spark):
     assert np.allclose(a.image, b.image)
 
 
+@pytest.mark.parametrize("jacobian", [solver.turned(23.0), solver.turned(-140.0, 1.07), solver.turned(0.0, 0.8), (1.0, 0.2, -0.1, 0.9)])
+def test_turned_forward_model_and_its_transpose(jacobian):
+    """<A x, y> is <x, A' y>, for the turn alone and for the whole model."""
+    g = np.random.default_rng(3)
+    x, y = g.random((24, 30)), g.random((12, 15))
+    turn = solver.Turn((24, 30), jacobian)
+    z = g.random((24, 30))
+    assert (turn(x) * z).sum() == pytest.approx((x * turn.transpose(z)).sum(), rel=1e-12)
+    f = solver.Forward((24, 30), 2, kernels.gaussian_psf(5, 2.0), 0.7, 0.3, -0.2, jacobian)
+    assert (f(x) * y).sum() == pytest.approx((x * f.transpose(y)).sum(), rel=1e-10)
+
+
+def test_turn_by_definition():
+    g = np.random.default_rng(5)
+    image = g.random((11, 11))
+    assert solver.Turn((11, 11), solver.turned(180.0))(image) == pytest.approx(image[::-1, ::-1])
+    assert solver.Turn((11, 11), solver.turned(90.0))(image) == pytest.approx(np.rot90(image))
+    assert solver.turned(5e-5, 1 + 5e-6) is None
+    assert solver.Forward((8, 8), 2, kernels.gaussian_psf(5, 2.0), jacobian=(1.0, 0.0, 0.0, 1.0)).turn is None
+
+
+def test_seen_from_inverts_the_registration(spark):
+    """A scene seen from a turned and moved frame, put back by the same map, is the scene."""
+    y, x = np.mgrid[:40, :40]
+    scene = np.exp(-((x - 23) ** 2 + (y - 17) ** 2) / 18.0)
+    c, s = np.cos(0.2), np.sin(0.2)
+    m = dict(zip("abcdef", (c, -s, 6.0, s, c, -3.0)))
+    r = spark.range(1).select(*solver.seen_from({k: F.lit(float(v)) for k, v in m.items()}, 40, 40)).first()
+    psf = np.zeros((3, 3))
+    psf[1, 1] = 1.0
+    seen = solver.Forward((40, 40), 1, psf, 1.0, r.dy, r.dx, r.turn)(scene)
+    sx, sy = c * x - s * y + 6, s * x + c * y - 3
+    want = np.exp(-((sx - 23) ** 2 + (sy - 17) ** 2) / 18.0)
+    assert seen[8:32, 8:32] == pytest.approx(want[8:32, 8:32], abs=0.03)
+
+
+def test_batches_take_each_frame_once(spark):
+    """An epoch's batches add up to the gradient of all frames, in another order each time."""
+    g = np.random.default_rng(2)
+    rows = [(k, g.uniform(1, 9, 16).tolist(), 0.5 + k / 20, 0.1 * k, -0.1, list(solver.turned(float(k)) or (1.0, 0.0, 0.0, 1.0)), 1.5 + k / 10) for k in range(11)]
+    df = spark.createDataFrame(rows, "frame_id long, data array<double>, transparency double, dy double, dx double, turn array<double>, fwhm double")
+    cfg, image = solver.SolverConfig(batch=3), g.uniform(2, 5, (8, 8))
+    batches = solver.Batches(df, cfg.batch, 7)
+    assert (batches.n, batches.n_frames) == (4, 11)
+    loss, grad, n = solver.gradient(df, image, None, cfg, 7)
+    parts = [solver.gradient(batches.at(k), image, None, cfg, 7) for k in range(4)]
+    assert sum(p[2] for p in parts) == n == 11
+    assert sum(p[0] for p in parts) == pytest.approx(loss, rel=1e-12) and sum(p[1] for p in parts) == pytest.approx(grad, rel=1e-10)
+    assert sorted(batches.order(0)) == sorted(batches.order(1)) == [0, 1, 2, 3]
+    assert len({tuple(batches.order(e)) for e in range(9)}) > 1 and batches.order(3) == solver.Batches(df, 3, 7).order(3)
+    tree = solver.gradient(df.repartition(11), image, None, cfg, 7, fan=2)
+    assert tree[0] == pytest.approx(loss) and tree[1] == pytest.approx(grad) and tree[2] == 11
+    own = 0.0
+    for r in rows:  # each frame with its own width, turn and shift
+        f = solver.Forward((8, 8), 2, kernels.gaussian_psf(7, r[6] * 2), r[2], r[3], r[4], r[5])
+        own += solver.poisson_nll(f(image), np.reshape(r[1], (4, 4)))[0]
+    assert loss == pytest.approx(own)
+
+
 def test_display(spark, px, cube):
     p = display.auto_params(px.where("frame_id = 0")).first()
     x = (np.median(cube[0]) - p.black) / (p.white - p.black)

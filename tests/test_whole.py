@@ -35,8 +35,7 @@ def test_map_fast_is_of_all_light_frames(spark, folder):
     a, b = np.zeros((8, 8)), np.zeros((8, 8))
     a[px.y, px.x], b[px.y, px.x] = px.weighted_sum, px.weighted_mean
     assert a == pytest.approx(sum(t * np.reshape(v, (8, 8)) for t, v in zip(f.transparency, f.data)), rel=1e-6)
-    cfg = solver.SolverConfig(iterations=40)
-    want = solver.solve_sum(a, b, whole, cfg)
+    want = solver.solve_sum(a, b, whole, queries.SOLVER)
     got = queries.QUERIES["map_fast"](spark, folder).toPandas()
     image = np.zeros((16, 16))
     image[got.y, got.x] = got.flux
