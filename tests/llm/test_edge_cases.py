@@ -209,3 +209,23 @@ def test_pipeline_stages_one_after_the_other(spark, tmp_path):
     assert ids(docs) == set(range(100))
     assert ids(stages["packing"](spark, docs, str(tmp_path))) == set(range(100))
     assert ids(corpus_pipeline.run(spark, str(tmp_path))) == set(range(100))
+
+
+def test_licenses_by_row(spark):
+    """Rows that share an id, or have none, each have their own spans; repeated rows have the same."""
+    a, b, c = "this work is cc by and all rights reserved here", "nothing to see in this row at all", "published as cc by today"
+    rows = [(1, a), (1, b), (1, a), (None, c), (None, b), (None, None), (2, b), (0, c)]
+    got = sorted(((r.doc_id, r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) for r in licenses.scan_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()), key=str)
+    of = {a: (10, 2, 3, 6, "cc-by,reserved"), b: (8, 0, None, None, ""), c: (5, 1, 2, 2, "cc-by"), None: (0, 0, None, None, "")}
+    assert got == sorted(((i, *of[t]) for i, t in rows), key=str)
+
+
+def test_whole_license_notices(spark):
+    """Each template is found in its own text, also where some words are missing or put in, and long notices among other words."""
+    rows = [(k, "before it " + t.text + " and after it") for k, t in enumerate(licenses.NOTICES)]
+    got = {r.doc_id: r for r in licenses.scan_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(t.label in got[k].labels.split(",") and got[k].score == 1.0 for k, t in enumerate(licenses.NOTICES))
+    long = next(t for t in licenses.NOTICES if len(t.text.split()) > 60).text.split()
+    cut = long[:20] + ["truly"] + long[20:40] + long[42:]
+    spans = licenses.find_spans(spark.createDataFrame([(1, " ".join(cut))], "doc_id long, text string"), [licenses.Template("whole", " ".join(long))]).collect()
+    assert [(s.first_word, s.last_word) for s in spans] == [(0, len(cut) - 1)] and 0.9 < spans[0].cover < 1
