@@ -104,14 +104,16 @@ def spans_of(hits: DataFrame, pairs: DataFrame, min_cover: float, max_shift: int
     df = hits.select(*ROW, F.explode("hits").alias("k")).select(*ROW, "k.*")
     votes = df.join(F.broadcast(pairs.withColumnsRenamed({"a": "t_a", "b": "t_b"})), "h").where((F.col("a") == F.col("t_a")) & (F.col("b") == F.col("t_b")))  # the fixed list
     key = [*ROW, "template", "label", "whole", "t_words"]
-    diagonals = votes.groupBy(*key, (F.col("pos") - F.col("t_pos")).alias("diagonal")).agg(F.count_distinct("t_pos").alias("n"), F.min("pos").alias("lo"), F.max("pos").alias("hi"))
-    enough = F.when(F.col("whole"), F.col("n") == F.col("t_words") - 1).otherwise(F.lit(True))
+    diagonals = votes.groupBy(*key, (F.col("pos") - F.col("t_pos")).alias("diagonal")).agg(F.collect_set("t_pos").alias("found"), F.min("pos").alias("lo"), F.max("pos").alias("hi"))  # at most the template's length
+    enough = F.when(F.col("whole"), F.size("found") == F.col("t_words") - 1).otherwise(F.lit(True))
     diagonals = diagonals.where(enough)
-    # a diagonal joins the span before it if it goes on near where that one stopped; whole templates stand for themselves
-    order = Window.partitionBy(*ROW, "template").orderBy("lo", "diagonal")
-    apart = F.col("whole") | F.lag("diagonal").over(order).isNull() | (F.abs(F.col("diagonal") - F.lag("diagonal").over(order)) > max_shift) | (F.col("lo") - F.lag("hi").over(order) > max_shift + 2)
+    # neighbouring diagonals, where words are put in or left out, make one span; whole templates stand for themselves.
+    # Two occurrences of a template lie on diagonals as far apart as they do.
+    order = Window.partitionBy(*ROW, "template").orderBy("diagonal")
+    apart = F.col("whole") | F.lag("diagonal").over(order).isNull() | (F.col("diagonal") - F.lag("diagonal").over(order) > max_shift)
     spans = diagonals.withColumn("new", apart.cast("int")).withColumn("span", F.sum("new").over(order))
-    spans = spans.groupBy(*key, "span").agg(F.sum("n").alias("n"), F.min("lo").alias("first_word"), (F.max("hi") + 1).alias("last_word"))
+    n = F.size(F.array_distinct(F.flatten(F.collect_list("found"))))
+    spans = spans.groupBy(*key, "span").agg(n.alias("n"), F.min("lo").alias("first_word"), (F.max("hi") + 1).alias("last_word"))
     cover = F.least(F.lit(1.0), F.col("n") / (F.col("t_words") - 1))
     return spans.withColumn("cover", cover).where(F.col("whole") | (F.col("cover") >= min_cover))
 
