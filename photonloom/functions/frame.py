@@ -127,49 +127,89 @@ def triangle_shapes(places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return corners[ok], side[ok, :2] / side[ok, 2:]
 
 
-def nearest_shapes(shapes: np.ndarray, ref: np.ndarray, tol: float) -> np.ndarray:
-    """For each of shapes the place of the nearest of ref within tol, or -1; of those equally near to 1e-9 the first.
+class ShapeIndex:
+    """Reference shapes, ready to be asked for the nearest one within tol.
 
-    Both are dealt into cells of tol; a cell's shapes meet those of ref in the
-    nine cells around it.
+    Shapes lie in strips of u, in order of v within a strip, for strips of
+    width tol, tol / 2 and so on. A question goes to the narrowest strips first:
+    if something is found within their width in the strip and the two beside
+    it, it is the nearest; else the strips of twice the width are asked.
     """
-    out = np.full(len(shapes), -1)
-    if not len(shapes) or not len(ref):
+
+    def __init__(self, ref: np.ndarray, tol: float, levels: int = 6):
+        self.ref, self.tol, self.levels = ref, tol, []
+        for k in reversed(range(levels)):
+            reach = tol / 2**k
+            width = reach * (1 + 1e-6) + 2e-8  # what ties to 1e-9 lies within the three strips too
+            key = np.floor(ref[:, 0] / width) * 4 + ref[:, 1]
+            order = np.argsort(key, kind="stable")
+            self.levels.append((reach, width, key[order], order))
+
+    def nearest(self, shapes: np.ndarray, block: int = 100_000) -> np.ndarray:
+        """For each of shapes the place of the nearest reference within tol, or -1; of those equally near to 1e-9 the first."""
+        out = np.full(len(shapes), -1)
+        for at in range(0, len(shapes), block):
+            part = shapes[at : at + block]
+            rows = np.arange(len(part))
+            for reach, width, keys, order in self.levels:
+                best, steps, d = self.within(part[rows], reach, width, keys, order)
+                done = d <= reach
+                out[at + rows[done]] = best[done]
+                rows = rows[~done]
+                if not len(rows):
+                    break
+        return out
+
+    def within(self, shapes: np.ndarray, reach: float, width: float, keys: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The best reference in the three strips around each shape, its distance in steps of 1e-9, and the distance itself."""
+        best, steps, far = np.full(len(shapes), -1), np.full(len(shapes), np.inf), np.full(len(shapes), np.inf)
+        strip = np.floor(shapes[:, 0] / width)
+        for side in (-1, 0, 1):
+            low = (strip + side) * 4 + shapes[:, 1]
+            lo, hi = np.searchsorted(keys, low - width), np.searchsorted(keys, low + width)
+            rows = np.argsort(lo - hi, kind="stable")  # the longest ranges first: those of more than k places are a slice
+            size = (hi - lo)[rows]
+            for k in range(int(size.max(initial=0))):
+                some = rows[: np.searchsorted(-size, -k)]
+                ref = order[lo[some] + k]
+                d = np.hypot(shapes[some, 0] - self.ref[ref, 0], shapes[some, 1] - self.ref[ref, 1])
+                n = np.rint(d * 1e9)
+                closer = (n < steps[some]) | (n == steps[some]) & (ref < best[some])
+                some = some[closer]
+                best[some], steps[some], far[some] = ref[closer], n[closer], d[closer]
+        return best, steps, far
+
+
+def nearest_shapes(shapes: np.ndarray, ref: np.ndarray, tol: float) -> np.ndarray:
+    """For each of shapes the place of the nearest of ref within tol, or -1; of those equally near to 1e-9 the first."""
+    return ShapeIndex(ref, tol).nearest(shapes) if len(shapes) and len(ref) else np.full(len(shapes), -1)
+
+
+class Reference:
+    """A reference frame's stars (y, x, in order of brightness), with the index of their triangles."""
+
+    def __init__(self, stars: np.ndarray, limit: int = 20, tol: float = 0.02):
+        self.stars, self.limit = stars[:limit, :2], limit
+        self.corners, shapes = triangle_shapes(self.stars)
+        self.index = ShapeIndex(shapes, tol)
+
+    def votes(self, stars: np.ndarray) -> np.ndarray:
+        """How many triangles say that a star (row) is one of the reference's (column)."""
+        corners, shapes = triangle_shapes(stars[: self.limit, :2])
+        match = self.index.nearest(shapes)
+        out = np.zeros((min(len(stars), self.limit), len(self.stars)), int)
+        ok = match >= 0
+        np.add.at(out, (corners[ok].ravel(), self.corners[match[ok]].ravel()), 1)
         return out
-    cell = lambda a: np.floor(a / tol).astype(np.int64)
-    span = int(1 / tol) + 4
-    key = lambda c: (c[:, 0] + 1) * span + c[:, 1] + 1
-    order = np.argsort(key(cell(ref)), kind="stable")
-    keys, sorted_ref = key(cell(ref))[order], ref[order]
-    own = key(cell(shapes))
-    mine = np.argsort(own, kind="stable")
-    cuts = np.flatnonzero(np.diff(own[mine], prepend=-1))
-    for lo, hi in zip(cuts, [*cuts[1:], len(mine)]):
-        k = own[mine[lo]]
-        near = np.concatenate([np.arange(*np.searchsorted(keys, [k + d * span - 1, k + d * span + 2])) for d in (-1, 0, 1)])
-        if not len(near):
-            continue
-        near = near[np.argsort(order[near])]
-        for at in np.array_split(mine[lo:hi], (hi - lo) // 4096 + 1):
-            d = np.hypot(shapes[at, None, 0] - sorted_ref[None, near, 0], shapes[at, None, 1] - sorted_ref[None, near, 1])
-            best = np.argmin(np.round(d, 9), axis=1)
-            hit = d[np.arange(len(at)), best] <= tol
-            out[at[hit]] = order[near[best[hit]]]
-    return out
 
 
-def registered(stars: np.ndarray, ref: np.ndarray, limit: int = 20, tol: float = 0.02) -> dict[str, float] | None:
+def registered(stars: np.ndarray, ref: Reference) -> dict[str, float] | None:
     """Shift, rotation and scale that take stars to those of the reference, from pairs that two triangles or more vote for; none without three pairs.
 
     The shift (tx, ty) is that of the matched stars' middle, so a frame that is
     but moved by it lies as well as it can.
     """
-    a, b = stars[:limit, :2], ref[:limit, :2]
-    (ca, sa), (cb, sb) = triangle_shapes(a), triangle_shapes(b)
-    match = nearest_shapes(sa, sb, tol)
-    votes = np.zeros((len(a), len(b)), int)
-    ok = match >= 0
-    np.add.at(votes, (ca[ok].ravel(), cb[match[ok]].ravel()), 1)
+    a, b, votes = stars[: ref.limit, :2], ref.stars, ref.votes(stars)
     i, j = np.nonzero(votes >= 2)
     if len(i) < 3:
         return None

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import frame
 from .neighbourhood import local_maxima
 
 
@@ -81,6 +84,32 @@ def star_votes(matches: DataFrame, min_votes: int = 2, min_pairs: int = 3) -> Da
     return v.join(n, "frame_id").drop("__n")
 
 
+def match_stars(stars: DataFrame, reference, limit: int = 50, tol: float = 0.02, min_votes: int = 2, min_pairs: int = 3) -> DataFrame:
+    """star_votes of all triangles of each frame's brightest stars against those of the frame `reference`: frame_id, star, ref, votes.
+
+    A frame's stars are one row of at most `limit` places; its triangles are
+    made, matched and counted there, so what travels is stars and pairs, not
+    triangles. The reference frame's stars are sent to the tasks.
+    """
+    tasks = max(int(stars.sparkSession.conf.get("spark.sql.shuffle.partitions")), 4 * stars.sparkSession.sparkContext.defaultParallelism)  # few bytes, much work
+    short = stars.where(F.col("star_rank") < limit).repartition(tasks, "frame_id").groupBy("frame_id").agg(F.array_sort(F.collect_list(F.struct(F.col("star_rank").cast("long").alias("r"), F.col("y").cast("double").alias("y"), F.col("x").cast("double").alias("x")))).alias("s"))
+    first = short.where(F.col("frame_id") == F.lit(reference)).select("s").first()
+    ref = stars.sparkSession.sparkContext.broadcast([tuple(s) for s in first.s] if first else [])  # limit stars
+
+    def run(batches):
+        places = lambda s: np.array([(y, x) for _, y, x in s], dtype=float).reshape(-1, 2)
+        known, ranks = frame.Reference(places(ref.value), limit, tol), np.array([r for r, *_ in ref.value], dtype=np.int64)
+        for batch in batches:
+            for key, own in zip(batch.column("frame_id"), batch.column("s").to_pylist()):
+                own = [(s["r"], s["y"], s["x"]) for s in own]
+                votes = known.votes(places(own))
+                i, j = np.nonzero(votes >= min_votes)
+                if len(i) >= min_pairs:
+                    yield pa.RecordBatch.from_arrays([pa.array([key.as_py()] * len(i), key.type), pa.array(np.array([r for r, *_ in own])[i]), pa.array(ranks[j]), pa.array(votes[i, j])], names=["frame_id", "star", "ref", "votes"])
+
+    return short.mapInArrow(run, f"frame_id {dict(stars.dtypes)['frame_id']}, star long, ref long, votes long")
+
+
 def aperture_flux(stars: DataFrame, px: DataFrame, radius: float, value: str = "adu") -> DataFrame:
     """flux of each star within radius, less the median of the ring from 1.5 to 2.5 radii; a star asks only for the pixels of its box."""
     reach = int(2.5 * radius) + 1

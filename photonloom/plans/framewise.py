@@ -212,11 +212,12 @@ def compared(seen: DataFrame, reference) -> DataFrame:
     def run(batches):
         import pandas as pd
 
+        known = kernel.Reference(ref)
         for pdf in batches:
             rows = []
             for r in pdf.itertuples(index=False):
                 own = np.array([(s["y"], s["x"], s["flux"]) for s in r.stars]).reshape(-1, 3)
-                found = kernel.registered(own, ref)
+                found = kernel.registered(own, known)
                 m = found or {"tx": 0.0, "ty": 0.0, "rotation": 0.0, "scale": None}
                 affine = dict(zip(AFFINE, (m["turn"].real, -m["turn"].imag, m["shift"].real, m["turn"].imag, m["turn"].real, m["shift"].imag))) if found else None
                 rows.append((r.frame_id, r.sky, len(own), kernel.clear_sky(own[:, 2], ref[:, 2]), r.fwhm, m["tx"], m["ty"], m["rotation"], m["scale"], affine))

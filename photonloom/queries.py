@@ -648,8 +648,7 @@ def triangle_descriptors(spark, sf_dir):
 m AS (SELECT t.frame_id, t.i, t.j, t.k, min({{'d': round(sqrt((t.u - f.u) ** 2 + (t.v - f.v) ** 2), 9), 'i': f.i, 'j': f.j, 'k': f.k}}) AS n FROM tri t JOIN ref f ON f.cu = floor(t.u / 0.02)::INT AND f.cv = floor(t.v / 0.02)::INT WHERE sqrt((t.u - f.u) ** 2 + (t.v - f.v) ** 2) <= 0.02 GROUP BY ALL),
 p AS (SELECT frame_id, i AS star, n.i AS r FROM m UNION ALL SELECT frame_id, j, n.j FROM m UNION ALL SELECT frame_id, k, n.k FROM m), c AS (SELECT frame_id, star, r, count(*) AS votes FROM p GROUP BY ALL HAVING count(*) >= 2) SELECT frame_id, star, r AS ref, votes FROM c WHERE frame_id IN (SELECT frame_id FROM c GROUP BY frame_id HAVING count(*) >= 3)""", "star")
 def triangle_match_votes(spark, sf_dir):
-    t = stars.triangles(adapters.star_catalogue(spark, sf_dir))
-    return stars.star_votes(stars.match_triangles(t, t.where("frame_id = 0")))
+    return stars.match_stars(adapters.star_catalogue(spark, sf_dir), 0)
 
 
 @query(", r AS (SELECT star_rank, flux AS ref FROM star WHERE frame_id = 0) SELECT frame_id, round(CASE WHEN count(q) >= 2 THEN least(greatest(median(q), 0.01), 1.5) ELSE 1 END, 6) AS transparency, count(q) AS pairs FROM (SELECT frame_id, CASE WHEN flux > 0 AND ref > 0 THEN flux / ref END AS q FROM star LEFT JOIN r USING (star_rank)) GROUP BY frame_id", "star")
