@@ -4,8 +4,9 @@ For each language, labelled text is compiled into a suffix automaton of its
 bytes. A text is parsed into the longest phrases that occur in the language's
 text, across words; every phrase costs the bits of a pointer into that text,
 log2 of its length; the language with the fewest bits a byte wins. Texts are
-cut into blocks of 2,048 bytes, which are parsed side by side: one array step
-takes a byte of every block through the automata of all languages.
+parsed side by side: one array step takes a byte of each of them through the
+automata of all languages. A text goes through in blocks, and where one ends
+the automata stand still until the next, so phrases run on across blocks.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import types as T
 
 from .common import append_columns
 
-#: Bytes of a text that are parsed as one.
+#: Bytes of each text that are held at a time.
 BLOCK = 2048
 #: Runs of word characters but digits and '_'.
 WORD = re.compile(r"[^\W\d_]+")
@@ -114,46 +115,62 @@ class LanguageModel:
         steps = np.concatenate(parts) if parts else np.zeros(0, np.int64)
         return LanguageModel(languages, symbol, width, np.array(starts, dtype=np.int64), steps.astype(np.int32 if at * width < 1 << 30 else np.int64), [math.log2(len(texts[x]) + 1) for x in languages])
 
-    def phrases(self, blocks: list[bytes]) -> np.ndarray:
-        """The number of longest-match phrases of each block that isn't empty, by language (rows) and block (columns)."""
-        order = sorted(range(len(blocks)), key=lambda k: -len(blocks[k]))
+    def begin(self, n: int) -> np.ndarray:
+        """The states of all languages (rows) before any byte of n texts (columns)."""
+        return np.repeat(self.starts[:, None], n, axis=1).astype(self.steps.dtype)
+
+    def advance(self, blocks: list[bytes], state: np.ndarray) -> np.ndarray:
+        """Takes state through one block of each text and returns how many phrases end on the way, by language and block."""
+        order = np.array(sorted(range(len(blocks)), key=lambda k: -len(blocks[k])), dtype=np.int64)
         size = np.array([len(blocks[k]) for k in order])
-        data = np.zeros((len(blocks), int(size.max())), dtype=np.uint8)
+        data = np.zeros((len(blocks), int(size.max(initial=0))), dtype=np.uint8)
         for row, k in zip(data, order):
             row[: len(blocks[k])] = np.frombuffer(blocks[k], dtype=np.uint8)
         columns = self.symbol.astype(self.steps.dtype)[data.T]
-        state = np.repeat(self.starts[:, None], len(blocks), axis=1).astype(self.steps.dtype)
-        count = np.ones(state.shape, dtype=np.int32)
+        now = state[:, order]
+        count = np.zeros(now.shape, dtype=np.int32)
         live = np.searchsorted(-size, -np.arange(len(columns)), side="left")  # the blocks that are longer than so many bytes
         for j, n in enumerate(live.tolist()):
-            step = self.steps[state[:, :n] + columns[j, :n]]
+            step = self.steps[now[:, :n] + columns[j, :n]]
             count[:, :n] += step & 1
-            state[:, :n] = step >> 1
+            now[:, :n] = step >> 1
+        state[:, order] = now
         out = np.empty_like(count)
         out[:, order] = count
         return out
 
+    def phrases(self, texts: list[bytes]) -> np.ndarray:
+        """The number of longest-match phrases of each text, by language (rows) and text (columns); none for an empty one."""
+        size = np.array([len(t) for t in texts], dtype=np.int64)
+        total = np.repeat((size > 0)[None].astype(np.int64), len(self.languages), axis=0)  # the phrase that the text ends in
+        lanes = np.flatnonzero(size)
+        state = self.begin(len(lanes))
+        for at in range(0, int(size.max(initial=0)), BLOCK):
+            on = size[lanes] > at
+            lanes, state = lanes[on], state[:, on]
+            total[:, lanes] += self.advance([texts[k][at : at + BLOCK] for k in lanes], state)
+        return total
+
 
 def fit(docs: DataFrame, learn, docs_per_language: int = 64, bytes_per_language: int = 24_000, bytes_in_all: int = 480_000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
     """A model from rows with text and language for which learn(id column) holds.
 
-    Every language is learned, from whole texts alone: of its rows of up to
-    bytes_per_language bytes (an equal share of bytes_in_all, where that is
-    less) the docs_per_language ones with the least hash of the id are taken
-    one by one while they fit into that number together. A language without so
-    short a row has its shortest one. This bounds sample and automata.
+    Every language is learned from a bounded sample: the docs_per_language rows
+    with the least hash of id and text, of any length. Of each a passage is
+    taken, at a place that its hash says; passages are as long as fills
+    bytes_per_language (an equal share of bytes_in_all, where that is less)
+    twice over, and are put together until it is full.
     """
     rows = docs.select(F.col(id_col).alias("i"), F.col(lang_col).alias("l"), F.col(text_col).alias("t")).where("i IS NOT NULL AND l IS NOT NULL AND t IS NOT NULL").where(learn(F.col("i")))
-    rows = rows.where(F.regexp_like("t", F.lit(r"\p{L}")))
+    rows = rows.where(F.regexp_like("t", F.lit(r"\p{L}"))).select("l", "t", F.xxhash64("i", "t").alias("h"))
     langs = sorted(r.l for r in rows.select("l").distinct().collect())  # languages are few
     room = min(bytes_per_language, bytes_in_all // max(len(langs), 1))
-    long = F.octet_length("t") > room
-    each = Window.partitionBy("l").orderBy("long", "rank", "h", "i")
-    keyed = rows.select("i", "l", long.alias("long"), F.when(long, F.octet_length("t")).otherwise(0).alias("rank"), F.xxhash64("i").alias("h"))
-    chosen = keyed.withColumn("r", F.row_number().over(each)).where(F.col("r") <= docs_per_language).where("NOT long OR r = 1").select("i", "l", "r")
-    texts = rows.join(F.broadcast(chosen), ["i", "l"]).select("l", "r", "t").orderBy("l", "r", "t").collect()  # docs_per_language rows of bounded length a language
+    passage = max(2 * room // docs_per_language, 1)
+    keyed = rows.select("l", "h").withColumn("r", F.row_number().over(Window.partitionBy("l").orderBy("h"))).where(F.col("r") <= docs_per_language).select("l", "h").distinct()
+    begin = F.pmod(F.xxhash64("h"), F.greatest(F.length("t") - passage + 1, F.lit(1))).cast("int") + 1
+    chosen = rows.join(F.broadcast(keyed), ["l", "h"]).select("l", "h", F.substring(F.col("t"), begin, F.lit(passage)).alias("t")).distinct()  # docs_per_language short rows a language
     learned: dict[str, bytes] = dict.fromkeys(langs, b"")
-    for r in texts:
+    for r in chosen.orderBy("l", "h", "t").collect():
         own = normalised(r.t)
         if not learned[r.l] or len(learned[r.l]) + len(own) <= room:
             learned[r.l] += own
@@ -161,9 +178,9 @@ def fit(docs: DataFrame, learn, docs_per_language: int = 64, bytes_per_language:
 
 
 class Identifier:
-    """Languages of texts, from all their blocks."""
+    """Languages of texts; so many are parsed side by side."""
 
-    def __init__(self, model: LanguageModel, at_once: int = 512):
+    def __init__(self, model: LanguageModel, at_once: int = 4096):
         self.model, self.at_once = model, at_once
 
     def __call__(self, texts: list[str | None]) -> list[tuple[str, float, list[float]]]:
@@ -172,33 +189,19 @@ class Identifier:
         out: list[tuple[str, float, list[float]]] = [("und", 0.0, [])] * len(texts)
         if not m.languages:
             return out
-        size = np.zeros(len(texts), dtype=np.int64)
-        total = np.zeros((len(m.languages), len(texts)))
-        owners: list[int] = []
-        blocks: list[bytes] = []
-
-        def settle():
-            counts = m.phrases(blocks)
-            for k in range(len(m.languages)):
-                total[k] += np.bincount(owners, weights=counts[k], minlength=len(texts))
-            owners.clear(), blocks.clear()
-
-        for k, t in enumerate(texts):
-            data = normalised(t)
-            size[k] = len(data)
-            for lo in range(0, len(data), BLOCK):
-                owners.append(k)
-                blocks.append(data[lo : lo + BLOCK])
-                if len(blocks) >= self.at_once:
-                    settle()
-        if blocks:
-            settle()
-        for k in np.flatnonzero(size):
-            rate = [float(n) * b / float(size[k]) for n, b in zip(total[:, k], m.bits)]
-            best = min(rate)
-            odds = [2.0 ** -min(8 * (r - best), 1000) for r in rate]
-            j = rate.index(best)
-            out[k] = (m.languages[j], odds[j] / sum(odds), rate)
+        order = sorted(range(len(texts)), key=lambda k: -len(texts[k] or ""))  # texts of like lengths end together
+        for lo in range(0, len(texts), self.at_once):
+            some = order[lo : lo + self.at_once]
+            data = [normalised(texts[k]) for k in some]
+            counts = m.phrases(data)
+            for k, d in enumerate(data):
+                if not d:
+                    continue
+                rate = [float(n) * b / len(d) for n, b in zip(counts[:, k], m.bits)]
+                best = min(rate)
+                odds = [2.0 ** -min(8 * (r - best), 1000) for r in rate]
+                j = rate.index(best)
+                out[some[k]] = (m.languages[j], odds[j] / sum(odds), rate)
         return out
 
 

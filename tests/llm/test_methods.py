@@ -182,6 +182,44 @@ def test_phrases_are_longest_matches():
             assert got[k, j] == n
 
 
+def test_phrases_run_on_across_blocks(monkeypatch):
+    """A text's phrases are the same in blocks of any size, so its rate doesn't depend on its length."""
+    g = random.Random(10)
+    texts = {"a": bytes(g.choice(b"abc ") for _ in range(500)), "b": b"ab ca bb "}
+    model = langid.LanguageModel.of(texts)
+    mine = [bytes(g.choice(b"abcx ") for _ in range(n)) for n in (0, 1, 7, 8, 9, 300, 64, 65)] + [texts["a"] * 3, texts["b"] * 100, b""]
+    want = model.phrases(mine)
+    assert want[:, 0].tolist() == want[:, -1].tolist() == [0, 0]
+    for size in (1, 3, 8, 64):
+        monkeypatch.setattr(langid, "BLOCK", size)
+        assert (model.phrases(mine) == want).all()
+
+
+def test_the_winner_by_definition():
+    """Language, confidence and bits a byte of whole texts from phrases counted one by one, long texts too."""
+    g = random.Random(12)
+    words = {"x": ["alpha", "beta", "gamma", "delta"], "y": ["eins", "zwei", "drei", "alpha"], "z": ["un", "deux", "trois", "beta"]}
+    learned = {k: langid.normalised(" ".join(g.choice(v) for _ in range(200))) for k, v in words.items()}
+    model = langid.LanguageModel.of(learned)
+    texts = [" ".join(g.choice(words[k]) for _ in range(n)) for k in words for n in (1, 5, 40, 900)] + ["alpha beta eins un", None, "..."]
+    for text, (lang, score, rate) in zip(texts, langid.Identifier(model, at_once=4)(texts)):
+        d = langid.normalised(text)
+        if not d:
+            assert (lang, score, rate) == ("und", 0.0, [])
+            continue
+        want = []
+        for k in sorted(learned):
+            i = n = 0
+            while i < len(d):
+                end = i + 1
+                while end <= len(d) and d[i:end] in learned[k]:
+                    end += 1
+                i, n = max(end - 1, i + 1), n + 1
+            want.append(n * math.log2(len(learned[k]) + 1) / len(d))
+        odds = [2.0 ** -min(8 * (r - min(want)), 1000) for r in want]
+        assert rate == pytest.approx(want) and lang == sorted(learned)[want.index(min(want))] and score == pytest.approx(max(odds) / sum(odds))
+
+
 def test_letterless_texts_have_no_language():
     model = langid.LanguageModel.of({"en": b" the cat sat ", "de": b" die katze "})
     identify = langid.Identifier(model, at_once=3)
@@ -191,11 +229,23 @@ def test_letterless_texts_have_no_language():
     assert langid.Identifier(langid.LanguageModel.of({}))(["x"]) == [("und", 0.0, [])]
 
 
-def test_every_language_is_learned_from_whole_texts(spark):
+def test_every_language_is_learned(spark):
     g = random.Random(2)
     rows = [(k, f"l{k % 70}", "".join(g.choice("abcdefg ") for _ in range(50)) + f" w{chr(97 + k % 26)} end") for k in range(280)] + [(1000, "long", "y" * 50_000 + " end")]
+    rows.append((1001, "late", " " + "1" * 60_000 + " z" * 30_000))  # letters far behind the beginning
     model = langid.fit(spark.createDataFrame(rows, "doc_id long, lang string, text string"), lambda i: i >= 0)
-    assert model.languages == sorted({r[1] for r in rows})
+    assert set(model.languages) >= {r[1] for r in rows} - {"late"}
+
+
+def test_rows_of_any_length_teach(spark):
+    """Rows are chosen by hash alone, and a passage of each comes from anywhere in it."""
+    g = random.Random(3)
+    short, long = ["ab"] * 40, ["qz"] * 40
+    rows = [(k, "l", " ".join([w] * (400 if w == "qz" else 3)) + " " + "".join(g.choice("xy") for _ in range(8))) for k, w in enumerate(short + long)]
+    df = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    model = langid.fit(df, lambda i: i >= 0, docs_per_language=40, bytes_per_language=2000)
+    rate = [r[2][0] for r in langid.Identifier(model)(["qz qz qz qz", "ab ab ab ab", "vv vv vv vv"])]
+    assert max(rate[:2]) < rate[2] / 2
 
 
 def test_maximal_segments_are_the_recursive_ones():
