@@ -6,7 +6,7 @@ from itertools import combinations
 
 import numpy as np
 
-from .kernels import fit_moffat, similarity_fit
+from .kernels import fit_moffat, fourier_shift, similarity_fit
 
 #: Robust deviation from the median of absolute differences (fixed value).
 MAD = 1.4826
@@ -48,6 +48,73 @@ def clipped_median(v: np.ndarray, sigma: float = 3.0, rounds: int = 3) -> float:
     return float(np.median(v[(v > lo) & (v < hi)]))
 
 
+def tile_bounds(n: int, size: int, box: int) -> list[tuple[int, int]]:
+    """n overlapping spans of about box along an axis, their middles spread evenly from edge to edge."""
+    middles = [k * (size - 1) / (n - 1) for k in range(n)]
+    return [(max(0, round(m - box / 2)), min(size, round(m + box / 2))) for m in middles]
+
+
+def tile_median(v: np.ndarray, sigma: float = 3.0, rounds: int = 3) -> float:
+    """The median of what rounds of clipping leave; what lies just at the bound stays, and fewer than four values, or ones without spread, are clipped no more."""
+    kept = v
+    for _ in range(rounds):
+        if kept.size < 4:
+            break
+        m = np.median(kept)
+        s = MAD * np.median(np.abs(kept - m))
+        if s < 1e-6:
+            break
+        kept = kept[(kept >= m - sigma * s) & (kept <= m + sigma * s)]
+    return float(np.median(kept))
+
+
+def sky_mesh(image: np.ndarray, box: int = 128) -> np.ndarray:
+    """The sky in overlapping tiles: two along each axis, or as many as boxes fit in."""
+    rows, cols = (tile_bounds(max(2, n // box), n, box) for n in image.shape)
+    whole: dict[tuple, float] = {}  # on a small frame all tiles are the frame
+    for a, b in rows:
+        for c, d in cols:
+            if (a, b, c, d) not in whole:
+                whole[a, b, c, d] = tile_median(image[a:b, c:d].ravel())
+    return np.array([[whole[a, b, c, d] for c, d in cols] for a, b in rows])
+
+
+def aligned_psf(net: np.ndarray, stars: np.ndarray, size: int, min_stars: int = 5, farthest: float = 4.0) -> np.ndarray | None:
+    """The median of the stars' stamps, each of sum 1 and moved by a fraction of pixels so that its centre of gravity is the stamp's middle; not below 0, of sum 1.
+
+    None from fewer than min_stars stamps; stars whose stamp leaves the frame,
+    has no light, or has its centre farther off, aren't used.
+    """
+    half = size // 2
+    size = 2 * half + 1
+    y, x = np.mgrid[:size, :size]
+    stamps = []
+    for b, a in np.rint(stars[:, :2]).astype(int):
+        if half <= b < net.shape[0] - half and half <= a < net.shape[1] - half:
+            stamp = net[b - half : b + half + 1, a - half : a + half + 1]
+            light = np.maximum(stamp, 0.0)
+            if stamp.sum() <= 0 or light.sum() <= 0:
+                continue
+            dy, dx = half - (light * y).sum() / light.sum(), half - (light * x).sum() / light.sum()
+            if max(abs(dy), abs(dx)) <= farthest:
+                stamps.append(fourier_shift(stamp / stamp.sum(), dy, dx))
+    if len(stamps) < min_stars:
+        return None
+    psf = np.maximum(np.median(stamps, axis=0), 0.0)
+    return psf / psf.sum() if psf.sum() > 0 else None
+
+
+def finer_psf(psf: np.ndarray, scale: int) -> np.ndarray:
+    """A kernel on a grid `scale` times as fine, by its cubic spline; not below 0, of sum 1."""
+    if scale == 1:
+        return psf
+    n = psf.shape[0]
+    size = (n - 1) * scale + 1
+    step = 1 / scale
+    fine = np.maximum(np.nan_to_num(resampled_cubic(psf, (step, 0.0, 0.0, 0.0, step, 0.0), size, size)), 0.0)
+    return fine / fine.sum()
+
+
 def noise(net: np.ndarray) -> float:
     """The deviation of the pixels below the 60th percentile; at least 1, and 1 with 100 pixels or fewer."""
     low = net[net < np.quantile(net, 0.6)]

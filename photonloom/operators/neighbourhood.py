@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import frame
 from ..plans.staging import cut
+from . import images
 from .calibration import MAD
 
 ROW = ("frame_id", "channel", "y")
@@ -182,10 +185,24 @@ def sigma_clipped(px: DataFrame, by: Sequence[str], value: str = "adu", sigma: f
 
 
 def sky_mesh(px: DataFrame, height: int, width: int, box: int = 128, value: str = "adu") -> DataFrame:
-    """The clipped median of overlapping tiles: frame_id, channel, tr, tc, sky; the tiles' centres are spread evenly from edge to edge."""
-    n_r, n_c = max(2, height // box), max(2, width // box)
-    bounds = lambda n, size: [(max(0, round(k * (size - 1) / (n - 1) - box / 2)), min(size, round(k * (size - 1) / (n - 1) + box / 2))) for k in range(n)]
-    tiles = [(r, c, a, b, d, e) for r, (a, b) in enumerate(bounds(n_r, height)) for c, (d, e) in enumerate(bounds(n_c, width))]
-    t = F.broadcast(px.sparkSession.createDataFrame(tiles, "tr int, tc int, y0 int, y1 int, x0 int, x1 int"))  # a tile for each box of the frame
-    d = px.join(t, (F.col("y") >= F.col("y0")) & (F.col("y") < F.col("y1")) & (F.col("x") >= F.col("x0")) & (F.col("x") < F.col("x1")))
+    """The clipped median of overlapping tiles: frame_id, channel, tr, tc, sky; the tiles' centres are spread evenly from edge to edge.
+
+    A pixel works out from its place which tiles it is in, so there is no join.
+    """
+
+    def tiles(at: str, size: int):
+        spans = frame.tile_bounds(max(2, size // box), size, box)
+        return F.explode(F.array_compact(F.array(*[F.when((F.col(at) >= a) & (F.col(at) < b), F.lit(k)) for k, (a, b) in enumerate(spans)])))
+
+    d = px.select("frame_id", "channel", "x", value, tiles("y", height).alias("tr")).select("frame_id", "channel", "tr", value, tiles("x", width).alias("tc"))
     return sigma_clipped(d, ["frame_id", "channel", "tr", "tc"], value).select("frame_id", "channel", "tr", "tc", F.col("median").alias("sky"))
+
+
+def sky_meshes(frames: DataFrame, box: int = 128) -> DataFrame:
+    """The sky in overlapping tiles of frames(frame_id, h, w, data), as the run takes it: frame_id, tr, tc, sky. One pass, each frame in its own row."""
+
+    def work(image, row):
+        mesh = frame.sky_mesh(image, box)
+        return [(row["frame_id"], r, c, float(v)) for (r, c), v in np.ndenumerate(mesh)]
+
+    return images.measure_images(frames, f"frame_id {dict(frames.dtypes)['frame_id']}, tr int, tc int, sky double", work)

@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.frame import finer_psf
 from ..functions.kernels import gaussian_psf, pool, psf_spectrum, resample, unpool
 from ..plans.staging import shared_folder
 
@@ -313,21 +314,25 @@ class Batches:
 
 
 def gradient(frames: DataFrame, image: np.ndarray, psf: np.ndarray | None, cfg: SolverConfig, psf_size: int = 25, fan: int = 16) -> tuple[float, np.ndarray, int]:
-    """Loss, gradient and number of frames(data, transparency, dy, dx, and turn and fwhm where they have them) at an image.
+    """Loss, gradient and number of frames(data, transparency, dy, dx, and turn, psf and fwhm where they have them) at an image.
 
     Tasks add up their frames and hand on one array each; where there are more
     than `fan` of them, a round of tasks adds those up before the driver does.
-    A frame with a fwhm has a PSF of its own, others share the one given.
+    A frame is blurred by its psf, or else by a Gaussian of its fwhm; others
+    share the PSF given.
     """
     sent = frames.sparkSession.sparkContext.broadcast(image)  # one image
-    columns = ["data", "transparency", "dy", "dx", *[c for c in ("turn", "fwhm") if c in frames.columns]]
+    columns = ["data", "transparency", "dy", "dx", *[c for c in ("turn", "fwhm", "psf") if c in frames.columns]]
 
     def work(batches):
         loss, n, grad = 0.0, 0, np.zeros(image.shape)
         for batch in batches:
             rest = batch.select(columns[1:]).to_pylist()
             for k, r in enumerate(rest):
-                own = gaussian_psf(psf_size, r["fwhm"] * cfg.scale) if r.get("fwhm") is not None else psf
+                if r.get("psf") is not None:
+                    own = finer_psf(np.reshape(r["psf"], (math.isqrt(len(r["psf"])), -1)), cfg.scale)
+                else:
+                    own = gaussian_psf(psf_size, r["fwhm"] * cfg.scale) if r.get("fwhm") is not None else psf
                 f = Forward(image.shape, cfg.scale, own, r["transparency"], r["dy"], r["dx"], r.get("turn"))
                 seen = batch.column("data")[k].values.to_numpy(zero_copy_only=False).astype(np.float64)
                 v, g = poisson_nll(f(sent.value), seen.reshape(image.shape[0] // cfg.scale, -1))
@@ -358,7 +363,7 @@ def gradient(frames: DataFrame, image: np.ndarray, psf: np.ndarray | None, cfg:
 
 
 def solve_distributed(frames: DataFrame, weighted_mean: np.ndarray, psf: np.ndarray | None, cfg: SolverConfig, psf_size: int = 25) -> Solution:
-    """From frames(frame_id, data, transparency, dy, dx, turn, fwhm; the last two where known) spread over the executors: a step's batch of frames stands for all.
+    """From frames(frame_id, data, transparency, dy, dx, turn, psf, fwhm; the last three where known) spread over the executors: a step's batch of frames stands for all.
 
     The image goes out, loss and gradient come back as sums over tasks: what
     travels is the size of one image, whatever the number of frames.

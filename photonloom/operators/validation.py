@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.kernels import radial_power
+from . import images
+
 
 def agreement(pairs: DataFrame, a: str, b: str, by: Sequence[str] = ()) -> DataFrame:
     """rmse, psnr (infinite without error, 0 without range) and pearson (0 without spread) of two columns; b is the truth."""
@@ -65,6 +68,15 @@ def radial_profile(px: DataFrame, cy: float, cx: float, bins: int, radius: float
     return px.withColumn("ring", b).where(F.col("ring").between(1, bins)).groupBy("ring").agg(F.avg(value).alias("mean"), F.count("*").alias("n"))
 
 
+def ring_power(frames: DataFrame, bins: int) -> DataFrame:
+    """The mean power of each of frames(frame_id, h, w, data) in rings of spatial frequency from 0 to half a cycle a pixel: frame_id, ring, frequency (its middle), power."""
+
+    def work(image, row):
+        return [(row["frame_id"], k, (k + 0.5) / (2 * bins), float(p)) for k, p in enumerate(radial_power(image, bins))]
+
+    return images.measure_images(frames, f"frame_id {dict(frames.dtypes)['frame_id']}, ring int, frequency double, power double", work)
+
+
 #: A session passes if its measures lie on the right side of these (fixed values).
 LIMITS = {"bias_mae_pct": ("<", 2.0), "rn_mae_pct": ("<", 5.0), "dark_mae_pct": ("<", 10.0), "flat_mae_pct": ("<", 3.0), "fwhm_error_px": ("<", 0.5), "transparency_error": ("<", 0.05), "shift_error_px": ("<", 0.5), "fast_pearson": (">", 0.90), "map_pearson": (">", 0.90), "psd_ratio": (">", 1.1)}
 

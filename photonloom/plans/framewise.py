@@ -14,10 +14,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import frame as kernel
+from ..functions.kernels import sky_surface
 from ..operators import geometry
 from ..operators.calibration import BAYER
 
@@ -167,14 +168,17 @@ def planes(image: np.ndarray, pattern: str | None) -> dict[str, np.ndarray]:
 
 
 def characterised(lights: DataFrame, maps: dict[str, np.ndarray], cfg, pattern: str | None = None) -> DataFrame:
-    """One pass over the raw lights: frame_id, h, w, data (calibrated, hot and cosmic-ray pixels replaced), sky, fwhm and stars (y, x, flux), brightest first.
+    """One pass over the raw lights: frame_id, h, w, data (calibrated, hot and cosmic-ray pixels replaced, its sky level), sky, fwhm, stars (y, x, flux), brightest first, and psf where there are stars enough.
 
-    On a colour sensor sky and stars are those of the mean of the four planes.
+    The sky is a surface through the clipped medians of tiles of cfg.sky_box; what
+    it differs from its median by is taken off, and its median stays as sky. On a
+    colour sensor sky and stars are those of the mean of the four planes, and
+    each plane's sky goes in the ratio of its median to theirs.
     """
     h, w = lights.select("h", "w").first() or (1, 1)
     shared = _broadcast(lights.sparkSession, maps, h, w)
     kind = dict(lights.dtypes)["frame_id"]
-    names = ["frame_id", "h", "w", "data", "sky", "fwhm", "stars"]
+    names = ["frame_id", "h", "w", "data", "sky", "fwhm", "stars", "psf"]
 
     def run(batches):
         for image, row in images(batches, "frame_id", "exposure_s"):
@@ -187,12 +191,18 @@ def characterised(lights: DataFrame, maps: dict[str, np.ndarray], cfg, pattern:
             lum = np.mean(list(planes(cal, pattern).values()), axis=0)
             if saturated is not None and pattern:
                 saturated = np.any(list(planes(saturated, pattern).values()), axis=0)
-            sky = kernel.clipped_median(lum)
+            surface = sky_surface(kernel.sky_mesh(lum, cfg.sky_box), *lum.shape)
+            sky = float(np.median(surface))
+            middle = np.median(lum)
+            for part in planes(cal, pattern).values():
+                part -= (surface - sky) * (np.median(part) / middle if pattern and middle else 1.0)
+            lum = lum - (surface - sky)
             stars = kernel.find_stars(lum - sky, cfg.snr, cfg.min_sep, cfg.max_stars, cfg.aperture, saturated=saturated)
             listed = [{"y": y, "x": x, "flux": f} for y, x, f in stars.tolist()]
-            yield pa.RecordBatch.from_arrays([pa.array([row["frame_id"]]), pa.array([h], pa.int32()), pa.array([w], pa.int32()), pa.array([cal.ravel()], pa.list_(pa.float64())), pa.array([sky]), pa.array([kernel.width(lum - sky, stars)], pa.float64()), pa.array([listed], pa.list_(pa.struct([("y", pa.float64()), ("x", pa.float64()), ("flux", pa.float64())])))], names=names)
+            psf = kernel.aligned_psf(lum - sky, stars, cfg.psf_size)
+            yield pa.RecordBatch.from_arrays([pa.array([row["frame_id"]]), pa.array([h], pa.int32()), pa.array([w], pa.int32()), pa.array([cal.ravel()], pa.list_(pa.float64())), pa.array([sky]), pa.array([kernel.width(lum - sky, stars)], pa.float64()), pa.array([listed], pa.list_(pa.struct([("y", pa.float64()), ("x", pa.float64()), ("flux", pa.float64())]))), pa.array([None if psf is None else psf.ravel()], pa.list_(pa.float64()))], names=names)
 
-    return lights.select("frame_id", "exposure_s", "h", "w", "data").mapInArrow(run, f"frame_id {kind}, h int, w int, data array<double>, sky double, fwhm double, stars array<struct<y: double, x: double, flux: double>>")
+    return lights.select("frame_id", "exposure_s", "h", "w", "data").mapInArrow(run, f"frame_id {kind}, h int, w int, data array<double>, sky double, fwhm double, stars array<struct<y: double, x: double, flux: double>>, psf array<double>")
 
 
 AFFINE = ("a", "b", "c", "d", "e", "f")
@@ -220,11 +230,11 @@ def compared(seen: DataFrame, reference) -> DataFrame:
                 found = kernel.registered(own, known)
                 m = found or {"tx": 0.0, "ty": 0.0, "rotation": 0.0, "scale": None}
                 affine = dict(zip(AFFINE, (m["turn"].real, -m["turn"].imag, m["shift"].real, m["turn"].imag, m["turn"].real, m["shift"].imag))) if found else None
-                rows.append((r.frame_id, r.sky, len(own), kernel.clear_sky(own[:, 2], ref[:, 2]), r.fwhm, m["tx"], m["ty"], m["rotation"], m["scale"], affine))
-            yield pd.DataFrame(rows, columns=["frame_id", "sky", "n_stars", "transparency", "fwhm", "dx", "dy", "rotation", "scale_ratio", "to_reference"])
+                rows.append((r.frame_id, r.sky, len(own), kernel.clear_sky(own[:, 2], ref[:, 2]), r.fwhm, m["tx"], m["ty"], m["rotation"], m["scale"], affine, r.has_psf))
+            yield pd.DataFrame(rows, columns=["frame_id", "sky", "n_stars", "transparency", "fwhm", "dx", "dy", "rotation", "scale_ratio", "to_reference", "has_psf"])
 
     affine = "struct<" + ", ".join(f"{c}: double" for c in AFFINE) + ">"
-    return seen.select("frame_id", "sky", "fwhm", "stars").mapInPandas(run, f"frame_id {kind}, sky double, n_stars long, transparency double, fwhm double, dx double, dy double, rotation double, scale_ratio double, to_reference {affine}")
+    return seen.select("frame_id", "sky", "fwhm", "stars", F.col("psf").isNotNull().alias("has_psf")).mapInPandas(run, f"frame_id {kind}, sky double, n_stars long, transparency double, fwhm double, dx double, dy double, rotation double, scale_ratio double, to_reference {affine}, has_psf boolean")
 
 
 @dataclass(frozen=True)
@@ -266,6 +276,14 @@ def registered(meta: DataFrame, lights: DataFrame, reference, how: str, colour:
     return d.withColumns({"registered": F.when(known, "wcs").otherwise(stars_only), "to_reference": best}).select(*meta.columns, "registered")
 
 
+def with_psf_frame(meta: DataFrame, lights: DataFrame) -> DataFrame:
+    """meta with psf_frame: the frame whose PSF a frame uses, which is its own, else that of the last frame before it in its session that has one; null before the first."""
+    session = lights.select("frame_id", F.col("session").alias("__s")) if "session" in lights.columns else lights.select("frame_id", F.lit(0).alias("__s"))
+    known = F.when(F.col("has_psf"), F.col("frame_id"))
+    order = Window.partitionBy("__s").orderBy("frame_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # short rows of one session
+    return meta.join(session, "frame_id").withColumn("psf_frame", F.last(known, ignorenulls=True).over(order)).drop("__s")
+
+
 def _struct(columns: dict) -> Column:
     return F.struct(*[columns[c].cast("double").alias(c) for c in AFFINE])
 
@@ -296,7 +314,7 @@ def stacked(seen: DataFrame, meta: DataFrame, pattern: str | None = None, canvas
     which the stars were found, and share its sky in the ratio of their
     medians. order is that of the spline that resamples: 1 or 3.
     """
-    rows = seen.drop("fwhm", "stars", "sky").join(meta.select("frame_id", "sky", "transparency", "to_reference"), "frame_id")
+    rows = seen.select("frame_id", "h", "w", "data").join(meta.select("frame_id", "sky", "transparency", "to_reference"), "frame_id")
 
     def run(batches):
         total: dict[str, dict[str, np.ndarray]] = {}

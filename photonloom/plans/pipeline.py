@@ -30,6 +30,7 @@ class Config:
     min_transparency: float | None = None
     max_fwhm: float | None = None
     psf_size: int = 25
+    sky_box: int = 128
     cosmic_sigma: float | None = 10.0  # pixels so far above the median are replaced, the cores of bright stars too; None: none
     saturation: float | None = None
     #: How frames are put on the reference's grid: affine (by WCS where there is one, else by stars) or shift (by the stars' shift alone).
@@ -139,13 +140,13 @@ CANVAS = "rows int, cols int, row0 int, col0 int"
 
 def examined(seen: DataFrame, lights: DataFrame, reference, cfg: Config, pattern: str | None) -> DataFrame:
     """The frames against the reference, where they lie on its grid, and whether they are fit to be stacked."""
-    meta = framewise.registered(framewise.compared(seen, reference), lights, reference, cfg.registration, bool(pattern))
+    meta = framewise.with_psf_frame(framewise.registered(framewise.compared(seen, reference), lights, reference, cfg.registration, bool(pattern)), lights)
     good = stacking.quality_filter(meta, cfg.min_transparency, cfg.max_fwhm).select("frame_id", F.lit(True).alias("stacked"))
     return meta.join(good, "frame_id", "left").withColumn("stacked", F.coalesce("stacked", F.lit(False)))
 
 
 def solved(stack: DataFrame, seen: DataFrame, good: DataFrame, canvas: framewise.Canvas, cfg: Config, pattern: str | None) -> DataFrame:
-    """The solution by the configured mode: fast from the stack, exact from the frames where they lie, each with its own width."""
+    """The solution by the configured mode: fast from the stack, exact from the frames where they lie, each with its PSF, or that of the frame before it, or a Gaussian of its width."""
     if cfg.solver.mode == "fast":
         rows = good.select("transparency", "fwhm").collect()  # two numbers a frame
         each = [{"t": r.transparency, "psf": gaussian_psf(cfg.psf_size, (r.fwhm or 3.0) * cfg.solver.scale)} for r in rows]
@@ -153,9 +154,10 @@ def solved(stack: DataFrame, seen: DataFrame, good: DataFrame, canvas: framewise
     if canvas.row0 or canvas.col0 or pattern:
         raise ValueError("the exact mode solves the reference's grid of a sensor without colour")
     t = lambda c: F.col(f"to_reference.{c}")
-    frames = seen.drop("fwhm", "sky").join(good.select("frame_id", "sky", "transparency", "fwhm", "to_reference"), "frame_id")
+    frames = seen.select("frame_id", "data").join(good.select("frame_id", "sky", "transparency", "fwhm", "to_reference", "psf_frame"), "frame_id")
+    frames = frames.join(seen.where("psf IS NOT NULL").select(F.col("frame_id").alias("psf_frame"), "psf"), "psf_frame", "left")
     rows = frames.select(
-        "frame_id", F.lit("L").alias("channel"), F.transform("data", lambda v: F.greatest(v - F.col("sky"), F.lit(0.0))).alias("data"), "transparency", F.coalesce("fwhm", F.lit(3.0)).alias("fwhm"),
+        "frame_id", F.lit("L").alias("channel"), F.transform("data", lambda v: F.greatest(v - F.col("sky"), F.lit(0.0))).alias("data"), "transparency", F.coalesce("fwhm", F.lit(3.0)).alias("fwhm"), "psf",
         # the scene as the frame sees it: the inverse of where the frame lies, about the middle
         *solver.seen_from({c: t(c) for c in framewise.AFFINE}, canvas.rows, canvas.cols),
     )

@@ -452,12 +452,13 @@ def sigma_clip_stats(spark, sf_dir):
     return rounded(neighbourhood.sigma_clipped(px_of(spark, sf_dir), ["frame_id"]))
 
 
-def _clipped_sql(key: str, rounds: int = 3) -> str:
-    """From r0(key, v): the strictly clipped median, spread and number by key, after some rounds."""
+def _clipped_sql(key: str, rounds: int = 3, tile: bool = False) -> str:
+    """From r0(key, v): the clipped median by key, after some rounds; strictly, or as tiles are clipped: inclusive, and no more without four values or a spread."""
     steps = []
+    stays = "(s < 1e-6 OR n < 4 OR (v >= m - 3 * s AND v <= m + 3 * s))" if tile else "(s < 1e-9 OR abs(v - m) < 3 * s)"
     for k in range(rounds):
-        steps.append(f"s{k} AS (SELECT {key}, median(v) AS m FROM r{k} GROUP BY ALL), d{k} AS (SELECT {key}, m, 1.4826 * median(abs(v - m)) AS s FROM r{k} JOIN s{k} USING ({key}) GROUP BY ALL), r{k + 1} AS (SELECT {key}, v FROM r{k} JOIN d{k} USING ({key}) WHERE s < 1e-9 OR abs(v - m) < 3 * s)")
-    return ", ".join(steps) + f", s{rounds} AS (SELECT {key}, median(v) AS m FROM r{rounds} GROUP BY ALL) SELECT {key}, round(m, 6) AS sky FROM s{rounds}"
+        steps.append(f"s{k} AS (SELECT {key}, median(v) AS m, count(*) AS n FROM r{k} GROUP BY {key}), d{k} AS (SELECT {key}, m, n, 1.4826 * median(abs(v - m)) AS s FROM r{k} JOIN s{k} USING ({key}) GROUP BY {key}, m, n), r{k + 1} AS (SELECT {key}, v FROM r{k} JOIN d{k} USING ({key}) WHERE {stays})")
+    return ", ".join(steps) + f", s{rounds} AS (SELECT {key}, median(v) AS m FROM r{rounds} GROUP BY {key}) SELECT {key}, round(m, 6) AS sky FROM s{rounds}"
 
 
 @query(f", tl AS (SELECT * FROM (VALUES (0, 0, 2), (1, 5, 8)) t(k, lo, hi)), r0 AS (SELECT frame_id, a.k AS tr, b.k AS tc, adu AS v FROM px JOIN tl a ON y >= a.lo AND y < a.hi JOIN tl b ON x >= b.lo AND x < b.hi WHERE frame_type = 'light'), {_clipped_sql('frame_id, tr, tc')}", "px")
@@ -465,6 +466,22 @@ def sky_tiles(spark, sf_dir):
     return rounded(neighbourhood.sky_mesh(px_of(spark, sf_dir, "light"), 8, 8, 4).drop("channel"))
 
 
+@query(f", tl AS (SELECT * FROM (VALUES (0, 0, 2), (1, 5, 8)) t(k, lo, hi)), r0 AS (SELECT frame_id, a.k AS tr, b.k AS tc, adu AS v FROM px JOIN tl a ON y >= a.lo AND y < a.hi JOIN tl b ON x >= b.lo AND x < b.hi), {_clipped_sql('frame_id, tr, tc', tile=True)}", "px")
+def sky_mesh_tiles(spark, sf_dir):
+    """The run's tiles, of all frames."""
+    return rounded(neighbourhood.sky_meshes(adapters.frames(spark, sf_dir), 4))
+
+
+@query(""", k AS (SELECT a.range AS ky, b.range AS kx, CASE WHEN a.range < 4 THEN a.range ELSE a.range - 8 END AS fy, CASE WHEN b.range < 4 THEN b.range ELSE b.range - 8 END AS fx FROM range(8) a, range(8) b),
+h AS (SELECT frame_id, x, a.range AS ky, sum(adu * cos(2 * pi() * y * a.range / 8)) AS re, -sum(adu * sin(2 * pi() * y * a.range / 8)) AS im FROM px, range(8) a GROUP BY ALL),
+f AS (SELECT frame_id, ky, b.range AS kx, sum(re * cos(2 * pi() * x * b.range / 8) + im * sin(2 * pi() * x * b.range / 8)) AS re, sum(im * cos(2 * pi() * x * b.range / 8) - re * sin(2 * pi() * x * b.range / 8)) AS im FROM h, range(8) b GROUP BY ALL)
+SELECT frame_id, floor(sqrt(fy * fy + fx * fx))::INT AS ring, (floor(sqrt(fy * fy + fx * fx)) + 0.5) / 8 AS frequency, round(ln(avg(re * re + im * im)), 5) AS log_power FROM f JOIN k USING (ky, kx) WHERE fy * fy + fx * fx < 16 GROUP BY ALL""", "px")
+def power_by_ring(spark, sf_dir):
+    """The logarithm, as powers span many orders."""
+    p = validation.ring_power(adapters.frames(spark, sf_dir), 4)
+    return p.select("frame_id", "ring", "frequency", r(F.log("power"), "log_power", 5))
+
+
 @query(""", k AS (SELECT m.frame_id, a.range AS y, b.range AS x, cos(radians(m.rotation)) AS c, sin(radians(m.rotation)) AS s, m.dy, m.dx FROM meta m, range(8) a, range(8) b),
 t AS (SELECT frame_id, y, x, c * (x - 3.5) - s * (y - 3.5) + 3.5 + dx AS sx, s * (x - 3.5) + c * (y - 3.5) + 3.5 + dy AS sy FROM k),
 w AS (SELECT t.frame_id, t.y, t.x, (1 - abs(sy - floor(sy) - j)) * (1 - abs(sx - floor(sx) - i)) AS w, adu FROM t, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) o(j, i) JOIN px p ON p.frame_id = t.frame_id AND p.y = floor(sy) + j AND p.x = floor(sx) + i)

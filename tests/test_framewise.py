@@ -268,6 +268,62 @@ def no_model(spark, size):
     return framewise.model_table(spark, maps, size)
 
 
+def test_aligned_psf():
+    """Stars anywhere between pixels give one kernel about the middle, as wide as they are; too few give none."""
+    g = np.random.default_rng(7)
+    y, x = np.mgrid[:120, :120].astype(float)
+    places = [(20 + 30 * j + g.uniform(-0.5, 0.5), 20 + 30 * i + g.uniform(-0.5, 0.5)) for j in range(4) for i in range(3)]
+    net = sum(f * np.exp(-((y - b) ** 2 + (x - a) ** 2) / (2 * 1.7**2)) for (b, a), f in zip(places, g.uniform(50, 900, 12)))
+    stars = np.array([(b, a, 1.0) for b, a in places])
+    psf = kernel.aligned_psf(net, stars, 15)
+    want = kernels.gaussian_psf(15, 1.7 * 2.3548)
+    assert psf.sum() == pytest.approx(1) and np.abs(psf - want).max() < 2e-3 * want.max() + 1e-4
+    assert kernel.aligned_psf(net, stars[:4], 15) is None and kernel.aligned_psf(net * 0, stars, 15) is None
+    fine = kernel.finer_psf(psf, 3)
+    assert fine.shape == (43, 43) and fine.sum() == pytest.approx(1) and fine.argmax() == 21 * 43 + 21
+    assert kernels.fwhm_of_psf(fine) == pytest.approx(3 * kernels.fwhm_of_psf(psf), rel=0.05)
+
+
+def test_a_frame_without_stars_takes_the_psf_before_it(spark):
+    rows = [(0, 1, False), (1, 1, True), (2, 1, False), (3, 2, False), (4, 1, False), (5, 2, True), (6, 1, True)]
+    meta = spark.createDataFrame([(f, p) for f, _, p in rows], "frame_id long, has_psf boolean")
+    lights = spark.createDataFrame([(f, s) for f, s, _ in rows], "frame_id long, session int")
+    got = {r.frame_id: r.psf_frame for r in framewise.with_psf_frame(meta, lights).collect()}
+    assert got == {0: None, 1: 1, 2: 1, 3: None, 4: 1, 5: 5, 6: 6}
+
+
+def test_tiles_by_definition():
+    g = np.random.default_rng(3)
+    v = g.normal(10, 1, 200)
+    v[:9] = 500.0
+    kept = v
+    for _ in range(3):
+        m = np.median(kept)
+        s = 1.4826 * np.median(np.abs(kept - m))
+        kept = kept[np.abs(kept - m) <= 3 * s]
+    assert kernel.tile_median(v) == pytest.approx(np.median(kept))
+    assert kernel.tile_median(np.array([1.0, 2.0, 900.0])) == 2.0 and kernel.tile_median(np.full(9, 4.0)) == 4.0
+    image = g.normal(0, 1, (300, 40))
+    mesh = kernel.sky_mesh(image, 64)
+    spans = kernel.tile_bounds(4, 300, 64)
+    assert mesh.shape == (4, 2) and spans[0] == (0, 32) and spans[-1][1] == 300
+    assert mesh[1, 0] == pytest.approx(kernel.tile_median(image[slice(*spans[1]), 0:32].ravel()))
+
+
+def test_a_sloping_sky_is_taken_off(spark):
+    """Stars on a bright slope: the level stays, the slope goes, and the stack is flat between the stars."""
+    frames, images = turned_session(spark, [(0.0, 0.0, 0.0), (0.0, 1.0, 2.0)], size=160)
+    slope = [float(30 * (k % 160) / 160) for k in range(160 * 160)]
+    frames = frames.withColumn("data", F.zip_with("data", F.lit(slope), lambda a, b: a + b))
+    out = pipeline.run(frames, pipeline.Config(cosmic_sigma=None, max_stars=40, sky_box=40), model=no_model(spark, 160))
+    level = {r.frame_id: r.sky for r in out["frames"].collect()}
+    assert level[0] == pytest.approx(65, abs=3)
+    got = grid(out["stack"], "weighted_mean", (160, 160))
+    edge = [np.nanmedian(got[20:140, c : c + 12]) for c in (6, 142)]
+    assert abs(edge[0]) < 2.5 and abs(edge[1]) < 2.5
+    assert [r.has_psf for r in out["frames"].collect()] == [True, True]
+
+
 def test_canvas_around_frames(spark):
     rows = [(0, (1.0, 0.0, 0.0, 0.0, 1.0, 0.0)), (1, (1.0, 0.0, -2.5, 0.0, 1.0, 3.0)), (2, (0.0, -1.0, 9.0, 1.0, 0.0, 0.0))]
     meta = spark.createDataFrame(rows, "frame_id long, to_reference struct<a: double, b: double, c: double, d: double, e: double, f: double>")
