@@ -131,6 +131,19 @@ def point_estimates(state: DataFrame) -> DataFrame:
     return state.withColumn("estimate", e)
 
 
+def projected(moments: DataFrame) -> DataFrame:
+    """State rows (param, p1, p2) from means and deviations (param, mean, std), as models without posteriors have them: those of the posterior with these moments.
+
+    The mean of read_noise is that of its variance. A deviation that is null or
+    not above 0 tells nothing, and its row is left out.
+    """
+    m, s = F.col("mean"), F.col("std")
+    ratio = F.pow(m / s, F.lit(2.0))
+    normal, gamma, inverse = (1 / (s * s), m / (s * s)), (ratio, m / (s * s)), (2 + ratio, m * (1 + ratio))
+    pick = lambda k: F.when(F.col("param").isin("bias", "flat"), normal[k]).when(F.col("param") == "dark", gamma[k]).when(F.col("param") == "read_noise", inverse[k])
+    return moments.where(s > 0).withColumns({"p1": pick(0), "p2": pick(1)}).drop("mean", "std")
+
+
 #: What frames add to a pixel's posteriors: numbers that sum over frames, whatever their order and grouping.
 SUMS = ("n_bias", "bias_sum", "bias_sq", "n_dark", "dark_counts", "dark_seconds")
 

@@ -13,9 +13,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.kernels import fit_moffat, gaussian_psf
-from ..operators import calibration, images, neighbourhood, solver, stacking, stars
+from ..operators import bayes, calibration, images, neighbourhood, solver, stacking, stars
 from ..sources import fits, store
-from . import framewise
+from . import framewise, posterior
 from .staging import cut
 
 
@@ -39,6 +39,9 @@ class Config:
     canvas: str = "reference"
     #: The order of the spline that resamples: 1 or 3.
     order: int = 1
+    #: Whether the instrument's maps are read off posteriors that carry over from session to session.
+    bayes: bool = False
+    temperature: float | None = None  # of this session's sensor, in degrees; dark rates that are carried over follow it
     solve: bool = False
     solver: solver.SolverConfig = field(default_factory=solver.SolverConfig)
 
@@ -105,9 +108,13 @@ def star_widths(net: DataFrame, centres: DataFrame, height: int, width: int, hal
     return images.measure_images(frames.join(places, "frame_id"), f"frame_id {kind}, fwhm double", work, ["stars"])
 
 
-def run(frames: DataFrame, cfg: Config | None = None, model: DataFrame | None = None) -> dict[str, DataFrame]:
+def run(frames: DataFrame, cfg: Config | None = None, model: DataFrame | None = None, state: DataFrame | None = None) -> dict[str, DataFrame]:
     """Products of frames(frame_id, seq, frame_type, exposure_s, h, w, data, bayer_pattern for a colour sensor, crpix1..cd22 where known): model, frames, stack, canvas and, if asked for, solution.
 
+    With cfg.bayes the model comes from posteriors: those of an earlier session
+    (state, as store.load_state has it) carried over to this one, or weak priors,
+    updated by the frames; they are returned as state.
+
     Lights are calibrated, their hot and cosmic-ray pixels replaced, and
     characterised in one pass; a second one moves and adds them up.
     """
@@ -117,7 +124,13 @@ def run(frames: DataFrame, cfg: Config | None = None, model: DataFrame | None =
     h, w = frames.select("h", "w").first()
     lights = frames.where("frame_type = 'light'")
     pattern = framewise.is_colour(lights)
-    if model is None:
+    after = None
+    if cfg.bayes:
+        before = posterior.start(h, w) if state is None else posterior.state_of(bayes.carry_over(state, cfg.temperature), h, w)
+        after = posterior.updated(frames, before)
+        maps = posterior.maps_of(after)
+        model = cut(framewise.model_table(spark, maps, h), "model")
+    elif model is None:
         maps = framewise.fit_model(frames)
         model = cut(framewise.model_table(spark, maps, h), "model")
     else:
@@ -130,6 +143,9 @@ def run(frames: DataFrame, cfg: Config | None = None, model: DataFrame | None =
     canvas = framewise.union_canvas(good, *size) if cfg.canvas == "union" else framewise.Canvas(*size)
     sums = framewise.stacked(seen, good, pattern, canvas, cfg.order)
     out = {"model": model, "frames": meta, "stack": stacking.derive(sums, good.count()), "canvas": spark.createDataFrame([asdict(canvas)], CANVAS)}
+    if after is not None:
+        known = cfg.temperature if cfg.temperature is not None else bayes.Priors().dark_temperature if state is None else state.agg(F.first("ref_temp_c")).first()[0]
+        out["state"] = posterior.table(spark, after, float(known))
     if cfg.solve:
         out["solution"] = solved(out["stack"], seen, good, canvas, cfg, pattern)
     return out
@@ -187,10 +203,13 @@ def resume(frames: DataFrame, folder: str, cfg: Config | None = None) -> dict[st
     return {"model": model, "frames": every, "stack": stacking.derive(both, every.where("stacked").count())}
 
 
-def save(products: dict[str, DataFrame], folder: str, reference: int) -> None:
+def save(products: dict[str, DataFrame], folder: str, reference: int, session: str = "s0") -> None:
+    """Stores the products; posteriors in a version of their own for each session."""
     canvas = products["canvas"].first().asDict() if "canvas" in products else {}
     store.save_model(products["model"], {"reference": reference, **canvas}, folder)
     store.save_stack(products["stack"], products["frames"], folder)
+    if "state" in products:
+        store.save_state(products["state"], folder, session)
     if "solution" in products:
         products["solution"].write.mode("overwrite").parquet(f"{folder}/solution")
 

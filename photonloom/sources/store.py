@@ -23,11 +23,12 @@ def save_state(state: DataFrame, folder: str, session: str) -> None:
     state.withColumn("session_id", F.lit(session)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("session_id").parquet(f"{folder}/bayes")
 
 
-def load_state(spark: SparkSession, folder: str, session: str | None = None) -> DataFrame:
-    """The state of a session, by default the last one by name."""
+def load_state(spark: SparkSession, folder: str, session: str | None = None, seen: bool = False) -> DataFrame:
+    """The state of a session, by default the last one by name; with seen, of the parameters alone that frames have told of (n above 0)."""
     d = spark.read.option("recursiveFileLookup", "false").schema("channel string, y int, x int, param string, p1 double, p2 double, n long, ref_temp_c double, session_id string").parquet(f"{folder}/bayes")
     last = session or d.agg(F.max("session_id")).first()[0]
-    return d.where(F.col("session_id") == last).drop("session_id")
+    d = d.where(F.col("session_id") == last).drop("session_id")
+    return d.where("n > 0") if seen else d
 
 
 def save_stack(stack: DataFrame, meta: DataFrame, folder: str) -> None:
