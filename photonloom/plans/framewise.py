@@ -1,9 +1,9 @@
 """The run over frames as arrays: one narrow stage of array kernels for each pass over the frames, and sums that tasks add up themselves.
 
 A frame is one row. What is summed over frames (moments of a pixel, the stack)
-is added up in each task's own arrays, so that a task hands on as many numbers
-as the sensor has pixels, however many frames it has seen; those are added up
-row of the sensor by row of the sensor. The instrument's maps, whose size is
+is added up in each task's own arrays where a task sees many frames, so that it
+hands on as many numbers as the sensor has pixels; where frames are large and
+a task sees few, they are dealt once by bands of sensor rows instead. The instrument's maps, whose size is
 the sensor's, are the only arrays that the driver and all tasks hold.
 """
 
@@ -49,23 +49,82 @@ def rows_of(name: str, arrays: dict[str, np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([name] * h), pa.array(np.arange(h, dtype=np.int32)), *[pa.array(list(a), pa.list_(pa.float64())) for a in arrays.values()]], names=["channel", "y", *arrays])
 
 
-def moments(frames: DataFrame, work: Callable[[np.ndarray, dict], np.ndarray | None]) -> dict[str, np.ndarray] | None:
-    """By pixel, the moments of work(image, row) over exposure; images of None are left out, and without any frame there is nothing."""
+def frames_per_task(frames: DataFrame) -> float:
+    """How many frames a task of a scan sees on the whole."""
+    return frames.count() / max(frames.rdd.getNumPartitions(), 1)
 
-    def run(batches):
-        total = None
+
+def in_bands(parts: DataFrame, channel_rows: int) -> DataFrame:
+    """Rows of (channel, band, ...) dealt so that a band is in one task: a shuffle of the frames, once, whatever a task hands on otherwise."""
+    tasks = max(int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions")), parts.sparkSession.sparkContext.defaultParallelism)
+    return parts.repartition(min(tasks, channel_rows), "channel", "band")
+
+
+def bands_of(name: str, image: np.ndarray, rows: int, **numbers: float) -> pa.RecordBatch:
+    """An image as one row for each band of sensor rows: channel, band, numbers, data."""
+    tops = range(0, len(image), rows)
+    n = len(tops)
+    return pa.RecordBatch.from_arrays([pa.array([name] * n), pa.array([y // rows for y in tops], pa.int32()), *[pa.array([float(v)] * n) for v in numbers.values()], pa.array([np.ascontiguousarray(image[y : y + rows]).ravel() for y in tops], pa.list_(pa.float64()))], names=["channel", "band", *numbers, "data"])
+
+
+#: A band's rows of the sensor: few enough that there are bands for many tasks.
+BAND = 16
+
+
+def moments(frames: DataFrame, work: Callable[[np.ndarray, dict], np.ndarray | None], least: float = 12.0) -> dict[str, np.ndarray] | None:
+    """By pixel, the moments of work(image, row) over exposure; images of None are left out, and without any frame there is nothing.
+
+    Tasks that see `least` frames or more add them up and hand on their six sums
+    for each pixel. Where frames are so large that a task sees fewer, that
+    would be more than the frames themselves; then the frames are dealt once by
+    bands of sensor rows.
+    """
+
+    def samples(batches):
         for image, row in images(batches, "exposure_s"):
             v = work(image, row)
-            if v is None:
-                continue
-            one, zero = np.ones_like(v), np.zeros_like(v)
-            new = (one, one * row["exposure_s"], v, zero, zero, zero)
-            total = new if total is None else merged(total, new)
+            if v is not None:
+                yield v, row["exposure_s"]
+
+    def grown(total, v, t):
+        one, zero = np.ones_like(v), np.zeros_like(v)
+        new = (one, one * t, v, zero, zero, zero)
+        return new if total is None else merged(total, new)
+
+    def run(batches):
+        total = None
+        for v, t in samples(batches):
+            total = grown(total, v, t)
         if total is not None:
             yield rows_of("L", dict(zip(MOMENTS, total)))
 
+    def cut(batches):
+        for v, t in samples(batches):
+            yield bands_of("L", v, BAND, t=t)
+
+    def add_bands(batches):
+        held: dict[int, tuple] = {}
+        for batch in batches:
+            for k in range(batch.num_rows):
+                band = batch.column("band")[k].as_py()
+                held[band] = grown(held.get(band), batch.column("data")[k].values.to_numpy(), batch.column("t")[k].as_py())
+        for band, total in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([band], pa.int32()), *[pa.array([v], pa.list_(pa.float64())) for v in total]], names=["y", *MOMENTS])
+
     columns = ", ".join(f"{c} array<double>" for c in MOMENTS)
-    parts = frames.select("h", "w", "data", "exposure_s").mapInArrow(run, f"channel string, y int, {columns}")
+    rows = frames.select("h", "w", "data", "exposure_s")
+    if frames_per_task(frames) < least:
+        size = frames.select("h", "w").first()
+        if size is None:
+            return None
+        parts = rows.mapInArrow(cut, "channel string, band int, t double, data array<double>")
+        t = in_bands(parts, -(-size.h // BAND)).mapInArrow(add_bands, f"y int, {columns}").toArrow()  # as many numbers as the sensor has pixels
+        if not t.num_rows:
+            return None
+        order = np.argsort(t.column("y").to_numpy())
+        return {c: np.concatenate([t.column(c)[int(k)].values.to_numpy() for k in order]).reshape(size.h, size.w) for c in MOMENTS}
+
+    parts = rows.mapInArrow(run, f"channel string, y int, {columns}")
 
     def fold(key, table):
         total = None
@@ -307,42 +366,77 @@ def from_canvas(m: dict[str, float], canvas: Canvas) -> tuple[float, ...]:
     return tuple(np.linalg.inv(to)[:2].ravel().tolist())
 
 
-def stacked(seen: DataFrame, meta: DataFrame, pattern: str | None = None, canvas: Canvas | None = None, order: int = 1) -> DataFrame:
+def stacked(seen: DataFrame, meta: DataFrame, pattern: str | None = None, canvas: Canvas | None = None, order: int = 1, least: float = 8.0) -> DataFrame:
     """The stack's four sums by channel and canvas pixel, of frames put there by their to_reference.
 
     A colour sensor's planes each move as the half-size mean of them does, on
     which the stars were found, and share its sky in the ratio of their
-    medians. order is that of the spline that resamples: 1 or 3.
+    medians. order is that of the spline that resamples: 1 or 3. As moments(),
+    tasks that see `least` frames or more hand on sums, others their frames in
+    bands of the canvas.
     """
     rows = seen.select("frame_id", "h", "w", "data").join(meta.select("frame_id", "sky", "transparency", "to_reference"), "frame_id")
 
-    def run(batches):
-        total: dict[str, dict[str, np.ndarray]] = {}
+    def moved(batches):
         for image, row in images(batches, "sky", "transparency", "to_reference"):
-            parts = planes(image, pattern)
             middle = np.median(image)
-            for name, p in parts.items():
+            for name, p in planes(image, pattern).items():
                 where = canvas or Canvas(*p.shape)
                 v = kernel.warped(p, from_canvas(row["to_reference"], where), where.rows, where.cols, order)
                 sky = row["sky"] if not pattern or middle == 0 else row["sky"] * np.median(p) / middle
-                ok, t = np.isfinite(v), row["transparency"]
-                s = np.where(ok, v - sky, 0.0)
-                sums = total.setdefault(name, {c: np.zeros(v.shape) for c in STACK})
-                for c, x in zip(STACK, (t * s, t * ok, sky * ok, t * s * s)):
-                    sums[c] += x
-        for name, sums in total.items():
-            yield rows_of(name, sums)
+                yield name, v, sky, row["transparency"]
 
+    def grown(sums, v, sky, t):
+        ok = np.isfinite(v)
+        s = np.where(ok, v - sky, 0.0)
+        new = (t * s, t * ok, sky * ok, t * s * s)
+        return new if sums is None else tuple(a + b for a, b in zip(sums, new))
+
+    def run(batches):
+        total: dict[str, tuple] = {}
+        for name, v, sky, t in moved(batches):
+            total[name] = grown(total.get(name), v, sky, t)
+        for name, sums in total.items():
+            yield rows_of(name, dict(zip(STACK, sums)))
+
+    def cut(batches):
+        for name, v, sky, t in moved(batches):
+            yield bands_of(name, v, BAND, sky=sky, t=t)
+
+    def listed(name, y0, width, sums):
+        """What is covered of some rows, pixel by pixel."""
+        keep = np.flatnonzero(sums[1] != 0)
+        return [pa.array([name] * len(keep), pa.string()), pa.array((y0 + keep // width).astype(np.int32)), pa.array((keep % width).astype(np.int32)), *[pa.array(v[keep]) for v in sums]]
+
+    def add_bands(width):
+        def run(batches):
+            held: dict[tuple, tuple] = {}
+            for batch in batches:
+                for k in range(batch.num_rows):
+                    key = batch.column("channel")[k].as_py(), batch.column("band")[k].as_py()
+                    held[key] = grown(held.get(key), batch.column("data")[k].values.to_numpy(), batch.column("sky")[k].as_py(), batch.column("t")[k].as_py())
+            for (name, band), sums in held.items():
+                yield pa.RecordBatch.from_arrays(listed(name, band * BAND, width, sums), names=["channel", "y", "x", *STACK])
+
+        return run
+
+    pixels = "channel string, y int, x int, " + ", ".join(f"{c} double" for c in STACK)
+    rows = rows.select("h", "w", "data", "sky", "transparency", "to_reference")
+    if frames_per_task(seen) < least:
+        size = seen.select("h", "w").first()
+        if size is not None:
+            planes_ = 2 if pattern else 1
+            where = canvas or Canvas(size.h // planes_, size.w // planes_)
+            parts = rows.mapInArrow(cut, "channel string, band int, sky double, t double, data array<double>")
+            return in_bands(parts, -(-where.rows // BAND) * planes_**2).mapInArrow(add_bands(where.cols), pixels)
     columns = ", ".join(f"{c} array<double>" for c in STACK)
-    parts = rows.select("h", "w", "data", "sky", "transparency", "to_reference").mapInArrow(run, f"channel string, y int, {columns}")
+    parts = rows.mapInArrow(run, f"channel string, y int, {columns}")
 
     def add(key, table):
-        sums = {c: np.sum([table.column(c)[k].values.to_numpy() for k in range(table.num_rows)], axis=0) for c in STACK}
-        n = len(sums["weight_sum"])
-        keep = np.flatnonzero(sums["weight_sum"] != 0)
-        return pa.table({"channel": pa.array([key[0].as_py()] * len(keep), pa.string()), "y": pa.array([key[1].as_py()] * len(keep), pa.int32()), "x": pa.array(np.arange(n, dtype=np.int32)[keep]), **{c: pa.array(v[keep]) for c, v in sums.items()}})
+        sums = tuple(np.sum([table.column(c)[k].values.to_numpy() for k in range(table.num_rows)], axis=0) for c in STACK)
+        return pa.Table.from_arrays(listed(key[0].as_py(), key[1].as_py(), len(sums[0]), sums), names=["channel", "y", "x", *STACK])
 
-    return parts.groupBy("channel", "y").applyInArrow(add, "channel string, y int, x int, " + ", ".join(f"{c} double" for c in STACK))
+    return parts.groupBy("channel", "y").applyInArrow(add, pixels)
 
 
 def is_colour(frames: DataFrame) -> str | None:

@@ -37,6 +37,22 @@ def test_model_equals_that_of_pixels(spark, session):
     assert framewise.fit_model(session.where("frame_type = 'light'")) == {}
 
 
+@pytest.mark.parametrize("pattern", [None, "RGGB"])
+def test_bands_give_the_sums_of_tasks(spark, session, pattern, monkeypatch):
+    """Moments and stack are the same whether tasks hand on sums or bands of frames."""
+    frames = session.repartition(3).cache()
+    a, b = (framewise.moments(frames, lambda v, row: v / 2 if row["exposure_s"] else v, least=n) for n in (0.0, 1e9))
+    assert all(a[c] == pytest.approx(b[c], rel=1e-9, abs=1e-9) and a[c].shape == (40, 44) for c in framewise.MOMENTS)
+    assert framewise.moments(frames.limit(0), lambda v, _: v, least=1e9) is None and framewise.moments(frames, lambda v, _: None, least=1e9) is None
+    lights = frames.where("frame_type = 'light'").select("frame_id", "h", "w", "data")
+    same = F.struct(*[F.lit(v).alias(c) for c, v in zip(framewise.AFFINE, (1.0, 0.02, -1.3, -0.02, 1.0, 0.6))])
+    meta = lights.select("frame_id", F.lit(3.0).alias("sky"), (0.5 + F.col("frame_id") / 100).alias("transparency"), same.alias("to_reference"))
+    for canvas in (None, framewise.Canvas(50, 47, 3, 2)):
+        x, y = ({(r.channel, r.y, r.x): tuple(r[c] for c in framewise.STACK) for r in framewise.stacked(lights, meta, pattern, canvas, least=n).collect()} for n in (0.0, 1e9))
+        assert x.keys() == y.keys() and len(x) > 300
+        assert all(x[k] == pytest.approx(y[k], rel=1e-9) for k in x)
+
+
 def test_moments_of_parts_add_up():
     g = np.random.default_rng(1)
     t, v = g.uniform(1, 9, 30), g.normal(500, 3, 30)
