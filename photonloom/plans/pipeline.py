@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.kernels import fit_moffat, gaussian_psf
-from ..operators import bayes, calibration, images, neighbourhood, solver, stacking, stars
+from ..operators import bayes, calibration, geometry, images, neighbourhood, solver, stacking, stars
 from ..sources import fits, store
 from . import framewise, posterior
 from .staging import cut
@@ -216,10 +216,10 @@ def save(products: dict[str, DataFrame], folder: str, reference: int, session: s
 
 def frames_from(spark: SparkSession, folder: str) -> DataFrame:
     """The frames of a folder of FITS files, in order of their paths."""
-    d = fits.header_values(fits.discover(fits.read_shared(spark, folder).where("_error IS NULL")), 300.0)
+    d = fits.with_wcs(fits.header_values(fits.discover(fits.read_shared(spark, folder).where("_error IS NULL")), 300.0))
     first = F.lit(0).cast("long")
     order = d.select("path").distinct().withColumn("frame_id", F.row_number().over(Window.orderBy("path")).cast("long") - 1)  # names of files alone
-    return d.join(order, "path").select("frame_id", F.col("frame_id").alias("seq"), "frame_type", "exposure_s", "bayer_pattern", "h", "w", "data").withColumn("session", first)
+    return d.join(order, "path").select("frame_id", F.col("frame_id").alias("seq"), "frame_type", "exposure_s", "bayer_pattern", "h", "w", "data", *geometry.WCS).withColumn("session", first)
 
 
 def main(argv: list[str] | None = None) -> None:

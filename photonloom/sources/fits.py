@@ -3,20 +3,27 @@
 Options for reading: path (a file, a folder or a pattern that the driver and
 all executors see as local; read_shared() reads from any file system that Spark
 reads), hdu (a number; by default
-the first with two axes or more), squeeze. Unreadable files give a row with
+the first with two axes or more), headers_only, max_size, planes (see Reading). Unreadable files give a row with
 _error unless mode is failfast; nothing is dropped silently.
 """
 
 from __future__ import annotations
 
 import glob
+import io
 import os
+import re
+import signal
 import struct
+import subprocess
+import uuid
+from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 BLOCK, CARD = 2880, 80
 SCHEMA = "path string, header map<string,string>, h int, w int, planes int, data array<double>, _error string"
@@ -95,16 +102,76 @@ def write_fits(image: np.ndarray, header: dict | None = None, extensions: list[t
     return out
 
 
-def row_of(path: str, raw: bytes, hdu: int | None, failfast: bool = False) -> tuple:
-    try:
-        header, image = read_fits(raw, hdu)
-        image = np.squeeze(image) if hdu is not None else image
-        planes = image.shape[0] if image.ndim == 3 else 1
-        return path, header, int(image.shape[-2]), int(image.shape[-1]), planes, image.ravel().tolist(), None
-    except (ValueError, KeyError, struct.error) as e:
-        if failfast:
-            raise
-        return path, None, None, None, None, None, str(e)
+def read_header(f, hdu: int | None = None) -> dict[str, str]:
+    """The header alone of the chosen unit of an open file, or of the first with two axes or more; no data are read."""
+    at, k = 0, 0
+    f.seek(0, os.SEEK_END)
+    size = f.tell()
+    while at < size:
+        f.seek(at)
+        raw = b""
+        while True:
+            block = f.read(BLOCK)
+            raw += block
+            if len(block) < BLOCK or any(block[i : i + 8].strip() == b"END" for i in range(0, BLOCK, CARD)):
+                break
+        header, length = parse_header(raw)
+        axes = [int(header[f"NAXIS{i + 1}"]) for i in range(int(header.get("NAXIS", "0")))]
+        if (k == hdu) if hdu is not None else len(axes) >= 2:
+            return header
+        n = int(np.prod(axes)) if axes else 0
+        at += length + -(-n * abs(int(header.get("BITPIX", "8"))) // 8 // BLOCK) * BLOCK
+        k += 1
+    raise ValueError("no image in the FITS file")
+
+
+@dataclass(frozen=True)
+class Reading:
+    """How files become rows."""
+
+    hdu: int | None = None
+    #: Only headers are read; data is null.
+    headers_only: bool = False
+    #: Larger images are averaged in whole blocks until they fit.
+    max_size: int | None = None
+    #: A colour sensor's frame (by its header's pattern) becomes four planes of half its size, in the order R, G0, G1, B.
+    planes: bool = False
+    failfast: bool = False
+
+    def row(self, path: str, f) -> tuple:
+        try:
+            if self.headers_only:
+                header = read_header(f, self.hdu)
+                axes = [int(header[f"NAXIS{i + 1}"]) for i in range(int(header["NAXIS"]))]
+                return path, header, axes[1], axes[0], axes[2] if len(axes) > 2 else 1, None, None
+            header, image = read_fits(f.read(), self.hdu)
+            image = np.squeeze(image) if self.hdu is not None else image
+            pattern = header.get("BAYERPAT", header.get("COLORTYP", "")).strip().upper()
+            if self.planes and pattern in PATTERNS and image.ndim == 2:
+                cells = dict(zip(PATTERNS[pattern], ((0, 0), (0, 1), (1, 0), (1, 1))))
+                h, w = (n // 2 * 2 for n in image.shape)
+                image = np.stack([image[r:h:2, c:w:2] for r, c in (cells[k] for k in ("R", "G0", "G1", "B"))])
+            if self.max_size and max(image.shape[-2:]) > self.max_size:
+                k = -(-max(image.shape[-2:]) // self.max_size)
+                h, w = (n // k for n in image.shape[-2:])
+                image = image[..., : h * k, : w * k].reshape(*image.shape[:-2], h, k, w, k).mean(axis=(-3, -1))
+            planes = image.shape[0] if image.ndim == 3 else 1
+            return path, header, int(image.shape[-2]), int(image.shape[-1]), planes, image.ravel(), None
+        except (ValueError, KeyError, IndexError, struct.error) as e:
+            if self.failfast:
+                raise
+            return path, None, None, None, None, None, str(e)
+
+    def batch(self, path: str, f) -> pa.RecordBatch:
+        """The row as an Arrow batch: pixels stay an array all the way."""
+        path, header, h, w, planes, data, error = self.row(path, f)
+        cells = [path, list(header.items()) if header is not None else None, h, w, planes, data, error]
+        return pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(cells, ARROW)], names=[c.split()[0] for c in SCHEMA.split(", ")])
+
+
+ARROW = (pa.string(), pa.map_(pa.string(), pa.string()), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.float64()), pa.string())
+#: The channels of a pattern's two by two cell, row by row (fixed values).
+PATTERNS = {"RGGB": ("R", "G0", "G1", "B"), "BGGR": ("B", "G0", "G1", "R"), "GRBG": ("G0", "R", "B", "G1"), "GBRG": ("G0", "B", "R", "G1")}
 
 
 class FitsFile(InputPartition):
@@ -115,36 +182,61 @@ class FitsFile(InputPartition):
 class FitsReader(DataSourceReader):
     def __init__(self, options):
         self.root = options["path"].removeprefix("file://")
-        self.hdu = int(options["hdu"]) if "hdu" in options else None
-        self.failfast = options.get("mode", "").lower() == "failfast"
+        flag = lambda k: options.get(k, "false").lower() == "true"
+        number = lambda k: int(options[k]) if k in options else None
+        self.reading = Reading(number("hdu"), flag("headers_only"), number("max_size"), flag("planes"), options.get("mode", "").lower() == "failfast")
 
     def partitions(self):
         return [FitsFile(p) for p in list_fits(self.root)]
 
     def read(self, partition):
         with open(partition.path, "rb") as f:
-            yield row_of(partition.path, f.read(), self.hdu, self.failfast)
+            yield self.reading.batch(partition.path, f)
 
 
 class Written(WriterCommitMessage):
-    pass
+    def __init__(self, files: list[str]):
+        self.files = files
 
 
-class FitsWriter(DataSourceWriter):
-    """Writes each row (name, h, w, data, header) as one file of the folder path."""
+class FitsWriter(DataSourceArrowWriter):
+    """Writes each row (name, h, w, data, and header and extensions where it has them) as one file of the folder path.
+
+    data of several planes is a cube; extensions are further images by name.
+    Tasks write files under names of their own, which the commit renames, so a
+    job that fails leaves no file, and one that is repeated leaves each once.
+    """
 
     def __init__(self, options):
         self.root = options["path"].removeprefix("file://")
 
-    def write(self, rows):
+    def write(self, batches):
         os.makedirs(self.root, exist_ok=True)
-        for r in rows:
-            image = np.asarray(r.data, dtype=np.float64).reshape(-1, r.h, r.w)
-            target = os.path.join(self.root, f"{r.name}.fits")
-            with open(f"{target}.part", "wb") as f:
-                f.write(write_fits(image[0] if len(image) == 1 else image, dict(r.header or {})))
-            os.replace(f"{target}.part", target)  # a repeated task leaves the same file
-        return Written()
+        files = []
+        for batch in batches:
+            have = set(batch.schema.names)
+            for k in range(batch.num_rows):
+                cell = lambda c: batch.column(c)[k] if c in have else pa.scalar(None)  # noqa: E731, B023
+                h, w = cell("h").as_py(), cell("w").as_py()
+                image = cell("data").values.to_numpy(zero_copy_only=False).reshape(-1, h, w)
+                more = [(n, np.asarray(v, dtype=np.float64).reshape(h, w)) for n, v in (cell("extensions").as_py() or [])]
+                target = os.path.join(self.root, f"{cell('name').as_py()}.fits")
+                part = f"{target}.{uuid.uuid4().hex}.part"
+                with open(part, "wb") as f:
+                    f.write(write_fits(image[0] if len(image) == 1 else image, dict(cell("header").as_py() or []), more))
+                files.append(part)
+        return Written(files)
+
+    def commit(self, messages):
+        for m in messages:
+            for part in m.files if m else ():
+                os.replace(part, part.rsplit(".", 2)[0])
+
+    def abort(self, messages):
+        for m in messages:
+            for part in m.files if m else ():
+                if os.path.exists(part):
+                    os.remove(part)
 
 
 class FitsSource(DataSource):
@@ -174,18 +266,17 @@ def list_fits(root: str) -> list[str]:
     return sorted({p for p in found if p.lower().endswith((".fits", ".fit", ".fts"))})
 
 
-def read_shared(spark: SparkSession, path: str, hdu: int | None = None) -> DataFrame:
-    """The same rows through Spark's own file reader, for stores that only Spark reaches."""
+def read_shared(spark: SparkSession, path: str, hdu: int | None = None, **how) -> DataFrame:
+    """The same rows through Spark's own file reader, for stores that only Spark reaches; how: as Reading has it."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{fits,fit,fts,FITS,FIT,FTS}").load(path).select("path", "content")
+    reading = Reading(hdu, **how)
 
     def run(batches):
-        import pandas as pd
-
-        for pdf in batches:
-            rows = [row_of(p, c, hdu) for p, c in zip(pdf.path, pdf.content)]
-            yield pd.DataFrame(rows, columns=["path", "header", "h", "w", "planes", "data", "_error"])
+        for batch in batches:
+            for p, c in zip(batch.column("path"), batch.column("content")):
+                yield reading.batch(p.as_py(), io.BytesIO(c.as_buffer()))
 
-    return files.mapInPandas(run, SCHEMA)
+    return files.mapInArrow(run, SCHEMA)
 
 
 #: What headers and folders call the kinds of frames (fixed values).
@@ -236,6 +327,72 @@ def require_lights(frames: DataFrame) -> DataFrame:
     return frames
 
 
+@dataclass(frozen=True)
+class PlateSolver:
+    """An outside program that solves a file's plate and writes the WCS into its header, for solve_plates().
+
+    It is given the file, the search radius (degrees), the reduction, the least
+    number of stars and the header's place on the sky, has so many seconds, and
+    is ended with all its processes after them. It has solved the plate if it
+    says so; what counts is the header as it stands then.
+    """
+
+    program: str = "astap"
+    radius: float = 10.0
+    downsample: int = 2
+    min_stars: int = 10
+    seconds: float = 120.0
+
+    def command(self, path: str, header: dict[str, str]) -> list[str]:
+        out = [self.program, "-f", path, "-r", str(self.radius), "-z", str(self.downsample), "-s", str(self.min_stars), "-update"]
+        ra, dec = (degrees(header.get(a) or header.get(b), hours) for a, b, hours in (("OBJCTRA", "RA", True), ("OBJCTDEC", "DEC", False)))
+        if ra is not None:
+            out += ["-ra", f"{ra / 15:.6f}"]  # hours
+        if dec is not None:
+            out += ["-spd", f"{dec + 90:.6f}"]  # from the south pole
+        return out
+
+    def __call__(self, path: str) -> dict[str, float] | None:
+        path = path.removeprefix("file:")
+        with open(path, "rb") as f:
+            header = read_header(f)
+        p = subprocess.Popen(self.command(path, header), stdout=subprocess.PIPE, stderr=subprocess.STDOUT, text=True, start_new_session=True)
+        try:
+            said, _ = p.communicate(timeout=self.seconds)
+        except subprocess.TimeoutExpired:
+            os.killpg(p.pid, signal.SIGKILL)
+            p.communicate()
+            raise TimeoutError(f"no solution within {self.seconds:g} s") from None
+        if p.returncode or "solution found" not in said.lower():
+            return None
+        with open(path, "rb") as f:
+            header = read_header(f)
+        return {k: float(header[k]) for k in WCS_KEYS if k in header} or None
+
+
+#: The header's names for what geometry.WCS calls crpix1 to cd22, in that order (fixed values).
+WCS_KEYS = ("CRPIX1", "CRPIX2", "CRVAL1", "CRVAL2", "CD1_1", "CD1_2", "CD2_1", "CD2_2")
+
+
+def degrees(text: str | None, hours: bool = False) -> float | None:
+    """Degrees from a number or from 'DD MM SS' with blanks or colons; hours count 15 degrees each, a plain number is degrees."""
+    parts = re.split(r"[:\s]+", (text or "").strip())
+    try:
+        numbers = [float(p) for p in parts]
+    except ValueError:
+        return None
+    if len(numbers) == 1:
+        return numbers[0]
+    size = sum(abs(n) / 60**k for k, n in enumerate(numbers[:3])) * (15 if hours else 1)
+    return -size if parts[0].startswith("-") else size
+
+
+def with_wcs(frames: DataFrame, source: str = "header") -> DataFrame:
+    """frames with crpix1..cd22 from a map of keywords (a header, or the wcs of solve_plates); null where they are absent."""
+    names = ("crpix1", "crpix2", "crval1", "crval2", "cd11", "cd12", "cd21", "cd22")
+    return frames.withColumns({n: F.element_at(source, k).try_cast("double") for n, k in zip(names, WCS_KEYS)})
+
+
 def solve_plates(frames: DataFrame, solver) -> DataFrame:
     """frames(frame_id, path) with wcs (a map of keywords) and solve_status, by an injected solver(path) -> dict or None; a solver's error becomes the status."""
 

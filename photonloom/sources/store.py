@@ -93,18 +93,58 @@ def image_of(px: DataFrame, value: str, height: int, width: int):
     return out
 
 
-def stack_fits(spark: SparkSession, folder: str, height: int, width: int) -> dict[str, bytes]:
-    """A FITS file for each channel of a stored stack: the weighted mean, its variance and quality as extensions, and what the frames were like in the header."""
-    from .fits import write_fits
-
-    stack, meta = load_stack(spark, folder)
-    m = meta.agg(F.count("*").alias("n"), F.median("transparency").alias("t"), F.median("fwhm").alias("w")).first()
-    out = {}
-    for channel in sorted(r[0] for r in stack.select("channel").distinct().collect()):  # four at most
-        px = stack.where(F.col("channel") == channel)
-        image, *more = (image_of(px, c, height, width) for c in ("weighted_mean", "variance", "quality"))
-        out[channel] = write_fits(image, {"NFRAMES": m.n, "MEDTRANS": m.t or 0.0, "MEDFWHM": m.w or 0.0, "CHANNEL": channel}, [("VARIANCE", more[0]), ("QUALITY", more[1])])
-    return out
+def image_rows(px: DataFrame, values: list[str], height: int, width: int) -> DataFrame:
+    """Pixels (channel, y, x, values) as one row for each channel with an array for each value, NaN where there is none; a channel's image is put together in a task."""
+
+    def gather(key, table):
+        import numpy as np
+        import pyarrow as pa
+
+        at = table.column("y").to_numpy() * width + table.column("x").to_numpy()
+        out = []
+        for v in values:
+            image = np.full(height * width, np.nan)
+            image[at] = table.column(v).to_numpy()
+            out.append(pa.array([image], pa.list_(pa.float64())))
+        return pa.table([pa.array([key[0].as_py()]), *out], names=["channel", *values])
+
+    return px.select("channel", "y", "x", *values).groupBy("channel").applyInArrow(gather, "channel string, " + ", ".join(f"{v} array<double>" for v in values))
+
+
+PRODUCT = "name string, h int, w int, data array<double>, header map<string,string>, extensions map<string,array<double>>"
+
+
+def stack_products(stack: DataFrame, meta: DataFrame, height: int, width: int) -> DataFrame:
+    """Rows for format("fits"): fast_stack, the weighted mean (a cube of the channels in order, where there are several), with NFRAMES, MEDTRANS, MEDFWHM and CHAN1.. in its header; and a file for each channel with variance and quality as extensions."""
+    each = image_rows(stack, ["weighted_mean", "variance", "quality"], height, width)
+    m = meta.agg(F.count("*").alias("n"), F.median("transparency").alias("t"), F.median("fwhm").alias("w"))
+    about = F.map_from_arrays(F.array(*map(F.lit, ("NFRAMES", "MEDTRANS", "MEDFWHM"))), F.array(*[F.coalesce(F.col(c).cast("string"), F.lit("0.0")) for c in "ntw"])).alias("about")
+    d = each.join(F.broadcast(m.select(about)))
+    size = [F.lit(height).alias("h"), F.lit(width).alias("w")]
+    more = F.map_from_arrays(F.array(F.lit("VARIANCE"), F.lit("QUALITY")), F.array("variance", "quality"))
+    single = d.select(F.concat(F.lit("stack_"), "channel").alias("name"), *size, F.col("weighted_mean").alias("data"), F.map_concat("about", F.create_map(F.lit("CHANNEL"), "channel")).alias("header"), more.alias("extensions"))
+    g = d.agg(F.array_sort(F.collect_list(F.struct("channel", "weighted_mean"))).alias("p"), F.first("about").alias("about"))  # four images at most
+    names = F.map_from_entries(F.transform("p", lambda c, i: F.struct(F.concat(F.lit("CHAN"), (i + 1).cast("string")), c.channel)))
+    whole = g.where(F.size("p") > 0).select(F.lit("fast_stack").alias("name"), *size, F.flatten(F.transform("p", lambda c: c.weighted_mean)).alias("data"), F.map_concat("about", names).alias("header"), F.lit(None).cast("map<string,array<double>>").alias("extensions"))
+    return single.unionByName(whole)
+
+
+def solution_products(solution: DataFrame, quality: DataFrame, height: int, width: int) -> DataFrame:
+    """Rows for format("fits"): a file for each channel of a solution (channel, y, x, flux), with the stack's quality (channel, y, x, quality) on the same grid as extension QUALITY."""
+    top = solution.agg(F.max("y").alias("y"), F.max("x").alias("x")).first()
+    s = max((top.y + 1) // height, 1) if top.y is not None else 1
+    q = quality.select("channel", F.col("y").alias("__y"), F.col("x").alias("__x"), "quality")
+    d = solution.withColumns({"__y": (F.col("y") / s).cast("int"), "__x": (F.col("x") / s).cast("int")}).join(q, ["channel", "__y", "__x"], "left").select("channel", "y", "x", "flux", "quality")
+    each = image_rows(d, ["flux", "quality"], height * s, width * s)
+    return each.select(F.concat(F.lit("map_"), "channel").alias("name"), F.lit(height * s).alias("h"), F.lit(width * s).alias("w"), F.col("flux").alias("data"), F.create_map(F.lit("CHANNEL"), F.col("channel"), F.lit("SCALE"), F.lit(str(s))).alias("header"), F.create_map(F.lit("QUALITY"), F.col("quality")).alias("extensions"))
+
+
+def write_products(rows: DataFrame, folder: str) -> None:
+    """Writes such rows as FITS files of a folder, each by the task that put its image together."""
+    from . import fits
+
+    fits.register(rows.sparkSession)
+    rows.write.format("fits").mode("append").save(folder)
 
 
 def from_sentinel(df: DataFrame, *columns: str) -> DataFrame:

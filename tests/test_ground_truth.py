@@ -1,5 +1,7 @@
 """Ground-truth measures, stored products, solve modes and small operators."""
 
+from pathlib import Path
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -50,14 +52,88 @@ def test_calibration_is_measured_by_pixel():
 def test_stored_run(spark, products):
     _, out, folder = products
     assert store.frame_count(spark, folder) == 3 and store.sensor_shape(spark, folder) == (32, 36)
-    header, image = fits.read_fits(store.stack_fits(spark, folder, 32, 36)["L"])
-    assert header["NFRAMES"] == "3" and float(header["MEDTRANS"]) > 0
-    assert image == pytest.approx(store.image_of(out["stack"], "weighted_mean", 32, 36), rel=1e-6, nan_ok=True)
-    assert fits.read_fits(store.stack_fits(spark, folder, 32, 36)["L"], 2)[1].max() == pytest.approx(1)
+    stack, meta = store.load_stack(spark, folder)
+    store.write_products(store.stack_products(stack, meta, 32, 36), f"{folder}/fits")
+    files = {r.path.rsplit("/", 1)[-1]: r for r in fits.read_shared(spark, f"{folder}/fits").collect()}
+    assert sorted(files) == ["fast_stack.fits", "stack_L.fits"]
+    mean = store.image_of(out["stack"], "weighted_mean", 32, 36)
+    for r in files.values():
+        assert r.header["NFRAMES"] == "3" and float(r.header["MEDTRANS"]) > 0 and np.reshape(r.data, (32, 36)) == pytest.approx(mean, rel=1e-6, nan_ok=True)
+    assert files["fast_stack.fits"].header["CHAN1"] == "L"
+    quality = fits.read_shared(spark, f"{folder}/fits", hdu=2).where("path LIKE '%stack_L%'").first()
+    assert np.nanmax(quality.data) == pytest.approx(1)
     cfg = solver.SolverConfig(iterations=5)
     assert solver.run_from_stack(spark, folder, cfg, 32, 36, 9).count() == 64 * 72
 
 
+def test_products_of_several_channels(spark, tmp_path):
+    """A cube of all planes, a file for each, and a solution with its quality; nothing is left of a job that fails, and once of one that is repeated."""
+    rows = [(c, y, x, float(10 * k + y + x / 10), 1.0, 0.5) for k, c in enumerate(("B", "G0", "G1", "R")) for y in range(3) for x in range(4) if (c, y, x) != ("R", 0, 0)]
+    stack = spark.createDataFrame(rows, "channel string, y int, x int, weighted_mean double, variance double, quality double")
+    meta = spark.createDataFrame([(0.9, 2.0), (0.7, None)], "transparency double, fwhm double")
+    for _ in range(2):
+        store.write_products(store.stack_products(stack, meta, 3, 4), str(tmp_path))
+    assert len(list(tmp_path.iterdir())) == 5
+    header, cube = fits.read_fits((tmp_path / "fast_stack.fits").read_bytes())
+    assert cube.shape == (4, 3, 4) and [header[f"CHAN{k}"] for k in (1, 2, 3, 4)] == ["B", "G0", "G1", "R"] and float(header["MEDTRANS"]) == pytest.approx(0.8)
+    assert np.isnan(cube[3, 0, 0]) and cube[1, 2, 3] == pytest.approx(12.3)
+    solution = spark.createDataFrame([("B", y, x, float(y * 8 + x)) for y in range(6) for x in range(8)], "channel string, y int, x int, flux double")
+    store.write_products(store.solution_products(solution, stack.withColumn("quality", F.col("y") / 2), 3, 4), str(tmp_path))
+    header, image = fits.read_fits((tmp_path / "map_B.fits").read_bytes())
+    assert image[5, 7] == 47 and header["SCALE"] == "2" and fits.read_fits((tmp_path / "map_B.fits").read_bytes(), 1)[1][5, 0] == 1.0
+    bad = store.stack_products(stack, meta, 3, 4).withColumn("h", F.when(F.col("name") == "stack_R", 7).otherwise(F.col("h")))
+    with pytest.raises(Exception):
+        store.write_products(bad, str(tmp_path / "bad"))
+    assert not list((tmp_path / "bad").glob("*.fits"))
+
+
+def test_reading_headers_planes_and_small_images(spark, tmp_path):
+    image = np.arange(40.0).reshape(5, 8)
+    (tmp_path / "a.fits").write_bytes(fits.write_fits(image, {"BAYERPAT": "GRBG"}))
+    (tmp_path / "b.fits").write_bytes(fits.write_fits(image, {}, [("MORE", image * 2)]))
+    (tmp_path / "c.fits").write_bytes(fits.write_fits(image, {})[:2880] + b"cut short")
+    fits.register(spark)
+    read = lambda **o: {r.path[-6]: r for r in spark.read.format("fits").options(**o).load(str(tmp_path)).collect()}
+    heads = read(headers_only="true")
+    assert all((r.h, r.w, r.planes, r.data, r._error) == (5, 8, 1, None, None) for r in heads.values())  # not even a file without its data is an error
+    planes = read(planes="true")
+    assert (planes["a"].planes, planes["a"].h, planes["a"].w) == (4, 2, 4) and planes["b"].planes == 1 and planes["c"]._error
+    assert np.reshape(planes["a"].data, (4, 2, 4))[0] == pytest.approx(image[0:4:2, 1::2])  # R
+    small = read(max_size="4")
+    assert (small["b"].h, small["b"].w) == (2, 4) and np.reshape(small["b"].data, (2, 4)) == pytest.approx(image[:4].reshape(2, 2, 4, 2).mean(axis=(1, 3)))
+    assert read(hdu="1", headers_only="true")["b"].header["EXTNAME"] == "MORE"
+    assert fits.read_shared(spark, str(tmp_path), headers_only=True).where("data IS NULL AND h = 5").count() == 3
+
+
+def test_plate_solver_process(spark, tmp_path):
+    """The program's word, its header, its time limit with all its processes, and its failure are each a row."""
+    for name in "abcd":
+        (tmp_path / f"{name}.fits").write_bytes(fits.write_fits(np.zeros((4, 4)), {"OBJCTRA": "10 30 00", "OBJCTDEC": "-20:30:00"}))
+    solved = tmp_path / "solved.fits"
+    solved.write_bytes(fits.write_fits(np.zeros((4, 4)), {"CRVAL1": 157.5, "CRPIX1": 2.0, "CD1_1": -0.001}))
+    program = tmp_path / "solver.sh"
+    program.write_text(f"""#!/bin/sh
+case "$2" in
+  *a.fits) cp {solved} "$2"; echo "Solution found: $*" ;;
+  *b.fits) echo "nothing" ;;
+  *c.fits) (sleep 97 & echo $! > {tmp_path}/pid; wait) ;;
+  *) exit 3 ;;
+esac
+""")
+    program.chmod(0o755)
+    solver_ = fits.PlateSolver(str(program), seconds=2.0)
+    command = solver_.command("x", {"OBJCTRA": "10 30 00", "OBJCTDEC": "-20:30:00"})
+    assert command[-4:] == ["-ra", "10.500000", "-spd", "69.500000"] and "-ra" not in solver_.command("x", {})
+    d = spark.createDataFrame([(k, str(tmp_path / f"{n}.fits")) for k, n in enumerate("abcd")], "frame_id long, path string")
+    got = {r.frame_id: r for r in fits.solve_plates(d, solver_).collect()}
+    assert [got[k].solve_status for k in range(4)] == ["solved", "failed", "error: no solution within 2 s", "failed"]
+    assert got[0].wcs == {"CRVAL1": 157.5, "CRPIX1": 2.0, "CD1_1": -0.001}
+    at = Path("/proc") / (tmp_path / "pid").read_text().strip() / "stat"
+    assert not at.exists() or at.read_text().rsplit(")", 1)[1].split()[0] == "Z"  # ended, whether or not anyone has asked after it
+    row = fits.with_wcs(fits.solve_plates(d.where("frame_id = 0"), lambda p: {"CRVAL1": 1.5}), "wcs").first()
+    assert row.crval1 == 1.5 and row.cd11 is None
+
+
 def test_solve_modes(spark, products):
     frames, out, _ = products
     meta = [{"t": r.transparency, "psf": kernels.gaussian_psf(9, 6.0)} for r in out["frames"].collect()]
