@@ -13,12 +13,12 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.frame import finer_psf
 from ..functions.kernels import gaussian_psf, pool, psf_spectrum, resample, unpool
-from ..plans.staging import shared_folder
+from ..plans.staging import cut, shared_folder
 
 
 @dataclass
@@ -267,22 +267,48 @@ def solve_frames(images: list[np.ndarray], weighted_mean: np.ndarray, frames: li
     return adam(np.maximum(prior, 1e-3), prior, likelihood, cfg)
 
 
-def solve_channels(stack: DataFrame, frames: list[dict], height: int, width: int, cfg: SolverConfig) -> DataFrame:
-    """stack(channel, y, x, weighted_sum, weighted_mean) solved channel by channel: channel, y, x, flux, iterations, converged, losses."""
-    cfg.check()
+SOLVED = "channel string, h int, w int, image array<double>, losses array<double>, gradients array<double>, log_every int, iterations int, converged boolean"
+
+
+def solved_row(channel: str, s: Solution, cfg: SolverConfig) -> pa.Table:
+    h, w = s.image.shape
+    cells = [channel, h, w, s.image.ravel(), s.losses, s.gradients, cfg.log_every, s.iterations, s.converged]
+    kinds = [pa.string(), pa.int32(), pa.int32(), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.int32(), pa.int32(), pa.bool_()]
+    return pa.table([pa.array([c], k) for c, k in zip(cells, kinds)], names=[c.split()[0] for c in SOLVED.split(", ")])
 
-    def solve(key, pdf):
-        import pandas as pd
 
+def solved_channels(stack: DataFrame, frames: list[dict], height: int, width: int, cfg: SolverConfig) -> DataFrame:
+    """stack(channel, y, x, weighted_sum, weighted_mean) solved channel by channel: a row of SOLVED for each, stored, as flux and history are both read off it."""
+    cfg.check()
+
+    def solve(key, table):
         a, b = np.zeros((height, width)), np.zeros((height, width))
-        a[pdf.y, pdf.x], b[pdf.y, pdf.x] = pdf.weighted_sum, pdf.weighted_mean
-        s = solve_sum(np.maximum(a, 0), np.maximum(b, 0), frames, cfg)
-        y, x = np.indices(s.image.shape)
-        n = s.image.size
-        return pd.DataFrame({"channel": [key[0]] * n, "y": y.ravel(), "x": x.ravel(), "flux": s.image.ravel(), "iterations": [s.iterations] * n, "converged": [s.converged] * n, "loss": [s.losses[-1]] * n})
+        at = table.column("y").to_numpy(), table.column("x").to_numpy()
+        a[at], b[at] = table.column("weighted_sum").to_numpy(), table.column("weighted_mean").to_numpy()
+        return solved_row(key[0].as_py(), solve_sum(np.maximum(a, 0), np.maximum(b, 0), frames, cfg), cfg)
+
+    return cut(stack.select("channel", "y", "x", "weighted_sum", "weighted_mean").groupBy("channel").applyInArrow(solve, SOLVED), "solved")
+
 
-    schema = "channel string, y int, x int, flux double, iterations int, converged boolean, loss double"
-    return stack.select("channel", "y", "x", "weighted_sum", "weighted_mean").groupBy("channel").applyInPandas(solve, schema)
+def flux_of(solved: DataFrame) -> DataFrame:
+    """channel, y, x, flux, iterations, converged, loss of rows of SOLVED."""
+    d = solved.select("channel", "w", "iterations", "converged", F.element_at("losses", -1).alias("loss"), F.posexplode("image").alias("at", "flux"))
+    return d.select("channel", (F.col("at") / F.col("w")).cast("int").alias("y"), (F.col("at") % F.col("w")).alias("x"), "flux", "iterations", "converged", "loss")
+
+
+def history_of(solved: DataFrame, tolerance: float = 1e-6) -> DataFrame:
+    """The logged steps of all channels, whatever mode solved them: channel, step, loss, gradient, change (relative, to the step logged before; null for the first) and calm, whether that is within the tolerance."""
+    log = F.posexplode(F.arrays_zip("losses", "gradients"))
+    d = solved.select("channel", "log_every", "iterations", log.alias("k", "l"))
+    d = d.select("channel", F.least(F.col("k") * F.col("log_every"), F.col("iterations") - 1).alias("step"), F.col("l.losses").alias("loss"), F.col("l.gradients").alias("gradient"))
+    before = F.lag("loss").over(Window.partitionBy("channel").orderBy("step"))  # a few hundred short rows a channel
+    change = F.abs(before - F.col("loss")) / F.abs(before)
+    return d.withColumn("change", change).withColumn("calm", F.col("change") <= tolerance)
+
+
+def solve_channels(stack: DataFrame, frames: list[dict], height: int, width: int, cfg: SolverConfig) -> DataFrame:
+    """stack(channel, y, x, weighted_sum, weighted_mean) solved channel by channel: channel, y, x, flux, iterations, converged, loss."""
+    return flux_of(solved_channels(stack, frames, height, width, cfg))
 
 
 class Batches:
@@ -381,29 +407,31 @@ def solve_distributed(frames: DataFrame, weighted_mean: np.ndarray, psf: np.ndar
 
 
 def solve(cfg: SolverConfig, stack: DataFrame, meta: list[dict], height: int, width: int, frames: DataFrame | None = None, psf_size: int = 25) -> DataFrame:
-    """channel, y, x, flux by the configured mode: fast, from the stack's sums, or exact, from frames(frame_id, channel, data, transparency, dy, dx) too.
+    """channel, y, x, flux by the configured mode; see solve_all."""
+    return flux_of(solve_all(cfg, stack, meta, height, width, frames, psf_size)).select("channel", "y", "x", "flux")
+
+
+def solve_all(cfg: SolverConfig, stack: DataFrame, meta: list[dict], height: int, width: int, frames: DataFrame | None = None, psf_size: int = 25) -> DataFrame:
+    """Rows of SOLVED by the configured mode: fast, from the stack's sums, or exact, from frames(frame_id, channel, data, transparency, dy, dx) too.
 
     meta has t, psf, dy, dx by frame. In the exact mode each frame is blurred
-    by its own fwhm, where frames have that column, else by the mean PSF of
-    meta, and turned where they have the column turn; without frames it is an
-    error.
+    by its own psf or fwhm, where frames have such a column, else by the mean
+    PSF of meta, and turned where they have the column turn; without frames it
+    is an error.
     """
     cfg.check()
     if cfg.mode == "fast":
-        return solve_channels(stack, meta, height, width, cfg).select("channel", "y", "x", "flux")
+        return solved_channels(stack, meta, height, width, cfg)
     if frames is None:
         raise ValueError("the exact mode needs the frames")
-    spark, out = stack.sparkSession, None
+    spark, out = stack.sparkSession, []
     psf = np.mean([m["psf"] for m in meta], axis=0) if meta else None
     for channel in sorted(r[0] for r in stack.select("channel").distinct().collect()):  # four at most
         mean = np.zeros((height, width))
         pdf = stack.where(F.col("channel") == channel).select("y", "x", "weighted_mean").toPandas()  # one image
         mean[pdf.y, pdf.x] = np.maximum(pdf.weighted_mean, 0)
-        image = solve_distributed(frames.where(F.col("channel") == channel), mean, psf, cfg, psf_size).image
-        rows = spark.createDataFrame([(channel, y, v.tolist()) for y, v in enumerate(image)], "channel string, y int, v array<double>")
-        part = rows.select("channel", "y", F.posexplode("v").alias("x", "flux"))
-        out = part if out is None else out.unionByName(part)
-    return out
+        out.append(solved_row(channel, solve_distributed(frames.where(F.col("channel") == channel), mean, psf, cfg, psf_size), cfg))
+    return cut(spark.createDataFrame(pa.concat_tables(out), SOLVED) if out else spark.createDataFrame([], SOLVED), "solved")
 
 
 def run_from_stack(spark, folder: str, cfg: SolverConfig, height: int, width: int, psf_size: int = 25) -> DataFrame:

@@ -1,6 +1,6 @@
 """The whole run: calibrate, characterise, stack, solve, write; and the same from the command line.
 
-    python -m photonloom.plans.pipeline FRAMES_FOLDER OUTPUT_FOLDER [--solve]
+    python -m photonloom.plans.pipeline FRAMES_FOLDER OUTPUT_FOLDER [--solve] [--images]
 """
 
 from __future__ import annotations
@@ -147,7 +147,8 @@ def run(frames: DataFrame, cfg: Config | None = None, model: DataFrame | None =
         known = cfg.temperature if cfg.temperature is not None else bayes.Priors().dark_temperature if state is None else state.agg(F.first("ref_temp_c")).first()[0]
         out["state"] = posterior.table(spark, after, float(known))
     if cfg.solve:
-        out["solution"] = solved(out["stack"], seen, good, canvas, cfg, pattern)
+        rows = solved(out["stack"], seen, good, canvas, cfg, pattern)
+        out |= {"solution": solver.flux_of(rows).select("channel", "y", "x", "flux"), "history": solver.history_of(rows, cfg.solver.tolerance)}
     return out
 
 
@@ -166,7 +167,7 @@ def solved(stack: DataFrame, seen: DataFrame, good: DataFrame, canvas: framewise
     if cfg.solver.mode == "fast":
         rows = good.select("transparency", "fwhm").collect()  # two numbers a frame
         each = [{"t": r.transparency, "psf": gaussian_psf(cfg.psf_size, (r.fwhm or 3.0) * cfg.solver.scale)} for r in rows]
-        return solver.solve(cfg.solver, stack, each, canvas.rows, canvas.cols)
+        return solver.solve_all(cfg.solver, stack, each, canvas.rows, canvas.cols)
     if canvas.row0 or canvas.col0 or pattern:
         raise ValueError("the exact mode solves the reference's grid of a sensor without colour")
     t = lambda c: F.col(f"to_reference.{c}")
@@ -177,7 +178,7 @@ def solved(stack: DataFrame, seen: DataFrame, good: DataFrame, canvas: framewise
         # the scene as the frame sees it: the inverse of where the frame lies, about the middle
         *solver.seen_from({c: t(c) for c in framewise.AFFINE}, canvas.rows, canvas.cols),
     )
-    return solver.solve(cfg.solver, stack, [], canvas.rows, canvas.cols, rows, cfg.psf_size)
+    return solver.solve_all(cfg.solver, stack, [], canvas.rows, canvas.cols, rows, cfg.psf_size)
 
 
 def resume(frames: DataFrame, folder: str, cfg: Config | None = None) -> dict[str, DataFrame]:
@@ -203,15 +204,31 @@ def resume(frames: DataFrame, folder: str, cfg: Config | None = None) -> dict[st
     return {"model": model, "frames": every, "stack": stacking.derive(both, every.where("stacked").count())}
 
 
-def save(products: dict[str, DataFrame], folder: str, reference: int, session: str = "s0") -> None:
-    """Stores the products; posteriors in a version of their own for each session."""
+def save(products: dict[str, DataFrame], folder: str, reference: int, session: str = "s0", images: bool = False) -> dict[str, str]:
+    """Stores the products, posteriors in a version of their own for each session, and returns where each is.
+
+    images: also as FITS files, for a folder that all tasks can write to as local.
+    """
     canvas = products["canvas"].first().asDict() if "canvas" in products else {}
     store.save_model(products["model"], {"reference": reference, **canvas}, folder)
     store.save_stack(products["stack"], products["frames"], folder)
+    where = {"model": f"{folder}/instrument", "stack": f"{folder}/stack/pixels", "frames": f"{folder}/stack/frames"}
     if "state" in products:
         store.save_state(products["state"], folder, session)
-    if "solution" in products:
-        products["solution"].write.mode("overwrite").parquet(f"{folder}/solution")
+        where["state"] = f"{folder}/bayes"
+    for name in ("solution", "history"):
+        if name in products:
+            where[name] = f"{folder}/{name}"
+            products[name].write.mode("overwrite").parquet(where[name])
+    if images:
+        where["images"] = f"{folder}/images"
+        stack, meta = store.load_stack(products["stack"].sparkSession, folder)
+        size = canvas.get("rows"), canvas.get("cols")
+        store.write_products(store.stack_products(stack, meta.where("stacked"), *size), where["images"])
+        if "solution" in products:
+            solution = stack.sparkSession.read.parquet(where["solution"])
+            store.write_products(store.solution_products(solution, stack, *size), where["images"])
+    return where
 
 
 def frames_from(spark: SparkSession, folder: str) -> DataFrame:
@@ -227,6 +244,7 @@ def main(argv: list[str] | None = None) -> None:
     p.add_argument("frames")
     p.add_argument("output")
     p.add_argument("--solve", action="store_true")
+    p.add_argument("--images", action="store_true", help="also write FITS files")
     p.add_argument("--scale", type=int, default=2)
     p.add_argument("--min-transparency", type=float)
     p.add_argument("--max-fwhm", type=float)
@@ -238,7 +256,7 @@ def main(argv: list[str] | None = None) -> None:
     fits.require_lights(frames.where("frame_type = 'light'"))
     cfg = Config(min_transparency=a.min_transparency, max_fwhm=a.max_fwhm, solve=a.solve, solver=solver.SolverConfig(scale=a.scale))
     out = run(frames, cfg)
-    save(out, a.output, frames.where("frame_type = 'light'").agg(F.min("frame_id")).first()[0])
+    save(out, a.output, frames.where("frame_type = 'light'").agg(F.min("frame_id")).first()[0], images=a.images)
     print(store.summary_text(out["frames"], "sky", "transparency", "fwhm", "dx", "dy"))
 
 

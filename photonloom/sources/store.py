@@ -59,7 +59,7 @@ def load_mixture(spark: SparkSession, folder: str):
 
 
 #: The tables that a run leaves in its folder.
-TABLES = ("instrument", "stack", "bayes", "mixture", "solution")
+TABLES = ("instrument", "stack", "bayes", "mixture", "solution", "history")
 
 
 def invalidate(spark: SparkSession, folder: str, tables: tuple[str, ...] = TABLES) -> list[str]:

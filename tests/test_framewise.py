@@ -268,11 +268,17 @@ def test_a_turned_session_stacks_right_by_wcs(spark):
     assert (m.a, m.d) == pytest.approx((np.cos(np.radians(170)), np.sin(np.radians(170))), abs=1e-4) or (m.a, m.d) == pytest.approx((np.cos(np.radians(170)), -np.sin(np.radians(170))), abs=1e-4)
 
 
-def test_the_exact_mode_solves_a_turned_session(spark):
+def test_the_exact_mode_solves_a_turned_session(spark, tmp_path):
     """Frames as they lie, each with its own width, give a sharper scene than the stack's mean; ignoring the turn doesn't."""
     frames, images = turned_session(spark, TURNS[:3], size=48)
     cfg = lambda: pipeline.Config(cosmic_sigma=None, max_stars=40, solve=True, psf_size=9, solver=solver.SolverConfig(scale=1, iterations=40, rate=1.0, mode="exact", batch=2, tv=1e-4))
     out = pipeline.run(frames, cfg(), model=no_model(spark, 48))
+    where = pipeline.save(out, str(tmp_path), 0, images=True)
+    assert sorted(where) == ["frames", "history", "images", "model", "solution", "stack"]
+    assert sorted(p.name for p in (tmp_path / "images").iterdir()) == ["fast_stack.fits", "map_L.fits", "stack_L.fits"]
+    log = spark.read.parquet(where["history"]).orderBy("step").collect()
+    assert [r.step for r in log] == [0, 10, 20, 30, 39] and log[0].change is None and log[-1].loss < log[0].loss
+    assert log[2].change == pytest.approx(abs(log[1].loss - log[2].loss) / abs(log[1].loss)) and not log[1].calm
     got = grid(out["solution"], "flux", (48, 48))[12:36, 12:36]
     sharp = images[0][12:36, 12:36]
     assert np.isfinite(got).all() and np.corrcoef(got.ravel(), sharp.ravel())[0, 1] > 0.9
