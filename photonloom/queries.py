@@ -918,6 +918,21 @@ def fourier_shift(spark, sf_dir):
     return images.map_images(f, lambda image, row: kernels.fourier_shift(image, row["dy"], row["dx"]), ["dy", "dx"])
 
 
+#: The transform of 8 x 8 frames in SQL: ft(frame_id, ky, kx, re, im).
+DFT = """h AS (SELECT frame_id, x, a.range AS ky, sum(adu * cos(2 * pi() * y * a.range / 8)) AS re, -sum(adu * sin(2 * pi() * y * a.range / 8)) AS im FROM px, range(8) a GROUP BY ALL),
+ft AS (SELECT frame_id, ky, b.range AS kx, sum(re * cos(2 * pi() * x * b.range / 8) + im * sin(2 * pi() * x * b.range / 8)) AS re, sum(im * cos(2 * pi() * x * b.range / 8) - re * sin(2 * pi() * x * b.range / 8)) AS im FROM h, range(8) b GROUP BY ALL)"""
+
+
+@query(f""", {DFT},
+p AS (SELECT frame_id, ky, kx, re, im, -2 * pi() * (CASE WHEN ky < 4 THEN ky ELSE ky - 8 END * dy + kx * dx) / 8 AS a FROM ft JOIN meta USING (frame_id) WHERE kx <= 4),
+s AS (SELECT frame_id, ky, kx, CASE WHEN kx IN (0, 4) THEN 1 ELSE 2 END * (re * cos(a) - im * sin(a)) AS re, CASE WHEN kx IN (0, 4) THEN 1 ELSE 2 END * (re * sin(a) + im * cos(a)) AS im FROM p),
+c AS (SELECT frame_id, y.range AS y, kx, sum(re * cos(2 * pi() * ky * y.range / 8) - im * sin(2 * pi() * ky * y.range / 8)) AS re, sum(re * sin(2 * pi() * ky * y.range / 8) + im * cos(2 * pi() * ky * y.range / 8)) AS im FROM s, range(8) y GROUP BY ALL)
+SELECT frame_id, y::INT AS y, x.range::INT AS x, round(sum(re * cos(2 * pi() * kx * x.range / 8) - im * sin(2 * pi() * kx * x.range / 8)) / 64, 5) AS v FROM c, range(8) x GROUP BY ALL""", "px", "meta")
+def fourier_shift_pixels(spark, sf_dir):
+    f = images.map_images(frames_with(spark, sf_dir, {}), lambda image, row: kernels.fourier_shift(image, row["dy"], row["dx"]), ["dy", "dx"])
+    return stacking.covered(f, "v").select("frame_id", "y", "x", r("v", "v", 5))
+
+
 @query(f", wt AS (SELECT a.range - 2 AS j, b.range - 2 AS i, exp(-ln(2) * ((a.range - 2) ** 2 + (b.range - 2) ** 2)) AS w FROM range(5) a, range(5) b) SELECT k.frame_id, k.y, k.x, round(sum(wt.w * n.adu) / (SELECT sum(w) FROM wt), 5) AS adu FROM px k, wt JOIN px n ON n.frame_id = k.frame_id AND n.y = {_mirrored('k.y + wt.j')} AND n.x = {_mirrored('k.x + wt.i')} GROUP BY 1, 2, 3", "px")
 def convolve_psf(spark, sf_dir):
     psf = kernels.gaussian_psf(5, 2.0)
