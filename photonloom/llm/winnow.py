@@ -15,35 +15,48 @@ from pyspark.sql import functions as F
 from .common import let
 
 K, DOUBLINGS = 24, 6
-_LOW = (1 << 27) - 1
+#: A choice is its position, then so many bits of hash; positions reach as far as a text can.
+HASH_BITS = 32
+#: Windows whose choices are made at once; a longer text is gone through piece by piece.
+SPAN = 1 << 14
+_HASH, _PLACE = (1 << HASH_BITS) - 1, (1 << 63 - HASH_BITS) - 1
 
 
-def choices(data: Column, k: int = K, doublings: int = DOUBLINGS) -> Column:
-    """The chosen (position, hash) pairs of bytes in order, packed as position * 2^36 + 36 bits of hash.
+def choices(data: Column, k: int = K, doublings: int = DOUBLINGS, span: int = SPAN) -> Column:
+    """The chosen (position, hash) pairs of bytes in order, packed as position * 2^HASH_BITS + hash.
 
     The window is w = 2^doublings hashes. Data of fewer than k bytes has the
     hash of all of it; with fewer than w hashes, the least of them; empty data
-    has none. Up to 2^27 bytes. Work in between is packed as hash * 2^27 +
-    2^27 - 1 - position, so that the least number of a window is its least
-    hash, the rightmost of equal ones.
+    has none. Data of any length: pieces of span windows share the bytes that
+    both need, so what is at hand at once doesn't grow with the data. Work in
+    between is packed as the hash's complement, then the position, so that the
+    greatest number of a window is its least hash, the rightmost of equal ones.
     """
+    w = 1 << doublings
 
     def grams(b):
         at = F.sequence(F.lit(1), F.greatest(F.length(b) - k + 1, F.lit(1)))
-        return F.transform(at, lambda i: F.shiftleft(F.shiftrightunsigned(F.xxhash64(F.substring(b, i, F.lit(k))), 28), 27).bitwiseOR((F.lit(_LOW + 1) - i).cast("long")))
+        high = lambda i: F.bitwise_not(F.shiftrightunsigned(F.xxhash64(F.substring(b, i, F.lit(k))), 1)).bitwiseAND(F.lit(_HASH << 63 - HASH_BITS))
+        return F.transform(at, lambda i: high(i).bitwiseOR(i.cast("long")))
 
-    def halving(shift):  # beyond the end there is nothing, which least() passes over
-        return lambda p: F.zip_with(p, F.slice(p, F.lit(shift + 1), F.greatest(F.size(p) - shift, F.lit(0))), lambda x, y: F.least(x, y))
+    def halving(shift):  # beyond the end there is nothing, which greatest() passes over
+        return lambda p: F.zip_with(p, F.slice(p, F.lit(shift + 1), F.greatest(F.size(p) - shift, F.lit(0))), lambda x, y: F.greatest(x, y))
 
     def whole(p):  # windows that end within the data; the first one, if there is none
-        minima = p
+        best = p
         for step in range(doublings):
-            minima = let(minima, halving(1 << step))
-        return F.slice(minima, F.lit(1), F.greatest(F.size(p) - (1 << doublings) + 1, F.lit(1)))
+            best = let(best, halving(1 << step))
+        return F.slice(best, F.lit(1), F.greatest(F.size(p) - w + 1, F.lit(1)))
+
+    def piece(b, begin):  # positions count from 1 within a piece
+        at = lambda x: F.shiftleft(x.bitwiseAND(F.lit(_PLACE)) - 1 + begin, HASH_BITS)
+        part = F.substring(b, (begin + 1).cast("int"), F.lit(span + w + k - 2))
+        packed = F.array_distinct(let(let(part, grams), whole))
+        return F.transform(packed, lambda x: at(x).bitwiseOR(F.bitwise_not(F.shiftright(x, 63 - HASH_BITS)).bitwiseAND(F.lit(_HASH))))
 
-    packed = F.array_distinct(let(let(data, grams), whole))
-    place = lambda x: F.shiftleft(F.lit(_LOW) - x.bitwiseAND(F.lit(_LOW)), 36)
-    return F.when(F.length(data) > 0, F.transform(packed, lambda x: place(x).bitwiseOR(F.shiftrightunsigned(x, 27)))).otherwise(F.array().cast("array<long>"))
+    begins = lambda b: F.sequence(F.lit(0).cast("long"), F.greatest(F.length(b) - (w + k - 1), F.lit(0)).cast("long"), F.lit(span).cast("long"))
+    every = let(data, lambda b: F.array_distinct(F.flatten(F.transform(begins(b), lambda begin: piece(b, begin)))))
+    return F.when(F.length(data) > 0, every).otherwise(F.array().cast("array<long>"))
 
 
 def add_fingerprint(df: DataFrame, text_col: str, out: str, k: int = K, doublings: int = DOUBLINGS) -> DataFrame:
@@ -52,12 +65,12 @@ def add_fingerprint(df: DataFrame, text_col: str, out: str, k: int = K, doubling
 
 
 def hashes(packed: Column) -> Column:
-    return F.transform(packed, lambda x: x.bitwiseAND(F.lit((1 << 36) - 1)))
+    return F.transform(packed, lambda x: x.bitwiseAND(F.lit(_HASH)))
 
 
 def as_text(packed: Column) -> Column:
     """The pairs as text: hash in hexadecimal, '@', position."""
-    return F.array_join(F.transform(packed, lambda x: F.concat(F.hex(x.bitwiseAND(F.lit((1 << 36) - 1))), F.lit("@"), F.shiftright(x, 36).cast("string"))), " ")
+    return F.array_join(F.transform(packed, lambda x: F.concat(F.hex(x.bitwiseAND(F.lit(_HASH))), F.lit("@"), F.shiftright(x, HASH_BITS).cast("string"))), " ")
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -73,12 +86,13 @@ def with_next(docs: DataFrame, columns: list[str], id_col: str = "doc_id", rows_
     each group is ordered for itself, and a group's last row gets the first row
     of the group below. There is a group for each rows_per_group rows; beyond
     max_groups of them (the driver has one number for each) groups grow, which
-    are ordered with spills. Null ids come last; rows of one id stand in order
-    of their columns' hash.
+    are ordered with spills. Rows of one id stand in order of their columns'
+    hash. Null ids come last; as there may be any number of them, they have
+    groups of their own, by ranges of that hash.
     """
     spark = docs.sparkSession
-    count = docs.count()
-    n = max(1, min(max_groups, count // rows_per_group))
+    sizes = docs.agg(F.count(id_col), F.count("*") - F.count(id_col)).first()
+    n, n_null = (max(1, min(max_groups, rows // rows_per_group)) for rows in sizes)
     cuts = docs.agg(F.percentile_approx(id_col, [i / n for i in range(1, n)], max(10_000, 10 * n))).first()[0] if n > 1 else []
     bounds = sorted({int(x) for x in cuts or []})
     step = max(64, int(len(bounds) ** 0.5))
@@ -88,6 +102,8 @@ def with_next(docs: DataFrame, columns: list[str], id_col: str = "doc_id", rows_
     if bounds:
         coarse = number(F.lit(bounds[step - 1 :: step]).cast("array<long>"), i) * step
         group = coarse + number(F.slice(F.lit(bounds).cast("array<long>"), coarse + 1, step), i)
+    share = F.shiftright(F.xxhash64(*columns), 32) + F.lit(1 << 31)  # in the order of the hash, from 0 to 2^32
+    group = F.when(i.isNull(), -1 - F.shiftright(share * F.lit(n_null), 32)).otherwise(group).cast("int")
     df = docs.withColumn("__g", group).withColumn("__o", F.xxhash64(*columns))
     order = Window.partitionBy("__g").orderBy(F.desc_nulls_last(id_col), "__o")
     heads = docs.select(group.alias("g"), i.alias("i")).groupBy("g").agg(F.max("i").alias("i")).collect()
@@ -123,11 +139,11 @@ def fingerprint_with_edits(docs: DataFrame, k: int = K, doublings: int = DOUBLIN
 
     def piece(begin, end):  # the choices of the edited text's bytes from begin to end, with their places in it
         part = F.substring(F.col("edited").cast("binary"), begin + 1, end - begin)
-        return F.transform(choices(part, k, doublings), lambda x: x + F.shiftleft(begin.cast("long"), 36))
+        return F.transform(choices(part, k, doublings), lambda x: x + F.shiftleft(begin.cast("long"), HASH_BITS))
 
     def kept(prints, length, offset):  # choices of the first length bytes that don't depend on what follows
-        last = F.shiftleft((length - (k - 1) - w + 1).cast("long"), 36)
-        return F.transform(F.filter(prints, lambda x: x < last), lambda x: x + F.shiftleft(offset.cast("long"), 36))
+        last = F.shiftleft((length - (k - 1) - w + 1).cast("long"), HASH_BITS)
+        return F.transform(F.filter(prints, lambda x: x < last), lambda x: x + F.shiftleft(offset.cast("long"), HASH_BITS))
 
     m, t = F.col("__m"), F.col("__t")
     zero = F.lit(0)

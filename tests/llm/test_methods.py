@@ -105,7 +105,7 @@ def test_components_of_a_long_path(spark):
 def chosen(text, k, w):
     """Winnowing by its definition, over the bytes of a text: (position, hash), rightmost of ties."""
     data = text.encode()
-    h = [xxhash.xxh64_intdigest(data[i : i + k], seed=42) >> 28 for i in range(max(len(data) - k + 1, 1))] if data else []
+    h = [xxhash.xxh64_intdigest(data[i : i + k], seed=42) >> 64 - winnow.HASH_BITS for i in range(max(len(data) - k + 1, 1))] if data else []
     out = set()
     for i in range(max(len(h) - w + 1, 1) if h else 0):
         least = min(h[i : i + w])
@@ -119,7 +119,7 @@ def test_winnowing_equals_brute_force(spark, k, doublings):
     g = random.Random(3)
     texts = ["", "a", "abc" * 3, "x" * 500] + ["".join(g.choice("abc \u00e9\u6f22") for _ in range(g.randrange(0, 700))) for _ in range(40)]
     got = {r.doc_id: r for r in winnow.fingerprint_with_edits(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), k, doublings).collect()}
-    pairs = lambda v: [(x >> 36, x & ((1 << 36) - 1)) for x in v]
+    pairs = lambda v: [(x >> winnow.HASH_BITS, x & ((1 << winnow.HASH_BITS) - 1)) for x in v]
     for i, t in enumerate(texts):
         third = len(t) // 3
         edited = t[: len(t) - third] + texts[i - 1][:third]
@@ -136,7 +136,7 @@ def test_winnowing_guarantee(spark):
     shared, cjk = letters(64 + 24 - 1), letters(29, "\u4e00\u4e8c\u4e09\u56db\u4e94\u516d\u4e03")
     texts = [letters(200) + shared + letters(100), letters(37) + shared + letters(333), "\u5b57" * 5 + cjk + "\u65e5" * 9, "\u5b57" * 2 + cjk + "\u672c" * 40, "", letters(3000)]
     texts.append("z" + texts[-1])
-    p = {r.i: {v & ((1 << 36) - 1) for v in r.p} for r in winnow.add_fingerprint(spark.createDataFrame(list(enumerate(texts)), "i int, text string"), "text", "p").collect()}
+    p = {r.i: {v & ((1 << winnow.HASH_BITS) - 1) for v in r.p} for r in winnow.add_fingerprint(spark.createDataFrame(list(enumerate(texts)), "i int, text string"), "text", "p").collect()}
     assert p[0] & p[1] and p[2] & p[3] and not p[4]
     assert len(p[5] & p[6]) >= 0.95 * len(p[5])
 
@@ -147,6 +147,42 @@ def test_next_document_over_groups(spark):
     assert got == {k * 3: str(k - 1) if k else "99" for k in range(100)}
 
 
+def test_choices_of_pieces_are_those_of_the_whole(spark):
+    """Texts around the length of a piece, and of many pieces, with runs of one letter that tie across the cuts."""
+    g = random.Random(5)
+    texts = ["ab" * 3, *("".join(g.choice("ab") for _ in range(n)) for n in (85, 86, 87, 100, 116, 117, 118, 150, 1000)), "y" * 300]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    for k, doublings, span in ((24, 6, 32), (3, 2, 1), (5, 3, 7)):
+        for r in df.select("i", winnow.choices(F.col("text").cast("binary"), k, doublings, span).alias("p")).collect():
+            assert [(x >> winnow.HASH_BITS, x & ((1 << winnow.HASH_BITS) - 1)) for x in r.p] == chosen(texts[r.i], k, 1 << doublings)
+
+
+def test_places_of_long_texts_are_whole_numbers(spark):
+    """The greatest place that a text can have leaves the packed number positive and its place as it is."""
+    last = (1 << 31) - 1
+    assert (last << winnow.HASH_BITS | (1 << winnow.HASH_BITS) - 1) < 1 << 63
+    got = spark.range(1).select(winnow.as_text(F.array(F.lit(last << winnow.HASH_BITS | 10))).alias("t")).first().t
+    assert got == f"A@{last}"
+
+
+@pytest.mark.parametrize("known", [0, 3])
+def test_many_rows_without_an_id(spark, known):
+    """They come last, over many groups, each once, in one circle with the others."""
+    rows = [(None, f"n{k}") for k in range(300)] + [(k, f"t{k}") for k in range(known)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = winnow.with_next(df, ["text"], rows_per_group=16)
+    follows = {r.text: r.next_text for r in got.collect()}
+    assert len(follows) == len(rows) and sorted(follows.values()) == sorted(follows)
+    circle, at = [], rows[-1][1]
+    for _ in rows:
+        circle.append(at)
+        at = follows[at]
+    assert len(set(circle)) == len(rows) and circle[:known] == [f"t{k}" for k in reversed(range(known))]
+    order = {r.text: r.h for r in df.select("text", F.xxhash64("text").alias("h")).collect()}
+    nulls = [order[t] for t in circle[known:]]
+    assert sum(x > y for x, y in zip(nulls, nulls[1:] + nulls[:1])) == 1
+
+
 def test_suffix_automaton_and_phrases():
     text = "abracadabra"
     a = langid.suffix_automaton(text)
