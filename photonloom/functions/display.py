@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 import struct
 import zlib
 from collections.abc import Sequence
@@ -144,12 +143,3 @@ def to_png(px: DataFrame, height: int, width: int, value: str = "display") -> Da
 
     d = px.select("frame_id", "y", "x", to_uint8(F.col(value)).alias("v"))
     return d.groupBy("frame_id").applyInPandas(encode, f"frame_id {dict(px.dtypes)['frame_id']}, png binary")
-
-
-def convergence_rows(history: Sequence[float]) -> list[tuple[int, float, float]]:
-    """(iteration, loss, log10 of the loss over its least value) for a plot with a logarithmic axis."""
-    if not len(history):
-        return []
-    base = min(history)
-    shift = 0.0 if base > 0 else 1e-12 - base
-    return [(k, float(v), math.log10(v + shift)) for k, v in enumerate(history)]

@@ -297,13 +297,15 @@ def flux_of(solved: DataFrame) -> DataFrame:
 
 
 def history_of(solved: DataFrame, tolerance: float = 1e-6) -> DataFrame:
-    """The logged steps of all channels, whatever mode solved them: channel, step, loss, gradient, change (relative, to the step logged before; null for the first) and calm, whether that is within the tolerance."""
+    """The logged steps of all channels, whatever mode solved them: channel, step, loss, gradient, change (relative, to the step logged before; null for the first), calm, whether that is within the tolerance, and log10_loss for a logarithmic axis: of losses that aren't all positive, what they are above the least and 1e-12."""
     log = F.posexplode(F.arrays_zip("losses", "gradients"))
     d = solved.select("channel", "log_every", "iterations", log.alias("k", "l"))
     d = d.select("channel", F.least(F.col("k") * F.col("log_every"), F.col("iterations") - 1).alias("step"), F.col("l.losses").alias("loss"), F.col("l.gradients").alias("gradient"))
     before = F.lag("loss").over(Window.partitionBy("channel").orderBy("step"))  # a few hundred short rows a channel
     change = F.abs(before - F.col("loss")) / F.abs(before)
-    return d.withColumn("change", change).withColumn("calm", F.col("change") <= tolerance)
+    least = F.min("loss").over(Window.partitionBy("channel"))
+    shift = F.when(least > 0, 0.0).otherwise(1e-12 - least)
+    return d.withColumns({"change": change, "calm": change <= tolerance, "log10_loss": F.log10(F.col("loss") + shift)})
 
 
 def solve_channels(stack: DataFrame, frames: list[dict], height: int, width: int, cfg: SolverConfig) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.kernels import convolve, fourier_shift, pool
 from .bayes import Priors
 from .calibration import BAYER
+from .validation import region_masks
 
 FRAME = "frame_id long, seq long, session string, frame_type string, exposure_s double, h int, w int, data array<double>"
 
@@ -66,13 +67,13 @@ def instrument(height: int, width: int, priors: Priors = Priors(), seed: int = 4
     return {"bias_mean": bias, "read_noise": noise, "dark_rate": rate, "hot_pixel": is_hot, "flat_gain": gain / np.median(gain), "amp_glow": np.zeros_like(bias)}
 
 
-def instrument_from_posteriors(alpha_beta: dict[str, tuple[np.ndarray, np.ndarray]], seed: int = 42) -> dict[str, np.ndarray]:
-    """Maps drawn from posteriors: bias and flat (precision, numerator), read_noise (alpha, beta), dark (alpha, beta)."""
+def instrument_from_posteriors(state: dict[str, tuple], seed: int = 42) -> dict[str, np.ndarray]:
+    """Maps drawn from posteriors: bias and flat (precision, numerator), read_noise (alpha, beta), dark (alpha, beta); what follows in a tuple is passed over."""
     g = rng(seed, 1)
-    p, n = alpha_beta["bias"]
-    a, b = alpha_beta["read_noise"]
-    c, d = alpha_beta["dark"]
-    q, m = alpha_beta["flat"]
+    p, n = state["bias"][:2]
+    a, b = state["read_noise"][:2]
+    c, d = state["dark"][:2]
+    q, m = state["flat"][:2]
     rate = g.gamma(c, 1 / d)
     middle = np.median(rate)
     spread = 1.4826 * np.median(np.abs(rate - middle))
@@ -132,16 +133,18 @@ def render_light(scene: np.ndarray, cfg: Session, dx: float, dy: float, fwhm: fl
     return t * np.maximum(pool(fourier_shift(fine, dy * cfg.scale, dx * cfg.scale), cfg.scale), 0)
 
 
-def generate_session(spark: SparkSession, cfg: Session = FAST, session: str = "s0", pattern: str | None = None) -> DataFrame:
-    """All frames of a session, each drawn in its own task from the configuration alone."""
+def generate_session(spark: SparkSession, cfg: Session = FAST, session: str = "s0", pattern: str | None = None, true: dict[str, np.ndarray] | None = None) -> DataFrame:
+    """All frames of a session, each drawn in its own task from the configuration alone, or from the maps of a given instrument (of the sensor's size)."""
     plan = [("bias", 0.0)] * cfg.n_bias + [("dark", t) for t in cfg.dark_exposures for _ in range(cfg.n_dark)] + [("flat", 2.0)] * cfg.n_flat + [("dark_flat", 2.0)] * max(cfg.n_flat // 2, 5) + [("light", cfg.light_exposure)] * cfg.n_light
     first = len(plan) - cfg.n_light
     rows = spark.createDataFrame([(k, kind, t) for k, (kind, t) in enumerate(plan)], "k long, kind string, t double").repartition(min(len(plan), 2 * spark.sparkContext.defaultParallelism))
 
+    given = spark.sparkContext.broadcast(true)
+
     def draw(batches):
         import pandas as pd
 
-        true = instrument(cfg.height, cfg.width, seed=cfg.seed, pattern=pattern)
+        true = given.value or instrument(cfg.height, cfg.width, seed=cfg.seed, pattern=pattern)
         scene, truth = star_scene(cfg)[0], light_truth(cfg)
         for pdf in batches:
             out = []
@@ -162,12 +165,26 @@ def sky_scene(spark: SparkSession, height: int, width: int, sky: float = 100.0)
     cy, cx, reach = (height - 1) / 2, (width - 1) / 2, max(height, width)
     r2 = lambda a, b: F.pow(F.col("y") - a, F.lit(2.0)) + F.pow(F.col("x") - b, F.lit(2.0))
     d = d.withColumns({"vignetting": F.pow(F.cos(F.atan(F.sqrt(r2(cy, cx)) / reach * 0.5)), F.lit(4.0)), "sky_bg": sky * (1 + 0.1 * F.col("x") / width)})
-    d = d.withColumns({"in_disc": r2(height * 0.35, width * 0.35) <= (height * 0.1) ** 2, "in_gauss": r2(height * 0.65, width * 0.65) <= (height * 0.12) ** 2})
+    d = region_masks(d, (height * 0.35, width * 0.35, height * 0.1), (height * 0.65, width * 0.65, height * 0.12))
     d = d.withColumns({"disc": F.when(F.col("in_disc"), 0.5 * sky).otherwise(0.0), "gauss": sky * F.exp(-r2(height * 0.65, width * 0.65) / (2 * (height * 0.06) ** 2))})
-    return d.withColumns({"true_sky": F.col("vignetting") * (F.col("sky_bg") + F.col("disc") + F.col("gauss")), "in_background": ~(F.col("in_disc") | F.col("in_gauss"))})
+    return d.withColumns({"true_sky": F.col("vignetting") * (F.col("sky_bg") + F.col("disc") + F.col("gauss"))})
+
+
+def exposed(scene: DataFrame, n: int, t: float, read_noise: float, seed: int = 42) -> DataFrame:
+    """scene with rate, the mean of n exposures of t seconds in flux a second, and sigma, what it is expected to scatter by; large counts, so of normal noise."""
+    sigma = F.sqrt(F.col("true_sky") * t + read_noise**2) / (t * n**0.5)
+    return scene.withColumn("sigma", sigma).withColumn("rate", F.col("true_sky") + F.randn(seed) * F.col("sigma"))
 
 
 def wcs_header(cfg: Session, dx: float, dy: float, scale_arcsec: float = 2.0, ra: float = 180.0, dec: float = 20.0) -> dict[str, float | int | str]:
     """Header keywords of a frame moved by dx, dy pixels."""
     s = scale_arcsec / 3600
     return {"NAXIS1": cfg.width, "NAXIS2": cfg.height, "CTYPE1": "RA---TAN", "CTYPE2": "DEC--TAN", "CRPIX1": cfg.width / 2 + 0.5, "CRPIX2": cfg.height / 2 + 0.5, "CRVAL1": ra + dx * s / math.cos(math.radians(dec)), "CRVAL2": dec - dy * s, "CD1_1": -s, "CD1_2": 0.0, "CD2_1": 0.0, "CD2_2": s}
+
+
+def with_headers(frames: DataFrame, cfg: Session, scale_arcsec: float = 2.0) -> DataFrame:
+    """A session's frames with header, the keywords of where a light was pointed (no keywords for others)."""
+    first = cfg.n_bias + len(cfg.dark_exposures) * cfg.n_dark + cfg.n_flat + max(cfg.n_flat // 2, 5)
+    rows = [(first + k, {n: str(v) for n, v in wcs_header(cfg, dx, dy, scale_arcsec).items()}) for k, dx, dy, *_ in light_truth(cfg)]
+    heads = frames.sparkSession.createDataFrame(rows, "frame_id long, header map<string,string>")  # a configured number of lights
+    return frames.join(F.broadcast(heads), "frame_id", "left")

@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.kernels import fit_moffat, gaussian_psf
+from ..functions.kernels import airy_psf, fit_moffat, gaussian_psf, instrument_psf
 from ..operators import bayes, calibration, geometry, images, neighbourhood, solver, stacking, stars
 from ..sources import fits, store
 from . import framewise, posterior
@@ -43,6 +43,8 @@ class Config:
     bayes: bool = False
     temperature: float | None = None  # of this session's sensor, in degrees; dark rates that are carried over follow it
     solve: bool = False
+    #: The telescope's: pixel (micrometres), aperture and focal length (mm), wavelength (nm), obstruction (a share).
+    optics: tuple[float, float, float, float, float] | None = None
     solver: solver.SolverConfig = field(default_factory=solver.SolverConfig)
 
 
@@ -162,11 +164,20 @@ def examined(seen: DataFrame, lights: DataFrame, reference, cfg: Config, pattern
     return meta.join(good, "frame_id", "left").withColumn("stacked", F.coalesce("stacked", F.lit(False)))
 
 
+def psf_of(fwhm: float | None, cfg: Config) -> np.ndarray:
+    """A Gaussian of the measured width on the fine grid; unmeasured, of the usual width, behind the telescope's diffraction where its optics are known."""
+    blur = gaussian_psf(cfg.psf_size, (fwhm or 3.0) * cfg.solver.scale)
+    if fwhm or not cfg.optics:
+        return blur
+    pixel_um, *optics = cfg.optics
+    return instrument_psf(airy_psf(cfg.psf_size, pixel_um / cfg.solver.scale, *optics), blur)
+
+
 def solved(stack: DataFrame, seen: DataFrame, good: DataFrame, canvas: framewise.Canvas, cfg: Config, pattern: str | None) -> DataFrame:
     """The solution by the configured mode: fast from the stack, exact from the frames where they lie, each with its PSF, or that of the frame before it, or a Gaussian of its width."""
     if cfg.solver.mode == "fast":
         rows = good.select("transparency", "fwhm").collect()  # two numbers a frame
-        each = [{"t": r.transparency, "psf": gaussian_psf(cfg.psf_size, (r.fwhm or 3.0) * cfg.solver.scale)} for r in rows]
+        each = [{"t": r.transparency, "psf": psf_of(r.fwhm, cfg)} for r in rows]
         return solver.solve_all(cfg.solver, stack, each, canvas.rows, canvas.cols)
     if canvas.row0 or canvas.col0 or pattern:
         raise ValueError("the exact mode solves the reference's grid of a sensor without colour")

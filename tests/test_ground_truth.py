@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from photonloom.functions import kernels
 from photonloom.operators import calibration, geometry, mixture, solver, synth, validation
-from photonloom.plans import ground_truth, pipeline
+from photonloom.plans import ground_truth, pipeline, posterior
 from photonloom.sources import fits, store
 
 
@@ -200,3 +200,63 @@ def test_a_folder_of_lights_hides_no_calibration_frames(spark):
     assert [r.frame_type for r in fits.discover(d).orderBy("path").collect()] == ["light", "dark", "bias"]
     e = d.unionByName(spark.createDataFrame([("/a/darks/4.fits", {"IMAGETYP": "Light"})], d.schema))
     assert {r.path[-6]: r.frame_type for r in fits.discover(e).collect()} == {"1": "light", "4": "dark"}
+
+
+def test_history_on_a_logarithmic_axis(spark):
+    """Positive losses as they are; others by what they are above the least."""
+    one = lambda name, losses: (name, 1, 1, [0.0], losses, [0.0] * len(losses), 1, len(losses), True)
+    d = spark.createDataFrame([one("a", [100.0, 10.0, 1.0]), one("b", [90.0, -10.0])], solver.SOLVED)
+    by = {(r.channel, r.step): r.log10_loss for r in solver.history_of(d).collect()}
+    assert [by["a", k] for k in range(3)] == pytest.approx([2, 1, 0])
+    assert by["b", 0] == pytest.approx(2) and by["b", 1] == pytest.approx(-12, abs=0.01)
+
+
+def test_a_session_of_an_instrument_drawn_from_posteriors(spark):
+    """What is learned from one session makes the next, whose own posteriors agree with the maps that were drawn."""
+    cfg = synth.Session(16, 20, 12, 4, (120.0, 600.0), 8, n_light=1, n_stars=3)
+    state = posterior.updated(synth.generate_session(spark, cfg), posterior.start(16, 20))
+    drawn = synth.instrument_from_posteriors(state, seed=5)
+    again = synth.instrument_from_posteriors(state, seed=5)
+    assert all(np.array_equal(drawn[k], again[k]) for k in drawn) and drawn["flat_gain"].min() >= 0.05 and drawn["read_noise"].min() >= 0.1
+    maps = posterior.maps_of(state)
+    z = (drawn["bias_mean"] - maps["bias_mean"]) * np.sqrt(state["bias"][0])
+    assert abs(z.mean()) < 0.2 and 0.85 < z.std() < 1.15
+    seen = posterior.maps_of(posterior.updated(synth.generate_session(spark, cfg, true=drawn), posterior.start(16, 20)))
+    assert np.corrcoef(seen["bias_mean"].ravel(), drawn["bias_mean"].ravel())[0, 1] > 0.9
+    assert np.corrcoef(seen["flat_gain"].ravel(), drawn["flat_gain"].ravel())[0, 1] > 0.9
+
+
+def test_regions_of_an_exposed_scene(spark):
+    """Disc, Gaussian and background of a vignetted sky scatter as expected about the truth."""
+    px = synth.exposed(synth.sky_scene(spark, 96, 80), 10, 60.0, 5.0).cache()
+    assert px.count() == 96 * 80 and px.where("vignetting > 1 or vignetting <= 0").count() == 0
+    corner, centre = (px.where(f"y = {y} and x = {x}").first().vignetting for y, x in ((0, 0), (47, 39)))
+    assert corner < 0.9 < centre
+    got = {r.region: r for r in validation.region_stats(px, "rate", "true_sky", "sigma").collect()}
+    assert set(got) == {"disc", "gauss", "background"} and sum(r.n for r in got.values()) == 96 * 80
+    for r in got.values():
+        assert abs(r.bias_frac) < 0.01 and r.chi2 == pytest.approx(1, abs=5 * (2 / r.n) ** 0.5)
+    assert got["disc"].true_mean > 1.3 * got["background"].true_mean
+
+
+def test_pointings_give_back_the_shifts(spark):
+    """Headers of a made session lead through the sky to the shifts that its lights were made with."""
+    cfg = synth.Session(32, 36, 2, 1, (120.0,), 2, n_light=4, n_stars=3)
+    frames = synth.with_headers(synth.generate_session(spark, cfg), cfg).drop("data")
+    d = fits.with_wcs(frames).cache()
+    assert d.where("frame_type <> 'light'").where("crval1 IS NOT NULL").count() == 0 and d.where("frame_type = 'light'").count() == 4
+    lights = d.where("frame_type = 'light'")
+    first = lights.orderBy("frame_id").limit(1)
+    got = geometry.frame_shift(lights, first, 32, 36).orderBy("frame_id").collect()
+    for r, (_, dx, dy, *_) in zip(got, synth.light_truth(cfg)):
+        assert (r.dx_to_ref, r.dy_to_ref) == pytest.approx((-dx, -dy), abs=1e-3)
+
+
+def test_unmeasured_widths_go_through_the_telescope():
+    cfg = pipeline.Config(optics=(3.76, 100.0, 1500.0, 550.0, 0.3))
+    plain, seen = pipeline.psf_of(None, pipeline.Config()), pipeline.psf_of(None, cfg)
+    y, x = np.mgrid[: cfg.psf_size, : cfg.psf_size] - cfg.psf_size // 2
+    spread = lambda p: float((p * (y * y + x * x)).sum())
+    assert seen.sum() == pytest.approx(1) and seen.min() >= 0 and spread(seen) > spread(plain)
+    assert np.unravel_index(seen.argmax(), seen.shape) == (cfg.psf_size // 2,) * 2
+    assert np.array_equal(pipeline.psf_of(2.5, cfg), pipeline.psf_of(2.5, pipeline.Config()))
