@@ -1021,12 +1021,29 @@ def auto_stretch_png(spark, sf_dir):
     return display.to_png(display.stretch_mono(p, display.auto_params(p)), 8, 8)
 
 
-@query()
+DEBAYER = ORACLE["debayer_preview"].removeprefix("WITH " + SQL["px"])
+
+
+def _stretch_rgb_sql(sky: str, key: str) -> str:
+    """Colours of a debayered light through the asinh curve: sky is r0(frame_id, v), what levels are taken from, key(c) the frame_id there of a colour (0 to 2)."""
+    debayered = DEBAYER[: DEBAYER.rindex("\nSELECT frame_id")].replace(" FROM px)", " FROM lt)")
+    clip = SIGMA_CLIP[SIGMA_CLIP.index("s0 AS") : SIGMA_CLIP.rindex(" SELECT frame_id, round(m, 6)")]
+    colour = lambda k, c: f"(SELECT round(least(greatest(asinh(beta * n) / asinh(beta), 0), 1), 5) FROM (SELECT beta, CASE WHEN white - black < 1e-12 THEN 0 ELSE (least(greatest(d.{c}, black), white) - black) / (white - black) END AS n FROM q WHERE q.frame_id = {key.format(k)})) AS {c}"
+    return f""", {LIGHT}{debayered}, rgb AS (SELECT frame_id, y::INT AS y, x::INT AS x, coalesce(rs, r) AS r, coalesce(gs, g) AS g, coalesce(bs, b) AS b FROM d), r0 AS ({sky}), {clip},
+c AS (SELECT frame_id, m, greatest(1.4826 * median(abs(v - m)), 1e-6) AS s FROM r3 JOIN s3 USING (frame_id) GROUP BY frame_id, m),
+l AS (SELECT frame_id, m, m - 2.8 * s AS black, greatest(top, m - 2.8 * s + 1) AS white FROM c JOIN (SELECT frame_id, quantile_cont(v, 0.999) AS top FROM r0 GROUP BY 1) USING (frame_id)),
+q AS (WITH RECURSIVE h AS (SELECT frame_id, black, white, least(greatest((m - black) / (white - black), 1e-6), 0.5) AS bg, 1.0::DOUBLE AS lo, 1e6::DOUBLE AS hi, NULL::DOUBLE AS hit, 0 AS k FROM l
+UNION ALL SELECT frame_id, black, white, bg, CASE WHEN f < 0.18 THEN mid ELSE lo END, CASE WHEN f < 0.18 THEN hi ELSE mid END, coalesce(hit, CASE WHEN abs(f - 0.18) < 1e-4 THEN mid END), k + 1 FROM (SELECT *, asinh(mid * bg) / asinh(mid) AS f FROM (SELECT *, (lo + hi) * 0.5 AS mid FROM h WHERE k < 60)))
+SELECT frame_id, black, white, coalesce(hit, (lo + hi) * 0.5) AS beta FROM h WHERE k = 60)
+SELECT frame_id, y, x, {", ".join(colour(k, c) for k, c in enumerate("rgb"))} FROM rgb d"""
+
+
+@query(_stretch_rgb_sql("SELECT frame_id, 0.299 * r + 0.587 * g + 0.114 * b AS v FROM rgb", "d.frame_id"), "px")
 def stretch_rgb_linked(spark, sf_dir):
     return rounded(display.stretch_rgb(neighbourhood.debayer(calibration.bayer_split(px_of(spark, sf_dir, "light")), 8, 8)), 5)
 
 
-@query()
+@query(_stretch_rgb_sql("SELECT frame_id * 4 + c AS frame_id, v FROM (SELECT frame_id, 0 AS c, r AS v FROM rgb UNION ALL SELECT frame_id, 1, g FROM rgb UNION ALL SELECT frame_id, 2, b FROM rgb)", "d.frame_id * 4 + {}"), "px")
 def stretch_rgb_unlinked(spark, sf_dir):
     return rounded(display.stretch_rgb(neighbourhood.debayer(calibration.bayer_split(px_of(spark, sf_dir, "light")), 8, 8), linked=False), 5)
 
