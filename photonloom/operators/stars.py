@@ -18,19 +18,30 @@ def ranked(stars: DataFrame, value: str = "peak", limit: int | None = None) -> D
     return out if limit is None else out.where(F.col("star_rank") < limit)
 
 
+def gathered(stars: DataFrame, limit: int) -> DataFrame:
+    """A frame's stars below limit as one row: frame_id, s of r (star_rank), y, x in order of rank; dealt by frame over many tasks, however few bytes they are."""
+    tasks = max(int(stars.sparkSession.conf.get("spark.sql.shuffle.partitions")), 4 * stars.sparkSession.sparkContext.defaultParallelism)  # few bytes, much work
+    star = F.struct(F.col("star_rank").alias("r"), F.col("y").cast("double").alias("y"), F.col("x").cast("double").alias("x"))
+    return stars.where(F.col("star_rank") < limit).repartition(tasks, "frame_id").groupBy("frame_id").agg(F.sort_array(F.collect_list(star)).alias("s"))
+
+
 def triangles(stars: DataFrame, limit: int = 50) -> DataFrame:
     """All triangles of a frame's brightest stars: frame_id, i < j < k, u = a/c, v = b/c of the sides a <= b <= c.
 
-    limit bounds a frame's stars, and so its triangles; the join is on the frame.
+    limit bounds a frame's stars, and so its triangles. A frame's stars are one
+    row; each is followed by those behind it, twice, so nothing is joined and
+    all that travels is stars.
     """
-    s = stars.where(F.col("star_rank") < limit).select("frame_id", "star_rank", "y", "x")
-    p, q, r = s.alias("p"), s.alias("q"), s.alias("r")
-    j = p.join(q, (F.col("p.frame_id") == F.col("q.frame_id")) & (F.col("p.star_rank") < F.col("q.star_rank")))
-    j = j.join(r, (F.col("p.frame_id") == F.col("r.frame_id")) & (F.col("q.star_rank") < F.col("r.star_rank")))
-    d = lambda a, b: F.hypot(F.col(f"{a}.y") - F.col(f"{b}.y"), F.col(f"{a}.x") - F.col(f"{b}.x"))
-    side = F.array_sort(F.array(d("p", "q"), d("p", "r"), d("q", "r")))
-    t = j.select(F.col("p.frame_id").alias("frame_id"), F.col("p.star_rank").alias("i"), F.col("q.star_rank").alias("j"), F.col("r.star_rank").alias("k"), side.alias("s"))
-    return t.where(F.get("s", F.lit(2)) >= 1e-6).select("frame_id", "i", "j", "k", (F.get("s", F.lit(0)) / F.get("s", F.lit(2))).alias("u"), (F.get("s", F.lit(1)) / F.get("s", F.lit(2))).alias("v"))
+    known = F.col("frame_id").isNotNull() & F.col("y").isNotNull() & F.col("x").isNotNull()
+    behind = lambda s: F.slice(s, F.col("at") + 2, F.size(s))
+    t = gathered(stars.where(known), limit).select("frame_id", "s", F.posexplode("s").alias("at", "p"))
+    t = t.select("frame_id", "p", behind("s").alias("s")).select("frame_id", "p", "s", F.posexplode("s").alias("at", "q"))
+    t = t.select("frame_id", "p", "q", behind("s").alias("s")).select("frame_id", "p", "q", F.explode("s").alias("r"))
+    d = lambda a, b: F.sqrt((F.col(f"{a}.y") - F.col(f"{b}.y")) * (F.col(f"{a}.y") - F.col(f"{b}.y")) + (F.col(f"{a}.x") - F.col(f"{b}.x")) * (F.col(f"{a}.x") - F.col(f"{b}.x")))
+    t = t.where((F.col("p.r") < F.col("q.r")) & (F.col("q.r") < F.col("r.r")))  # stars of one rank make no triangle
+    t = t.select("frame_id", F.col("p.r").alias("i"), F.col("q.r").alias("j"), F.col("r.r").alias("k"), d("p", "q").alias("d"), d("p", "r").alias("e"), d("q", "r").alias("f"))
+    low, middle, high = F.least("d", "e", "f"), F.greatest(F.least("d", "e"), F.least(F.greatest("d", "e"), "f")), F.greatest("d", "e", "f")
+    return t.where(high >= 1e-6).select("frame_id", "i", "j", "k", (low / high).alias("u"), (middle / high).alias("v"))
 
 
 def match_triangles(tri: DataFrame, reference: DataFrame, tol: float = 0.02, max_reference: int = 100_000) -> DataFrame:
@@ -91,8 +102,7 @@ def match_stars(stars: DataFrame, reference, limit: int = 50, tol: float = 0.02,
     made, matched and counted there, so what travels is stars and pairs, not
     triangles. The reference frame's stars are sent to the tasks.
     """
-    tasks = max(int(stars.sparkSession.conf.get("spark.sql.shuffle.partitions")), 4 * stars.sparkSession.sparkContext.defaultParallelism)  # few bytes, much work
-    short = stars.where(F.col("star_rank") < limit).repartition(tasks, "frame_id").groupBy("frame_id").agg(F.array_sort(F.collect_list(F.struct(F.col("star_rank").cast("long").alias("r"), F.col("y").cast("double").alias("y"), F.col("x").cast("double").alias("x")))).alias("s"))
+    short = gathered(stars, limit)
     first = short.where(F.col("frame_id") == F.lit(reference)).select("s").first()
     ref = stars.sparkSession.sparkContext.broadcast([tuple(s) for s in first.s] if first else [])  # limit stars
 

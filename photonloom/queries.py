@@ -42,6 +42,11 @@ def r(c: str | Column, name: str, digits: int = 6) -> Column:
     return F.round(c, digits).alias(name)
 
 
+def millionths(c: str) -> Column:
+    """round(c, 6) of numbers from 0 to 1 as DuckDB has it, by a product; F.round writes each number out in decimals first, which took two thirds of the time for triangles."""
+    return (F.floor(F.col(c) * 1e6 + 0.5) / 1e6).alias(c)
+
+
 def px_of(spark, sf_dir, kind=None) -> DataFrame:
     p = adapters.pixels(spark, sf_dir)
     return p if kind is None else p.where(F.col("frame_type") == kind)
@@ -658,7 +663,7 @@ TRI = """tri AS (SELECT frame_id, i, j, k, l[1] / l[3] AS u, l[2] / l[3] AS v FR
 
 @query(f", {TRI} SELECT frame_id, i, j, k, round(u, 6) AS u, round(v, 6) AS v FROM tri", "star")
 def triangle_descriptors(spark, sf_dir):
-    return rounded(stars.triangles(adapters.star_catalogue(spark, sf_dir)))
+    return stars.triangles(adapters.star_catalogue(spark, sf_dir)).select("frame_id", "i", "j", "k", millionths("u"), millionths("v"))
 
 
 @query(f""", {TRI}, ref AS (SELECT i, j, k, u, v, (floor(u / 0.02) + a.range - 1)::INT AS cu, (floor(v / 0.02) + b.range - 1)::INT AS cv FROM tri, range(3) a, range(3) b WHERE frame_id = 0),

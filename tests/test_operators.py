@@ -1,6 +1,7 @@
 """Operators against plain NumPy formulas, and properties that they have to keep."""
 
 import math
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from photonloom.functions import display, kernels
 from photonloom.operators import bayes, calibration, geometry, images, mixture, neighbourhood, solver, stacking, stars, synth, validation
 from photonloom.plans.adapters import explode_frames
+from photonloom.queries import millionths
 from photonloom.sources import fits, store
 
 H = W = 6
@@ -360,3 +362,24 @@ def test_exact_median_is_exact(spark):
         assert calibration.exact_median(df, "v", accuracy=20) == np.median(v)
     assert calibration.exact_median(df.limit(0), "v") is None
     assert calibration.hot_pixels(df.limit(0), "v").count() == 0
+
+
+def test_triangles_are_made_in_many_tasks(spark):
+    """However few bytes the stars are; those of one rank, place or none make no triangle."""
+    g = np.random.default_rng(8)
+    rows = [(f, k, float(y), float(x)) for f in range(40) for k, (y, x) in enumerate(g.random((7, 2)) * 100)]
+    odd = [(40, 0, 1.0, 1.0), (40, 0, 5.0, 1.0), (40, 1, 1.0, 4.0), (40, 2, None, 2.0), (40, 3, 1.0, 4.0), (41, 0, 3.0, 3.0), (41, 1, 3.0, 3.0), (41, 2, 3.0, 3.0), (None, 0, 0.0, 0.0), (None, 1, 1.0, 0.0), (None, 2, 0.0, 1.0)]
+    t = stars.triangles(spark.createDataFrame(rows + odd, "frame_id int, star_rank int, y double, x double"), 6).withColumn("task", F.spark_partition_id()).collect()
+    want = []
+    for f in range(42):
+        for a, b, c in combinations([r for r in rows + odd if r[0] == f and r[2] is not None and r[1] < 6], 3):
+            side = sorted(math.dist(p[2:], q[2:]) for p, q in ((a, b), (a, c), (b, c)))
+            if a[1] < b[1] < c[1] and side[2] >= 1e-6:
+                want.append((f, a[1], b[1], c[1], pytest.approx(side[0] / side[2]), pytest.approx(side[1] / side[2])))
+    assert len(want) == 40 * 20 + 2 and sorted(tuple(r)[:6] for r in t) == want
+    assert len({r.task for r in t}) > 4
+
+
+def test_millionths_round(spark):
+    v = [0.0, 1.0, 1 / 128, 3 / 128, 1e-7, 4.999e-7, 5.001e-7, 0.9999996, *np.random.default_rng(1).random(2000).tolist()]
+    assert all(a == b for a, b in spark.createDataFrame([(x,) for x in v], "v double").select(millionths("v"), F.round("v", 6)).collect())
